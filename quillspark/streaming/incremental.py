@@ -13,7 +13,8 @@ def watch(spark: SparkSession, root: str, mirror: str, manifest_dir: str, divisi
 
     The manifest, not the stream, says what is done, so a batch that is tried again after a failure skips what is intact.
     """
-    arrivals = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    arrivals = spark.readStream.schema(schema).format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
 
     def batch(rows: DataFrame, _: int) -> None:
         if not rows.isEmpty():
