@@ -89,9 +89,9 @@ class ToxicModel:
         return len(words), [(f, e, self.rate * s - size) for f, e, s in found]
 
     @staticmethod
-    def evidence(segments: list[tuple[int, int, float]], significant: float = 0.0) -> tuple[float, float]:
-        """The best segment's significance, and the sum over all significant ones; both on a log scale."""
-        good = [s for _, _, s in segments if s > significant]
+    def evidence(segments: list[tuple[int, int, float]]) -> tuple[float, float]:
+        """The best segment's significance -ln P, and the sum over all segments, both on a log scale; P = 1 - exp(-E)."""
+        good = [s if s > 30 else -math.log(-math.expm1(-math.exp(-s))) if s > -3.5 else 0.0 for _, _, s in segments]
         return (math.log1p(max(good)), math.log1p(sum(good))) if good else (0.0, 0.0)
 
     def score(self, segments: list[tuple[int, int, float]]) -> float:
