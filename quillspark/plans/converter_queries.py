@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.converters import archive, html, images, registry
+from quillspark.converters import archive, html, images, registry, vector
 from quillspark.converters.base import Outcome
 from quillspark.plans import builders
 from quillspark.plans.queries import query, table
@@ -149,3 +149,13 @@ def image_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         return [key, found.text, sum(s.hidden for s in found.segments)]
 
     return per_row(table(spark, sf_dir, "part").select("p_partkey", "p_name"), one, "p_partkey long, text string, hidden int")
+
+
+@query("""SELECT p_partkey, round(CASE WHEN p_size % 2 = 0 THEN p_size * (96 / 25.4) ELSE p_size * 10.0 END, 6) AS width, round(CASE WHEN p_size % 2 = 0 THEN p_size * 96.0 ELSE p_size * 20.0 END, 6) AS height FROM part""")
+def svg_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def one(key: int, size: int) -> list:
+        shape = f'width="{size}mm" height="{size}in"' if size % 2 == 0 else f'viewBox="0 0 {10 * size} {20 * size}"'
+        width, height = vector.geometry(f'<?xml version="1.0"?><svg {shape} xmlns="http://www.w3.org/2000/svg"><g/></svg>'.encode())
+        return [key, round(width, 6), round(height, 6)]
+
+    return per_row(table(spark, sf_dir, "part").select("p_partkey", "p_size"), one, "p_partkey long, width double, height double")

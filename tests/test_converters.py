@@ -6,7 +6,7 @@ from io import BytesIO
 
 import pytest
 
-from quillspark.converters import archive, document, html, images, mail, media, registry
+from quillspark.converters import archive, document, html, images, mail, media, registry, vector
 from quillspark.converters.base import ConvertError, Segment, has_meaning, passthrough, segments_problem
 from quillspark.plans import builders, formats
 
@@ -138,3 +138,11 @@ def test_segments():
     for s in (Segment("span", 0, 99, "d"), Segment("span", 4, 5, "d"), Segment("sheet", 0, 1, "d"), Segment("span", 3, 2, "d")):
         assert segments_problem([s], raw)
     assert has_meaning("a") and not has_meaning("​ \n")
+
+
+def test_vector_geometry():
+    assert vector.geometry(b'<svg width="1in" height="48pt"/>') == (96.0, 64.0)
+    assert vector.geometry(b'<svg width="100%" viewBox="-5 -5 20,10"><g/>') == (20.0, 10.0)
+    for bad in (b"<html/>", b"<svg/>", b"junk", b'<!DOCTYPE x [<!ENTITY a "b">]><svg width="1" height="1"/>'):
+        with pytest.raises(ConvertError):
+            vector.geometry(bad)
