@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import mix64, shingles, stored
+from quillspark.llm.common import Scratch, mix64, shingles, stored
 from quillspark.llm.components import components, local_roots
 from quillspark.llm.grouped import pairs_within, runs_of_groups
 
 #: Hash functions of the embedding (at most 64 fit the estimate's margin of 3.5 standard deviations used here).
 POSITIONS = 64
 #: Sets in a bucket that is compared at once; levels of splitting; sets and shingles in a block of a large bucket.
-BUCKET, LEVELS, BLOCK, BLOCK_SHINGLES = 128, 5, 512, 2_000_000
+BUCKET, LEVELS, BLOCK, BLOCK_SHINGLES = 128, 3, 512, 2_000_000
 _A = mix64(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _B = mix64(_A + np.uint64(7))
 
@@ -91,33 +91,34 @@ def _child(node: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:
         return mix64(mix64(node + np.uint64(0x632BE59BD9B4E019)) ^ ((at.astype(np.uint64) << np.uint64(32)) + value)).astype(np.int64)
 
 
-def _first_level(sets: DataFrame, similarity: float, runs: int) -> DataFrame:
-    """(key, id) of each set in the children of each run's root; these sample the same positions for all sets."""
-    roots = mix64(np.arange(1, runs + 1, dtype=np.uint64))
+def _first_level(sets: DataFrame, similarity: float, runs: range) -> DataFrame:
+    """(key, id, component) of each set in the children of each run's root; these sample the same positions for all sets."""
+    roots = mix64(np.array(runs, np.uint64))
     which, at = np.nonzero(chosen(roots, similarity))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 keys = _child(roots[which], at, _matrix(batch[1])[:, at].astype(np.uint64))
-                ids = np.repeat(batch[0].to_numpy(), len(at))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "id"])
+                again = [pa.array(np.repeat(batch[k].to_numpy(), len(at))) for k in (0, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *again], ["key", "id", "component"])
 
-    return sets.select("id", "sig").mapInArrow(run, "key long, id long")
+    return sets.select("id", "sig", "component").mapInArrow(run, "key long, id long, component long")
 
 
 def _children(rows: DataFrame, similarity: float) -> DataFrame:
-    """(key, id) of each set in each of its node's children; rows: key, id, sig."""
+    """(key, id, component) of each set in each of its node's children; rows: key, id, component, sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 node = batch[0].to_numpy().astype(np.uint64)
                 row, at = np.nonzero(chosen(node, similarity))
-                keys = _child(node[row], at, _matrix(batch[2])[row, at].astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), batch[1].take(pa.array(row))], ["key", "id"])
+                keys = _child(node[row], at, _matrix(batch[3])[row, at].astype(np.uint64))
+                again = [batch[k].take(pa.array(row)) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *again], ["key", "id", "component"])
 
-    return rows.select("key", "id", "sig").mapInArrow(run, "key long, id long")
+    return rows.select("key", "id", "component", "sig").mapInArrow(run, "key long, id long, component long")
 
 
 def in_blocks(rows: DataFrame, blocks: str) -> DataFrame:
@@ -135,14 +136,15 @@ def in_blocks(rows: DataFrame, blocks: str) -> DataFrame:
 
 
 def _links_by_estimate(rows: DataFrame, least: float) -> DataFrame:
-    """Candidate links inside units as a forest (a, b); rows: unit, side, id, n, sig."""
-    most_n = least  # sizes of two sets at a Jaccard similarity differ at most by that factor
+    """Candidate links between components inside units, as a forest (a, b); rows: unit, side, id, component, n, sig."""
 
     def compare(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch | None:
-        sig, n, side, ids = _matrix(rows.column("sig")), rows.column("n").to_numpy(), rows.column("side").to_numpy(), rows.column("id").to_numpy()
+        sig = _matrix(rows.column("sig"))
+        n, side, ids, group = (rows.column(c).to_numpy() for c in ("n", "side", "id", "component"))
         found = [np.empty((2, 0), np.int64)]
         for left, right in pairs_within(starts, len(sig), 100_000):
-            near = np.minimum(n[left], n[right]) >= most_n * np.maximum(n[left], n[right])
+            near = np.minimum(n[left], n[right]) >= least * np.maximum(n[left], n[right])  # else they cannot be so alike
+            near &= group[left] != group[right]
             near &= (side[left] != side[right]) | (side[left] == 2)
             left, right = left[near], right[near]
             alike = (sig[left] == sig[right]).sum(axis=1) >= least * POSITIONS
@@ -155,30 +157,50 @@ def _links_by_estimate(rows: DataFrame, least: float) -> DataFrame:
     return runs_of_groups(rows, "unit", 20_000, compare, "a long, b long")
 
 
-def candidates(sets: DataFrame, similarity: float, recall: float) -> DataFrame:
-    """A forest (a, b) over all pairs of sets that the runs bring together and the estimate does not exclude."""
+def _search(sets: DataFrame, similarity: float, runs: range, keep: Scratch) -> DataFrame:
+    """A forest (a, b) over the pairs of sets that these runs bring together and the estimate does not exclude.
+
+    Sets that are in one component already need no link, so buckets of one component are left out.
+    """
     margin = similarity - 3.5 * math.sqrt(similarity * (1 - similarity) / POSITIONS)
-    level = _first_level(sets, similarity, runs_needed(similarity, recall))
-    forest = []
+    level, found = _first_level(sets, similarity, runs), []
+    near = sets
     for depth in range(1, LEVELS + 1):
-        level = stored(level, "paths")
-        size = level.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        shared = level.join(size, "key")
+        level = keep.stored(level, "paths")
+        size = level.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("size > 1 and lo < hi")
+        shared = keep.stored(level.join(size.select("key", "size"), "key"), "shared-paths")
+        if depth == 1:  # what shares no bucket now shares none below
+            near = keep.stored(sets.join(shared.select("id").distinct().hint("merge"), "id"), "sharing-sets")
         large = F.col("size") > BUCKET
-        small = shared.where(~large) if depth < LEVELS else shared
+        ready = shared.where(~large) if depth < LEVELS else shared
         blocks = F.when(large, F.ceil(F.col("size") / BLOCK)).otherwise(1)
-        placed = in_blocks(small.select("key", "id", blocks.alias("blocks")), "blocks")
-        forest.append(stored(_links_by_estimate(placed.join(sets.select("id", "n", "sig"), "id"), margin).distinct(), "candidates"))
-        if depth == LEVELS:
+        placed = in_blocks(ready.select("key", "id", "component", blocks.alias("blocks")), "blocks")
+        found.append(keep.stored(_links_by_estimate(placed.join(near.select("id", "n", "sig"), "id"), margin).distinct(), "candidates"))
+        deeper = shared.where(large)
+        if depth == LEVELS or deeper.isEmpty():
             break
-        level = stored(shared.where(large).select("key", "id"), "large-buckets")
-        if level.isEmpty():
-            break
-        level = _children(level.join(sets.select("id", "sig"), "id"), similarity)
-    out = forest[0]
-    for part in forest[1:]:
+        level = _children(deeper.hint("merge").join(near.select("id", "sig"), "id"), similarity)
+    out = found[0]
+    for part in found[1:]:
         out = out.unionByName(part)
-    return out.distinct() if len(forest) > 1 else out
+    return out
+
+
+def candidates(sets: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """(id, component): groups of sets that hold every candidate pair, but for a chance of 1 - ``recall`` at the threshold.
+
+    The first runs find most groups; the others only look for what joins two of these.
+    """
+    runs, keep = runs_needed(similarity, recall), Scratch(sets.sparkSession)
+    groups = components(_search(sets.withColumn("component", F.col("id")), similarity, range(1, min(2, runs) + 1), keep))
+    keep.clear()
+    if runs <= 2:
+        return groups
+    known = keep.stored(sets.join(groups.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")), "grouped-sets")
+    rest = _search(known, similarity, range(3, runs + 1), keep)
+    out = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest))
+    keep.clear()
+    return out
 
 
 def shared_counts(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
@@ -249,7 +271,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, re
     if not sets.groupBy("id").count().where("count > 1").isEmpty():
         first = F.min(F.struct("h1", "h2", "n", "copies", "sig"))
         sets = stored(sets.groupBy("id").agg(first.alias("s")).select("s.h1", "s.h2", "s.n", "id", "s.copies", "s.sig"), "sets")
-    groups = components(candidates(sets, similarity, recall))
+    groups = candidates(sets, similarity, recall)
     sizes = stored(groups.join(sets.select("id", "h1", "n", "copies"), "id"), "groups")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
     placed = sizes.join(sizes.groupBy("component").agg(blocks.alias("blocks")), "component")
@@ -261,7 +283,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, re
             columns = [*batch.columns[:4], pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "blocks", "id", "copies", "hashes"]).filter(right)
 
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text").join(placed, "id")
+    # here and in the search by sort and merge whatever the number of groups is, so that plans are the same at every size
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text").join(placed.hint("merge"), "id")
     columns = texts.select(F.col("component").alias("key"), "blocks", "id", "copies", "h1", "text")
     whole = columns.mapInArrow(hashes, "key long, blocks long, id long, copies long, hashes binary")
     links = stored(_exact_links(in_blocks(whole, "blocks"), similarity), "links")

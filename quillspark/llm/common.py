@@ -55,6 +55,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables kept while a search goes on, and deleted at its end; what leaves it must not read them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(scratch(self.spark, name))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def clear(self) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+        self.paths.clear()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path made by :func:`scratch`."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -24,20 +24,23 @@ def _small(edges: DataFrame) -> DataFrame:
     return across.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether every node has one link at most, and none leads to a node that has one itself."""
+    ends = edges.select("a", F.lit(1).alias("links"), F.lit(0).alias("root")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("links"), F.lit(1).alias("root")))
+    return ends.groupBy("a").agg(F.sum("links").alias("links"), F.max("root").alias("root")).where("links > 1 or (links > 0 and root > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for each node of the edges (a, b); a component is named by its smallest node.
 
     Each round is kept in the shared checkpoint folder. Hot nodes are met by partial minima and joins that AQE can
     split. Self links count for nothing.
     """
-    edges = durable(edges.select("a", "b").where("a <> b").distinct())
-    before = None
+    edges = edges.select("a", "b").where("a <> b").distinct()
     while True:
         edges = durable(_small(_large(edges)))
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        if _is_settled(edges):
             break
-        before = state
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
