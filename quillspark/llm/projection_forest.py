@@ -78,7 +78,7 @@ def _comparable() -> Column:
     return F.coalesce(may, F.lit(False))
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.93, trees: int = 6, spill: float = 0.25, sample: int = 20_000, leaf: int = LEAF) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.93, trees: int = 4, spill: float = 0.15, sample: int = 20_000, leaf: int = LEAF) -> DataFrame:
     """For each row: vec_id, n_links, component_id, kept.
 
     Two rows are linked if they have the same label, the same length and a cosine of ``threshold`` or more in double
@@ -89,7 +89,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, trees: int = 6, sp
     fitted on at most ``sample`` vectors, the first by a hash; every vector is led down all of them.
     """
     spark = vectors.sparkSession
-    columns = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>"))
+    part = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"  # compared as doubles, moved as they are
+    columns = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast(f"array<{part}>"))
     marks = [F.xxhash64(F.lit(k), "label", "embedding").alias(f"h{k}") for k in (1, 2)]
     rows = columns.where(_comparable()).select("*", *marks)
     first = F.first(F.struct("label", "embedding")).alias("v")
@@ -98,8 +99,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, trees: int = 6, sp
     depth = max(0, math.ceil(math.log2(max(most, 1) / leaf)))
     picked = distinct.orderBy("h1", "h2").limit(sample).select("width", "embedding").toPandas()
     forests: dict[int, list[Tree]] = {}
-    for width, own in picked.groupby("width"):
-        x = np.array(own.embedding.tolist(), float)
+    for width, group in picked.groupby("width"):
+        x = np.array(group.embedding.tolist(), float)
         x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
         forests[int(width)] = [grow(x, depth, seed, spill) for seed in range(trees)]
     shared = spark.sparkContext.broadcast(forests)
@@ -108,8 +109,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, trees: int = 6, sp
         for batch in batches:
             labels = batch[2].to_numpy(zero_copy_only=False).astype(np.int64)
             for width in np.unique(widths := batch[4].to_numpy()):
-                part = np.flatnonzero(widths == width)
-                chosen = batch.take(pa.array(part))
+                own = np.flatnonzero(widths == width)
+                chosen = batch.take(pa.array(own))
                 unit = unit_rows(chosen[3], int(width))
                 forest = shared.value.get(int(width)) or [grow(unit, 0, k, spill) for k in range(1)]
                 row, key = [], []
@@ -117,14 +118,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, trees: int = 6, sp
                     for k, tree in enumerate(forest):
                         r, node = leaves(tree, unit)
                         row.append(r)
-                        key.append(mix64(mix64(labels[part][r].astype(np.uint64) + np.uint64(k)) ^ (node.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(width))).astype(np.int64))
+                        key.append(mix64(mix64(labels[own][r].astype(np.uint64) + np.uint64(k)) ^ (node.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(width))).astype(np.int64))
                 row, key = np.concatenate(row), np.concatenate(key)
                 order = np.lexsort((key, row))
                 row, key = row[order], key[order]
-                keys = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(part) + 1)), pa.int32()), pa.array(key))
+                keys = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(own) + 1)), pa.int32()), pa.array(key))
                 yield pa.RecordBatch.from_arrays([chosen[0], chosen[1], chosen[3], keys], ["id", "copies", "embedding", "keys"])
 
-    led = distinct.select(F.col("h1").alias("id"), "copies", F.xxhash64("label").alias("label"), "embedding", "width").mapInArrow(lead, "id long, copies long, embedding array<double>, keys array<long>")
+    led = distinct.select(F.col("h1").alias("id"), "copies", F.xxhash64("label").alias("label"), "embedding", "width").mapInArrow(lead, f"id long, copies long, embedding array<{part}>, keys array<long>")
     placed = stored(led, "leaves")
     inside = placed.select(F.explode("keys").alias("key"), "id")
     size = inside.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / BLOCK).alias("blocks"))
@@ -136,8 +137,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, trees: int = 6, sp
         for a, b in zip(starts, np.append(starts[1:], len(ids))):
             if b - a < 2:
                 continue
-            part = rows.slice(a, b - a).combine_chunks()
-            vectors = part.column("embedding").chunk(0)
+            group = rows.slice(a, b - a).combine_chunks()
+            vectors = group.column("embedding").chunk(0)
             unit = unit_rows(vectors, len(vectors[0]))
             s = side[a:b]
             near = (unit @ unit.T) >= threshold
@@ -145,7 +146,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, trees: int = 6, sp
             left, right = np.nonzero(np.triu(near, 1))
             if not len(left):
                 continue
-            lists = part.column("keys").chunk(0)
+            lists = group.column("keys").chunk(0)
             long = np.asarray(lists.value_lengths())
             keys = np.full((b - a, int(long.max())), np.iinfo(np.int64).max)
             keys[np.arange(keys.shape[1]) < long[:, None]] = np.asarray(lists.flatten())
