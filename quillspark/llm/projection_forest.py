@@ -1,7 +1,8 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
 Each tree splits the unit vectors again and again along random directions, at the median of a bounded sample in the
-node; vectors close to a split go to both sides. Every vector is led down every tree. Inside a leaf all pairs are
+node; vectors close to a split go to both sides. How close, and how many trees, follows from the depth and the recall
+asked for, whatever the vectors are (see ``plan``). Every vector is led down every tree. Inside a leaf all pairs are
 compared in double precision, large leaves in blocks; a pair that meets in several leaves counts in the first alone.
 Vectors that are equal are one from the start.
 """
@@ -24,22 +25,43 @@ from quillspark.llm.grouped import runs_of_groups
 
 #: Vectors in a leaf aimed at, and in a block of a leaf that is larger all the same.
 LEAF, BLOCK = 256, 768
+#: A node where more than this share of its vectors would go to both sides isn't split.
+SHARED = 0.5
+#: More than the error of a cosine in single precision.
+ROUNDING = 1e-3
 
 
 @dataclass
 class Tree:
-    """Directions of each level, and for each node in heap order its threshold and the half-width of its overlap."""
+    """Directions of each level, for each node in heap order its threshold, and the half-width of the overlap."""
 
     directions: np.ndarray
     thresholds: np.ndarray
-    overlap: np.ndarray
+    overlap: float
 
 
-def grow(sample: np.ndarray, depth: int, seed: int, spill: float) -> Tree:
-    """A tree over unit vectors; about ``spill`` of a node's vectors go to both children."""
+def plan(threshold: float, depth: int, recall: float) -> tuple[int, float]:
+    """Trees, and the half-width of the overlap as a multiple of 1 / sqrt(width), for a ``recall`` at the threshold.
+
+    Two unit vectors at the threshold are ``gap`` apart, so their places along a direction differ by a normal variable of
+    deviation gap / sqrt(width). Only a difference of more than two half-widths can part them, wherever the cut is: that
+    bounds the chance to lose the pair without regard to the data. Of the overlaps, the one with the fewest comparisons.
+    """
+    gap = math.sqrt(max(0.0, 2 - 2 * threshold))
+    options = []
+    for z in np.arange(1.0, 4.01, 0.05):
+        whole = math.erf(z / math.sqrt(2)) ** depth  # the chance that one tree keeps the pair together, at least
+        trees = max(1, math.ceil(math.log(1 - recall) / math.log(1 - whole))) if whole < 1 else 1
+        shared = math.erf(z * gap / 2 / math.sqrt(2))
+        options.append((trees * (1 + shared) ** (2 * depth), trees, float(z * gap / 2)))
+    return min(options)[1:]
+
+
+def grow(sample: np.ndarray, depth: int, seed: int, overlap: float) -> Tree:
+    """A tree over unit vectors; those within ``overlap`` / sqrt(width) of a cut go to both children."""
     rng = np.random.default_rng(seed)
     width = sample.shape[1]
-    tree = Tree(rng.standard_normal((depth, width)) / math.sqrt(width), np.zeros(2**depth), np.zeros(2**depth))
+    tree = Tree(rng.standard_normal((depth, width)) / math.sqrt(width), np.zeros(2**depth), overlap / math.sqrt(width))
     nodes = {1: np.arange(len(sample))}
     for level in range(depth):
         place = sample @ tree.directions[level]
@@ -47,10 +69,12 @@ def grow(sample: np.ndarray, depth: int, seed: int, spill: float) -> Tree:
         for node, rows in nodes.items():
             own = place[rows] if len(rows) >= 8 else place  # too few to tell: the whole sample stands in
             cut = float(np.median(own)) if len(own) else 0.0
+            if len(own) and (np.abs(own - cut) <= tree.overlap).mean() > SHARED:
+                tree.thresholds[node] = np.inf  # a group that no cut parts: all go to the first child
+                below[2 * node] = rows
+                continue
             tree.thresholds[node] = cut
-            tree.overlap[node] = float(np.quantile(np.abs(own - cut), spill)) if len(own) else 0.0
-            low = place[rows] < cut
-            below[2 * node], below[2 * node + 1] = rows[low], rows[~low]
+            below[2 * node], below[2 * node + 1] = rows[place[rows] < cut + tree.overlap], rows[place[rows] >= cut - tree.overlap]
         nodes = below
     return tree
 
@@ -60,8 +84,7 @@ def leaves(tree: Tree, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     row, node = np.arange(len(unit)), np.ones(len(unit), np.int64)
     for level in range(len(tree.directions)):
         beyond = (unit @ tree.directions[level])[row] - tree.thresholds[node]
-        wide = tree.overlap[node]
-        low, high = beyond < wide, beyond >= -wide
+        low, high = beyond < tree.overlap, beyond >= -tree.overlap
         row, node = np.concatenate([row[low], row[high]]), np.concatenate([2 * node[low], 2 * node[high] + 1])
     return row, node
 
@@ -71,6 +94,19 @@ def unit_rows(flat: pa.ListArray, width: int) -> np.ndarray:
     return values / np.sqrt((values * values).sum(axis=1, keepdims=True))
 
 
+def met_before(lists: pa.ListArray, own: int, width: int = 2048) -> np.ndarray:
+    """Which two rows share a key smaller than ``own``."""
+    row, key = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths())), np.asarray(lists.flatten())
+    row, (values, place) = row[key < own], np.unique(key[key < own], return_inverse=True)
+    met = np.zeros((len(lists), len(lists)), bool)
+    for k in range(0, len(values), width):
+        here = (place >= k) & (place < k + width)
+        dense = np.zeros((len(lists), min(width, len(values) - k)), np.float32)
+        dense[row[here], place[here] - k] = 1
+        met |= dense @ dense.T > 0
+    return met
+
+
 def _comparable() -> Column:
     """Whether a row may link: with id and label, and a finite vector that isn't zero."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -78,15 +114,17 @@ def _comparable() -> Column:
     return F.coalesce(may, F.lit(False))
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.93, trees: int = 4, spill: float = 0.15, sample: int = 20_000, leaf: int = LEAF) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.9999, sample: int = 20_000, leaf: int = LEAF) -> DataFrame:
     """For each row: vec_id, n_links, component_id, kept.
 
     Two rows are linked if they have the same label, the same length and a cosine of ``threshold`` or more in double
     precision; n_links counts the other rows linked directly, component_id is the smallest id that links lead to, kept
     says that it is the row's own. Rows with a null label, or a vector that is null, empty, zero or has a null or
     non-finite part, link with nothing, nor do rows with a null id, whose component is null and which aren't kept. Rows
-    that share an id are vectors of their own. An empty table gives no rows; further columns are ignored. The trees are
-    fitted on at most ``sample`` vectors, the first by a hash; every vector is led down all of them.
+    that share an id are vectors of their own. A pair at the threshold is found with a probability of ``recall`` or more,
+    closer ones with more, at every size of a label; no pair below it is linked. An empty table gives no rows; further
+    columns are ignored. The trees are fitted on at most ``sample`` vectors, the first by a hash; every vector is led down
+    all of them.
     """
     spark = vectors.sparkSession
     part = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"  # compared as doubles, moved as they are
@@ -97,12 +135,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, trees: int = 4, sp
     distinct = stored(rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), first).select("h1", "h2", "id", "copies", "v.*", F.size("v.embedding").alias("width")), "vectors")
     most = distinct.groupBy("label", "width").count().agg(F.max("count")).first()[0] or 0
     depth = max(0, math.ceil(math.log2(max(most, 1) / leaf)))
+    trees, overlap = plan(threshold, depth, recall)
     picked = distinct.orderBy("h1", "h2").limit(sample).select("width", "embedding").toPandas()
     forests: dict[int, list[Tree]] = {}
     for width, group in picked.groupby("width"):
         x = np.array(group.embedding.tolist(), float)
         x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-        forests[int(width)] = [grow(x, depth, seed, spill) for seed in range(trees)]
+        forests[int(width)] = [grow(x, depth, seed, overlap) for seed in range(trees)]
     shared = spark.sparkContext.broadcast(forests)
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +151,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, trees: int = 4, sp
                 own = np.flatnonzero(widths == width)
                 chosen = batch.take(pa.array(own))
                 unit = unit_rows(chosen[3], int(width))
-                forest = shared.value.get(int(width)) or [grow(unit, 0, k, spill) for k in range(1)]
+                forest = shared.value.get(int(width)) or [grow(unit, 0, k, overlap) for k in range(1)]
                 row, key = [], []
                 with np.errstate(over="ignore"):
                     for k, tree in enumerate(forest):
@@ -141,24 +180,19 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, trees: int = 4, sp
             vectors = group.column("embedding").chunk(0)
             unit = unit_rows(vectors, len(vectors[0]))
             s = side[a:b]
-            near = (unit @ unit.T) >= threshold
-            near &= (s[:, None] != s[None, :]) | (s[:, None] == 2)
-            left, right = np.nonzero(np.triu(near, 1))
+            flat = unit.astype(np.float32)
+            left, right = np.divmod(np.flatnonzero(flat @ flat.T >= threshold - ROUNDING), b - a)  # few; settled below in doubles
+            may = (left < right) & ((s[left] != s[right]) | (s[left] == 2))
+            left, right = left[may], right[may]
+            close = np.concatenate([np.zeros(0, bool), *((unit[left[k : k + 50_000]] * unit[right[k : k + 50_000]]).sum(axis=1) >= threshold for k in range(0, len(left), 50_000))])
+            left, right = left[close], right[close]
             if not len(left):
                 continue
-            lists = group.column("keys").chunk(0)
-            long = np.asarray(lists.value_lengths())
-            keys = np.full((b - a, int(long.max())), np.iinfo(np.int64).max)
-            keys[np.arange(keys.shape[1]) < long[:, None]] = np.asarray(lists.flatten())
+            earlier = met_before(group.column("keys").chunk(0), own_key[a])
+            first = ~earlier[left, right]
             links = np.zeros(b - a, np.int64)
-            for k in range(0, len(left), 50_000):
-                p, q = left[k : k + 50_000], right[k : k + 50_000]
-                met = np.zeros((len(p), keys.shape[1]), bool)
-                for column in keys.T:
-                    met |= keys[p] == column[q][:, None]
-                first = np.where(met, keys[p], np.iinfo(np.int64).max).min(axis=1) == own_key[a]
-                np.add.at(links, p[first], copies[a:b][q[first]])
-                np.add.at(links, q[first], copies[a:b][p[first]])
+            np.add.at(links, left[first], copies[a:b][right[first]])
+            np.add.at(links, right[first], copies[a:b][left[first]])
             root = local_roots(b - a, left, right)
             has = np.unique(np.concatenate([left, right]))
             out.append(np.stack([ids[a:b][has], ids[a:b][root[has]], links[has]]))

@@ -1,6 +1,7 @@
 """Near duplicates of texts and vectors against brute force, with nulls, ties and copies."""
 
 import itertools
+import math
 import random
 from collections import defaultdict
 
@@ -144,6 +145,22 @@ def test_vectors_against_brute_force(spark):
     assert all(found[3000 + k].n_links == 0 for k in range(6))
 
 
+def test_vectors_lose_no_link_in_deep_trees(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.standard_normal((2, 1500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y *= math.sqrt(1 - 0.931**2) / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [(k, 1, v) for k, v in enumerate([*x.tolist(), *(0.931 * x + y).tolist()])]  # k and k + 1500 have a cosine of 0.931
+    links, count = vector_links(rows), defaultdict(int)
+    for a, b in links:
+        count[a] += 1
+        count[b] += 1
+    found = projection_forest.near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), leaf=4).collect()
+    assert len(links) >= 1500 and {r.vec_id: r.n_links for r in found} == {r[0]: count[r[0]] for r in rows}
+    assert {r.vec_id: r.component_id for r in found} == roots([r[0] for r in rows], links)
+
+
 def test_vectors_edges(spark):
     schema = "vec_id long, label int, embedding array<float>"
     assert projection_forest.near_vectors(spark.createDataFrame([], schema)).count() == 0
