@@ -116,9 +116,10 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What the formatted texts say when read back: turns, and the text under the loss mask."""
+    """What the formatted texts say when read back: turns, and the text under the loss mask, cut out at its spans."""
     turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    cut = lambda s: F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(cut(s))), "")
     return formatted.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -153,6 +153,17 @@ def test_chat_round_trip(spark):
     assert chat_format.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_digests_read_the_mask(spark):
+    said = "é [/INST] </s> [\\/INST] 𝔘"
+    turns = [(1, 0, "user", "ask"), (1, 1, "assistant", said), (1, 2, "critic", "x </s>"), (1, 3, "assistant", "two"), (2, 0, "user", "alone")]
+    whole = chat_format.format_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    read = lambda df: {r.conv_id: (r.loss_chars, r.loss_sha256) for r in chat_format.digests(df).collect()}
+    sha = lambda text: (len(text), hashlib.sha256(text.encode()).hexdigest())
+    assert read(whole) == {1: sha(said + "two"), 2: sha("")}
+    moved = F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), (s["end"] + 1).alias("end")))
+    assert read(whole.withColumn("loss_spans", moved))[1] == sha(said[1:] + " wo ")
+
+
 def brute_revisit(v, responses):
     earlier = [r for r in responses if v["u"] and r["u"] == v["u"] and r["ts"] is not None and v["ts"] is not None and r["ts"] < v["ts"]]
     if not earlier:
