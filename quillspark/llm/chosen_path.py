@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import Scratch, mix64, shingles, stored
@@ -66,8 +66,13 @@ def set_hash(hashes: np.ndarray) -> tuple[int, int]:
         return int(mix64(hashes).sum(dtype=np.uint64).astype(np.int64)), int(mix64(hashes ^ _B[0]).sum(dtype=np.uint64).astype(np.int64))
 
 
+def text_mark() -> Column:
+    """Tells apart rows that share an id."""
+    return F.xxhash64("text")
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, h1, h2 (a hash of the shingle set), n (its size) and sig (its embedding) for each row."""
+    """doc_id, mark (a hash of the text), h1, h2 (a hash of the shingle set), n (its size) and sig (its embedding) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,9 +80,9 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             h1, h2 = zip(*map(set_hash, sets)) if sets else ((), ())
             n = np.array([len(s) for s in sets], np.int32)
             sig = [embed(s).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n), pa.array(sig, pa.binary())], ["doc_id", "h1", "h2", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch[0], batch[2], pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n), pa.array(sig, pa.binary())], ["doc_id", "mark", "h1", "h2", "n", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, h1 long, h2 long, n int, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_mark().alias("mark")).mapInArrow(run, "doc_id long, mark long, h1 long, h2 long, n int, sig binary")
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -261,42 +266,49 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, re
     smallest id that links lead to, copy_id the smallest id with the same shingles, n_links the number of other
     documents linked directly, those with the same shingles included. A pair at the threshold is found with a
     probability of ``recall``, more alike ones with more; no unlike pair is linked. Texts without words (null and empty
-    ones) and rows without id link with nothing. Rows that share an id and the text are copies of each other; of
-    different texts under one id, one is compared and the others link with nothing. An empty table gives no rows;
-    further columns are ignored.
+    ones) and rows without id link with nothing. Rows that share an id are documents of their own. An empty table gives
+    no rows; further columns are ignored.
     """
+    return near_duplicate_rows(docs, similarity, width, recall).drop("mark")
+
+
+def near_duplicate_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.999) -> DataFrame:
+    """``near_duplicates`` with mark, the ``text_mark`` of each row's text; the nodes of the search are the sets' hashes."""
     seen = stored(signatures(docs, width), "signatures")
     linkable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    sets = stored(seen.where(linkable).groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "sets")
-    if not sets.groupBy("id").count().where("count > 1").isEmpty():
-        first = F.min(F.struct("h1", "h2", "n", "copies", "sig"))
-        sets = stored(sets.groupBy("id").agg(first.alias("s")).select("s.h1", "s.h2", "s.n", "id", "s.copies", "s.sig"), "sets")
-    groups = candidates(sets, similarity, recall)
-    sizes = stored(groups.join(sets.select("id", "h1", "n", "copies"), "id"), "groups")
+    first = F.min(F.struct("doc_id", "mark")).alias("first")  # a row that has the set's text
+    sets = seen.where(linkable).groupBy("h1", "h2", "n").agg(first, F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    sets = stored(sets.select(F.col("h1").alias("id"), "h2", "n", F.col("first.doc_id").alias("doc"), F.col("first.mark").alias("mark"), "copies", "sig"), "sets")
+    groups = candidates(sets.select("id", "n", "sig"), similarity, recall)
+    sizes = stored(groups.join(sets.select("id", "doc", "mark", "n", "copies"), "id"), "groups")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
     placed = sizes.join(sizes.groupBy("component").agg(blocks.alias("blocks")), "component")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), width) for t in batch[5]]
-            right = pa.array([set_hash(s)[0] == h for s, h in zip(sets, batch[4].to_pylist())], pa.bool_())
+            sets = [shingles(t.as_py(), width) for t in batch[4]]
+            right = pa.array([set_hash(s)[0] == h for s, h in zip(sets, batch[2].to_pylist())], pa.bool_())
             columns = [*batch.columns[:4], pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "blocks", "id", "copies", "hashes"]).filter(right)
 
     # here and in the search by sort and merge whatever the number of groups is, so that plans are the same at every size
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text").join(placed.hint("merge"), "id")
-    columns = texts.select(F.col("component").alias("key"), "blocks", "id", "copies", "h1", "text")
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), text_mark().alias("mark"), "text").join(placed.hint("merge"), ["doc", "mark"])
+    columns = texts.select(F.col("component").alias("key"), "blocks", "id", "copies", "text")
     whole = columns.mapInArrow(hashes, "key long, blocks long, id long, copies long, hashes binary")
     links = stored(_exact_links(in_blocks(whole, "blocks"), similarity), "links")
     classes = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("id").agg(F.sum("links").alias("links"))
-    known = sets.select("h1", "h2", "n", "id", "copies").join(classes, "id", "left").join(counted, "id", "left")
+    members = classes.join(sets.select("id", "doc").hint("merge"), "id")
+    smallest = members.groupBy("component").agg(F.min("doc").alias("class"))
+    named = members.join(smallest.hint("merge"), "component").select("id", "class")
+    known = sets.select("id", "h2", "n", "doc", "copies").join(named, "id", "left").join(counted, "id", "left").withColumnRenamed("id", "h1")
     out = seen.drop("sig").join(known, ["h1", "h2", "n"], "left")
-    alone = ~F.coalesce(linkable, F.lit(False)) | F.col("id").isNull()
+    alone = ~F.coalesce(linkable, F.lit(False)) | F.col("doc").isNull()
     return out.select(
         "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "id")).alias("class_id"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("id")).alias("copy_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.coalesce("class", "doc")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("doc")).alias("copy_id"),
         F.when(alone, F.lit(0)).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
         F.col("n").cast("long").alias("n_shingles"),
+        "mark",
     )

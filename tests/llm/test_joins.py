@@ -81,6 +81,14 @@ def test_ngram_join_edges(spark):
     assert found == [(0, 0, 0), (1, 1, 2), (1, 1, 2), (2, 1, 2), (2, 2, 0), (3, 3, 0)]
 
 
+def test_ngram_join_compares_all_texts_of_an_id(spark):
+    words = [[f"{c}{k}" for k in range(40)] for c in "abc"]
+    near = lambda w, k: " ".join([*w[:k], "other", *w[k + 1 :]])
+    rows = [(1, " ".join(w)) for w in words] + [(k + 2, near(w, 39)) for k, w in enumerate(words)] + [(2, near(words[1], 0))]
+    found = sorted((r.doc_id, r.class_id, r.copy_id, r.n_links) for r in chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == [(1, 1, 1, 1), (1, 1, 1, 1), (1, 1, 1, 2), (2, 1, 2, 1), (2, 1, 2, 2), (3, 1, 3, 2), (4, 1, 4, 1)]
+
+
 def test_shingles_match_words():
     for text in ("a b c d e f g", "A-b, c d e!", "é ü x y z w", "one", "", None, "w " * 5000):
         w = words_of(text)
