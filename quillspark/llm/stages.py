@@ -25,9 +25,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id, and all that are in no group."""
-    classes = chosen_path.near_duplicates(docs).where("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies the document with the smallest id, and all that are in no group.
+
+    Rows are judged by id and text: of different texts under one id only those go that are near copies of a smaller id's.
+    Rows that share the smallest id of their group all stay.
+    """
+    rows = chosen_path.near_duplicate_rows(docs).where("class_id <> doc_id")
+    gone = rows.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).distinct()
+    same = (docs["doc_id"].cast("long") == gone["_doc"]) & (chosen_path.text_mark() == gone["_mark"])
+    return docs.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
