@@ -3,9 +3,10 @@
 Texts are sets of word shingles; texts with equal sets are one class from the start. A set is embedded as the vector of
 its minima under a number of hash functions, so that two sets agree in a position with the probability of their
 Jaccard similarity. A run splits all sets by the values in a few sampled positions; sets that stand in a large bucket
-are split again by positions sampled for that bucket, and so on; small buckets are compared by brute force. Runs are
-repeated until a pair at the threshold is found with the target probability. Buckets that stay large, as near copies
-make them, are compared in blocks, each pair of blocks by itself.
+are split again by positions sampled for that bucket, and so on, until the buckets are small or splitting doesn't make
+them smaller; small buckets are compared by brute force. Runs are repeated until a pair at the threshold is found with
+the target probability at the depth that was reached. Buckets that stay large, as near copies make them, are compared
+in blocks, each pair of blocks by itself.
 
 What the buckets join are candidates by the estimate, with a margin. The groups they form are then compared in whole
 sets, again in blocks where they are large, which gives exact links and classes.
@@ -21,14 +22,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Scratch, mix64, shingles, stored
+from quillspark.llm.common import Scratch, Sieve, apart, mix64, shingles
 from quillspark.llm.components import components, local_roots
 from quillspark.llm.grouped import pairs_within, runs_of_groups
 
-#: Hash functions of the embedding (at most 64 fit the estimate's margin of 3.5 standard deviations used here).
+#: Hash functions of the embedding.
 POSITIONS = 64
-#: Sets in a bucket that is compared at once; levels of splitting; sets and shingles in a block of a large bucket.
-BUCKET, LEVELS, BLOCK, BLOCK_SHINGLES = 128, 3, 512, 2_000_000
+#: Sets in a bucket that is compared at once; sets and shingles in a block of a large bucket.
+BUCKET, BLOCK, BLOCK_SHINGLES = 128, 512, 2_000_000
+#: A split helps a bucket if it leaves at most this share of it together; one that isn't helped so often in a row stays.
+HELPS, PATIENCE = 0.75, 3
 _A = mix64(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _B = mix64(_A + np.uint64(7))
 
@@ -52,12 +55,38 @@ def chosen(node: np.ndarray, similarity: float) -> np.ndarray:
     return mask
 
 
-def runs_needed(similarity: float, recall: float, levels: int = LEVELS) -> int:
+def agreements(similarity: float) -> np.ndarray:
+    """The chance that two sets of this similarity agree in 0, 1, ... positions."""
+    k = np.arange(POSITIONS + 1)
+    ways = np.array([math.comb(POSITIONS, int(i)) for i in k], float)
+    return ways * similarity**k * (1 - similarity) ** (POSITIONS - k)
+
+
+def least_agreeing(similarity: float, recall: float) -> int:
+    """Positions in which two sets must agree to be candidates; a pair at ``similarity`` has fewer with a quarter of the allowed loss at most."""
+    return int(np.searchsorted(np.cumsum(agreements(similarity)), (1 - recall) / 4))
+
+
+def missed(similarity: float, levels: int) -> np.ndarray:
+    """The chance that a run's splits part two sets that agree in 0, 1, ... positions before ``levels`` are through.
+
+    The buckets that hold both sets are a branching process: in each, every position is drawn with the share 1 /
+    (similarity * POSITIONS), and one at random if none is.
+    """
+    agree, share = np.arange(POSITIONS + 1) / POSITIONS, 1 / (similarity * POSITIONS)
+    none, out = (1 - share) ** POSITIONS, np.zeros(POSITIONS + 1)
+    for _ in range(levels):
+        out = (1 - share * agree * (1 - out)) ** POSITIONS - none * agree * (1 - out)
+    return out
+
+
+def runs_needed(similarity: float, recall: float, levels: int = 3) -> int:
     """Runs until a pair at ``similarity`` that must be split ``levels`` times is found with probability ``recall``."""
-    share = 1 / (similarity * POSITIONS)
-    none = (1 - share) ** POSITIONS  # then a node has one position all the same
-    apart = (1 - share * similarity) ** POSITIONS - none * similarity
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - (1 - apart) ** levels)))
+    chance, apart_, runs = agreements(similarity), missed(similarity, levels), 1
+    least = least_agreeing(similarity, recall)
+    while (chance[least:] * (1 - apart_[least:] ** runs)).sum() < recall:
+        runs += 1
+    return runs
 
 
 def set_hash(hashes: np.ndarray) -> tuple[int, int]:
@@ -97,7 +126,10 @@ def _child(node: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def _first_level(sets: DataFrame, similarity: float, runs: range) -> DataFrame:
-    """(key, id, component) of each set in the children of each run's root; these sample the same positions for all sets."""
+    """(key, id, component) of each set in the children of each run's root; these sample the same positions for all sets.
+
+    parent is the number of sets in the bucket above, stalled how many splits in a row did not help.
+    """
     roots = mix64(np.array(runs, np.uint64))
     which, at = np.nonzero(chosen(roots, similarity))
 
@@ -108,22 +140,23 @@ def _first_level(sets: DataFrame, similarity: float, runs: range) -> DataFrame:
                 again = [pa.array(np.repeat(batch[k].to_numpy(), len(at))) for k in (0, 2)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *again], ["key", "id", "component"])
 
-    return sets.select("id", "sig", "component").mapInArrow(run, "key long, id long, component long")
+    rows = sets.select("id", "sig", "component").mapInArrow(run, "key long, id long, component long")
+    return rows.withColumns({"parent": F.lit(1 << 62), "stalled": F.lit(0)})
 
 
 def _children(rows: DataFrame, similarity: float) -> DataFrame:
-    """(key, id, component) of each set in each of its node's children; rows: key, id, component, sig."""
+    """(key, id, component, parent, stalled) of each set in each of its node's children; rows: these and sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 node = batch[0].to_numpy().astype(np.uint64)
                 row, at = np.nonzero(chosen(node, similarity))
-                keys = _child(node[row], at, _matrix(batch[3])[row, at].astype(np.uint64))
-                again = [batch[k].take(pa.array(row)) for k in (1, 2)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *again], ["key", "id", "component"])
+                keys = _child(node[row], at, _matrix(batch[5])[row, at].astype(np.uint64))
+                again = [batch[k].take(pa.array(row)) for k in (1, 2, 3, 4)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *again], ["key", "id", "component", "parent", "stalled"])
 
-    return rows.select("key", "id", "component", "sig").mapInArrow(run, "key long, id long, component long")
+    return rows.select("key", "id", "component", "parent", "stalled", "sig").mapInArrow(run, "key long, id long, component long, parent long, stalled int")
 
 
 def in_blocks(rows: DataFrame, blocks: str) -> DataFrame:
@@ -140,8 +173,9 @@ def in_blocks(rows: DataFrame, blocks: str) -> DataFrame:
     return placed.withColumn("side", side).withColumn("unit", unit).drop("_mine", "_other", blocks)
 
 
-def _links_by_estimate(rows: DataFrame, least: float) -> DataFrame:
+def _links_by_estimate(rows: DataFrame, agreeing: int) -> DataFrame:
     """Candidate links between components inside units, as a forest (a, b); rows: unit, side, id, component, n, sig."""
+    least = agreeing / POSITIONS
 
     def compare(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch | None:
         sig = _matrix(rows.column("sig"))
@@ -152,7 +186,7 @@ def _links_by_estimate(rows: DataFrame, least: float) -> DataFrame:
             near &= group[left] != group[right]
             near &= (side[left] != side[right]) | (side[left] == 2)
             left, right = left[near], right[near]
-            alike = (sig[left] == sig[right]).sum(axis=1) >= least * POSITIONS
+            alike = (sig[left] == sig[right]).sum(axis=1) >= agreeing
             found.append(np.stack([left[alike], right[alike]]))
         left, right = np.concatenate(found, axis=1)
         root = local_roots(len(sig), left, right)
@@ -162,50 +196,55 @@ def _links_by_estimate(rows: DataFrame, least: float) -> DataFrame:
     return runs_of_groups(rows, "unit", 20_000, compare, "a long, b long")
 
 
-def _search(sets: DataFrame, similarity: float, runs: range, keep: Scratch) -> DataFrame:
-    """A forest (a, b) over the pairs of sets that these runs bring together and the estimate does not exclude.
+def _search(sets: DataFrame, similarity: float, runs: range, agreeing: int, keep: Scratch) -> tuple[DataFrame, int]:
+    """A forest (a, b) over the pairs of sets that these runs bring together and the estimate does not exclude; and the levels split.
 
     Sets that are in one component already need no link, so buckets of one component are left out.
     """
-    margin = similarity - 3.5 * math.sqrt(similarity * (1 - similarity) / POSITIONS)
-    level, found = _first_level(sets, similarity, runs), []
-    near = sets
-    for depth in range(1, LEVELS + 1):
+    level, found, near = _first_level(sets, similarity, runs), [], sets
+    while True:
         level = keep.stored(level, "paths")
-        size = level.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("size > 1 and lo < hi")
-        shared = keep.stored(level.join(size.select("key", "size"), "key"), "shared-paths")
-        if depth == 1:  # what shares no bucket now shares none below
+        size = level.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("parent").alias("above"), F.max("stalled").alias("stalled"))
+        stalled = F.when(F.col("size") <= HELPS * F.col("above"), 0).otherwise(F.col("stalled") + 1)
+        size = size.where("size > 1 and lo < hi").select(apart(F.col("key")).alias("key"), F.col("size").alias("parent"), stalled.alias("stalled"))
+        # this and the next join by sort and merge whatever the size is, so that plans are the same at every size
+        shared = keep.stored(level.select("key", "id", "component").join(size.hint("merge"), "key"), "shared-paths")
+        if not found:  # what shares no bucket now shares none below
             near = keep.stored(sets.join(shared.select("id").distinct().hint("merge"), "id"), "sharing-sets")
-        large = F.col("size") > BUCKET
-        ready = shared.where(~large) if depth < LEVELS else shared
-        blocks = F.when(large, F.ceil(F.col("size") / BLOCK)).otherwise(1)
-        placed = in_blocks(ready.select("key", "id", "component", blocks.alias("blocks")), "blocks")
-        found.append(keep.stored(_links_by_estimate(placed.join(near.select("id", "n", "sig"), "id"), margin).distinct(), "candidates"))
-        deeper = shared.where(large)
-        if depth == LEVELS or deeper.isEmpty():
+        large = F.col("parent") > BUCKET
+        again = large & (F.col("stalled") < PATIENCE)
+        blocks = F.when(large, F.ceil(F.col("parent") / BLOCK)).otherwise(1)
+        placed = in_blocks(shared.where(~again).select("key", "id", "component", blocks.alias("blocks")), "blocks")
+        found.append(keep.stored(_links_by_estimate(placed.join(near.select("id", "n", "sig"), "id"), agreeing).distinct(), "candidates"))
+        deeper = shared.where(again)
+        if deeper.isEmpty():
             break
-        level = _children(deeper.hint("merge").join(near.select("id", "sig"), "id"), similarity)
+        level = _children(deeper.join(near.select("id", "sig").hint("merge"), "id"), similarity)
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
-    return out
+    return out, len(found)
 
 
-def candidates(sets: DataFrame, similarity: float, recall: float) -> DataFrame:
+def candidates(sets: DataFrame, similarity: float, recall: float, keep: Scratch) -> DataFrame:
     """(id, component): groups of sets that hold every candidate pair, but for a chance of 1 - ``recall`` at the threshold.
 
-    The first runs find most groups; the others only look for what joins two of these.
+    The first runs find most groups; the others only look for what joins two of these. How many there must be follows
+    from the levels that were needed.
     """
-    runs, keep = runs_needed(similarity, recall), Scratch(sets.sparkSession)
-    groups = components(_search(sets.withColumn("component", F.col("id")), similarity, range(1, min(2, runs) + 1), keep))
-    keep.clear()
-    if runs <= 2:
-        return groups
-    known = keep.stored(sets.join(groups.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")), "grouped-sets")
-    rest = _search(known, similarity, range(3, runs + 1), keep)
-    out = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest))
-    keep.clear()
-    return out
+    agreeing, known, edges, deepest, done = least_agreeing(similarity, recall), sets.withColumn("component", F.col("id")), None, 1, 0
+    last = min(2, runs_needed(similarity, recall, 1))
+    while True:
+        own = Scratch(sets.sparkSession)
+        found, levels = _search(known, similarity, range(done + 1, last + 1), agreeing, own)
+        groups = components(found if edges is None else edges.unionByName(found), keep)
+        own.clear()
+        deepest, done = max(deepest, levels), last
+        last = runs_needed(similarity, recall, deepest)
+        if done >= last:
+            return groups
+        edges = groups.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        known = keep.stored(sets.join(groups.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")), "grouped-sets")
 
 
 def shared_counts(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
@@ -269,46 +308,54 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, re
     ones) and rows without id link with nothing. Rows that share an id are documents of their own. An empty table gives
     no rows; further columns are ignored.
     """
-    return near_duplicate_rows(docs, similarity, width, recall).drop("mark")
+    return near_duplicate_rows(docs, similarity, width, recall).drop("mark", "set_class")
 
 
 def near_duplicate_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.999) -> DataFrame:
-    """``near_duplicates`` with mark, the ``text_mark`` of each row's text; the nodes of the search are the sets' hashes."""
-    seen = stored(signatures(docs, width), "signatures")
+    """``near_duplicates`` with mark, the ``text_mark`` of each row's text, and set_class, which names the class where rows share ids.
+
+    The nodes of the search are distinct sets.
+    """
+    keep = Scratch(docs.sparkSession)
+    seen = keep.stored(signatures(docs, width), "signatures")
     linkable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     first = F.min(F.struct("doc_id", "mark")).alias("first")  # a row that has the set's text
     sets = seen.where(linkable).groupBy("h1", "h2", "n").agg(first, F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
-    sets = stored(sets.select(F.col("h1").alias("id"), "h2", "n", F.col("first.doc_id").alias("doc"), F.col("first.mark").alias("mark"), "copies", "sig"), "sets")
-    groups = candidates(sets.select("id", "n", "sig"), similarity, recall)
-    sizes = stored(groups.join(sets.select("id", "doc", "mark", "n", "copies"), "id"), "groups")
+    sets = keep.stored(sets.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "n", F.col("first.doc_id").alias("doc"), F.col("first.mark").alias("mark"), "copies", "sig"), "sets")
+    groups = candidates(sets.select("id", "n", "sig"), similarity, recall, keep)
+    sizes = keep.stored(groups.join(sets.select("id", "h1", "doc", "mark", "n", "copies"), "id"), "groups")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
-    placed = sizes.join(sizes.groupBy("component").agg(blocks.alias("blocks")), "component")
+    placed = sizes.join(sizes.groupBy("component").agg(blocks.alias("blocks")).select(apart(F.col("component")).alias("component"), "blocks"), "component")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), width) for t in batch[4]]
-            right = pa.array([set_hash(s)[0] == h for s, h in zip(sets, batch[2].to_pylist())], pa.bool_())
+            sets = [shingles(t.as_py(), width) for t in batch[5]]
+            right = pa.array([set_hash(s)[0] == h for s, h in zip(sets, batch[4].to_pylist())], pa.bool_())
             columns = [*batch.columns[:4], pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "blocks", "id", "copies", "hashes"]).filter(right)
 
-    # here and in the search by sort and merge whatever the number of groups is, so that plans are the same at every size
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), text_mark().alias("mark"), "text").join(placed.hint("merge"), ["doc", "mark"])
-    columns = texts.select(F.col("component").alias("key"), "blocks", "id", "copies", "text")
+    # texts that are in no group stay where they are
+    place = F.xxhash64("doc", "mark")
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), text_mark().alias("mark"), "text")
+    texts = Sieve(sizes, place, sizes.count()).passed(rows, place).join(placed.hint("merge"), ["doc", "mark"])
+    columns = texts.select(F.col("component").alias("key"), "blocks", "id", "copies", "h1", "text")
     whole = columns.mapInArrow(hashes, "key long, blocks long, id long, copies long, hashes binary")
-    links = stored(_exact_links(in_blocks(whole, "blocks"), similarity), "links")
-    classes = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    links = keep.stored(_exact_links(in_blocks(whole, "blocks"), similarity), "links")
+    classes = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")), keep)
     counted = links.groupBy("id").agg(F.sum("links").alias("links"))
     members = classes.join(sets.select("id", "doc").hint("merge"), "id")
-    smallest = members.groupBy("component").agg(F.min("doc").alias("class"))
-    named = members.join(smallest.hint("merge"), "component").select("id", "class")
-    known = sets.select("id", "h2", "n", "doc", "copies").join(named, "id", "left").join(counted, "id", "left").withColumnRenamed("id", "h1")
+    smallest = members.groupBy("component").agg(F.min("doc").alias("class")).select(apart(F.col("component")).alias("component"), "class")
+    named = members.join(smallest.hint("merge"), "component").select("id", "component", "class")
+    known = sets.select("id", "h1", "h2", "n", "doc", "copies").join(named, "id", "left").join(counted, "id", "left").withColumn("set_class", F.coalesce("component", "id")).drop("id", "component")
     out = seen.drop("sig").join(known, ["h1", "h2", "n"], "left")
     alone = ~F.coalesce(linkable, F.lit(False)) | F.col("doc").isNull()
-    return out.select(
+    found = out.select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.coalesce("class", "doc")).alias("class_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("doc")).alias("copy_id"),
         F.when(alone, F.lit(0)).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
         F.col("n").cast("long").alias("n_shingles"),
         "mark",
+        "set_class",
     )
+    return keep.result(found, "near-duplicates")

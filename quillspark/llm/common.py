@@ -24,47 +24,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's ``spark.checkpoint.dir``, or a temporary one if unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
+    """The folder all machines share: ``spark.checkpoint.dir``, or on one machine alone a temporary one if unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         own = tempfile.mkdtemp(prefix="quillspark-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{own}")
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that later steps survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_ROOTS: set[str] = set()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is still there when the application ends is deleted then."""
+    root = f"{shared_dir(spark)}/quillspark-{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(_forget, spark, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again (smaller than a checkpoint for wide rows)."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _forget(spark: SparkSession, root: str) -> None:
+    try:
+        remove(spark, root)
+    except Exception:  # noqa: BLE001  (the JVM may be gone already)
+        pass
 
 
 class Scratch:
-    """Tables kept while a search goes on, and deleted at its end; what leaves it must not read them any more."""
+    """Tables kept while an operator works, and deleted at its end; what leaves it must not read them any more."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def stored(self, df: DataFrame, name: str) -> DataFrame:
+    def path(self, name: str) -> str:
         self.paths.append(scratch(self.spark, name))
-        df.write.parquet(self.paths[-1])
-        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+        return self.paths[-1]
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written as Parquet in the shared folder and read again, so that later steps survive lost executors."""
+        path = self.path(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` stored beyond this scratch, all of whose own tables are deleted."""
+        path = scratch(self.spark, name)
+        df.write.parquet(path)
+        self.clear()
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:
         for path in self.paths:
@@ -78,6 +90,56 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or that with underscores behind it where a column has it already."""
+    while name.lower() in (c.lower() for c in columns):
+        name += "_"
+    return name
+
+
+def apart(key: Column) -> Column:
+    """A long key that the planner takes for a new one.
+
+    A join with an aggregate by that key then gets exchanges of its own, whose large partitions adaptive execution can
+    split; else it would share the aggregate's, which it can't.
+    """
+    return F.bitwise_not(F.bitwise_not(key))
+
+
+#: Bits of a sieve, at most: a table of 32 MB.
+SIEVE_BITS = 1 << 28
+
+
+class Sieve:
+    """A filter that says of a hash that it may be a member's, or surely is none.
+
+    It is a bitmap in rows of 4 KB, broadcast, with about 64 bits for a member but never more than ``SIEVE_BITS``: with
+    more members more rows pass that needn't, so the join behind it works alike at every size.
+    """
+
+    def __init__(self, members: DataFrame, key: Column, count: int):
+        self.bits = min(SIEVE_BITS, max(1 << 15, 1 << (64 * count).bit_length()))
+        at = members.select(F.pmod(key, F.lit(self.bits)).alias("at"))
+        self.table = at.groupBy(F.expr("at div 32768").alias("_part")).agg(F.bitmap_construct_agg(F.expr("at % 32768")).alias("_map"))
+
+    def passed(self, rows: DataFrame, key: Column) -> DataFrame:
+        """The rows that may be members."""
+        return self._met(rows, key).where(F.coalesce(self._bit(), F.lit(0)) == 1).drop("_at", "_part", "_map")
+
+    def refused(self, rows: DataFrame, key: Column) -> DataFrame:
+        """The rows that surely are none."""
+        return self._met(rows, key).where(F.coalesce(self._bit(), F.lit(0)) == 0).drop("_at", "_part", "_map")
+
+    def _met(self, rows: DataFrame, key: Column) -> DataFrame:
+        placed = rows.withColumn("_at", F.pmod(key, F.lit(self.bits)))
+        return placed.join(F.broadcast(self.table), F.expr("_at div 32768") == F.col("_part"), "left")
+
+    @staticmethod
+    def _bit() -> Column:
+        byte = F.expr("cast(conv(hex(substring(_map, cast(_at % 32768 div 8 as int) + 1, 1)), 16, 10) as int)")
+        return F.getbit(byte, F.expr("cast(_at % 8 as int)"))
+
+
 def fold_crc(doc_id: Column) -> Column:
     """crc32 of the id's decimal text, as the folds use it."""
     return F.crc32(doc_id.cast("string").cast("binary"))

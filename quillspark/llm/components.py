@@ -6,21 +6,21 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import durable
+from quillspark.llm.common import Scratch, apart
 
 
 def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour, or to the node if that is smaller."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return both.where("b > a").join(least.select(apart(F.col("a")).alias("a"), "m"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    across = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    across = down.join(least.select(apart(F.col("a")).alias("a"), "m"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return across.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -30,17 +30,22 @@ def _is_settled(edges: DataFrame) -> bool:
     return ends.groupBy("a").agg(F.sum("links").alias("links"), F.max("root").alias("root")).where("links > 1 or (links > 0 and root > 0)").isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep: Scratch) -> DataFrame:
     """(id, component) for each node of the edges (a, b); a component is named by its smallest node.
 
-    Each round is kept in the shared checkpoint folder. Hot nodes are met by partial minima and joins that AQE can
-    split. Self links count for nothing.
+    Each round is a table in the shared folder, deleted when the next is there; the last is left to ``keep``. Hot nodes
+    are met by partial minima and by joins that AQE can split. Self links count for nothing.
     """
-    edges = edges.select("a", "b").where("a <> b").distinct()
+    edges, before = edges.select("a", "b").where("a <> b").distinct(), None
     while True:
-        edges = durable(_small(_large(edges)))
+        own = Scratch(edges.sparkSession)
+        edges = own.stored(_small(_large(edges)), "edges")
+        if before is not None:
+            before.clear()
+        before = own
         if _is_settled(edges):
             break
+    keep.paths += own.paths
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 

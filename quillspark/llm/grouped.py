@@ -44,8 +44,7 @@ def runs_of_groups(df: DataFrame, key: str, most_rows: int, fn: Callable[[pa.Tab
         if held:
             yield from emit(True)
 
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
 def pairs_within(starts: np.ndarray, end: int, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -1,10 +1,12 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
-Each tree splits the unit vectors again and again along random directions, at the median of a bounded sample in the
-node; vectors close to a split go to both sides. How close, and how many trees, follows from the depth and the recall
-asked for, whatever the vectors are (see ``plan``). Every vector is led down every tree. Inside a leaf all pairs are
-compared in double precision, large leaves in blocks; a pair that meets in several leaves counts in the first alone.
-Vectors that are equal are one from the start.
+Each tree splits the unit vectors again and again along random directions, at the median of the vectors in the node;
+vectors close to a split go to both sides. How close, and how many trees, follows from the depth and the recall asked
+for, whatever the vectors are (see ``plan``). The first levels are fitted on a bounded sample and every vector is led
+down them as it is read; leaves that are still large are split further on the executors, level by level, at medians of
+all their vectors. So neither the driver nor a broadcast grows with the table. Inside a leaf all pairs are compared in
+double precision, large leaves in blocks; a pair that meets in several leaves counts in the first alone. Vectors that
+are equal are one from the start.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.chosen_path import in_blocks
-from quillspark.llm.common import mix64, stored
+from quillspark.llm.common import Scratch, apart, mix64
 from quillspark.llm.components import components, local_roots
 from quillspark.llm.grouped import runs_of_groups
 
 #: Vectors in a leaf aimed at, and in a block of a leaf that is larger all the same.
-LEAF, BLOCK = 256, 768
+LEAF, BLOCK = 256, 2048
+#: Sampled vectors that a node of the fitted levels has at least.
+FITTED = 64
 #: A node where more than this share of its vectors would go to both sides isn't split.
 SHARED = 0.5
 #: More than the error of a cosine in single precision.
@@ -89,6 +93,30 @@ def leaves(tree: Tree, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, node
 
 
+def further_levels(inside: DataFrame, levels: int, overlap: float, leaf: int, keep: Scratch) -> DataFrame:
+    """(key, id) of rows (key, id, places) in the leaves that ``levels`` more splits make of leaves beyond twice ``leaf``.
+
+    places: the vector's place along the direction of each further level of the leaf's tree. A leaf is cut at the median
+    of all its rows; what is within ``overlap`` of the cut goes to both sides; a leaf that is mostly there stays.
+    """
+    level, done = inside, []
+    for k in range(levels):
+        place = F.col("places")[k].cast("double")
+        quarters = F.percentile_approx(place, [0.25, 0.5, 0.75], 500)
+        sizes = level.groupBy("key").agg(F.count(F.lit(1)).alias("size"), quarters.alias("q"))
+        wide = (F.col("q")[2] - F.col("q")[1] > overlap) | (F.col("q")[1] - F.col("q")[0] > overlap)
+        cut = sizes.select(apart(F.col("key")).alias("key"), F.when((F.col("size") > 2 * leaf) & wide, F.col("q")[1]).alias("cut"))
+        step = keep.stored(level.join(cut, "key"), "split-leaves")
+        done.append(step.where("cut is null").select("key", "id"))
+        low, high = F.when(place < F.col("cut") + overlap, 0), F.when(place >= F.col("cut") - overlap, 1)
+        sides = step.where("cut is not null").select("key", "id", "places", F.explode(F.array_compact(F.array(low, high))).alias("side"))
+        level = sides.select(F.xxhash64("key", "side").alias("key"), "id", "places")
+    out = level.select("key", "id")
+    for part in done:
+        out = out.unionByName(part)
+    return out
+
+
 def unit_rows(flat: pa.ListArray, width: int) -> np.ndarray:
     values = np.asarray(flat.flatten(), np.float64).reshape(-1, width)
     return values / np.sqrt((values * values).sum(axis=1, keepdims=True))
@@ -126,22 +154,25 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.
     columns are ignored. The trees are fitted on at most ``sample`` vectors, the first by a hash; every vector is led down
     all of them.
     """
-    spark = vectors.sparkSession
+    spark, keep = vectors.sparkSession, Scratch(vectors.sparkSession)
     part = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"  # compared as doubles, moved as they are
     columns = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast(f"array<{part}>"))
     marks = [F.xxhash64(F.lit(k), "label", "embedding").alias(f"h{k}") for k in (1, 2)]
     rows = columns.where(_comparable()).select("*", *marks)
     first = F.first(F.struct("label", "embedding")).alias("v")
-    distinct = stored(rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), first).select("h1", "h2", "id", "copies", "v.*", F.size("v.embedding").alias("width")), "vectors")
+    grouped = rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"), first)
+    distinct = keep.stored(grouped.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "vec_id", "copies", "v.*", F.size("v.embedding").alias("width")), "vectors")
     most = distinct.groupBy("label", "width").count().agg(F.max("count")).first()[0] or 0
     depth = max(0, math.ceil(math.log2(max(most, 1) / leaf)))
+    fitted = min(depth, max(0, int(math.log2(max(sample, 1) / FITTED))))
+    further = depth - fitted
     trees, overlap = plan(threshold, depth, recall)
     picked = distinct.orderBy("h1", "h2").limit(sample).select("width", "embedding").toPandas()
     forests: dict[int, list[Tree]] = {}
     for width, group in picked.groupby("width"):
         x = np.array(group.embedding.tolist(), float)
         x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-        forests[int(width)] = [grow(x, depth, seed, overlap) for seed in range(trees)]
+        forests[int(width)] = [grow(x, fitted, seed, overlap) for seed in range(trees)]
     shared = spark.sparkContext.broadcast(forests)
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,23 +182,35 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.
                 own = np.flatnonzero(widths == width)
                 chosen = batch.take(pa.array(own))
                 unit = unit_rows(chosen[3], int(width))
-                forest = shared.value.get(int(width)) or [grow(unit, 0, k, overlap) for k in range(1)]
-                row, key = [], []
+                forest = shared.value.get(int(width)) or [grow(unit[:0], 0, 0, overlap)]
+                row, key, tree = [], [], []
                 with np.errstate(over="ignore"):
-                    for k, tree in enumerate(forest):
-                        r, node = leaves(tree, unit)
+                    for k, t in enumerate(forest):
+                        r, node = leaves(t, unit)
                         row.append(r)
+                        tree.append(np.full(len(r), k, np.int32))
                         key.append(mix64(mix64(labels[own][r].astype(np.uint64) + np.uint64(k)) ^ (node.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(width))).astype(np.int64))
-                row, key = np.concatenate(row), np.concatenate(key)
+                row, key, tree = np.concatenate(row), np.concatenate(key), np.concatenate(tree)
                 order = np.lexsort((key, row))
-                row, key = row[order], key[order]
-                keys = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(own) + 1)), pa.int32()), pa.array(key))
-                yield pa.RecordBatch.from_arrays([chosen[0], chosen[1], chosen[3], keys], ["id", "copies", "embedding", "keys"])
+                row, key, tree = row[order], key[order], tree[order]
+                ends = pa.array(np.searchsorted(row, np.arange(len(own) + 1)), pa.int32())
+                # directions of the further levels come from numbers alone, so they need no fit; one tree's stand together
+                more = np.random.default_rng([7919, int(width)]).standard_normal((trees * further, int(width)))
+                places = (unit @ more.T).astype(np.float32)
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (key, tree)]
+                along = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * trees * further, pa.int32()), pa.array(places.ravel()))
+                yield pa.RecordBatch.from_arrays([chosen[0], chosen[1], chosen[3], *lists, along], ["id", "copies", "embedding", "keys", "trees", "places"])
 
-    led = distinct.select(F.col("h1").alias("id"), "copies", F.xxhash64("label").alias("label"), "embedding", "width").mapInArrow(lead, f"id long, copies long, embedding array<{part}>, keys array<long>")
-    placed = stored(led, "leaves")
+    led = distinct.select("id", "copies", F.xxhash64("label").alias("label"), "embedding", "width").mapInArrow(lead, f"id long, copies long, embedding array<{part}>, keys array<long>, trees array<int>, places array<float>")
+    placed = keep.stored(led, "leaves")
+    if further:
+        each = placed.select("id", F.explode(F.arrays_zip("keys", "trees")).alias("at"), "places")
+        one = F.slice("places", F.col("at.trees") * further + 1, F.lit(further))
+        inside = further_levels(each.select(F.col("at.keys").alias("key"), "id", one.alias("places")), further, overlap, leaf, keep)
+        keys = inside.groupBy("id").agg(F.collect_list("key").alias("keys"))  # as many as a vector has leaves
+        placed = keep.stored(placed.select("id", "copies", "embedding").join(keys, "id"), "further-leaves")
     inside = placed.select(F.explode("keys").alias("key"), "id")
-    size = inside.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / BLOCK).alias("blocks"))
+    size = inside.groupBy("key").count().where("count > 1").select(apart(F.col("key")).alias("key"), F.ceil(F.col("count") / BLOCK).alias("blocks"))
     units = in_blocks(inside.join(size, "key"), "blocks").join(placed, "id")
 
     def compare(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch | None:
@@ -200,13 +243,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.
             return None
         return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], ["id", "root", "links"])
 
-    found = stored(runs_of_groups(units.select("unit", "key", "side", "id", "copies", "embedding", "keys"), "unit", 1_000, compare, "id long, root long, links long"), "vector-links")
-    classes = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    found = keep.stored(runs_of_groups(units.select("unit", "key", "side", "id", "copies", "embedding", "keys"), "unit", 1_000, compare, "id long, root long, links long"), "vector-links")
+    classes = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), keep)
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
-    known = distinct.join(classes.withColumnRenamed("id", "h1"), "h1", "left").join(counted.withColumnRenamed("id", "h1"), "h1", "left")
-    known = known.select("h1", "h2", "id", "copies", "links", F.coalesce("component", "h1").alias("component"))
-    known = known.join(known.groupBy("component").agg(F.min("id").alias("component_id")), "component")
-    able = rows.select("vec_id", "h1", "h2").join(known, ["h1", "h2"]).select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    known = distinct.select("id", "h1", "h2", "vec_id", "copies").join(classes, "id", "left").join(counted, "id", "left")
+    known = known.select("h1", "h2", "vec_id", "copies", "links", F.coalesce("component", "id").alias("component"))
+    smallest = known.groupBy("component").agg(F.min("vec_id").alias("component_id")).select(apart(F.col("component")).alias("component"), "component_id")
+    named = known.join(smallest, "component").drop("vec_id")
+    able = rows.select("vec_id", "h1", "h2").join(named, ["h1", "h2"]).select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     alone = columns.where(~_comparable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     both = able.unionByName(alone)
-    return both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    out = keep.result(both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))), "near-vectors")
+    shared.destroy()
+    return out

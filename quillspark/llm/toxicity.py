@@ -19,6 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillspark.llm.common import Scratch
 
 _WORDS = re.compile(r"[^\W_]+")
 #: Documents counted before a task passes its counts on; words remembered while scoring.
@@ -140,24 +143,26 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column, sample: int) -> DataFrame:
     """(text, y) of at most ``sample`` labelled rows, the first by a hash of their id; each distinct text once.
 
-    Rows without id, label or text teach nothing. The ids are few by that bound and go to all executors.
+    Rows without id, label or text teach nothing. The ids are few by that bound and go to all executors. Of several
+    texts under one id the least by hash stands for it, so rows are bounded too; of several labels of one text or id the
+    largest counts.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & usable)
-        .select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y"))
-        .orderBy(F.xxhash64("_id"), "_id", "y")
+        .groupBy(F.col("doc_id").alias("_id"))
+        .agg(F.max(F.col(label).cast("int")).alias("y"))
+        .orderBy(F.xxhash64("_id"), "_id")
         .limit(sample)
     )
     rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("_id"), "text")
-    joined = rows.join(F.broadcast(chosen), "_id")
-    return joined.groupBy(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2")).agg(F.first("text").alias("text"), F.max("y").alias("y")).select("text", "y")
+    one = rows.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))
+    return one.groupBy(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2")).agg(F.first("text").alias("text"), F.max("y").alias("y")).select("text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 12_000, prior: float = 0.1, least_docs: int = 3, least_z: float = 3.0, least_odds: float = 1.5, drift: float = 0.05) -> ToxicModel:
     """Learn a model from at most ``sample`` labelled rows with ``usable``. Without toxic labels all scores are near 0."""
-    from quillspark.llm.common import stored
-
-    rows = stored(training_rows(docs, labels, "toxic", usable, sample), "toxic-sample")
+    keep = Scratch(docs.sparkSession)
+    rows = keep.stored(training_rows(docs, labels, "toxic", usable, sample), "toxic-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: list[Counter] = [Counter(), Counter()]
@@ -178,10 +183,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 12_000
                     yield flush()
         yield flush()
 
-    summed = stored(rows.mapInArrow(count, "form string, clean long, toxic long").groupBy("form").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxic-forms")
+    summed = keep.stored(rows.mapInArrow(count, "form string, clean long, toxic long").groupBy("form").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxic-forms")
     n_clean, n_toxic = (float(x or 0) for x in summed.agg(F.sum("clean"), F.sum("toxic")).first())
     model = ToxicModel(drift=drift)
     if not n_toxic:
+        keep.clear()
         return model
     table = summed.where((F.col("toxic") >= least_docs) & (F.col("toxic") * (n_clean + 1) > F.col("clean") * n_toxic)).toPandas()
     toxic, clean = table.toxic.to_numpy(float), table.clean.to_numpy(float)
@@ -198,29 +204,31 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 12_000
 
     seen = rows.mapInArrow(evidence, "best double, total double, y int").toPandas()
     model.curve = tuple(logistic(seen[["best", "total"]].to_numpy(), (seen.y > 0).to_numpy(float)).tolist())
+    keep.clear()
     return model
 
 
 def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
     """Add score, predicted and the significant passages (word ranges with -ln E) to each row of ``docs``.
 
-    ``keep`` names the columns that stay (doc_id unless given). Whole texts are scanned; null and empty texts have no
+    ``keep`` names the columns that stay (doc_id unless given), except those named like a result. Whole texts are scanned; null and empty texts have no
     passages and the score of a text without evidence. Null ids and repeated rows are scored like any others; an
     empty table gives an empty result.
     """
-    keep = keep or ["doc_id"]
+    keep = [c for c in keep or ["doc_id"] if c not in ("score", "predicted", "passages")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema[:-1]) + ", score double, predicted int, passages array<struct<first:int,end:int,bits:double>>"
+    columns = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias("_text"))
+    at = keep.index("text") if "text" in keep else len(keep)
+    found_type = T.StructType.fromDDL("score double, predicted int, passages array<struct<first:int,end:int,bits:double>>")
     kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("bits", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            found = [model.segments(t.as_py())[1] for t in batch[len(keep)]]
+            found = [model.segments(t.as_py())[1] for t in batch[at]]
             scores = [model.score(s) for s in found]
             passages = pa.array([[{"first": f, "end": e, "bits": b} for f, e, b in s if b > 0] for s in found], kind)
             predicted = pa.array([int(s >= threshold) for s in scores], pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64()), predicted, passages], [*keep, "score", "predicted", "passages"])
 
-    return columns.mapInArrow(run, schema)
+    return columns.mapInArrow(run, T.StructType([*columns.schema[: len(keep)], *found_type]))

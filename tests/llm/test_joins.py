@@ -7,9 +7,10 @@ from collections import defaultdict
 
 import numpy as np
 from conftest import DATA
+from pyspark.sql import functions as F
 
 from quillspark.llm import chosen_path, projection_forest
-from quillspark.llm.common import shingles, words_of
+from quillspark.llm.common import Scratch, Sieve, shingles, words_of
 from quillspark.llm.components import components
 
 
@@ -101,13 +102,90 @@ def test_runs_reach_the_recall():
     assert chosen_path.runs_needed(0.8, 0.999) > chosen_path.runs_needed(0.8, 0.9) >= 1
 
 
+def test_runs_follow_the_depth():
+    """The chance to find a pair, by a plain simulation of the splits, is what the number of runs is reckoned from."""
+    rng, similarity, levels = np.random.default_rng(3), 0.8, 4
+    share, met = 1 / (similarity * chosen_path.POSITIONS), 0
+    for _ in range(4000):
+        agree = rng.random(chosen_path.POSITIONS) < similarity
+        buckets = 1
+        for _ in range(levels):
+            below = 0
+            for _ in range(buckets):
+                drawn = np.flatnonzero(rng.random(chosen_path.POSITIONS) < share)
+                below += agree[drawn if len(drawn) else [rng.integers(chosen_path.POSITIONS)]].sum()
+            buckets = int(below)
+        met += buckets > 0
+    expected = (chosen_path.agreements(similarity) * (1 - chosen_path.missed(similarity, levels))).sum()
+    assert abs(met / 4000 - expected) < 0.03
+    needed = [chosen_path.runs_needed(0.8, 0.999, k) for k in (1, 3, 6, 12)]
+    assert needed == sorted(needed) and needed[0] < needed[-1]
+
+
+def test_ngram_join_splits_boilerplate(spark, monkeypatch):
+    """Texts that share half of their words stand in large buckets until they are split deep enough."""
+    monkeypatch.setattr(chosen_path, "BUCKET", 4)
+    depths, search = [], chosen_path._search
+
+    def watched(*args):
+        out = search(*args)
+        depths.append(out[1])
+        return out
+
+    monkeypatch.setattr(chosen_path, "_search", watched)
+    random.seed(8)
+    shared = [f"s{k}" for k in range(60)]
+    docs = []
+    for k in range(120):
+        words = [*shared, *(f"w{random.randrange(10**6)}" for _ in range(60))]
+        docs.append((2 * k, " ".join(words)))
+        if k % 10 == 0:
+            words[90] = "changed"
+            docs.append((2 * k + 1, " ".join(words)))
+    check(chosen_path.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs, jaccard_links(docs))
+    assert max(depths) > 3
+
+
+def test_recall_by_similarity(spark):
+    """Every pair of a corpus with boilerplate, by bands of similarity from the threshold on."""
+    random.seed(12)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    boiler = [[random.choice(vocabulary) for _ in range(40)] for _ in range(5)]
+    docs, bands = [], defaultdict(list)
+    for k in range(1200):
+        words = [*random.choice(boiler), *(random.choice(vocabulary) for _ in range(100))]
+        docs.append((2 * k, " ".join(words)))
+        near = list(words)
+        for _ in range(random.randint(1, 4)):
+            near[random.randrange(len(near))] = "other"
+        docs.append((2 * k + 1, " ".join(near)))
+    sets = {d: set(shingles(t).tolist()) for d, t in docs}
+    found = {r.doc_id: r.class_id for r in chosen_path.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for k in range(1200):
+        a, b = sets[2 * k], sets[2 * k + 1]
+        j = len(a & b) / len(a | b)
+        if j >= 0.8:
+            bands[min(int((j - 0.8) * 20), 2)].append(found[2 * k] == found[2 * k + 1])
+    assert all(len(band) >= 100 and np.mean(band) >= 0.995 for band in bands.values()) and len(bands) == 3
+
+
+def test_sieve_lets_members_pass(spark):
+    rows = spark.range(20_000).withColumn("key", F.xxhash64("id"))
+    members = rows.where("id % 10 = 0")
+    sieve = Sieve(members, F.col("key"), 2000)
+    passed, refused = ({r.id for r in f(rows, F.col("key")).collect()} for f in (sieve.passed, sieve.refused))
+    assert {k for k in range(20_000) if k % 10 == 0} <= passed and len(passed) < 2600
+    assert passed.isdisjoint(refused) and len(passed) + len(refused) == 20_000
+    assert Sieve(members.limit(0), F.col("key"), 0).passed(rows, F.col("key")).count() == 0
+
+
 def test_components(spark):
     random.seed(1)
     edges = [(random.randint(0, 300), random.randint(0, 300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1060)]
-    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
     nodes = {x for e in edges if e[0] != e[1] for x in e}
     assert got == roots(nodes, [e for e in edges if e[0] != e[1]])
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
 
 
 def vectors(n=1500, width=16, seed=2):
@@ -169,6 +247,20 @@ def test_vectors_lose_no_link_in_deep_trees(spark):
     assert {r.vec_id: r.component_id for r in found} == roots([r[0] for r in rows], links)
 
 
+def test_vectors_beyond_the_fitted_levels(spark):
+    """A small sample fits few levels; the others are split on the executors, and no link gets lost."""
+    rows = vectors(n=1990, seed=4)
+    links, count = vector_links(rows), defaultdict(int)
+    for a, b in links:
+        count[a] += 1
+        count[b] += 1
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    found = {r.vec_id: r for r in projection_forest.near_vectors(df, sample=128, leaf=16).collect()}
+    assert {i: r.n_links for i, r in found.items()} == {r[0]: count[r[0]] for r in rows}
+    want = roots([r[0] for r in rows if r[0] is not None], links)
+    assert all(found[i].component_id == c for i, c in want.items())
+
+
 def test_vectors_edges(spark):
     schema = "vec_id long, label int, embedding array<float>"
     assert projection_forest.near_vectors(spark.createDataFrame([], schema)).count() == 0
