@@ -2,6 +2,7 @@
 
 The join is cut by time, so that a URL with a large share of all captures is worked on in many places: inside a block
 of time a window finds the latest response, and what earlier blocks hold for a URL, one row each, is carried forward.
+Blocks are equal spans of time, so a capture's block is computed from its time alone.
 Bodies stay where they are; a resolved revisit names the response that holds its body.
 """
 
@@ -10,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import Scratch
+
 #: Header fields that a 304 response may renew (RFC 9110, 15.4.5; fixed values).
 RENEWED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
-#: Captures in a block of time.
+#: Captures in a block of time, on the average.
 BLOCK_ROWS = 100_000
 
 
@@ -62,12 +65,13 @@ def resolve_revisits(records: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFr
     rows = records.where(F.col("kind").isin("response", "revisit")).select(
         "record_id", canonical_url(F.col("url")).alias("url_key"), "ts", "kind", "etag", "last_modified", "digest", F.coalesce(lowered(F.col("headers")), empty).alias("headers")
     )
+    keep = Scratch(records.sparkSession)
+    rows = keep.stored(rows, "captures")
+    span = rows.agg(F.count(F.lit(1)).alias("n"), F.min("ts").cast("double").alias("low"), F.max("ts").cast("double").alias("high")).first()
+    count = max(1, -(-span.n // block_rows))
+    width = ((span.high or 0.0) - (span.low or 0.0)) / count
+    block = F.coalesce(F.floor((F.col("ts").cast("double") - F.lit(span.low or 0.0)) / width), F.lit(0)) if count > 1 and width > 0 else F.lit(0)
     responses = rows.where((F.col("kind") == "response") & F.col("url_key").isNotNull() & F.col("ts").isNotNull())
-    count = max(1, -(-rows.count() // block_rows))
-    quantiles = F.percentile_approx("ts", [k / count for k in range(1, count)] or [0.5], 10 * count + 1000)
-    bounds = sorted(set(rows.agg(quantiles.alias("q")).first().q or [])) if count > 1 else []
-    limits = F.array(*map(F.lit, bounds)) if bounds else F.expr("cast(array() as array<bigint>)")
-    block = F.size(F.filter(limits, lambda b: b < F.col("ts")))
     what = F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers")
 
     last = responses.groupBy("url_key", block.alias("block")).agg(F.max_by(what, F.struct("ts", "record_id")).alias("last"))
@@ -91,7 +95,7 @@ def resolve_revisits(records: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFr
         .otherwise("no-validator")
     )
     good = F.col("status") == "resolved"
-    return found.withColumn("status", status).select(
+    out = found.withColumn("status", status).select(
         "record_id",
         "url_key",
         "ts",
@@ -100,6 +104,7 @@ def resolve_revisits(records: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFr
         F.when(good, F.col("found.digest")).alias("digest"),
         F.when(good, merged_headers(F.col("found.headers"), F.col("headers"))).alias("headers"),
     )
+    return keep.result(out, "revisits")
 
 
 def captures(pages: DataFrame) -> DataFrame:
