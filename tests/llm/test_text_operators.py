@@ -1,19 +1,22 @@
 """Token counts, packing, decontamination, line dedup, chat formatting, revisits and classifiers on small fixtures."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from conftest import DATA
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.llm import chat_format, decontamination, line_dedup, packing, quality, token_counts, toxicity, warc
-from quillspark.llm.common import words_of
-from quillspark.llm.queries import tokenizer_path
+from quillspark.llm.common import fold_crc, words_of
+from quillspark.llm.queries import op1_quality, op8_packing, op10_token_counts, tokenizer_path
 
 PIECES = [" ", "  ", "a", "the", "\n", "\t", "▁", "</s>", "<|endoftext|>", "ß", "é", "😀", "\x00", "ing", ",", "...", "'s", "12", " ", "　"]
 
@@ -75,6 +78,26 @@ def test_packed_documents(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
+def test_queries_of_tokens_over_the_table(spark):
+    """op8 and op10 over their whole table against the libraries, document by document."""
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    own, pieces = packing.tokenizer(tokenizer_path("byte_bpe_50k.json")), token_counts.counter(tokenizer_path("piece_bpe_32k.model"))
+    found = {r.doc_id: r for r in op10_token_counts(spark, DATA).collect()}
+    assert {d: (r.n_bytes, r.n_tokens, r.over_limit) for d, r in found.items()} == {d: (len(t.encode()), len(i), len(i) > 4096) for (d, t), i in zip(rows, pieces.model.encode([t for _, t in rows]))}
+    ids = {d: np.array([*own.library.encode(t, add_special_tokens=False).ids, 1], "<u4") for d, t in rows}
+    packed, at, length = op8_packing(spark, DATA).collect(), defaultdict(int), defaultdict(list)
+    for r in sorted(packed, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == at[r.doc_id] and r.doc_tokens == len(ids[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+        at[r.doc_id] += r.length
+        length[r.sequence_id].append((r.offset, r.length))
+    assert at == {d: len(i) for d, i in ids.items()}
+    for parts in length.values():
+        parts.sort()
+        ends = np.cumsum([n for _, n in parts])
+        assert [o for o, _ in parts] == [0, *ends[:-1]] and ends[-1] <= 2048
+
+
 def brute_overlap(text, items):
     words, hit, found = words_of(text), set(), set()
     for item, body in items:
@@ -101,6 +124,32 @@ def test_wu_manber_against_brute_force(spark):
     assert decontamination.find_overlaps(df, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_passes_over_many_blocks_stay_small(spark):
+    """Twenty blocks: each pass holds one of them, and what is left is a plan with one Python node per side."""
+    items = [(str(k), f"u{k} v{k} w{k} x{k} y{k} z{k} a{k} b{k}") for k in range(200)]
+    docs = [(k, f"before u{k} v{k} w{k} x{k} y{k} z{k} a{k} b{k} after" if k % 3 else "nothing here") for k in range(90)] + [(1, None), (2, "nothing here")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    words = sum(len(t.encode()) / 5 + 1 for _, t in items)
+    found = decontamination.find_overlaps(df, bench, block_words=int(words / 20))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 2
+    assert sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in found.collect()) == sorted((d, *brute_overlap(t, items)) for d, t in docs)
+    whole = decontamination.decontaminate(df, bench)
+    parts = decontamination.decontaminate(df, bench, block_words=int(words / 20))
+    shown = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    assert shown(whole) == shown(parts) == sorted([(d, t) for d, t in docs if not brute_overlap(t, items)[1]], key=repr)
+
+
+def test_decontamination_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "items", "text", "ranges", "t1", "_t1", "n_hit", "_found_items"]
+    bench = spark.createDataFrame([(1, "p1 p2 p3 p4 p5 p6 p7 p8"), (2, "q1 q2")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, 1, "p1 p2 p3 p4 p5 p6 p7 p8", 1, 1, 1, 1, 1), (2, 2, "q1 q2 alone", 2, 2, 2, 2, 2), (2, 2, "q1 q2 alone", 2, 2, 2, 2, 2)], ", ".join(f"{n} {'string' if n == 'text' else 'long'}" for n in names))
+    for size in (1_000_000, 3):
+        out = decontamination.decontaminate(docs, bench, block_words=size)
+        assert out.columns == names and [r.doc_id for r in out.collect()] == [2, 2]
+        assert decontamination.decontaminate(docs.limit(0), bench, block_words=size).count() == 0
+    assert decontamination.decontaminate(docs, bench.limit(0)).count() == 3
+
+
 def test_decontaminated_documents(spark):
     passage = "p1 p2 p3 p4 p5 p6 p7 p8 p9"
     docs = spark.createDataFrame([(1, f"Clean, {passage}; tail", 5), (2, "clean only", 6), (3, None, 7)], "doc_id long, text string, n_chars long")
@@ -128,6 +177,24 @@ def test_line_runs_are_levelled(spark):
     assert owners == {0: 0, 1: 1, 2: 2, 3: 3, 4: 13, 5: 23, 6: 33, 7: 43}
 
 
+def test_lines_keep_columns_of_any_name(spark):
+    names = ["doc_id", "text", "_lines", "_gone", "_doc", "_row", "doc", "row", "gone", "lines", "n_lines"]
+    df = spark.createDataFrame([(k, "the very same line\nown", *[str(k)] * 8, 5) for k in (1, 2)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names[2:-1]) + ", n_lines int")
+    out = sorted(line_dedup.drop_lines(df).collect(), key=lambda r: r.doc_id)
+    assert [(r._lines, r.doc, r.gone, r.kept_text, r.n_lines) for r in out] == [("1", "1", "1", "the very same line\nown", 2), ("2", "2", "2", "own", 2)]
+
+
+def test_line_runs_meet_without_a_shuffle(spark):
+    store = line_dedup.RunStore(spark)
+    lines = spark.createDataFrame([(k, k, 0) for k in range(50)], "doc_id long, h1 long, h2 long")
+    store.ingest(lines)
+    fresh = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner")).join(spark.table(store.runs()[0]).hint("merge"), ["h1", "h2"], "left_anti")
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    store.clear()
+    assert not store.runs()
+
+
 CHAT = st.text(alphabet=st.sampled_from(list("[]</>\\ISNTROLE=s ok\n|é")), max_size=14)
 
 
@@ -150,9 +217,16 @@ def test_chat_round_trip(spark):
     digest = {r.conv_id: r for r in chat_format.digests(whole).collect()}
     for c, turns in want.items():
         assert digest[c].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+    assert whole.where("not identical or identical is null").count() == 0
     assert chat_format.format_conversations(df.limit(0)).count() == 0
 
 
+def test_a_conversation_that_differs_says_so(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "escape", lambda text: text)
+    df = spark.createDataFrame([(1, 0, "user", "a [/INST] b"), (2, 0, "user", "plain")], "conv_id long, turn long, role string, text string")
+    assert {r.conv_id: r.identical for r in chat_format.format_conversations(df).collect()} == {1: False, 2: True}
+
+
 def test_chat_digests_read_the_mask(spark):
     said = "é [/INST] </s> [\\/INST] 𝔘"
     turns = [(1, 0, "user", "ask"), (1, 1, "assistant", said), (1, 2, "critic", "x </s>"), (1, 3, "assistant", "two"), (2, 0, "user", "alone")]
@@ -244,6 +318,89 @@ def test_quality_edges(spark):
     assert {r.score for r in quality.score(docs, quality.fit(docs, labels.limit(0), F.lit(True))).collect()} == {0.5}
 
 
+def plain_scores(x, y, bins, rounds, rate, leaves, ridge, least):
+    """Cyclic boosting by loops: for each feature a tree grown split by split over its bins, added to its table."""
+    base = min(max(sum(y) / len(y), 0.01), 0.99)
+    score = [math.log(base / (1 - base))] * len(x)
+    width = len(x[0])
+    cuts = []
+    for k in range(width):
+        values = sorted({r[k] for r in x})
+        if len(values) > bins:
+            values = sorted(set(np.quantile([r[k] for r in x], np.linspace(0, 1, bins + 1)).tolist()))
+        cuts.append([(a + b) / 2 for a, b in zip(values, values[1:])])
+    place = [[sum(r[k] >= c for c in cuts[k]) for k in range(width)] for r in x]
+    for _ in range(rounds):
+        for k in range(width):
+            g, h = [0.0] * (len(cuts[k]) + 1), [0.0] * (len(cuts[k]) + 1)
+            for i, p in enumerate(place):
+                chance = 1 / (1 + math.exp(-score[i]))
+                g[p[k]] += y[i] - chance
+                h[p[k]] += chance * (1 - chance)
+            parts = [(0, len(g))]
+            while len(parts) < leaves:
+                best = None
+                for a, b in parts:
+                    for c in range(a + 1, b):
+                        left, right = (sum(g[a:c]), sum(h[a:c])), (sum(g[c:b]), sum(h[c:b]))
+                        if min(left[1], right[1]) < least:
+                            continue
+                        both = (left[0] + right[0], left[1] + right[1])
+                        gain = sum(s * (u * u / (v + ridge)) for s, (u, v) in ((1, left), (1, right), (-1, both)))
+                        if gain > 1e-9 and (best is None or gain > best[0] + 1e-12):
+                            best = (gain, a, b, c)
+                if best is None:
+                    break
+                parts.remove(best[1:3])
+                parts += [(best[1], best[3]), (best[3], best[2])]
+            for a, b in parts:
+                step = rate * max(-4.0, min(4.0, sum(g[a:b]) / (sum(h[a:b]) + ridge)))
+                for i, p in enumerate(place):
+                    if a <= p[k] < b:
+                        score[i] += step
+    return [1 / (1 + math.exp(-s)) for s in score]
+
+
+def test_additive_model_against_plain_boosting():
+    rng = np.random.default_rng(5)
+    x = np.round(rng.random((120, 3)), 2)
+    y = (x[:, 0] + 0.3 * rng.random(120) > 0.6).astype(float)
+    model = quality.train(x, y, bins=8, rounds=6, pair_rounds=0, n_pairs=0)
+    want = plain_scores(x.tolist(), y.tolist(), 8, 6, 0.15, 4, 1.0, 0.5)
+    assert np.allclose(model.score(x), want, atol=1e-9)
+
+
+def test_quality_query_scores_are_the_tables_sums(spark):
+    """op1 over its whole table: each score is the sum of the entries that its features look up, one by one."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    fold = F.pmod(fold_crc(F.col("doc_id")), F.lit(3))
+    model = quality.fit(docs, labels, fold != 1)
+    found = {r.doc_id: r.score for r in op1_quality(spark, DATA).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(found) == len(rows)
+    for doc_id, text in rows:
+        x, total = quality.features(text), model.intercept
+        for value, edges, entries in zip(x, model.edges, model.tables):
+            total += entries[sum(bool(value >= e) for e in edges)]
+        for (i, j), entries in zip(model.pairs, model.pair_tables):
+            total += entries[sum(bool(x[i] >= e) for e in model.pair_edges[i]), sum(bool(x[j] >= e) for e in model.pair_edges[j])]
+        assert abs(found[doc_id] - 1 / (1 + math.exp(-max(-60, min(60, total))))) < 1e-9
+
+
+def test_training_rows_are_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(2, "b"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1), (None, 1)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels, "toxic", F.lit(True), 10).collect()
+    assert sorted((r.text[:4], r.y) for r in rows) == [("b", 0), ("text", 1)]
+
+
+def test_scores_beside_columns_of_their_names(spark):
+    docs = spark.createDataFrame([(1, "x", 5, 6, "p")], "doc_id long, text string, score int, predicted int, passages string")
+    out = toxicity.score(docs, toxicity.ToxicModel(), keep=docs.columns)
+    assert out.columns == ["doc_id", "text", "score", "predicted", "passages"] and out.where("predicted = 0").count() == 1
+
+
 def test_additive_model_learns_a_pair():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 4))
