@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import stages
-from quillspark.llm.common import scratch, table
+from quillspark.llm.common import remove, scratch, table
 
 STAGES = [
     ("toxicity", stages.drop_toxic),
@@ -20,10 +20,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written as Parquet in the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each is written as Parquet in the shared folder and read again by the next.
+
+    A stage's table is deleted as soon as the next stands; the last is what comes back.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        before = path
     return docs
