@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from dataclasses import dataclass, field
 
@@ -41,6 +42,8 @@ class Outcome:
     segments: list[Segment] = field(default_factory=list)
     artifact_kind: str = "text"
     members: list[tuple[str, bytes]] = field(default_factory=list)
+    media: dict | None = None
+    tool_version: str | None = None
 
 
 def normalize(text: str) -> str:
@@ -109,3 +112,30 @@ def segments_problem(segments: list[Segment], raw: bytes) -> str | None:
             return "segments are out of order"
         before = (s.start, s.end)
     return None
+
+
+def sidecar(segments: list[Segment]) -> bytes:
+    """Segments as JSON lines."""
+    lines = []
+    for s in segments:
+        fields = {"kind": s.kind, "unit": "utf8_bytes", "start": s.start, "end": s.end, "source": s.source, "name": s.name, "hidden": True if s.hidden else None}
+        lines.append(json.dumps({k: v for k, v in fields.items() if v is not None}, ensure_ascii=False, separators=(",", ":")) + "\n")
+    return "".join(lines).encode()
+
+
+def sidecar_problem(data: bytes, raw: bytes) -> str | None:
+    """What is wrong with a sidecar's bytes beside the text they belong to."""
+    segments = []
+    try:
+        for k, line in enumerate(data.decode("utf-8").splitlines(), 1):
+            fields = json.loads(line)
+            if not isinstance(fields, dict) or fields.keys() - {"kind", "unit", "start", "end", "source", "name", "hidden"}:
+                return f"line {k}: not a segment"
+            if fields.get("kind") not in ("span", "page", "sheet", "slide") or fields.get("unit") != "utf8_bytes":
+                return f"line {k}: unknown kind or unit"
+            if not all(type(fields.get(f)) is int for f in ("start", "end")):
+                return f"line {k}: offsets missing"
+            segments.append(Segment(fields["kind"], fields["start"], fields["end"], fields.get("source") or "", fields.get("name"), fields.get("hidden") is True))
+    except ValueError as e:
+        return str(e)
+    return segments_problem(segments, raw)

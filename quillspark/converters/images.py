@@ -5,9 +5,11 @@ from __future__ import annotations
 import struct
 import unicodedata
 import zlib
+from collections.abc import Iterator
 from xml.parsers import expat
 
-from quillspark.converters.base import ConvertError, Outcome, Segment
+from quillspark.converters import hooks
+from quillspark.converters.base import ConvertError, Outcome, Segment, has_meaning, normalize
 from quillspark.plans import formats
 
 Row = tuple[str, str, str, str | None, str]
@@ -243,6 +245,92 @@ def webp_rows(data: bytes) -> list[Row]:
     return out
 
 
+def _boxes(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """(type, start, end) of the boxes between two places."""
+    while start + 8 <= end:
+        size, kind = struct.unpack_from(">I4s", data, start)
+        head = 8
+        if size == 1 and start + 16 <= end:
+            size, head = struct.unpack_from(">Q", data, start + 8)[0], 16
+        size = size or end - start
+        if size < head or start + size > end:
+            raise bad("heic box lies outside")
+        yield kind, start + head, start + size
+        start += size
+
+
+def _items(data: bytes, start: int, end: int) -> dict[int, tuple[bytes, bytes]]:
+    """Type and content type of the items that an item information box lists."""
+    at = start + 4 + (2 if data[start] == 0 else 4)
+    out = {}
+    for kind, a, _b in _boxes(data, at, end):
+        if kind == b"infe" and data[a] >= 2:
+            wide = data[a] > 2
+            number = struct.unpack_from(">I" if wide else ">H", data, a + 4)[0]
+            b = a + 4 + (4 if wide else 2) + 2
+            rest = data[b + 4 : _b].split(b"\0")
+            out[number] = (data[b : b + 4], rest[1] if len(rest) > 1 else b"")
+    return out
+
+
+def _places(data: bytes, start: int) -> dict[int, tuple[int, list[tuple[int, int]]]]:
+    """How each item is stored, and the (offset, length) of its parts."""
+    version, sizes = data[start], struct.unpack_from(">H", data, start + 4)[0]
+    widths = [sizes >> 12 & 15, sizes >> 8 & 15, sizes >> 4 & 15, sizes & 15 if version else 0]
+    at = start + 6
+
+    def number(width: int) -> int:
+        nonlocal at
+        if at + width > len(data):
+            raise bad("heic item lies outside")
+        at += width
+        return int.from_bytes(data[at - width : at], "big")
+
+    out = {}
+    for _ in range(number(2 if version < 2 else 4)):
+        item = number(2 if version < 2 else 4)
+        method = number(2) & 15 if version else 0
+        number(2)
+        base = number(widths[2])
+        parts = []
+        for _ in range(number(2)):
+            number(widths[3])
+            offset, length = number(widths[0]), number(widths[1])
+            parts.append((base + offset, length))
+        out[item] = (method, parts)
+    return out
+
+
+def heic_rows(data: bytes) -> list[Row]:
+    """What the exif and xmp items of the meta box hold."""
+    out: list[Row] = []
+    packets = 0
+    for kind, a, b in _boxes(data, 0, len(data)):
+        if kind != b"meta":
+            continue
+        inner = {k: (x, y) for k, x, y in _boxes(data, a + 4, b)}
+        if b"iinf" not in inner or b"iloc" not in inner:
+            continue
+        items, places = _items(data, *inner[b"iinf"]), _places(data, inner[b"iloc"][0])
+        for item, (sort, content) in sorted(items.items()):
+            is_xmp = sort == b"mime" and content == b"application/rdf+xml"
+            if sort != b"Exif" and not is_xmp:
+                continue
+            method, parts = places.get(item, (0, []))
+            shift = inner[b"idat"][0] if method == 1 and b"idat" in inner else 0
+            body = b"".join(data[shift + o : shift + o + n] for o, n in parts)
+            if sum(n for _, n in parts) != len(body) or method > 1:
+                raise bad("heic item lies outside")
+            if is_xmp:
+                packets += 1
+                if packets > 1:
+                    raise bad("more than one xmp packet")
+                out += xmp_rows(body.decode("utf-8", "replace"), "xmp")
+            elif len(body) > 4:
+                out += exif_rows(b"Exif\0\0" + body[4 + struct.unpack_from(">I", body)[0] :])
+    return out
+
+
 def dimensions(data: bytes, fmt: str) -> tuple[int, int]:
     """Width and height from the header alone."""
     try:
@@ -275,10 +363,28 @@ def preflight(data: bytes, fmt: str) -> list[str]:
     return [f"image_ocr_long_edge: {edge} is over {LONG_EDGE}"] if edge > LONG_EDGE else []
 
 
+#: Below this confidence of any line a warning is given.
+CONFIDENT = 0.5
+
+
 def recognise(data: bytes, fmt: str) -> Outcome:
-    """Without an engine an image's pixels stay unread, and the record says so."""
-    preflight(data, fmt)
-    raise ConvertError("image-ocr-runtime-missing", "no recognition engine is installed")
+    """The lines that an engine reads; without one an image's pixels stay unread, and the record says so."""
+    warnings = preflight(data, fmt)
+    engine = hooks.engine("recognition")
+    if engine is None:
+        raise ConvertError("image-ocr-runtime-missing", "no recognition engine is installed")
+    lines = [(normalize(t).replace("\n", " ").strip(), c) for t, c in engine(data, fmt)]
+    lines = [(t, c) for t, c in lines if t]
+    text, segments = "", []
+    for line, _ in lines:
+        at = len(text.encode())
+        segments.append(Segment("span", at, at + len(line.encode()), "ocr"))
+        text += line + "\n"
+    if not has_meaning(text):
+        raise ConvertError("image-ocr-no-text", "the engine read nothing")
+    low = sum(c < CONFIDENT for _, c in lines)
+    warnings += [f"image_ocr_low_confidence: {low} of {len(lines)} lines"] if low else []
+    return Outcome(text, "image-pixel-ocr", warnings, segments, "ocr")
 
 
 def escape_field(raw: str) -> str:
@@ -288,10 +394,13 @@ def escape_field(raw: str) -> str:
 
 def metadata(data: bytes, fmt: str) -> Outcome | None:
     """The metadata artifact, or None if there is nothing to show."""
-    readers = {"png": png_rows, "jpeg": jpeg_rows, "webp": webp_rows}
+    readers = {"png": png_rows, "jpeg": jpeg_rows, "webp": webp_rows, "heic": heic_rows}
     if fmt not in readers:
         return None
-    rows = [r for r in readers[fmt](data) if r[4].strip()]
+    try:
+        rows = [r for r in readers[fmt](data) if r[4].strip()]
+    except (struct.error, IndexError) as e:
+        raise bad(str(e)) from None
     if not rows:
         return None
     lines, segments, at = [], [], 0

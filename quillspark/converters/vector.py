@@ -6,7 +6,8 @@ import math
 import re
 from xml.parsers import expat
 
-from quillspark.converters.base import ConvertError
+from quillspark.converters import hooks, images
+from quillspark.converters.base import ConvertError, Outcome
 
 #: Bytes in which the root element must stand (fixed value), and pixels per unit (fixed values).
 HEAD = 64 << 10
@@ -55,3 +56,17 @@ def geometry(data: bytes) -> tuple[float, float]:
     if width is None or height is None:
         raise ConvertError("rasterizer-geometry-unresolved", "neither width and height nor a view box")
     return width, height
+
+
+def rasterized(data: bytes) -> Outcome | None:
+    """The text of a vector image's picture, by the installed engines; None if there is no engine to draw it."""
+    draw = hooks.engine("vector")
+    if draw is None:
+        return None
+    width, height = (max(1, math.ceil(x)) for x in geometry(data))
+    if width * height > images.MAX_AREA:
+        raise ConvertError("image-ocr-area-exceeded", f"{width} x {height} is over {images.MAX_AREA} pixels")
+    picture = draw(data, width, height)
+    if images.dimensions(picture, "png") != (width, height):
+        raise ConvertError("rasterizer-geometry-mismatch", f"the picture is not {width} x {height}")
+    return images.recognise(picture, "png")

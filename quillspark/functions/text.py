@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.sources import walk
+
 #: Format characters that show nothing (fixed values).
 INVISIBLE = r"\x{00AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}"
 
@@ -29,6 +31,23 @@ def normalize_text(text: Column) -> Column:
     return nfc(F.regexp_replace(text, "\r\n?", "\n"))
 
 
+def is_noise(name: Column) -> Column:
+    """Whether a file name is never a source."""
+    return name.isin(*walk.NOISE_NAMES) | F.exists(F.array(*map(F.lit, walk.NOISE_ENDINGS)), lambda e: F.endswith(name, e))
+
+
+#: Names of divisions and runs (fixed values).
+DIVISION, RUN_ID = "[A-Za-z0-9_-]+", "[A-Za-z0-9][A-Za-z0-9._-]{0,63}"
+
+
+def is_division(name: Column) -> Column:
+    return name.rlike(rf"\A{DIVISION}\z")
+
+
+def is_run_id(name: Column) -> Column:
+    return name.rlike(rf"\A{RUN_ID}\z")
+
+
 def mirror_path(division: Column, source_path: Column) -> Column:
     return F.concat(division, F.lit("/"), source_path, F.lit(".txt"))
 
@@ -93,9 +112,13 @@ def run_collision_key(path: Column) -> Column:
     return F.lower(nfc(path))
 
 
+def ascii_lower(text: Column) -> Column:
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
 def bundle_collision_key(path: Column) -> Column:
     """NFC and ASCII lower case."""
-    return F.translate(nfc(path), string.ascii_uppercase, string.ascii_lowercase)
+    return ascii_lower(nfc(path))
 
 
 def safe_member(name: Column) -> Column:

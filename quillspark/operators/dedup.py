@@ -1,4 +1,8 @@
-"""Convert once per content: which source is converted and which borrows its text."""
+"""Convert once per content: which source is converted and which borrows its text.
+
+Nearly every content goes to one converter wherever it stands, and is settled by one partial aggregation and a join whose
+hot keys adaptive execution can split. Only contents that several converters take are put in order, by a window.
+"""
 
 from __future__ import annotations
 
@@ -12,16 +16,8 @@ def dedup_islands(rows: DataFrame) -> DataFrame:
     A hash has one slot that the last conversion fills. In walk order a row borrows if the slot's converter, which is
     that of the row before it, is its own; else it converts and starts an island, named by its first path.
     """
-    order = Window.partitionBy("source_hash").orderBy("ord")
-    borrows = F.coalesce(F.lag("converter").over(order) == F.col("converter"), F.lit(False))
-    starts = F.when(~F.col("borrows"), F.col("source_path"))
-    canonical = F.last(starts, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        rows.withColumn("borrows", borrows)
-        .withColumn("dedup_of", F.when(F.col("borrows"), canonical))
-        .withColumn("status", F.when(F.col("borrows"), "dedup").otherwise("converted"))
-        .drop("borrows")
-    )
+    none = rows.select("source_hash", "source_path", "converter").limit(0)
+    return seeded(rows, none)
 
 
 def seeded(rows: DataFrame, prior: DataFrame) -> DataFrame:
@@ -30,14 +26,27 @@ def seeded(rows: DataFrame, prior: DataFrame) -> DataFrame:
     prior: source_hash, source_path, converter of eligible records; the smallest path of a hash fills its slot. A row
     whose own path fills the slot converts, and starts an island.
     """
-    seeds = prior.groupBy("source_hash").agg(F.min_by(F.struct("source_path", "converter"), "source_path").alias("s"))
-    first = seeds.select("source_hash", F.col("s.source_path").alias("source_path"), F.col("s.converter").alias("converter"), F.lit(True).alias("seed"))
-    both = rows.withColumn("seed", F.lit(False)).unionByName(first, allowMissingColumns=True)
-    order = Window.partitionBy("source_hash").orderBy(F.desc("seed"), "ord")
-    before = F.lag("converter").over(order)
-    own = F.max(F.when(F.col("seed"), F.col("source_path"))).over(Window.partitionBy("source_hash")) == F.col("source_path")
-    borrows = ~F.col("seed") & F.coalesce(before == F.col("converter"), F.lit(False)) & ~F.coalesce(own, F.lit(False))
-    marked = both.withColumn("borrows", borrows)
-    canonical = F.last(F.when(~F.col("borrows"), F.col("source_path")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    done = marked.withColumn("dedup_of", F.when(F.col("borrows"), canonical)).withColumn("status", F.when(F.col("borrows"), "dedup").otherwise("converted"))
-    return done.where("not seed").drop("seed", "borrows")
+    seeds = prior.groupBy("source_hash").agg(F.min_by(F.struct("source_path", "converter"), "source_path").alias("seed"))
+    contents = rows.groupBy("source_hash").agg(F.min_by("source_path", "ord").alias("first"), F.min("converter").alias("low"), F.max("converter").alias("high"))
+    known = contents.join(seeds, "source_hash", "left")
+    single = (F.col("low") == F.col("high")) & (F.col("seed").isNull() | (F.col("seed.converter") == F.col("low")))
+    owner = F.coalesce("seed.source_path", "first")
+    # the key is written anew so that the join below gets exchanges of its own, which can be split
+    slots = known.select(F.concat("source_hash", F.lit("")).alias("source_hash"), F.when(single, owner).alias("_owner"), "seed")
+    met = rows.join(slots, "source_hash")
+    alone = met.where("_owner is not null")
+    borrows = F.col("source_path") != F.col("_owner")
+    settled = alone.select(*(F.col(c) for c in rows.columns), F.when(borrows, F.col("_owner")).alias("dedup_of"), F.when(borrows, "dedup").otherwise("converted").alias("status"))
+    return settled.unionByName(_in_order(met.where("_owner is null").drop("_owner")))
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Contents of several converters, row by row; rows carry their hash's seed."""
+    order = Window.partitionBy("source_hash").orderBy("ord")
+    before = F.coalesce(F.lag("converter").over(order), F.col("seed.converter"))
+    own = F.coalesce(F.col("seed.source_path") == F.col("source_path"), F.lit(False))
+    marked = rows.withColumn("_borrows", F.coalesce(before == F.col("converter"), F.lit(False)) & ~own)
+    starts = F.when(~F.col("_borrows"), F.col("source_path"))
+    canonical = F.coalesce(F.last(starts, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.col("seed.source_path"))
+    done = marked.withColumn("dedup_of", F.when(F.col("_borrows"), canonical)).withColumn("status", F.when(F.col("_borrows"), "dedup").otherwise("converted"))
+    return done.drop("seed", "_borrows")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import bundle_collision_key
+from quillspark.functions.text import bundle_collision_key, run_collision_key
 
 TEXT_BEARING = ("converted", "skipped_unchanged", "dedup")
 STATUSES = ("converted", "failed", "unsupported", "skipped_unchanged", "dedup")
@@ -68,23 +68,40 @@ def checkpoint(current: DataFrame, prior: DataFrame) -> DataFrame:
     return joined.withColumn("skip", skip).drop(*(f"prior_{k}" for k in keys))
 
 
-def removed_members(prior: DataFrame, emitted: DataFrame) -> DataFrame:
-    """A failed record for each member that an earlier run knew under a re-expanded parent and this run did not emit."""
-    roots = emitted.select("parent_source").where("parent_source is not null").distinct()
-    known = prior.join(roots, "parent_source", "left_semi").where(~F.coalesce(F.col("error") == "container-member-removed", F.lit(False)))
-    gone = known.join(emitted.select("source_path"), "source_path", "left_anti")
-    return gone.select("division", "source_path", "parent_source", F.lit("failed").alias("status"), F.lit("container-member-removed").alias("error"))
+def roots_above(path: Column) -> Column:
+    """Everything that a path stands below as ``<root>.d/...``: its prefixes before each ``.d/``, the longest last."""
+    parts = F.split(path, r"\.d/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), ".d/"))
+    return F.when(F.size(parts) > 1, F.filter(prefixes, lambda p: p != "")).otherwise(F.expr("cast(array() as array<string>)"))
 
 
-def root_of(path: Column) -> Column:
-    """The top-level container of a member path ``<root>.d/<member>``, or null."""
-    at = F.instr(path, ".d/")
-    return F.when(at > 1, F.substring(path, F.lit(1), at - 1))
+def descendants(records: DataFrame, roots: DataFrame) -> DataFrame:
+    """Records below the given roots, with their root, one row for each; an equi-join on derived prefixes, not a prefix join.
 
+    A folder whose name ends in ``.d`` is no root unless a source of that name is one of ``roots``.
+    """
+    below = records.withColumn("root", F.explode(roots_above(F.col("source_path"))))
+    return below.join(roots.select(F.col("source_path").alias("root")).distinct(), "root", "left_semi")
 
-def descendants(records: DataFrame, roots: DataFrame) -> DataFrame:
-    """Records below the given roots: an equi-join on the derived root instead of a prefix join."""
-    return records.withColumn("root", root_of(F.col("source_path"))).join(roots.select(F.col("source_path").alias("root")), "root", "left_semi")
+
+def whole(marked: DataFrame) -> DataFrame:
+    """(source_path, intact) of each path and of all that other paths stand below: whether everything there is intact.
+
+    marked: source_path, intact of records with text; partial minima meet a folder with many of them.
+    """
+    every = marked.select(F.explode(F.concat(F.array("source_path"), roots_above(F.col("source_path")))).alias("source_path"), "intact")
+    return every.groupBy("source_path").agg(F.min("intact").alias("intact"))
+
+
+def removed_members(prior: DataFrame, expanded: DataFrame, emitted: DataFrame) -> DataFrame:
+    """A failed record for each member that an earlier run knew below an expanded root, at any depth, and this run did not emit.
+
+    prior: terminal records; expanded: source_path of the top-level containers of this run; emitted: what it recorded. A
+    member that is retired already stays so.
+    """
+    known = prior.where("parent_source is not null").where(~F.coalesce(F.col("error") == "container-member-removed", F.lit(False)))
+    gone = descendants(known, expanded).drop("root").dropDuplicates(["source_path"]).join(emitted.select("source_path"), "source_path", "left_anti")
+    return gone.select("division", "source_path", "parent_source", "declared_format", F.lit("failed").alias("status"), F.lit("container-member-removed").alias("error"))
 
 
 def ancestor_prefixes(path: Column) -> Column:
@@ -129,7 +146,7 @@ def claims(members: DataFrame) -> DataFrame:
     """
     first = F.row_number().over(Window.partitionBy("root", "fold").orderBy("ord")) == 1
     nth = F.sum(F.when(F.col("claimed"), 0).otherwise(1)).over(Window.partitionBy("root").orderBy("ord"))
-    keyed = members.withColumn("fold", F.lower("path")).withColumn("claimed", first)
+    keyed = members.withColumn("fold", run_collision_key(F.col("path"))).withColumn("claimed", first)
     shown = F.when(F.col("claimed"), F.concat("root", F.lit(".d/"), "path")).otherwise(F.concat("root", F.lit(".d/#collision-"), nth))
     return keyed.withColumn("child_path", shown).drop("fold")
 

@@ -10,7 +10,7 @@ import json
 import os
 import re
 import shutil
-import string
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,10 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.functions.hashing import blake3
-from quillspark.operators import manifest, render
+from quillspark.functions.hashing import blake3, blake3_file
+from quillspark.operators import bundles, manifest, render
 from quillspark.plans import formats
-from quillspark.plans.run import RECORD_FIELDS
 from quillspark.sources import shard, walk
 
 SCHEMA = "quillspark/bundle@1"
@@ -60,30 +59,32 @@ def tree_hashes(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("tree").option("root", root).option("noise", "true").load().select("path", "kind").mapInPandas(run, "path string, kind string, hash string")
 
 
-def _shard(path: str) -> list[dict]:
-    with open(path, "rb") as file:
-        return shard.decode(file.read(), strict=True)[0]
-
-
 def frame(spark: SparkSession, root: str, divisions: list[str]) -> DataFrame:
-    """The records of a bundle's shards, with their order."""
+    """The records of a bundle's shards, with their order; raises ShardError for the first that isn't whole."""
     out = spark.createDataFrame([], shard.FRAME)
     for division in divisions:
-        path = os.path.join(root, "manifest", f"{division}.jsonl")
-
-        def parse(batches: Iterator[pd.DataFrame], division: str = division) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                rows = []
-                for line_no, value in batch.itertuples(index=False, name=None):
-                    (record,), _ = shard.decode(value.encode() + b"\n", strict=True)
-                    rows.append([division, line_no, *(record.get(f) for f in RECORD_FIELDS)])
-                yield pd.DataFrame(rows, columns=["division", "line_no", *RECORD_FIELDS])
-
-        lines = spark.read.text(path, lineSep="\n").select(F.monotonically_increasing_id().alias("line_no"), "value")
-        out = out.unionByName(lines.mapInPandas(parse, shard.FRAME))
+        out = out.unionByName(shard.read(spark, os.path.join(root, "manifest", f"{division}.jsonl"), division, strict=True)[0])
     return out
 
 
+def copy_tree(spark: SparkSession, source: str, target: str) -> None:
+    """Copy all files under a folder, by executors; links stay links, so that a verification can refuse them."""
+    walk.register(spark)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch.path:
+                place = os.path.join(target, path)
+                os.makedirs(os.path.dirname(place), exist_ok=True)
+                temporary = f"{place}.{os.getpid()}.{time.monotonic_ns()}.tmp"
+                shutil.copyfile(os.path.join(source, path), temporary, follow_symlinks=False)
+                os.replace(temporary, place)
+            yield batch[["path"]]
+
+    os.makedirs(target, exist_ok=True)
+    spark.read.format("tree").option("root", source).option("noise", "true").load().where("kind <> 'other'").select("path").mapInPandas(run, "path string").count()
+
+
 def _listed(df: DataFrame, column: str = "path", most: int = 1000) -> list[str]:
     """Offenders for a message; the first of them are enough to refuse."""
     return [r[0] for r in df.select(column).orderBy(column).limit(most).collect()]
@@ -91,9 +92,9 @@ def _listed(df: DataFrame, column: str = "path", most: int = 1000) -> list[str]:
 
 def counts_of(records: DataFrame) -> tuple[dict, dict]:
     """counts and coverage of each division, as a descriptor has them; one row a division."""
-    counts = {r["division"]: {k: r[k] for k in (*manifest.STATUSES, "total")} for r in manifest.status_counts(records, "division").collect()}
-    covered = manifest.terminal(records).groupBy("division").agg(F.count_if(manifest.has_text(F.col("status"))).alias("covered"), F.count(F.lit(1)).alias("total"))
-    return counts, {r["division"]: {"covered": r["covered"], "total": r["total"]} for r in covered.collect()}
+    rows = bundles.counts_and_coverage(records).collect()
+    counts = {r["division"]: {k: r[k] for k in (*manifest.STATUSES, "total")} for r in rows}
+    return counts, {r["division"]: {"covered": r["covered"], "total": r["sources"]} for r in rows}
 
 
 def _write_sums(spark: SparkSession, root: str) -> str:
@@ -101,8 +102,7 @@ def _write_sums(spark: SparkSession, root: str) -> str:
     with open(os.path.join(root, SUMS_FILE), "w", encoding="utf-8", newline="\n") as file:
         for r in rows.toLocalIterator():
             file.write(f"{r['hash']}  {r['path']}\n")
-    with open(os.path.join(root, SUMS_FILE), "rb") as file:
-        return blake3(file.read())
+    return blake3_file(os.path.join(root, SUMS_FILE))
 
 
 def _describe(spark: SparkSession, root: str, run_ids: list[str], divisions: list[str], counts: dict, coverage: dict) -> dict:
@@ -121,25 +121,30 @@ def bundle(spark: SparkSession, mirror: str, manifest_dir: str, division: str, o
     """Pack one division: its mirror, shard, rules, checksums and descriptor; then verify the result."""
     _new_folder("bundle", out)
     source = os.path.join(manifest_dir, f"{division}.jsonl")
-    with open(source, "rb") as file:
-        data = file.read()
+    os.makedirs(os.path.join(out, "manifest"))
+    shutil.copyfile(source, os.path.join(out, "manifest", f"{division}.jsonl"))
     try:
-        shard.decode(data, strict=True)
+        records = frame(spark, out, [division])
     except shard.ShardError as e:
+        shutil.rmtree(out)
         raise Refused("bundle", [str(e)]) from None
-    os.makedirs(os.path.join(out, "manifest"))
-    shutil.copyfile(source, os.path.join(out, "manifest", f"{division}.jsonl"))
-    records = frame(spark, out, [division])
     last = manifest.terminal(records)
     other = _listed(last.where(manifest.has_text(F.col("status")) & (F.col("rules_version") != formats.RULES_VERSION)), "source_path")
-    absent = [p for p in _listed(last.where("text_path is not null"), "text_path", 1 << 30) if not os.path.isfile(os.path.join(mirror, p))]
+    own = os.path.join(mirror, division)
+    found = spark.createDataFrame([], "path string, hash string")
+    if os.path.isdir(own):
+        listed = spark.read.format("tree").option("root", own).option("noise", "true").load().where("kind = 'file'")
+        found = listed.select(F.concat(F.lit(f"{division}/"), "path").alias("path"), F.lit("").alias("hash"))
+    absent = _listed(bundles.artifact_states(last, found).where("state = 'missing'"), "text_path")
     if other or absent:
         shutil.rmtree(out)
         raise Refused("bundle", [f"other rules: {p}" for p in other] + [f"no artifact: {p}" for p in absent])
-    shutil.copytree(os.path.join(mirror, division), os.path.join(out, "mirror", division), symlinks=True)
+    os.makedirs(os.path.join(out, "mirror", division))
+    if os.path.isdir(own):
+        copy_tree(spark, own, os.path.join(out, "mirror", division))
     with open(os.path.join(out, RULES_FILE), "w", encoding="utf-8") as file:
         file.write(rules_text())
-    described = _describe(spark, out, [blake3(data)], [division], *counts_of(records))
+    described = _describe(spark, out, [blake3_file(source)], [division], *counts_of(records))
     verify(spark, out)
     return described
 
@@ -152,8 +157,8 @@ def verify(spark: SparkSession, root: str) -> dict:
             d = json.load(file)
         problems = [f"unknown field {k}" for k in d.keys() - {"schema", "manifest_schema", "run_ids", "divisions", "counts", "coverage", "checksums_hash"}]
         problems += [f"{k} must rise strictly" for k in ("run_ids", "divisions") if d[k] != sorted(set(d[k])) or not d[k]]
-        problems += [f"run id {r!r}" for r in d["run_ids"] if not re.fullmatch("[A-Za-z0-9][A-Za-z0-9._-]{0,63}", r)]
-        problems += [f"division {v!r}" for v in d["divisions"] if not re.fullmatch("[A-Za-z0-9_-]+", v)]
+        problems += [f"run id {r!r}" for r in d["run_ids"] if not re.fullmatch(T.RUN_ID, r)]
+        problems += [f"division {v!r}" for v in d["divisions"] if not re.fullmatch(T.DIVISION, v)]
         problems += [f"schema {d['schema']!r}"] * (d["schema"] != SCHEMA)
     except (OSError, ValueError, KeyError, TypeError) as e:
         raise Refused("verify", [f"descriptor: {e}"]) from None
@@ -169,13 +174,11 @@ def verify(spark: SparkSession, root: str) -> dict:
     problems += [f"no regular file: {p}" for p in _listed(found.where("kind <> 'file'"))]
     _refuse(problems)
     # 3: checksums
-    with open(os.path.join(root, SUMS_FILE), "rb") as file:
-        sums = file.read()
-    problems = [f"{SUMS_FILE} has another hash"] * (blake3(sums) != d["checksums_hash"])
+    problems = [f"{SUMS_FILE} has another hash"] * (blake3_file(os.path.join(root, SUMS_FILE)) != d["checksums_hash"])
     lines = spark.read.text(os.path.join(root, SUMS_FILE), lineSep="\n").withColumn("n", F.monotonically_increasing_id())
     bad = lines.where(~F.col("value").rlike("^[0-9a-f]{64}  [^\r]+$"))
     problems += [f"checksum line {r!r}" for r in _listed(bad, "value")]
-    if not sums.endswith(b"\n"):
+    if shard.unended(os.path.join(root, SUMS_FILE)):
         problems.append(f"{SUMS_FILE} doesn't end its last line")
     _refuse(problems)
     listed = lines.select(F.substring("value", 1, 64).alias("hash"), F.expr("substring(value, 67)").alias("path"), "n")
@@ -183,31 +186,24 @@ def verify(spark: SparkSession, root: str) -> dict:
     tree = found.where(~F.col("path").isin(SUMS_FILE, DESCRIPTOR)).select("path", "hash")
     differing = render.compared(listed.select("path", "hash").dropDuplicates(["path"]), tree).where("state <> 'ok'")
     problems = [f"listed twice: {p}" for p in _listed(again)] + [f"{r.state}: {r.path}" for r in differing.orderBy("path").limit(1000).collect()]
-    if [r.path for r in listed.orderBy("n").select("path").toLocalIterator()] != sorted(r.path for r in listed.select("path").toLocalIterator()):
+    if not bundles.is_rising(listed, "path"):
         problems.append(f"{SUMS_FILE} is out of order")
     _refuse(problems)
     # 4: shards
-    problems = []
-    for division in d["divisions"]:
-        try:
-            _shard(os.path.join(root, "manifest", f"{division}.jsonl"))
-        except shard.ShardError as e:
-            problems.append(f"{division}: {e}")
-    _refuse(problems)
-    records = frame(spark, root, d["divisions"]).persist()
+    try:
+        records = frame(spark, root, d["divisions"]).persist()
+    except shard.ShardError as e:
+        raise Refused("verify", [str(e)]) from None
     # 5: records and artifacts
     last = manifest.terminal(records)
     with open(os.path.join(root, RULES_FILE), encoding="utf-8") as file:
         version = json.load(file)["version"]
     text = last.where("text_path is not null")
-    moved = text.where((F.col("text_path") != T.mirror_path(F.col("division"), F.col("source_path"))) | ~T.is_recorded_path(F.col("text_path")))
-    joined = text.join(found.select(F.expr("substring(path, 8)").alias("at"), "hash").where("path like 'mirror/%'"), F.col("text_path") == F.col("at"), "left")
-    known = last.select(F.explode(F.array(F.concat("division", F.lit("/"), "source_path", F.lit(".txt")), F.concat("division", F.lit("/"), "source_path", F.lit(".segments.jsonl")), F.concat("division", F.lit("/"), "source_path", F.lit(".review.md")))).alias("file")).where(F.col("file").isNotNull())
-    bearing = known.join(text.select(F.explode(F.array("text_path", F.regexp_replace("text_path", r"\.txt$", ".segments.jsonl"), F.regexp_replace("text_path", r"\.txt$", ".review.md"))).alias("file")), "file", "left_semi")
-    stray = found.where("path like 'mirror/%'").select(F.expr("substring(path, 8)").alias("file")).join(bearing, "file", "left_anti")
-    problems = [f"other rules: {p}" for p in _listed(text.where(F.col("rules_version") != version), "source_path")] + [f"text path of {p}" for p in _listed(moved, "source_path")]
-    problems += [f"no artifact: {p}" for p in _listed(joined.where("hash is null"), "text_path")] + [f"artifact differs: {p}" for p in _listed(joined.where("hash <> text_hash"), "text_path")]
-    problems += [f"unreferenced: {p}" for p in _listed(stray, "file")]
+    mirrored = found.where("path like 'mirror/%'").select(F.expr("substring(path, 8)").alias("path"), "hash")
+    states = bundles.artifact_states(text, mirrored)
+    problems = [f"other rules: {p}" for p in _listed(text.where(F.col("rules_version") != version), "source_path")] + [f"text path of {p}" for p in _listed(bundles.misplaced(last), "source_path")]
+    problems += [f"no artifact: {p}" for p in _listed(states.where("state = 'missing'"), "text_path")] + [f"artifact differs: {p}" for p in _listed(states.where("state = 'differs'"), "text_path")]
+    problems += [f"unreferenced: {p}" for p in _listed(bundles.unreferenced(mirrored, last))]
     _refuse(problems)
     # 6: collisions
     _refuse([f"paths fall together: {' '.join(r.paths)}" for r in manifest.collisions(text).limit(1000).collect()])
@@ -230,20 +226,18 @@ def merge(spark: SparkSession, inputs: list[str], out: str) -> dict:
     _new_folder("merge", out)
     described = [verify(spark, i) for i in inputs]
     divisions = [v for d in described for v in d["divisions"]]
-    fold = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
-    folded = [v.translate(fold) for v in divisions]
-    problems = [f"division {v} stands in several inputs" for v, f in zip(divisions, folded) if folded.count(f) > 1]
-    rules = set()
-    for i in inputs:
-        with open(os.path.join(i, RULES_FILE), "rb") as file:
-            rules.add(file.read())
-    problems += ["the inputs' rules differ"] * (len(rules) > 1)
+    names = spark.createDataFrame([(v,) for v in divisions], "name string")
+    problems = [f"divisions fall together: {' '.join(r.names)}" for r in bundles.folded_collisions(names).collect()]
+    rules = spark.createDataFrame([(blake3_file(os.path.join(i, RULES_FILE)),) for i in inputs], "hash string")
+    problems += ["the inputs' rules differ"] * (not bundles.rules_agreement(rules).first()["agree"])
     if problems:
         raise Refused("merge", problems)
     os.makedirs(out, exist_ok=True)
+    for v in divisions:
+        os.makedirs(os.path.join(out, "mirror", v))
     for i in inputs:
         for below in ("mirror", "manifest"):
-            shutil.copytree(os.path.join(i, below), os.path.join(out, below), dirs_exist_ok=True)
+            copy_tree(spark, os.path.join(i, below), os.path.join(out, below))
     shutil.copyfile(os.path.join(inputs[0], RULES_FILE), os.path.join(out, RULES_FILE))
     counts = {k: v for d in described for k, v in d["counts"].items()}
     coverage = {k: v for d in described for k, v in d["coverage"].items()}

@@ -6,9 +6,10 @@ once to hash and detect, and once more to convert what neither the manifest nor
 
 from __future__ import annotations
 
-import json
 import os
 import re
+import shutil
+import tempfile
 import time
 from collections.abc import Iterator
 
@@ -16,12 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.converters import archive, images, registry
-from quillspark.converters.base import ConvertError, Outcome, gate
+from quillspark.converters import archive, hooks, images, registry, vector
+from quillspark.converters.base import ConvertError, Outcome, gate, sidecar, sidecar_problem
 from quillspark.functions.hashing import blake3
+from quillspark.functions.text import DIVISION
 from quillspark.operators import dedup, manifest
 from quillspark.plans import formats
 from quillspark.sources import shard, walk
+from quillspark.sources.shard import RECORD_FIELDS
 
 
 class Refused(ValueError):
@@ -29,7 +32,7 @@ class Refused(ValueError):
 
 
 def check_names(root: str, mirror: str, manifest_dir: str, division: str) -> None:
-    if not re.fullmatch("[A-Za-z0-9_-]+", division):
+    if not re.fullmatch(DIVISION, division):
         raise Refused(f"division {division!r}")
     real = os.path.realpath
     for out in (mirror, manifest_dir):
@@ -84,39 +87,61 @@ def write_file(path: str, data: bytes) -> None:
     os.replace(temporary, path)
 
 
-def sidecar(outcome: Outcome) -> bytes:
-    lines = []
-    for s in outcome.segments:
-        fields = {"kind": s.kind, "unit": "utf8_bytes", "start": s.start, "end": s.end, "source": s.source, "name": s.name, "hidden": True if s.hidden else None}
-        lines.append(json.dumps({k: v for k, v in fields.items() if v is not None}, ensure_ascii=False, separators=(",", ":")) + "\n")
-    return "".join(lines).encode()
+def envelope_intact(mirror: str, text_path: str | None, text_hash: str | None) -> bool:
+    """Whether an artifact still has its recorded hash and its sidecar parses and fits it."""
+    try:
+        with open(os.path.join(mirror, text_path), "rb") as file:
+            text = file.read()
+        if blake3(text) != text_hash:
+            return False
+        with open(os.path.join(mirror, text_path.removesuffix(".txt") + ".segments.jsonl"), "rb") as file:
+            return sidecar_problem(file.read(), text) is None
+    except (OSError, TypeError, AttributeError):
+        return False
 
 
 class Writer:
     """Puts one unit's artifact into the mirror and makes its record."""
 
     def __init__(self, mirror: str, division: str):
-        self.mirror, self.division = mirror, division
+        self.mirror, self.division, self.began = mirror, division, time.monotonic()
 
     def record(self, path: str, meta: dict, outcome: Outcome | None, error: str | None, status: str | None = None) -> dict:
         target = os.path.join(self.mirror, self.division, path)
         base = meta | {"source_path": path, "rules_version": formats.RULES_VERSION, "warnings": [*(meta.get("warnings") or []), *(outcome.warnings if outcome else [])]}
+        base["duration_ms"] = int((time.monotonic() - self.began) * 1000)
+        self.began = time.monotonic()
         if outcome is None:
             for stale in (f"{target}.txt", f"{target}.segments.jsonl"):
-                if os.path.exists(stale):
+                try:
                     os.unlink(stale)
+                except (FileNotFoundError, NotADirectoryError):
+                    pass
+                except OSError as e:
+                    base["warnings"].append(f"stale_artifact_not_removed: {e.strerror}")
             return base | {"status": status or "failed", "error": error}
         text = outcome.text.encode()
         try:
             write_file(f"{target}.txt", text)
-            write_file(f"{target}.segments.jsonl", sidecar(outcome))
+            write_file(f"{target}.segments.jsonl", sidecar(outcome.segments))
         except OSError as e:
             return base | {"status": "failed", "error": f"mirror_write_error: {e.strerror}"}
         return base | {
-            "status": "converted", "text_path": f"{self.division}/{path}.txt", "text_hash": blake3(text), "artifact_kind": outcome.artifact_kind,
-            "converter_id": outcome.converter_id, "converter_version": formats.VERSIONS.get(outcome.converter_id),
+            "status": "converted", "text_path": f"{self.division}/{path}.txt", "text_hash": blake3(text), "artifact_kind": outcome.artifact_kind, "media": outcome.media,
+            "converter_id": outcome.converter_id, "converter_version": formats.VERSIONS.get(outcome.converter_id), "tool_version": outcome.tool_version,
         }
 
+    def unchanged(self, path: str, meta: dict, prior: dict | None) -> dict | None:
+        """The record of a member that an earlier run converted and that is intact, if so."""
+        if prior is None or prior["status"] not in manifest.TEXT_BEARING:
+            return None
+        now = (meta["source_hash"], formats.VERSIONS.get(registry.route(meta["detected_format"])[0] or ""), formats.RULES_VERSION)
+        if (prior["source_hash"], prior["converter_version"], prior["rules_version"]) != now or not envelope_intact(self.mirror, prior["text_path"], prior["text_hash"]):
+            return None
+        took = int((time.monotonic() - self.began) * 1000)
+        self.began = time.monotonic()
+        return prior | {"status": "skipped_unchanged", "error": None, "duration_ms": took}
+
     def leaf(self, path: str, meta: dict, data: bytes) -> Iterator[dict]:
         fmt = meta["detected_format"]
         converter, reason = registry.route(fmt)
@@ -124,6 +149,12 @@ class Writer:
             yield self.record(path, meta, None, reason, "unsupported")
         else:
             yield self.record(path, meta, *registry.convert(data, fmt))
+        if fmt == "svg" and hooks.engine("vector"):
+            child = {k: meta[k] for k in ("source_hash", "source_size")} | {"declared_format": None, "detected_format": fmt, "format_mismatch": False, "parent_source": path}
+            try:
+                yield self.record(f"{path}.d/#image-ocr", child, gate(vector.rasterized(data)), None)
+            except ConvertError as e:
+                yield self.record(f"{path}.d/#image-ocr", child, None, str(e))
         if fmt in formats.METADATA_FORMATS:
             child = {k: meta[k] for k in ("source_hash", "source_size")} | {"declared_format": None, "detected_format": fmt, "format_mismatch": False, "parent_source": path}
             try:
@@ -133,8 +164,11 @@ class Writer:
             except ConvertError as e:
                 yield self.record(f"{path}.d/#image-metadata", child, None, str(e))
 
-    def container(self, path: str, meta: dict, data: bytes, root: str) -> Iterator[dict]:
-        """Members first, the container last, so that an intact parent proves a finished expansion."""
+    def container(self, path: str, meta: dict, data: bytes, root: str, known: dict[str, dict]) -> Iterator[dict]:
+        """Members first, the container last, so that an intact parent proves a finished expansion.
+
+        known: the records that an earlier run left of the members; one that has not changed is not converted again.
+        """
         for unit in archive.Expansion(lambda p: os.path.isdir(os.path.join(root, p)), blake3).run(path, data):
             own = meta
             if unit.path != path:
@@ -145,40 +179,63 @@ class Writer:
                 yield self.record(unit.path, own, None, unit.error)
             elif own["detected_format"] in formats.CONTAINERS:
                 yield self.record(unit.path, own, *registry.convert(unit.data, own["detected_format"]))
+            elif own["detected_format"] not in formats.METADATA_FORMATS and (same := self.unchanged(unit.path, own, known.get(unit.path))):
+                yield same
             else:
                 yield from self.leaf(unit.path, own, unit.data)
 
 
-RECORD_FIELDS = [f.split()[0] for f in shard.FRAME.split(", ")][2:]
-_RECORDS = "ord array<string>, nth int, " + shard.FRAME.split(", ", 2)[2]
+_RECORDS = f"ord array<string>, nth int, {shard.COLUMNS}"
 
 
-def prior_records(spark: SparkSession, manifest_dir: str, division: str) -> DataFrame:
-    """The records of a division's shard; a torn last line doesn't count."""
+def prior_records(spark: SparkSession, manifest_dir: str, division: str) -> tuple[DataFrame, list[str]]:
+    """The records of a division's shard, and the reader's warnings."""
     path = os.path.join(manifest_dir, f"{division}.jsonl")
     if not os.path.exists(path):
-        return spark.createDataFrame([], shard.FRAME)
-    lines = spark.read.text(path, lineSep="\n").select(F.monotonically_increasing_id().alias("line_no"), "value")
+        return spark.createDataFrame([], shard.FRAME), []
+    return shard.read(spark, path, division)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for line_no, value in batch.itertuples(index=False, name=None):
-                try:
-                    record = json.loads(value)
-                except ValueError:
-                    continue  # only the last line can be torn, and the next append cuts it off
-                wrong = shard.problem(record)
-                if wrong:
-                    raise shard.ShardError(f"{division}: {wrong}")
-                rows.append([division, line_no, *(record.get(f) for f in RECORD_FIELDS)])
-            yield pd.DataFrame(rows, columns=["division", "line_no", *RECORD_FIELDS])
 
-    return lines.mapInPandas(parse, shard.FRAME)
+def append_records(records: DataFrame, path: str) -> dict[str, int]:
+    """Append records in the order (ord, nth) to a shard, and count them by status.
 
+    Executors write the lines, one file for each range of the order; the driver only copies bytes, and does so when all
+    lines are there.
+    """
 
-def run(spark: SparkSession, root: str, mirror: str, manifest_dir: str, division: str) -> dict:
-    """Convert what is new or changed, append one record per source and member, and count them."""
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                own = {f: v for f, v in row.items() if given(v)}
+                own["warnings"] = list(own.get("warnings", []))
+                own |= {f: int(own[f]) for f in ("source_size", "duration_ms") if f in own}
+                own["format_mismatch"] = bool(own["format_mismatch"])
+                if "media" in own:
+                    own["media"] = {k: v for k, v in dict(own["media"]).items() if given(v)}
+                out.append(shard.encode(own).rstrip("\n"))
+            yield pd.DataFrame({"value": out})
+
+    folder = tempfile.mkdtemp(prefix=".lines-", dir=os.path.dirname(path))
+    try:
+        staged = os.path.join(folder, "lines")
+        records.orderBy("ord", "nth").select(*RECORD_FIELDS).mapInPandas(lines, "value string").write.text(staged, lineSep="\n")
+        found = records.groupBy("status").count().collect()
+        shard.repair(path)
+        with open(path, "ab") as out:
+            for name in sorted(n for n in os.listdir(staged) if n.startswith("part-")):
+                with open(os.path.join(staged, name), "rb") as part:
+                    shutil.copyfileobj(part, out)
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+    return {s: 0 for s in manifest.STATUSES} | {r["status"]: r["count"] for r in found}
+
+
+def run(spark: SparkSession, root: str, mirror: str, manifest_dir: str, division: str, engines: dict[str, str] | None = None) -> dict:
+    """Convert what is new or changed, append one record per source and member, and count them.
+
+    engines: for "speech", "recognition" and "vector" the ``module:function`` that workers import (see converters.hooks).
+    """
     check_names(root, mirror, manifest_dir, division)
     os.makedirs(mirror, exist_ok=True)
     os.makedirs(manifest_dir, exist_ok=True)
@@ -186,24 +243,20 @@ def run(spark: SparkSession, root: str, mirror: str, manifest_dir: str, division
     versions = F.create_map(*(F.lit(x) for pair in formats.VERSIONS.items() for x in pair))
     routes = formats.route_rules(spark).select(F.col("format").alias("detected_format"), F.col("converter_id").alias("routed"))
     current = found.join(F.broadcast(routes), "detected_format", "left").withColumn("converter_version", versions[F.col("routed")]).withColumn("rules_version", F.lit(formats.RULES_VERSION))
-    last = manifest.terminal(prior_records(spark, manifest_dir, division)).persist()
+    prior, notes = prior_records(spark, manifest_dir, division)
+    last = manifest.terminal(prior).persist()
     checked = manifest.checkpoint(current, last.select("source_path", "status", "source_hash", "converter_version", "rules_version"))
 
     def intact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            good = []
-            for path, digest in zip(batch.text_path, batch.text_hash):
-                try:
-                    with open(os.path.join(mirror, path), "rb") as file:
-                        good.append(blake3(file.read()) == digest)
-                except (OSError, TypeError):
-                    good.append(False)
-            yield batch.assign(intact=good)[["source_path", "intact"]]
+            yield batch.assign(intact=[envelope_intact(mirror, p, h) for p, h in zip(batch.text_path, batch.text_hash)])[["source_path", "intact"]]
 
     bearing = last.where(manifest.has_text(F.col("status"))).select("source_path", "text_path", "text_hash").mapInPandas(intact, "source_path string, intact boolean")
-    # a container is skipped only if all that it holds is intact too
-    whole = bearing.withColumn("top", F.coalesce(manifest.root_of(F.col("source_path")), F.col("source_path"))).groupBy("top").agg(F.min("intact").alias("intact")).withColumnRenamed("top", "source_path")
-    judged = checked.join(whole, "source_path", "left").withColumn("skip", F.col("skip") & F.coalesce("intact", F.lit(False))).drop("intact").persist()
+    # what has children is skipped only if all that stands below it is intact too; other sources answer for themselves
+    parents = F.col("detected_format").isin(*formats.CONTAINERS, *formats.METADATA_FORMATS)
+    marked = bearing.persist()
+    whole = manifest.whole(marked).withColumnRenamed("intact", "all_intact").join(marked, "source_path", "left")
+    judged = checked.join(whole, "source_path", "left").withColumn("skip", F.col("skip") & F.coalesce(F.when(parents, F.col("all_intact")).otherwise(F.col("intact")), F.lit(False))).drop("intact", "all_intact").persist()
     convertible = F.col("routed").isNotNull() & ~F.col("detected_format").isin(*formats.CONTAINERS) & F.col("error").isNull()
     fresh = judged.where(~F.col("skip"))
     seeds = judged.where("skip").where(convertible).select("source_hash", "source_path", F.col("routed").alias("converter"))
@@ -211,11 +264,17 @@ def run(spark: SparkSession, root: str, mirror: str, manifest_dir: str, division
     work = leaves.where("status = 'converted'").drop("status", "dedup_of").unionByName(fresh.where(~convertible | convertible.isNull()))
     writer = Writer(mirror, division)
 
+    expanded = work.where(F.col("detected_format").isin(*formats.CONTAINERS) & F.col("error").isNull()).select("source_path")
+    below = manifest.descendants(last.where("parent_source is not null"), expanded)
+    known = below.groupBy(F.col("root").alias("source_path")).agg(F.collect_list(F.struct(*RECORD_FIELDS)).alias("known"))  # bounded by the limits of an expansion
+
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hooks.install(engines)
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
                 meta = {k: getattr(r, k) for k in ("source_hash", "source_size", "declared_format", "detected_format", "format_mismatch")} | {"warnings": list(r.warnings)}
+                writer.began = time.monotonic()
                 if r.error:
                     made = [writer.record(r.source_path, meta, None, r.error)]
                 elif r.kind == "symlink" or r.routed is None and r.detected_format not in formats.METADATA_FORMATS:
@@ -226,22 +285,23 @@ def run(spark: SparkSession, root: str, mirror: str, manifest_dir: str, division
                     if blake3(data) != r.source_hash:
                         made = [writer.record(r.source_path, meta, None, "source_changed_during_run")]
                     elif r.detected_format in formats.CONTAINERS:
-                        made = list(writer.container(r.source_path, meta, data, root))
+                        members = {m["source_path"]: as_record(m) for m in (r.known if r.known is not None else [])}
+                        made = list(writer.container(r.source_path, meta, data, root, members))
                     else:
                         made = list(writer.leaf(r.source_path, meta, data))
                 rows += [[r.ord, k, *(m.get(f) for f in RECORD_FIELDS)] for k, m in enumerate(made)]
-            yield pd.DataFrame(rows, columns=["ord", "nth", *RECORD_FIELDS])
+            yield pd.DataFrame(rows, columns=["ord", "nth", *RECORD_FIELDS], dtype=object)
 
     columns = ["source_path", "ord", "kind", "source_hash", "source_size", "declared_format", "detected_format", "format_mismatch", "warnings", "error", "routed"]
-    made = work.select(*columns).mapInPandas(convert, _RECORDS).persist()
-    canon = made.where("nth = 0").select(F.col("source_path").alias("dedup_of"), *(F.col(c).alias(f"c_{c}") for c in ("status", "text_hash", "text_path", "artifact_kind", "converter_id", "converter_version", "error", "warnings")))
-    older = judged.where("skip").join(last.select("source_path", "text_hash", "text_path", "artifact_kind", "converter_id"), "source_path")
-    canon = canon.unionByName(older.select(F.col("source_path").alias("dedup_of"), F.lit("converted").alias("c_status"), *(F.col(c).alias(f"c_{c}") for c in ("text_hash", "text_path", "artifact_kind", "converter_id", "converter_version")), F.lit(None).cast("string").alias("c_error"), F.col("warnings").alias("c_warnings")))
+    made = work.select(*columns).join(known, "source_path", "left").mapInPandas(convert, _RECORDS).persist()
+    canon = made.where("nth = 0").select(F.col("source_path").alias("dedup_of"), *(F.col(c).alias(f"c_{c}") for c in ("status", "text_hash", "text_path", "artifact_kind", "media", "converter_id", "converter_version", "error", "warnings")))
+    older = judged.where("skip").join(last.select("source_path", "text_hash", "text_path", "artifact_kind", "media", "converter_id"), "source_path")
+    canon = canon.unionByName(older.select(F.col("source_path").alias("dedup_of"), F.lit("converted").alias("c_status"), *(F.col(c).alias(f"c_{c}") for c in ("text_hash", "text_path", "artifact_kind", "media", "converter_id", "converter_version")), F.lit(None).cast("string").alias("c_error"), F.col("warnings").alias("c_warnings")))
 
     def borrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, source, status in zip(batch.source_path, batch.c_text_path, batch.status):
-                if status == "dedup":
+                if status != "failed":
                     for end in (".txt", ".segments.jsonl"):
                         with open(os.path.join(mirror, source.removesuffix(".txt") + end), "rb") as file:
                             write_file(os.path.join(mirror, division, path + end), file.read())
@@ -249,35 +309,49 @@ def run(spark: SparkSession, root: str, mirror: str, manifest_dir: str, division
 
     copies = leaves.where("status = 'dedup'").drop("status", "error", "converter_version", "rules_version").join(canon, "dedup_of", "left")
     good = F.col("c_status") == "converted"
+    own = F.col("c_converter_id") == F.col("routed")  # a text that was only recovered is no canonical one: each source counts as converted
     shown = copies.withColumns(
         {
-            "nth": F.lit(0), "status": F.when(good, "dedup").otherwise("failed"), "error": F.when(~good, F.col("c_error")), "dedup_of": F.when(good, F.col("dedup_of")),
-            "text_hash": F.col("c_text_hash"), "text_path": F.when(good, F.concat(F.lit(f"{division}/"), "source_path", F.lit(".txt"))), "artifact_kind": F.col("c_artifact_kind"),
+            "nth": F.lit(0), "status": F.when(good & own, "dedup").when(good, "converted").otherwise("failed"), "error": F.when(~good, F.col("c_error")), "dedup_of": F.when(good & own, F.col("dedup_of")),
+            "text_hash": F.col("c_text_hash"), "text_path": F.when(good, F.concat(F.lit(f"{division}/"), "source_path", F.lit(".txt"))), "artifact_kind": F.col("c_artifact_kind"), "media": F.col("c_media"), "tool_version": F.lit(None).cast("string"), "duration_ms": F.lit(0).cast("long"),
             "converter_id": F.col("c_converter_id"), "converter_version": F.col("c_converter_version"), "rules_version": F.lit(formats.RULES_VERSION),
             "parent_source": F.lit(None).cast("string"), "warnings": F.array_union("warnings", F.coalesce("c_warnings", F.expr("cast(array() as array<string>)"))),
         }
     )
     borrowed = shown.select("ord", "nth", *RECORD_FIELDS, "c_text_path").mapInPandas(borrow, _RECORDS)
-    skipped = judged.where("skip").select("source_path", "ord").join(last, "source_path").withColumn("status", F.lit("skipped_unchanged")).withColumn("nth", F.lit(0)).select("ord", "nth", *RECORD_FIELDS)
+    skipped = judged.where("skip").select("source_path", "ord").join(last, "source_path").withColumns({"status": F.lit("skipped_unchanged"), "nth": F.lit(0), "duration_ms": F.lit(0).cast("long")}).select("ord", "nth", *RECORD_FIELDS)
     emitted = made.unionByName(borrowed).unionByName(skipped)
-    kept = last.withColumn("top", manifest.root_of(F.col("source_path"))).join(judged.where("skip").select(F.col("source_path").alias("top")), "top", "left_semi")
-    gone = manifest.removed_members(last.join(kept.select("source_path"), "source_path", "left_anti").where("parent_source is not null"), emitted.where("parent_source is not null"))
-    retired = gone.join(last.select("source_path", "source_hash", "source_size", "declared_format", "detected_format", "format_mismatch", "rules_version"), "source_path").withColumns(
-        {"ord": F.split("source_path", "/"), "nth": F.lit(0), **{c: F.lit(None).cast(t) for c, t in (("text_path", "string"), ("text_hash", "string"), ("artifact_kind", "string"), ("converter_id", "string"), ("converter_version", "string"), ("dedup_of", "string"), ("warnings", "array<string>"))}}
-    )
-    everything = emitted.unionByName(retired.select("ord", "nth", *RECORD_FIELDS)).orderBy("ord", "nth")
-    counts: dict[str, int] = {s: 0 for s in manifest.STATUSES}
-    path = os.path.join(manifest_dir, f"{division}.jsonl")
-    shard.repair(path)
-    with open(path, "a", encoding="utf-8", newline="\n") as file:
-        for row in everything.toLocalIterator():
-            record = row.asDict(recursive=True)
-            counts[record["status"]] += 1
-            file.write(shard.encode({k: record[k] for k in RECORD_FIELDS}))
-    for frame in (found, last, judged, made):
+    gone = manifest.removed_members(last, expanded, emitted)
+
+    def retire(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                writer.began = time.monotonic()
+                meta = {"source_hash": "", "source_size": 0, "declared_format": r.declared_format, "detected_format": "unknown", "format_mismatch": False, "parent_source": r.parent_source}
+                record = writer.record(r.source_path, meta, None, r.error)
+                rows.append([r.source_path.split("/"), 0, *(record.get(f) for f in RECORD_FIELDS)])
+            yield pd.DataFrame(rows, columns=["ord", "nth", *RECORD_FIELDS], dtype=object)
+
+    everything = emitted.unionByName(gone.mapInPandas(retire, _RECORDS)).persist()
+    counts = append_records(everything, os.path.join(manifest_dir, f"{division}.jsonl"))
+    for frame in (found, last, marked, judged, made, everything):
         frame.unpersist()
     special = entries(spark, root).where("kind = 'other'").count()
-    return {"division": division, "special": special, "records": sum(counts.values()), "counts": counts}
+    return {"division": division, "special": special, "records": sum(counts.values()), "counts": counts, "warnings": notes}
+
+
+def given(value: object) -> bool:
+    """Whether a worker got a value and not a null in one of pandas' forms."""
+    return value is not None and not (isinstance(value, float) and value != value)
+
+
+def as_record(row: object) -> dict:
+    """A record as a worker gets it, with plain values."""
+    out = {f: row[f] if given(row[f]) else None for f in RECORD_FIELDS}
+    out["warnings"] = list(out["warnings"]) if out["warnings"] is not None else []
+    out["media"] = {f: out["media"][f] for f in shard.MEDIA_FIELDS} if out["media"] is not None else None
+    return out
 
 
 def scan(spark: SparkSession, root: str) -> dict:
@@ -300,7 +374,7 @@ def _shards(spark: SparkSession, manifest_dir: str) -> DataFrame:
     names = sorted(n.removesuffix(".jsonl") for n in os.listdir(manifest_dir) if n.endswith(".jsonl"))
     out = spark.createDataFrame([], shard.FRAME)
     for n in names:
-        out = out.unionByName(prior_records(spark, manifest_dir, n))
+        out = out.unionByName(prior_records(spark, manifest_dir, n)[0])
     return out
 
 

@@ -52,14 +52,29 @@ class _Reader(DataSourceReader):
             raise ValueError(f"{self.root} is a link or no directory")
 
     def partitions(self) -> list[InputPartition]:
-        names = sorted((n for n in os.listdir(self.root) if self.noise or not is_noise(n)), key=os.fsencode)
+        """Entries in walk order, with folders opened level by level until there are several for each part."""
+        names, opened = self._listed(""), 0
+        while len(names) < 4 * self.parts and opened < self.parts:
+            folders = [k for k, n in enumerate(names) if self._is_folder(n)]
+            if not folders:
+                break
+            below = {k: self._listed(names[k]) for k in folders[: self.parts]}
+            opened += len(below)
+            names = [n for k, name in enumerate(names) for n in (below[k] if k in below else [name])]
         step = max(1, -(-len(names) // self.parts))
         return [_Subtree(names[k : k + step]) for k in range(0, len(names), step)] or [_Subtree([])]
 
+    def _listed(self, below: str) -> list[str]:
+        found = os.listdir(os.path.join(self.root, below) if below else self.root)
+        return [f"{below}/{n}" if below else n for n in sorted((n for n in found if self.noise or not is_noise(n)), key=os.fsencode)]
+
+    def _is_folder(self, name: str) -> bool:
+        full = os.path.join(self.root, name)
+        return os.path.isdir(full) and not os.path.islink(full)
+
     def read(self, partition: _Subtree) -> Iterator[tuple]:
         for name in partition.names:
-            full = os.path.join(self.root, name)
-            if os.path.isdir(full) and not os.path.islink(full):
+            if self._is_folder(name):
                 yield from walk(self.root, name, self.noise)
             else:
                 yield entry(self.root, name)

@@ -24,6 +24,13 @@ def test_blake3_known_answers():
     assert hashing.blake3_many(many) == [hashing.blake3(m) for m in many]
 
 
+def test_blake3_of_files_in_pieces(tmp_path):
+    for n in (0, 1, 1024, 2048, 2049, 4096, 7 * 1024, 8 * 1024, 33_333):
+        (tmp_path / "f").write_bytes(bytes(i % 251 for i in range(n)))
+        whole = hashing.blake3((tmp_path / "f").read_bytes())
+        assert all(hashing.blake3_file(str(tmp_path / "f"), piece) == whole for piece in (1024, 2048, 8192))
+
+
 def test_normalize_text(spark):
     assert rows(spark, ["a\r\nb\rc", "é", "ﬁ", None], T.normalize_text) == ["a\nb\nc", "é", "ﬁ", None]
 

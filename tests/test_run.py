@@ -6,8 +6,10 @@ import os
 import pytest
 
 from quillspark import cli
+from quillspark.converters import media
+from quillspark.operators import bundles
 from quillspark.plans import builders, bundle, run
-from quillspark.sources import shard
+from quillspark.sources import shard, walk
 
 
 @pytest.fixture
@@ -40,7 +42,9 @@ def test_run_again_and_after_changes(spark, tree):
     with open(tree / "man/d1.jsonl", "a") as file:
         file.write('{"torn')
     third = go(spark, tree)
-    assert third["counts"]["converted"] == 3
+    # a member that stays as it was is taken over like any other unchanged source
+    assert third["counts"]["converted"] == 2 and third["counts"]["skipped_unchanged"] == 6
+    assert third["warnings"] == ["d1: discarded torn final line 23"]
     removed = run.explain(spark, str(tree / "man"), "p.zip.d/b.html")[-1]
     assert (removed["status"], removed["error"]) == ("failed", "container-member-removed")
     assert (tree / "mirror/d1/docs/crlf.txt.txt").read_bytes() == b"a\nb"
@@ -48,6 +52,119 @@ def test_run_again_and_after_changes(spark, tree):
     assert status[0]["sources"] == 12
 
 
+def small(tmp_path, files):
+    for name, data in files.items():
+        place = tmp_path / "src" / name
+        place.parent.mkdir(parents=True, exist_ok=True)
+        place.write_bytes(data)
+    return tmp_path
+
+
+def test_folders_that_end_like_members(spark, tmp_path):
+    """``conf.d/`` is an ordinary folder, even beside a source named conf."""
+    tree = small(tmp_path, {"conf.d/x.txt": b"one", "a.txt": b"two", "conf": b"three", "deep.d/more.d/y.txt": b"four"})
+    assert go(spark, tree)["counts"]["converted"] == 3
+    assert go(spark, tree)["counts"]["skipped_unchanged"] == 3
+    (tree / "mirror/d1/conf.d/x.txt.txt").write_text("tampered")
+    assert go(spark, tree)["counts"] == {"converted": 1, "failed": 0, "unsupported": 1, "skipped_unchanged": 2, "dedup": 0}
+    assert (tree / "mirror/d1/conf.d/x.txt.txt").read_text() == "one"
+
+
+def test_nested_containers(spark, tmp_path):
+    inner = builders.zip_of([("deep.txt", b"deep"), ("gone.txt", b"gone")])
+    tree = small(tmp_path, {"z.zip": builders.zip_of([("in.zip", inner), ("top.txt", b"top")]), "conf.d/q.zip": builders.zip_of([("m.txt", b"m")])})
+    first = go(spark, tree)["counts"]
+    assert first["converted"] == 7 and first["failed"] == 0
+    assert go(spark, tree)["counts"]["skipped_unchanged"] == 2
+    (tree / "mirror/d1/z.zip.d/in.zip.d/deep.txt.txt").write_text("tampered")
+    again = go(spark, tree)["counts"]
+    assert again["converted"] == 3 and again["skipped_unchanged"] == 3  # two listings and the member that was changed
+    assert (tree / "mirror/d1/z.zip.d/in.zip.d/deep.txt.txt").read_text() == "deep"
+    (tree / "src/z.zip").write_bytes(builders.zip_of([("top.txt", b"top")]))
+    assert go(spark, tree)["counts"]["failed"] == 3
+    for name in ("in.zip", "in.zip.d/deep.txt", "in.zip.d/gone.txt"):
+        last = run.explain(spark, str(tree / "man"), f"z.zip.d/{name}")[-1]
+        assert (last["status"], last["error"], last["source_hash"], last["source_size"], last["detected_format"]) == ("failed", "container-member-removed", "", 0, "unknown")
+        assert not (tree / f"mirror/d1/z.zip.d/{name}.txt").exists()
+    assert go(spark, tree)["counts"]["failed"] == 0
+
+
+def test_a_changed_sidecar_is_written_again(spark, tmp_path):
+    tree = small(tmp_path, {"a.txt": b"one"})
+    go(spark, tree)
+    side = tree / "mirror/d1/a.txt.segments.jsonl"
+    good = side.read_bytes()
+    for bad in (good.replace(b'"end":3', b'"end":4'), b"{", good.replace(b"utf8_bytes", b"chars"), good + b"[]\n", good.replace(b'"start":0', b'"start":"0"')):
+        side.write_bytes(bad)
+        assert go(spark, tree)["counts"]["converted"] == 1
+        assert side.read_bytes() == good
+
+
+def test_damaged_shards(spark, tmp_path):
+    tree = small(tmp_path, {"a.txt": b"one", "b.txt": b"two", "c.txt": b"three"})
+    go(spark, tree)
+    path = tree / "man/d1.jsonl"
+    lines = path.read_bytes().split(b"\n")
+    for bad in (b'{"garbage', lines[1] + b"\r", lines[1].replace(b'"status"', b'"stat"'), b"\xff" + lines[1], lines[1].replace(b":3,", b':"3",', 1), b""):
+        path.write_bytes(b"\n".join([lines[0], bad, *lines[2:]]))
+        with pytest.raises(shard.ShardError, match="line 2"):
+            run.status(spark, str(tree / "man"))
+        assert cli.main(["status", str(tree / "man")], spark) == 1
+    path.write_bytes(b"\n".join(lines[:3]))  # the last line is whole and only lacks its end
+    assert run.status(spark, str(tree / "man"))[0]["sources"] == 3
+    with pytest.raises(bundle.Refused):
+        bundle.bundle(spark, str(tree / "mirror"), str(tree / "man"), "d1", str(tree / "b"))
+    assert go(spark, tree)["counts"]["skipped_unchanged"] == 3
+    assert len(path.read_bytes().split(b"\n")) == 7
+    path.write_bytes(path.read_bytes()[:-5])
+    assert go(spark, tree)["warnings"] == ["d1: discarded torn final line 6"]
+    other = lines[0].replace(shard.SCHEMA.encode(), b"elsewhere/manifest@1")
+    with pytest.raises(shard.ShardError, match="schema"):
+        shard.decode(other + b"\n")
+    assert shard.decode(other + b"\n", accepted=("elsewhere/manifest@1",))[0][0]["source_path"] == "a.txt"
+
+
+def heard(values, rate):
+    return [media.Speech(0.0, 1.5, 1, "hello there")], {"language": "en", "model_id": "fake"}, "fake 1"
+
+
+def seen(data, fmt):
+    return [("A sign", 0.9), ("blurred", 0.2)]
+
+
+def test_engines_and_all_record_fields(spark, tmp_path):
+    tree = small(tmp_path, {"said.wav": builders.wave_of([1000, -1000] * 800), "copy.wav": builders.wave_of([1000, -1000] * 800), "sign.png": builders.png_of([("Title", "T")], 30, 20)})
+    engines = {"speech": "test_run:heard", "recognition": "test_run:seen"}
+    counts = run.run(spark, str(tree / "src"), str(tree / "mirror"), str(tree / "man"), "d1", engines)["counts"]
+    assert counts["converted"] == 3 and counts["dedup"] == 1
+    records = {r["source_path"]: r for r in shard.decode((tree / "man/d1.jsonl").read_bytes(), strict=True)[0]}
+    first = records["copy.wav"]
+    assert first["media"] == {"duration_seconds": 0.2, "language": "en", "model_id": "fake", "speaker_count": 1} and first["tool_version"] == "fake 1" and first["artifact_kind"] == "transcript"
+    assert records["said.wav"]["media"] == first["media"] and records["said.wav"]["dedup_of"] == "copy.wav"
+    assert all(r["duration_ms"] >= 0 for r in records.values())
+    assert (tree / "mirror/d1/copy.wav.txt").read_text() == "[00:00:00 -> 00:00:01] Speaker 1: hello there\n"
+    assert (tree / "mirror/d1/sign.png.txt").read_text() == "A sign\nblurred\n" and records["sign.png"]["warnings"] == ["image_ocr_low_confidence: 1 of 2 lines"]
+    again = run.run(spark, str(tree / "src"), str(tree / "mirror"), str(tree / "man"), "d1", engines)["counts"]
+    assert again["skipped_unchanged"] == 3
+    records = shard.decode((tree / "man/d1.jsonl").read_bytes(), strict=True)[0]
+    assert [r["media"] for r in records if r["source_path"] == "said.wav"] == [first["media"]] * 2
+
+
+def test_walk_opens_folders_for_parts(spark, tmp_path):
+    tree = small(tmp_path, {f"one/{a}/{b}.txt": b"x" for a in range(6) for b in range(5)})
+    found = run.entries(spark, str(tree / "src"))
+    assert found.rdd.getNumPartitions() > 4
+    assert [r.path for r in found.orderBy("ord").collect()] == [e[0] for e in walk.walk(str(tree / "src"))]
+
+
+def test_order_over_partitions(spark):
+    paths = [f"p{k:04}" for k in range(200)]
+    frame = lambda rows: spark.createDataFrame([(p,) for p in rows], "path string").repartition(1)
+    assert bundles.is_rising(spark.createDataFrame([(p,) for p in paths], "path string"), "path")
+    assert bundles.is_rising(frame([]), "path") and not bundles.is_rising(frame(["b", "a"]), "path") and not bundles.is_rising(frame(["a", "a"]), "path")
+    assert not bundles.is_rising(spark.createDataFrame([(p,) for p in [*paths[100:], *paths[:100]]], "path string"), "path")
+
+
 def test_layout_is_refused(spark, tree):
     with pytest.raises(run.Refused):
         run.run(spark, str(tree / "src"), str(tree / "src/mirror"), str(tree / "man"), "d1")
