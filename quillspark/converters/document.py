@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import posixpath
 import re
+import struct
 import zipfile
 from xml.etree import ElementTree
 
+from quillspark.converters import differential, legacy
 from quillspark.converters.archive import opened
 from quillspark.converters.base import ConvertError, Outcome, Segment, normalize
 from quillspark.converters.html import strip_html
@@ -192,16 +194,18 @@ def markdown_to_plain(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip("\n") + "\n" if any(out) else ""
 
 
-READERS = {"docx": docx, "pptx": pptx, "odt": open_document, "odp": open_document, "epub": epub, "rtf": rtf}
+READERS = {"doc": legacy.doc, "ppt": legacy.ppt, "docx": docx, "pptx": pptx, "odt": open_document, "odp": open_document, "epub": epub, "rtf": rtf}
 
 
 def convert(data: bytes, fmt: str) -> Outcome:
-    if fmt in ("doc", "ppt"):
-        raise ConvertError("unsupported", f"legacy {fmt} files have no reader here")
     if fmt not in READERS:
         raise ConvertError("unclaimed_format", fmt)
-    text = normalize(READERS[fmt](data))
+    try:
+        text = normalize(READERS[fmt](data))
+    except struct.error as e:
+        raise ConvertError("malformed", str(e)) from None
     text = text + "\n" if text else ""
     if data and not text:
         raise ConvertError("empty_output", f"source is {len(data)} bytes but conversion produced no text")
-    return Outcome(text, "anydoc-document", [], [Segment("span", 0, len(text.encode()), "document")])
+    warnings = differential.check(text, data, fmt) if fmt in differential.SCANS else []
+    return Outcome(text, "anydoc-document", warnings, [Segment("span", 0, len(text.encode()), "document")])

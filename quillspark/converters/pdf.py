@@ -100,8 +100,13 @@ def convert(data: bytes, fmt: str = "pdf") -> Outcome:
             streams.append(_inflated(m[1], body[: m.start()], budget))
     codes = _unicode_map(streams)
     pages = [text_of(s, codes) for s in streams if re.search(rb"\bBT\b", s)]
-    text = normalize("\n\n".join(p for p in pages if p))
+    pictures = sum(bool(re.search(rb"/\S+\s+Do\b", s)) and not text_of(s, codes) for s in streams)
+    shown = [p for p in pages if p]
+    text = normalize("\n\n".join(shown))
     if not has_meaning(text):
         raise ConvertError("pdf_no_text_layer", "the document shows no text")
     text += "\n"
-    return Outcome(text, "pdf-subprocess", [], [Segment("span", 0, len(text.encode()), "document")])
+    warnings = [f"pdf_partial_text: {pictures} of {pictures + len(shown)} pages show a picture and no text"] if pictures else []
+    # a document that is mostly pictures is not trusted as converted: what text it has is recovered, and says so
+    recovered = pictures > len(shown)
+    return Outcome(text, "pdf-text-recovered" if recovered else "pdf-subprocess", warnings, [Segment("span", 0, len(text.encode()), "document")])

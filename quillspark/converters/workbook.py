@@ -1,9 +1,10 @@
-"""Workbooks (xlsx, xlsm, ods) to text, with what is hidden marked; legacy workbooks fail closed."""
+"""Workbooks (xlsx, xlsm, ods, xls) to text, with what is hidden marked."""
 
 from __future__ import annotations
 
 import posixpath
 import re
+import struct
 import unicodedata
 import zipfile
 from dataclasses import dataclass, field
@@ -217,11 +218,29 @@ def convert(data: bytes, fmt: str) -> Outcome:
     if fmt not in ("xlsx", "xlsm", "ods", "xls"):
         raise ConvertError("unclaimed_format", f"the workbook converter does not handle {fmt}")
     if fmt == "xls":
-        raise ConvertError("visibility_read_error", "what a legacy workbook hides cannot be resolved here")
+        return _legacy(data)
     try:
         out = render(ods(data) if fmt == "ods" else xlsx(data))
     except ValueError as e:
         raise ConvertError("workbook_parse_error", str(e)) from None
+    return _with_text(out, data)
+
+
+def _with_text(out: Outcome, data: bytes) -> Outcome:
     if data and not out.text:
         raise ConvertError("empty_output", f"source is {len(data)} bytes but conversion produced no text")
     return out
+
+
+def _legacy(data: bytes) -> Outcome:
+    """A legacy workbook, its values compared with those of a second extraction."""
+    from quillspark.converters import biff, differential
+
+    try:
+        sheets, warnings = biff.xls(data)
+    except struct.error as e:
+        raise ConvertError("workbook_parse_error", str(e)) from None
+    out = _with_text(render(sheets), data)
+    values = "\n".join(v for s in sheets for _, v in sorted(s.cells.items()))
+    out.warnings += warnings + differential.check(values, data, "xls")
+    return out

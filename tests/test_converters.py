@@ -6,7 +6,7 @@ from io import BytesIO
 
 import pytest
 
-from quillspark.converters import archive, document, html, images, mail, media, registry, vector
+from quillspark.converters import archive, differential, document, html, images, legacy, mail, media, pdf, registry, vector, workbook
 from quillspark.converters.base import ConvertError, Segment, has_meaning, passthrough, segments_problem
 from quillspark.plans import builders, formats
 
@@ -146,3 +146,103 @@ def test_vector_geometry():
     for bad in (b"<html/>", b"<svg/>", b"junk", b'<!DOCTYPE x [<!ENTITY a "b">]><svg width="1" height="1"/>'):
         with pytest.raises(ConvertError):
             vector.geometry(bad)
+
+
+def test_compound_files():
+    big, small = bytes(range(256)) * 40, b"small stream"
+    file = legacy.CompoundFile(builders.cfb_of({"Big": big, "Small": small, "Other": b"", "Larger still": big * 9}))
+    assert file.stream("Big") == big and file.stream("Small") == small and file.stream("Larger still") == big * 9
+    assert file.stream("Absent") is None
+    for bad in (b"", b"x" * 600, builders.cfb_of({"Big": big})[:700]):
+        with pytest.raises(ConvertError):
+            legacy.CompoundFile(bad).stream("Big")
+
+
+def test_legacy_documents():
+    for wide in (False, True):
+        found = document.convert(builders.doc_of(["One café", "", "two"], wide), "doc")
+        assert found.text == "One café\n\ntwo\n" and not found.warnings
+    shown = legacy._shown("a\x13 HYPERLINK x \x14link\x15 b\rcell\x07two\x07\x07after\r\x01\x1e")
+    assert shown == "alink b\n\ncell\ttwo\n\nafter\n\n-"
+    data = bytearray(builders.doc_of(["secret"]))
+    at = data.index(b"\xec\xa5")
+    data[at + 11] |= 1
+    with pytest.raises(ConvertError, match="encrypted"):
+        document.convert(bytes(data), "doc")
+
+
+def test_legacy_presentations():
+    found = document.convert(builders.ppt_of([(["Title", "point\rnext"], ["shape é"]), ([], ["second"])]), "ppt")
+    assert found.text == "Title\n\npoint\n\nnext\n\nshape é\n\nsecond\n"
+    assert all(w.startswith("differential-divergence: ") for w in found.warnings)
+
+
+def test_legacy_workbooks():
+    total = struct.pack("<BHHHHBBH", 0x25, 0, 2, 0xC000, 0xC001, 0x42, 1, 4)
+    long = [["x" * 5000 + "é"], ["y" * 9000], ["short"]]
+    sheets = [("Visible", 0, [["a", "covert", 1.5], ["ghost", "", -3], [(7.0, total)]], (1,), (1,)), ("Secret", 2, long, (), ())]
+    found = workbook.convert(builders.xls_of(sheets), "xls")
+    raw = found.text.encode()
+    assert found.text.startswith("a\tcovert\t1.5\nghost\t\t-3\n7 [=SUM(A1:B3)]\n\n") and long[0][0] in found.text and long[1][0] in found.text
+    assert {raw[s.start : s.end].decode() for s in found.segments if s.hidden and s.source in ("row", "column")} == {"covert", "", "ghost\t\t-3"}
+    assert [(s.name, s.hidden) for s in found.segments if s.kind == "span" and s.source == "sheet"] == [("Visible", False), ("Secret", True)]
+    assert not found.warnings
+    unread = workbook.convert(builders.xls_of([("S", 0, [[(2.0, b"\x39\0\0")]], (), ())]), "xls")
+    assert unread.text == "2\n" and unread.warnings == ["formulas-unread: 1 cells show their values alone"]
+    for data, reason in ((b"x", "visibility_read_error"), (builders.cfb_of({"Workbook": b"\x09\x08\x04\0\0\x02\0\0"}), "visibility_read_error"), (builders.xls_of(sheets)[:-600], "")):
+        with pytest.raises(ConvertError, match=reason):
+            workbook.convert(data, "xls")
+
+
+def test_differential_verdicts(monkeypatch):
+    data = builders.doc_of(["one two three four"])
+    monkeypatch.setitem(differential.SCANS, "doc", lambda _: "one two three four " * 3)
+    with pytest.raises(ConvertError, match="differential-divergence: secondary=.* len_ratio=0.3"):
+        document.convert(data, "doc")
+    assert registry.convert(data, "doc")[1].startswith("differential-divergence")
+    monkeypatch.setitem(differential.SCANS, "doc", lambda _: "one two three")
+    assert document.convert(data, "doc").warnings[0].startswith("differential-divergence: ")
+
+    def broken(_):
+        raise ConvertError("malformed", "x")
+
+    monkeypatch.setitem(differential.SCANS, "doc", broken)
+    assert document.convert(data, "doc").warnings == ["differential-unavailable: malformed"]
+
+
+def test_pdf_with_pictures():
+    plain = builders.pdf_of(["some text"])
+    picture = b"9 0 obj\n<</Length 20>>\nstream\nq 1 0 0 1 0 0 cm /Im1 Do Q\nendstream\nendobj\n"
+    one, two = (plain.replace(b"trailer", picture * n + b"trailer") for n in (1, 2))
+    assert pdf.convert(plain).warnings == []
+    assert (pdf.convert(one).converter_id, pdf.convert(one).warnings) == ("pdf-subprocess", ["pdf_partial_text: 1 of 2 pages show a picture and no text"])
+    assert pdf.convert(two).converter_id == "pdf-text-recovered"
+
+
+def test_heic_metadata():
+    box = lambda kind, body: struct.pack(">I4s", len(body) + 8, kind) + body
+    tiff = b"II*\0\x08\0\0\0\x01\0" + struct.pack("<HHI4s", 0x0131, 2, 4, b"abc\0") + b"\0\0\0\0"
+    item = b"\0\0\0\0" + tiff
+    infe = box(b"infe", b"\x02\0\0\0" + struct.pack(">HH", 1, 0) + b"Exif\0")
+    head = box(b"ftyp", b"heic\0\0\0\0")
+    meta = lambda at: box(b"meta", b"\0\0\0\0" + box(b"iinf", b"\0\0\0\0\0\x01" + infe) + box(b"iloc", b"\0\0\0\0\x44\0" + struct.pack(">HHHHII", 1, 1, 0, 1, at, len(item))))
+    data = head + meta(len(head) + len(meta(0)) + 8) + box(b"mdat", item)
+    found = images.metadata(data, "heic")
+    assert "abc" in found.text and found.text.count("\n") == 1
+    with pytest.raises(ConvertError):
+        images.metadata(data[:-10], "heic")
+    assert images.metadata(head, "heic") is None
+
+
+def test_packed_sound_is_measured():
+    flac = b"fLaC\0\0\0\x22" + bytes(10) + (44_100 << 44 | 44_100 * 30).to_bytes(8, "big") + bytes(16)
+    assert media.preflight(flac, "flac") == 30
+    frame = b"\xff\xfb\x90\0".ljust(417, b"\0")
+    assert abs(media.preflight(frame * 100, "mp3") - 100 * 1152 / 44_100) < 1e-9
+    movie = b"\0\0\0\x6cmvhd\0\0\0\0" + struct.pack(">IIII", 0, 0, 1000, 4_000_000) + bytes(80)
+    with pytest.raises(ConvertError, match="asr-duration-exceeded"):
+        media.preflight(movie, "m4a")
+    for data, fmt in ((b"x", "flac"), (b"", "mp3"), (b"y" * 50, "m4a")):
+        with pytest.raises(ConvertError, match="asr-malformed"):
+            media.preflight(data, fmt)
+    assert registry.convert(flac, "flac")[1] == "engine-unpinned: no decoder for 30 s of flac"
