@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -159,3 +160,41 @@ def svg_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
         return [key, round(width, 6), round(height, 6)]
 
     return per_row(table(spark, sf_dir, "part").select("p_partkey", "p_size"), one, "p_partkey long, width double, height double")
+
+
+@query("""SELECT doc_id, sha256(array_to_string(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> ''), chr(10) || chr(10)) || chr(10)) AS text_hash, '' AS warnings FROM documents WHERE regexp_full_match(text, '[\\x0A\\x20-\\x7E]+')""")
+def doc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legacy documents in pieces, narrow and wide, with the second extraction in agreement."""
+
+    def one(doc_id: int, text: str) -> list:
+        found, error = registry.convert(builders.doc_of([p.strip() for p in text.split("\n")], doc_id % 2 == 0), "doc")
+        return [doc_id, sha(found.text) if found else error, "; ".join(found.warnings) if found else ""]
+
+    rows = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\A[\x0A\x20-\x7E]+\z")).select("doc_id", "text")
+    return per_row(rows, one, "doc_id long, text_hash string, warnings string")
+
+
+@query("""SELECT CAST(p_partkey // 50 AS BIGINT) AS file, string_agg(p_name || chr(10) || chr(10) || 'size ' || p_size || chr(10) || chr(10) || 'é' || p_partkey, chr(10) || chr(10) ORDER BY p_partkey) || chr(10) AS text, '' AS warnings FROM part GROUP BY p_partkey // 50""")
+def ppt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legacy presentations: a slide for each part, with two texts in the outline and one in a shape."""
+
+    def one(k: int, rows: pd.DataFrame) -> list[list]:
+        found, error = registry.convert(builders.ppt_of([([n, f"size {s}"], [f"é{key}"]) for key, n, s in rows.itertuples(index=False, name=None)]), "ppt")
+        return [[k, found.text if found else error, "; ".join(w for w in found.warnings if "divergence" not in w) if found else ""]]
+
+    return per_file(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey", 50, one, "file long, text string, warnings string")
+
+
+@query("""SELECT CAST(p_partkey // 200 AS BIGINT) AS file, string_agg(p_partkey || chr(9) || p_name || chr(9) || p_size || ' [=B1]' || chr(10), '' ORDER BY p_partkey) || chr(10) || 'secret' || chr(10) AS text,
+  count(*) + 2 AS hidden, '' AS warnings FROM part GROUP BY p_partkey // 200""")
+def xls_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legacy workbooks of both versions, whose second column, first row and second sheet are hidden."""
+    b1 = {True: struct.pack("<BHH", 0x44, 0, 0xC001), False: struct.pack("<BHB", 0x44, 0xC000, 1)}
+
+    def one(k: int, rows: pd.DataFrame) -> list[list]:
+        new = k % 2 == 0
+        cells = [[int(a), b, (float(c), b1[new])] for a, b, c in rows.itertuples(index=False, name=None)]
+        found, error = registry.convert(builders.xls_of([("Parts", 0, cells, (1,), (0,)), ("More", 2, [["secret"]], (), ())], new), "xls")
+        return [[k, found.text, sum(s.hidden for s in found.segments), "; ".join(found.warnings)]] if found else [[k, error, 0, ""]]
+
+    return per_file(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey", 200, one, "file long, text string, hidden long, warnings string")

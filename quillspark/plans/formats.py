@@ -40,7 +40,7 @@ REFINES = {"ai": "pdf", "svg": "xml", "tableau-workbook": "xml", "tableau-dataso
 BASENAMES = {".env": "env"}
 VERSIONS = {
     "text-passthrough": "1.2.0", "html-strip": "1.0.0", "eml-mime": "1.0.0", "container-zip": "1.0.0", "anydoc-document": "1.0.0", "workbook-ir": "1.0.0",
-    "pdf-subprocess": "1.0.0", "records-worker": "1.0.0", "image-pixel-ocr": "1.1.0", "asr-adapter": "2.0.0", "image-metadata": "1.0.0",
+    "pdf-subprocess": "1.0.0", "records-worker": "1.0.0", "image-pixel-ocr": "1.1.0", "asr-adapter": "2.0.0", "pdf-text-recovered": "1.0.0", "image-metadata": "1.0.0",
 }
 CONTAINERS = ("zip", "eml")
 METADATA_FORMATS = ("png", "jpeg", "webp", "heic")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import agreement, dedup, manifest, render
+from quillspark.operators import agreement, bundles, dedup, manifest, render
 from quillspark.plans import formats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,12 +125,17 @@ def walk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.numbered(sources(spark, sf_dir).select("source_path"), [F.split("source_path", "/")], "ord")
 
 
-@query("""SELECT page_id, url, lower(regexp_extract(url, '\\.([^./?#]*)$', 1)) AS ext,
-  NOT (url = '.DS_Store' OR suffix(url, '-wal') OR suffix(url, '-shm') OR suffix(url, '.tmp')) AS walked FROM pages""")
+_FILE = "CASE CAST(page_id AS BIGINT) % 7 WHEN 0 THEN '.DS_Store' WHEN 1 THEN 'base.db-wal' WHEN 2 THEN page_id || '-shm' WHEN 3 THEN page_id || '.tmp' WHEN 4 THEN '.DS_Store.txt' WHEN 5 THEN 'wal' ELSE page_id || '.html' END"
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.expr(_FILE).alias("name"))
+
+
+@query(f"SELECT page_id, name, NOT (name = '.DS_Store' OR suffix(name, '-wal') OR suffix(name, '-shm') OR suffix(name, '.tmp')) AS walked FROM (SELECT page_id, {_FILE} AS name FROM pages)")
 def noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = F.col("url")
-    noise = (u == ".DS_Store") | F.endswith(u, F.lit("-wal")) | F.endswith(u, F.lit("-shm")) | F.endswith(u, F.lit(".tmp"))
-    return table(spark, sf_dir, "pages").select("page_id", "url", F.lower(F.regexp_extract(u, r"\.([^./?#]*)$", 1)).alias("ext"), (~noise).alias("walked"))
+    name = F.col("name")
+    return _files(spark, sf_dir).select("page_id", "name", (~T.is_noise(name)).alias("walked"))
 
 
 # --- scalar transforms and gates -----------------------------------------------------------------------------------
@@ -234,8 +239,8 @@ def output_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
   regexp_full_match(event_type || '.' || user_id, '[A-Za-z0-9][A-Za-z0-9._-]{0,63}') AS run_ok, regexp_full_match(props, '[A-Za-z0-9_-]+') AS props_ok FROM events""")
 def name_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    division, run = "^[A-Za-z0-9_-]+$", "^[A-Za-z0-9][A-Za-z0-9._-]{0,63}$"
-    return e.select("user_id", "event_type", F.concat_ws("-", "event_type", "user_id").rlike(division).alias("division_ok"), F.concat_ws(".", "event_type", "user_id").rlike(run).alias("run_ok"), F.col("props").rlike(division).alias("props_ok")).distinct()
+    division, run = T.is_division(F.concat_ws("-", "event_type", "user_id")), T.is_run_id(F.concat_ws(".", "event_type", "user_id"))
+    return e.select("user_id", "event_type", division.alias("division_ok"), run.alias("run_ok"), T.is_division(F.col("props")).alias("props_ok")).distinct()
 
 
 # --- detection and routing -----------------------------------------------------------------------------------------
@@ -334,12 +339,12 @@ def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {RUN_LOG} SELECT division, {STATUS_SQL}, count(*) AS total FROM run_log GROUP BY division")
 def bundle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest.status_counts(run_log(spark, sf_dir), "division")
+    return bundles.counts_and_coverage(run_log(spark, sf_dir)).drop("covered", "sources")
 
 
-@query(f"WITH {RUN_LOG} SELECT count(*) FILTER (bearing) AS covered, count(*) AS total FROM terminal")
+@query(f"WITH {RUN_LOG} SELECT division, count(*) FILTER (bearing) AS covered, count(*) AS sources FROM terminal GROUP BY division")
 def bundle_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest.terminal(run_log(spark, sf_dir)).agg(F.count_if(manifest.has_text(F.col("status"))).alias("covered"), F.count(F.lit(1)).alias("total"))
+    return bundles.counts_and_coverage(run_log(spark, sf_dir)).select("division", "covered", "sources")
 
 
 @query(f"""WITH {RUN_LOG} SELECT c.source_path, p.status IN ('converted', 'dedup', 'skipped_unchanged') AND c.source_hash = p.source_hash AS skip
@@ -349,21 +354,69 @@ def checkpoint_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.checkpoint(log.where("run = 2").drop("status"), log.where("run = 1")).select("source_path", "skip")
 
 
-@query(f"""WITH {RUN_LOG} SELECT source_path, 'failed' AS status, 'container-member-removed' AS error, 'archive-' || division || '.zip' AS parent_source FROM one
-WHERE source_path NOT IN (SELECT source_path FROM run_log WHERE run = 2 AND status <> 'unsupported')""")
+_MEMBERS = """members AS (SELECT doc_id, lang, n_chars, 'zips/' || source || '.zip' AS top, 'zips/' || source || '.zip.d/' || CASE doc_id % 4 WHEN 0 THEN doc_id || '.txt' WHEN 1 THEN 'conf.d/' || doc_id || '.txt'
+  WHEN 2 THEN 'in.zip.d/' || doc_id || '.txt' ELSE 'in.zip.d/x.d/deep.eml.d/' || doc_id || '.txt' END AS source_path FROM documents)"""
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as members of archives: at their top, in a folder that ends like a member's, in nested archives, and in mail in these."""
+    top = F.concat(F.lit("zips/"), "source", F.lit(".zip"))
+    inner = F.element_at(F.array(*map(F.lit, ("", "conf.d/", "in.zip.d/", "in.zip.d/x.d/deep.eml.d/"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    path = F.concat(top, F.lit(".d/"), inner, F.col("doc_id").cast("string"), F.lit(".txt"))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", top.alias("top"), path.alias("source_path"))
+
+
+@query(f"""WITH {_MEMBERS} SELECT source_path, 'failed' AS status, 'container-member-removed' AS error FROM members
+WHERE lang IN ('en', 'fr') AND n_chars % 3 = 0 AND n_chars % 5 <> 0 AND top IN (SELECT top FROM members WHERE lang = 'de' AND n_chars > 2000)""")
 def reconcile_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents of a language as members of an archive, of which the second run emits fewer."""
-    log = run_log(spark, sf_dir).withColumn("parent_source", F.concat(F.lit("archive-"), "division", F.lit(".zip")))
-    gone = manifest.removed_members(log.where("run = 1"), log.where("run = 2 and status <> 'unsupported'"))
-    return gone.select("source_path", "status", "error", "parent_source")
+    """Members of archives that some run expanded again, at any depth, of which it emitted fewer; every fifth was retired before."""
+    m = _members(spark, sf_dir)
+    retired = F.when(F.col("n_chars") % 5 == 0, "container-member-removed")
+    prior = m.where("lang in ('en', 'fr')").select(F.col("lang").alias("division"), "source_path", F.col("top").alias("parent_source"), F.lit("txt").alias("declared_format"), retired.alias("error"))
+    gone = manifest.removed_members(prior, m.where("lang = 'de' and n_chars > 2000").select(F.col("top").alias("source_path")), m.where("n_chars % 3 <> 0"))
+    return gone.select("source_path", "status", "error")
 
 
-@query("""SELECT doc_id, 'zips/' || source || '.zip' AS root FROM documents WHERE source IN (SELECT source FROM documents WHERE lang = 'fr')""")
+@query(f"""WITH {_MEMBERS}, roots AS (SELECT DISTINCT top AS root FROM members WHERE lang = 'fr' UNION SELECT DISTINCT top || '.d/in.zip' FROM members WHERE lang = 'de')
+SELECT doc_id, root FROM members, roots WHERE starts_with(source_path, root || '.d/')""")
 def descendants_of_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-level archives and nested ones as roots; folders such as ``conf.d`` are none."""
+    m = _members(spark, sf_dir)
+    nested = m.where("lang = 'de'").select(F.concat("top", F.lit(".d/in.zip")).alias("source_path"))
+    roots = m.where("lang = 'fr'").select(F.col("top").alias("source_path")).unionByName(nested)
+    return manifest.descendants(m, roots).select("doc_id", "root")
+
+
+@query(f"""WITH {_MEMBERS}, tops AS (SELECT DISTINCT top FROM members) SELECT top AS source_path, NOT EXISTS (SELECT 1 FROM members m WHERE starts_with(m.source_path, tops.top || '.d/') AND n_chars % 17 = 0) AS intact FROM tops""")
+def intact_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether all that stands below an archive is intact; every seventeenth size stands for a damaged member."""
+    m = _members(spark, sf_dir)
+    every = manifest.whole(m.select("source_path", (F.col("n_chars") % 17 != 0).alias("intact")))
+    return every.join(m.select(F.col("top").alias("source_path")).distinct(), "source_path", "left_semi")
+
+
+@query("""SELECT division, source_path, line_no - min(line_no) OVER (PARTITION BY division) AS line_no, status, error FROM (SELECT lang AS division, 'd/' || doc_id || '.txt' AS source_path,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS line_no, CASE WHEN n_chars < 500 THEN 'failed' ELSE 'converted' END AS status, CASE WHEN n_chars < 500 THEN 'empty_output' END AS error FROM documents)""")
+def shard_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' records written as shards, one for each language, each with a torn last line, and read back."""
+    from quillspark.plans.builders import in_files
+    from quillspark.sources import shard
+
+    failed = F.col("n_chars") < 500
+    path = F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    text = F.when(~failed, F.concat("lang", F.lit("/"), path, F.lit(".txt")))
+    fields = {
+        "schema": F.lit(shard.SCHEMA), "source_path": path, "source_hash": F.md5("text"), "source_size": F.octet_length("text"), "detected_format": F.lit("text"), "format_mismatch": F.lit(False),
+        "status": F.when(failed, "failed").otherwise("converted"), "text_path": text, "text_hash": F.when(~failed, F.md5("text")), "rules_version": F.lit("10"), "error": F.when(failed, "empty_output"),
+    }
     d = table(spark, sf_dir, "documents")
-    child = d.select("doc_id", F.concat(F.lit("zips/"), "source", F.lit(".zip.d/"), F.col("doc_id").cast("string")).alias("source_path"))
-    roots = d.where("lang = 'fr'").select(F.concat(F.lit("zips/"), "source", F.lit(".zip")).alias("source_path")).distinct()
-    return manifest.descendants(child, roots).select("doc_id", "root")
+    lines = d.select("lang", "doc_id", F.to_json(F.struct(*(c.alias(n) for n, c in fields.items()))).alias("value"))
+    out = None
+    for lang in sorted(r.lang for r in d.select("lang").distinct().collect()):
+        frame = in_files(lines.where(F.col("lang") == lang).orderBy("doc_id").select("value"), '{"schema":"torn', lambda p, lang=lang: shard.read(spark, p, lang)[0])
+        out = frame if out is None else out.unionByName(frame)
+    place = F.col("line_no") - F.min("line_no").over(Window.partitionBy("division"))
+    return out.select("division", "source_path", place.alias("line_no"), "status", "error")
 
 
 @query("""SELECT DISTINCT source || '.zip' AS source_path FROM documents WHERE source IN (SELECT source FROM documents WHERE lang = 'de')""")
@@ -417,29 +470,49 @@ def checksum_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.compared(log.where("run = 1").select("path", "hash"), log.where("run = 2 and source_size < 9000").select("path", "hash"))
 
 
-@query(f"""WITH {RUN_LOG}, tree AS (SELECT text_path AS path, source_hash AS hash FROM run_log WHERE run = 1 AND bearing)
-SELECT source_path, CASE WHEN path IS NULL THEN 'artifact missing' WHEN hash <> text_hash THEN 'artifact differs' ELSE 'ok' END AS state FROM (SELECT * FROM terminal WHERE bearing) r LEFT JOIN tree ON path = text_path""")
+@query(f"""WITH {RUN_LOG}, tree AS (SELECT text_path AS path, source_hash AS hash FROM run_log WHERE run = 1 AND bearing AND source_size % 11 <> 0)
+SELECT source_path, text_path, CASE WHEN path IS NULL THEN 'missing' WHEN hash <> text_hash THEN 'differs' ELSE 'ok' END AS state FROM (SELECT * FROM terminal WHERE bearing) r LEFT JOIN tree ON path = text_path""")
 def record_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = run_log(spark, sf_dir)
-    tree = log.where((F.col("run") == 1) & manifest.has_text(F.col("status"))).select(F.col("text_path").alias("path"), F.col("source_hash").alias("hash"))
-    records = manifest.terminal(log).where(manifest.has_text(F.col("status")))
-    state = F.when(F.col("path").isNull(), "artifact missing").when(F.col("hash") != F.col("text_hash"), "artifact differs").otherwise("ok")
-    return records.join(tree, F.col("text_path") == F.col("path"), "left").select("source_path", state.alias("state"))
+    tree = log.where((F.col("run") == 1) & manifest.has_text(F.col("status")) & (F.col("source_size") % 11 != 0)).select(F.col("text_path").alias("path"), F.col("source_hash").alias("hash"))
+    return bundles.artifact_states(manifest.terminal(log), tree)
 
 
-@query(f"""WITH {RUN_LOG} SELECT DISTINCT text_path AS path FROM run_log WHERE bearing AND text_path NOT IN (SELECT text_path FROM terminal WHERE text_path IS NOT NULL AND source_size > 1000)""")
+_TREE = """files AS (SELECT DISTINCT regexp_replace(text_path, '\\.txt$', '') || e AS path FROM run_log, (VALUES ('.txt'), ('.segments.jsonl'), ('.review.md'), ('.bak')) AS x(e) WHERE bearing)"""
+
+
+@query(f"""WITH {RUN_LOG}, {_TREE}, kept AS (SELECT regexp_replace(text_path, '\\.txt$', '') AS stem FROM terminal WHERE bearing AND source_size > 1000)
+SELECT path FROM files WHERE suffix(path, '.bak') OR regexp_replace(path, '\\.(txt|segments\\.jsonl|review\\.md)$', '') NOT IN (SELECT stem FROM kept)""")
 def unreferenced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = run_log(spark, sf_dir)
-    tree = log.where("text_path is not null").select(F.col("text_path").alias("path")).distinct()
-    return tree.join(manifest.terminal(log).where("source_size > 1000").select(F.col("text_path").alias("path")), "path", "left_anti")
+    ends = F.array(*map(F.lit, (".txt", ".segments.jsonl", ".review.md", ".bak")))
+    files = log.where("text_path is not null").select(F.regexp_replace("text_path", r"\.txt$", "").alias("stem"), F.explode(ends).alias("e"))
+    tree = files.select(F.concat("stem", "e").alias("path")).distinct()
+    return bundles.unreferenced(tree, manifest.terminal(log).where("source_size > 1000"))
+
 
+@query(f"""WITH {RUN_LOG}, moved AS (SELECT source_path, division, CASE WHEN source_size % 7 = 0 THEN 'xx/' || source_path || '.txt' WHEN source_size % 7 = 1 THEN replace(text_path, '/documents/', '/../') ELSE text_path END AS text_path FROM terminal)
+SELECT source_path FROM moved WHERE text_path IS NOT NULL AND text_path <> division || '/' || source_path || '.txt'""")
+def misplaced_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last, size = manifest.terminal(run_log(spark, sf_dir)), F.col("source_size") % 7
+    path = F.when(size == 0, F.concat(F.lit("xx/"), "source_path", F.lit(".txt"))).when(size == 1, F.replace(F.col("text_path"), F.lit("/documents/"), F.lit("/../"))).otherwise(F.col("text_path"))
+    return bundles.misplaced(last.withColumn("text_path", path)).select("source_path")
 
-@query(f"""WITH {RUN_LOG}, folded AS (SELECT DISTINCT lower(lang || '/' || source || CAST(n_chars // 50 AS VARCHAR)) AS fold, (CASE WHEN n_chars % 100 < 50 THEN upper(lang) ELSE lang END) || '/' || source || CAST(n_chars // 50 AS VARCHAR) AS path
-  FROM documents) SELECT fold, array_to_string(list_sort(list(path)), '|') AS paths FROM folded GROUP BY fold HAVING count(*) > 1""")
+
+@query("""WITH folded AS (SELECT translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS fold, path FROM (SELECT DISTINCT (CASE WHEN doc_id % 2 = 0 THEN upper(lang) ELSE lang END) || '/' || source || CAST(doc_id // 2 AS VARCHAR) AS path FROM documents
+  UNION SELECT DISTINCT (CASE WHEN doc_id % 3 = 0 THEN upper(lang) ELSE lang END) || '/' || source || CAST(doc_id // 2 AS VARCHAR) FROM documents))
+SELECT fold, array_to_string(list_sort(list(path)), '|') AS paths FROM folded GROUP BY fold HAVING count(*) > 1""")
 def collision_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lang = F.when(F.col("n_chars") % 100 < 50, F.upper("lang")).otherwise(F.col("lang"))
-    paths = table(spark, sf_dir, "documents").select(F.concat(lang, F.lit("/"), "source", F.floor(F.col("n_chars") / 50).cast("string")).alias("text_path"))
-    return manifest.collisions(paths).select("fold", F.array_join("paths", "|").alias("paths"))
+    d = table(spark, sf_dir, "documents")
+    named = lambda k: d.select(F.concat(F.when(F.col("doc_id") % k == 0, F.upper("lang")).otherwise(F.col("lang")), F.lit("/"), "source", F.floor(F.col("doc_id") / 2).cast("string")).alias("text_path"))
+    return manifest.collisions(named(2).unionByName(named(3))).select("fold", F.array_join("paths", "|").alias("paths"))
+
+
+@query("""SELECT translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS fold, count(*) AS inputs, array_to_string(list_sort(list(DISTINCT name)), '|') AS names
+FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN 'Div' ELSE 'div' END || CAST(doc_id // 3 AS VARCHAR) AS name FROM documents) GROUP BY 1 HAVING count(*) > 1""")
+def division_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.when(F.col("doc_id") % 2 == 0, "Div").otherwise("div"), F.floor(F.col("doc_id") / 3).cast("string"))
+    return bundles.folded_collisions(table(spark, sf_dir, "documents").select(name.alias("name"))).withColumn("names", F.array_join("names", "|"))
 
 
 @query(f"""WITH {RUN_LOG}, a AS (SELECT division, {STATUS_SQL} FROM run_log WHERE run = 1 GROUP BY division), b AS (SELECT division, {STATUS_SQL} FROM run_log WHERE run = 2 GROUP BY division)
@@ -456,16 +529,27 @@ def checksum_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.strictly_increasing(paths, "path")
 
 
-@query("""SELECT hash, path FROM (SELECT md5(text) AS hash, lang || '/' || source AS path FROM documents WHERE lang IN ('en', 'fr') UNION SELECT md5(text), lang || '/' || source FROM documents WHERE lang IN ('fr', 'de'))""")
+@query(f"""WITH {SOURCES}, p AS (SELECT source_path AS path, CASE WHEN source_size % 9 = 0 THEN '' ELSE source_path END AS shown FROM sources), q AS (SELECT path, row_number() OVER (ORDER BY path) AS n FROM p)
+SELECT bool_and(n = m) AS rising, count(*) AS n FROM (SELECT n, row_number() OVER (ORDER BY n) AS m FROM q)""")
+def checksum_list_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of a list that is dealt out over partitions, judged from each partition's ends."""
+    paths = sources(spark, sf_dir).select("source_path").orderBy("source_path")
+    parts = bundles.disorder(paths, "source_path")
+    before = F.lag("last").over(Window.orderBy("part"))  # one row for each partition
+    good = parts.select((F.col("good") & (before.isNull() | (before < F.col("first")))).alias("good"))
+    return good.agg(F.bool_and("good").alias("rising")).crossJoin(paths.agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("""SELECT hash, path FROM (SELECT md5(text) AS hash, lang || '/' || source AS path FROM documents WHERE lang IN ('en', 'fr') UNION SELECT md5(text), lang || '/' || source FROM documents WHERE lang IN ('fr', 'de') UNION SELECT md5(text), lang || '/' || source FROM documents WHERE n_chars > 3000)""")
 def merge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("lang", F.md5("text").alias("hash"), F.concat_ws("/", "lang", "source").alias("path"))
-    return d.where("lang in ('en', 'fr')").drop("lang").union(d.where("lang in ('fr', 'de')").drop("lang")).distinct()
+    d = table(spark, sf_dir, "documents").select("lang", "n_chars", F.md5("text").alias("hash"), F.concat_ws("/", "lang", "source").alias("path"))
+    return bundles.merged([d.where(w).select("hash", "path") for w in ("lang in ('en', 'fr')", "lang in ('fr', 'de')", "n_chars > 3000")])
 
 
-@query("""SELECT lang, count(DISTINCT source) = 1 AS one_rules_version, min(lower(source)) AS first_fold, count(DISTINCT lower(source)) < count(DISTINCT source) AS folds_collide FROM documents GROUP BY lang""")
+@query("""SELECT o_custkey, count(DISTINCT md5(o_orderstatus)) AS versions, count(DISTINCT md5(o_orderstatus)) = 1 AS agree FROM orders GROUP BY o_custkey""")
 def rules_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one, fold = F.countDistinct("source"), F.countDistinct(F.lower("source"))
-    return table(spark, sf_dir, "documents").groupBy("lang").agg((one == 1).alias("one_rules_version"), F.min(F.lower("source")).alias("first_fold"), (fold < one).alias("folds_collide"))
+    """Order states as rules snapshots of bundles; a customer's orders are the inputs of a merge."""
+    return bundles.rules_agreement(table(spark, sf_dir, "orders").select("o_custkey", F.md5("o_orderstatus").alias("hash")), "o_custkey")
 
 
 # --- agreement and rendering ---------------------------------------------------------------------------------------
