@@ -45,6 +45,24 @@ def text_of(data: bytes, fmt: str) -> str:
     return found.text if isinstance(found, Outcome) else f"error: {error}"
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 < 4 THEN sha256(nfc_normalize(text)) END AS text_hash,
+  CASE doc_id % 7 WHEN 1 THEN 'stripped leading byte order mark' WHEN 2 THEN 'transcoded from utf-16le' WHEN 3 THEN 'transcoded from utf-16be' ELSE '' END AS warnings,
+  CASE doc_id % 7 WHEN 4 THEN 'invalid_utf8: invalid UTF-8 at byte ' || strlen(text) WHEN 5 THEN 'invalid_utf16: unpaired surrogate at byte 2' WHEN 6 THEN 'unsupported-encoding: UTF-32' END AS error FROM documents""")
+def text_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources by their byte order marks, whole and broken."""
+
+    def one(doc_id: int, text: str) -> list:
+        body = text.encode()
+        kinds = (
+            body, b"\xef\xbb\xbf" + body, b"\xff\xfe" + text.encode("utf-16le"), b"\xfe\xff" + text.encode("utf-16be"), body + b"\xff",
+            b"\xff\xfe\x00\xdc" + text.encode("utf-16le"), b"\xff\xfe\x00\x00" + text.encode("utf-32le"),
+        )
+        found, error = registry.convert(kinds[doc_id % 7], "text")
+        return [doc_id, sha(found.text) if found else None, "; ".join(found.warnings) if found else "", error]
+
+    return per_row(table(spark, sf_dir, "documents").select("doc_id", "text"), one, "doc_id long, text_hash string, warnings string, error string")
+
+
 @query()
 def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     def one(page_id: int, markup: str) -> list:
