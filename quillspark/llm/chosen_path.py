@@ -3,10 +3,11 @@
 Texts are sets of word shingles; texts with equal sets are one class from the start. A set is embedded as the vector of
 its minima under a number of hash functions, so that two sets agree in a position with the probability of their
 Jaccard similarity. A run splits all sets by the values in a few sampled positions; sets that stand in a large bucket
-are split again by positions sampled for that bucket, and so on, until the buckets are small or splitting doesn't make
-them smaller; small buckets are compared by brute force. Runs are repeated until a pair at the threshold is found with
-the target probability at the depth that was reached. Buckets that stay large, as near copies make them, are compared
-in blocks, each pair of blocks by itself.
+are split again by positions sampled for that bucket, and so on; small buckets are compared by brute force. After a few
+levels splitting goes on only while all large buckets together need more comparisons than a number for each set and run,
+and while it helps. Buckets that stay large, as near copies make them, are compared in blocks, each pair of blocks by
+itself. Runs are repeated until a pair at the threshold is found with the target probability at the depth that was
+reached.
 
 What the buckets join are candidates by the estimate, with a margin. The groups they form are then compared in whole
 sets, again in blocks where they are large, which gives exact links and classes.
@@ -28,10 +29,11 @@ from quillspark.llm.grouped import pairs_within, runs_of_groups
 
 #: Hash functions of the embedding.
 POSITIONS = 64
-#: Sets in a bucket that is compared at once; sets and shingles in a block of a large bucket.
-BUCKET, BLOCK, BLOCK_SHINGLES = 128, 512, 2_000_000
-#: A split helps a bucket if it leaves at most this share of it together; one that isn't helped so often in a row stays.
-HELPS, PATIENCE = 0.75, 3
+#: Sets in a bucket that is compared at once; levels that are always split; sets and shingles in a block of a large bucket.
+BUCKET, LEVELS, BLOCK, BLOCK_SHINGLES = 128, 3, 512, 2_000_000
+#: Below these levels, comparisons for each set and run that need no further split, and the share of the work of the level
+#: above at which a split still helps.
+PAIRS, HELPS = 1024, 0.75
 _A = mix64(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _B = mix64(_A + np.uint64(7))
 
@@ -126,10 +128,7 @@ def _child(node: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def _first_level(sets: DataFrame, similarity: float, runs: range) -> DataFrame:
-    """(key, id, component) of each set in the children of each run's root; these sample the same positions for all sets.
-
-    parent is the number of sets in the bucket above, stalled how many splits in a row did not help.
-    """
+    """(key, id, component) of each set in the children of each run's root; these sample the same positions for all sets."""
     roots = mix64(np.array(runs, np.uint64))
     which, at = np.nonzero(chosen(roots, similarity))
 
@@ -140,23 +139,22 @@ def _first_level(sets: DataFrame, similarity: float, runs: range) -> DataFrame:
                 again = [pa.array(np.repeat(batch[k].to_numpy(), len(at))) for k in (0, 2)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *again], ["key", "id", "component"])
 
-    rows = sets.select("id", "sig", "component").mapInArrow(run, "key long, id long, component long")
-    return rows.withColumns({"parent": F.lit(1 << 62), "stalled": F.lit(0)})
+    return sets.select("id", "sig", "component").mapInArrow(run, "key long, id long, component long")
 
 
 def _children(rows: DataFrame, similarity: float) -> DataFrame:
-    """(key, id, component, parent, stalled) of each set in each of its node's children; rows: these and sig."""
+    """(key, id, component) of each set in each of its node's children; rows: key, id, component, sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 node = batch[0].to_numpy().astype(np.uint64)
                 row, at = np.nonzero(chosen(node, similarity))
-                keys = _child(node[row], at, _matrix(batch[5])[row, at].astype(np.uint64))
-                again = [batch[k].take(pa.array(row)) for k in (1, 2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *again], ["key", "id", "component", "parent", "stalled"])
+                keys = _child(node[row], at, _matrix(batch[3])[row, at].astype(np.uint64))
+                again = [batch[k].take(pa.array(row)) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *again], ["key", "id", "component"])
 
-    return rows.select("key", "id", "component", "parent", "stalled", "sig").mapInArrow(run, "key long, id long, component long, parent long, stalled int")
+    return rows.select("key", "id", "component", "sig").mapInArrow(run, "key long, id long, component long")
 
 
 def in_blocks(rows: DataFrame, blocks: str) -> DataFrame:
@@ -196,30 +194,33 @@ def _links_by_estimate(rows: DataFrame, agreeing: int) -> DataFrame:
     return runs_of_groups(rows, "unit", 20_000, compare, "a long, b long")
 
 
-def _search(sets: DataFrame, similarity: float, runs: range, agreeing: int, keep: Scratch) -> tuple[DataFrame, int]:
+def _search(sets: DataFrame, similarity: float, runs: range, agreeing: int, pairs: int, keep: Scratch) -> tuple[DataFrame, int]:
     """A forest (a, b) over the pairs of sets that these runs bring together and the estimate does not exclude; and the levels split.
 
-    Sets that are in one component already need no link, so buckets of one component are left out.
+    Sets that are in one component already need no link, so buckets of one component are left out. ``pairs`` is what large
+    buckets may cost together, from the level ``LEVELS`` on, without being split again.
     """
-    level, found, near = _first_level(sets, similarity, runs), [], sets
+    level, found, near, before = _first_level(sets, similarity, runs), [], sets, math.inf
+    large = F.col("size") > BUCKET
     while True:
+        depth = len(found) + 1
         level = keep.stored(level, "paths")
-        size = level.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("parent").alias("above"), F.max("stalled").alias("stalled"))
-        stalled = F.when(F.col("size") <= HELPS * F.col("above"), 0).otherwise(F.col("stalled") + 1)
-        size = size.where("size > 1 and lo < hi").select(apart(F.col("key")).alias("key"), F.col("size").alias("parent"), stalled.alias("stalled"))
-        # this and the next join by sort and merge whatever the size is, so that plans are the same at every size
-        shared = keep.stored(level.select("key", "id", "component").join(size.hint("merge"), "key"), "shared-paths")
-        if not found:  # what shares no bucket now shares none below
+        size = level.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("size > 1 and lo < hi")
+        shared = keep.stored(level.join(size.select(apart(F.col("key")).alias("key"), "size"), "key"), "shared-paths")
+        if depth == 1:  # what shares no bucket now shares none below
             near = keep.stored(sets.join(shared.select("id").distinct().hint("merge"), "id"), "sharing-sets")
-        large = F.col("parent") > BUCKET
-        again = large & (F.col("stalled") < PATIENCE)
-        blocks = F.when(large, F.ceil(F.col("parent") / BLOCK)).otherwise(1)
-        placed = in_blocks(shared.where(~again).select("key", "id", "component", blocks.alias("blocks")), "blocks")
+        last = False
+        if depth >= LEVELS:
+            cost = float(shared.where(large).agg((F.sum("size") / 2).alias("pairs")).first().pairs or 0)
+            last, before = cost <= pairs or cost > HELPS * before, cost
+        ready = shared if last else shared.where(~large)
+        blocks = F.when(large, F.ceil(F.col("size") / BLOCK)).otherwise(1)
+        placed = in_blocks(ready.select("key", "id", "component", blocks.alias("blocks")), "blocks")
         found.append(keep.stored(_links_by_estimate(placed.join(near.select("id", "n", "sig"), "id"), agreeing).distinct(), "candidates"))
-        deeper = shared.where(again)
-        if deeper.isEmpty():
+        deeper = shared.where(large)
+        if last or deeper.isEmpty():
             break
-        level = _children(deeper.join(near.select("id", "sig").hint("merge"), "id"), similarity)
+        level = _children(deeper.hint("merge").join(near.select("id", "sig"), "id"), similarity)
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
@@ -230,13 +231,13 @@ def candidates(sets: DataFrame, similarity: float, recall: float, keep: Scratch)
     """(id, component): groups of sets that hold every candidate pair, but for a chance of 1 - ``recall`` at the threshold.
 
     The first runs find most groups; the others only look for what joins two of these. How many there must be follows
-    from the levels that were needed.
+    from the levels that were needed, ``LEVELS`` at least.
     """
-    agreeing, known, edges, deepest, done = least_agreeing(similarity, recall), sets.withColumn("component", F.col("id")), None, 1, 0
-    last = min(2, runs_needed(similarity, recall, 1))
+    agreeing, known, edges, deepest, done = least_agreeing(similarity, recall), sets.withColumn("component", F.col("id")), None, LEVELS, 0
+    last, each = min(2, runs_needed(similarity, recall, LEVELS)), PAIRS * sets.count()
     while True:
         own = Scratch(sets.sparkSession)
-        found, levels = _search(known, similarity, range(done + 1, last + 1), agreeing, own)
+        found, levels = _search(known, similarity, range(done + 1, last + 1), agreeing, each * (last - done), own)
         groups = components(found if edges is None else edges.unionByName(found), keep)
         own.clear()
         deepest, done = max(deepest, levels), last

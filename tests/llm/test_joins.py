@@ -65,6 +65,7 @@ def test_ngram_join_against_brute_force(spark, monkeypatch):
     check(chosen_path.near_duplicates(df).collect(), docs, jaccard_links(docs))
     monkeypatch.setattr(chosen_path, "BUCKET", 4)  # now most buckets are split, and large groups are met in blocks
     monkeypatch.setattr(chosen_path, "BLOCK", 8)
+    monkeypatch.setattr(chosen_path, "PAIRS", 0)
     check(chosen_path.near_duplicates(df).collect(), docs, jaccard_links(docs))
 
 
@@ -125,6 +126,7 @@ def test_runs_follow_the_depth():
 def test_ngram_join_splits_boilerplate(spark, monkeypatch):
     """Texts that share half of their words stand in large buckets until they are split deep enough."""
     monkeypatch.setattr(chosen_path, "BUCKET", 4)
+    monkeypatch.setattr(chosen_path, "PAIRS", 0)
     depths, search = [], chosen_path._search
 
     def watched(*args):
