@@ -1,19 +1,20 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
-Each tree splits the unit vectors again and again along random directions, at the median of the vectors in the node;
-vectors close to a split go to both sides. How close, and how many trees, follows from the depth and the recall asked
-for, whatever the vectors are (see ``plan``). The first levels are fitted on a bounded sample and every vector is led
-down them as it is read; leaves that are still large are split further on the executors, level by level, at medians of
-all their vectors. So neither the driver nor a broadcast grows with the table. Inside a leaf all pairs are compared in
-double precision, large leaves in blocks; a pair that meets in several leaves counts in the first alone. Vectors that
-are equal are one from the start.
+A node has many children, each with a random direction; a vector goes to the child along whose direction it reaches
+farthest, and to those along which it reaches nearly as far. The places of two unit vectors along independent directions
+are normal variables that depend on their cosine alone, so how near, and how many trees, follows from the number of
+children, the levels and the recall asked for, whatever the vectors are (see ``plan``). The directions come from numbers
+alone: nothing is fitted or broadcast, and every vector finds its leaves by itself. Inside a leaf all pairs are compared
+in double precision, large leaves in blocks; a pair that meets in several leaves counts in the first alone. Leaves are
+compared in passes that move about as many rows as there are vectors, however many leaves a vector has; what a pass
+shuffled is deleted before the next. Vectors that are equal are one from the start.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,120 +22,156 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.chosen_path import in_blocks
-from quillspark.llm.common import Scratch, apart, mix64
+from quillspark.llm.common import Scratch, apart, shuffles_deleted
 from quillspark.llm.components import components, local_roots
 from quillspark.llm.grouped import runs_of_groups
 
 #: Vectors in a leaf aimed at, and in a block of a leaf that is larger all the same.
-LEAF, BLOCK = 256, 2048
-#: Sampled vectors that a node of the fitted levels has at least.
-FITTED = 64
-#: A node where more than this share of its vectors would go to both sides isn't split.
-SHARED = 0.5
+LEAF, BLOCK = 512, 2048
+#: Leaf rows that a pass moves at least.
+PASS = 500_000
+#: Labels of which the size is told to the executors, the largest; the others are split as the largest of them is.
+SIZED = 10_000
+#: Blocked leaves whose numbers of blocks are broadcast, at most.
+BLOCKED = 50_000
+#: Children a node may have, and levels a tree may have.
+CHILDREN, LEVELS = (16, 64, 256, 1024, 4096), 4
+#: Pairs that a plan is reckoned from.
+TRIALS = 4000
 #: More than the error of a cosine in single precision.
 ROUNDING = 1e-3
 
 
-@dataclass
-class Tree:
-    """Directions of each level, for each node in heap order its threshold, and the half-width of the overlap."""
+@lru_cache(maxsize=64)
+def _splits(threshold: float, children: int) -> list[tuple[float, float, float]]:
+    """(margin, chance that a pair at the threshold shares no child, children of a vector) for margins, by simulation.
 
-    directions: np.ndarray
-    thresholds: np.ndarray
-    overlap: float
-
-
-def plan(threshold: float, depth: int, recall: float) -> tuple[int, float]:
-    """Trees, and the half-width of the overlap as a multiple of 1 / sqrt(width), for a ``recall`` at the threshold.
-
-    Two unit vectors at the threshold are ``gap`` apart, so their places along a direction differ by a normal variable of
-    deviation gap / sqrt(width). Only a difference of more than two half-widths can part them, wherever the cut is: that
-    bounds the chance to lose the pair without regard to the data. Of the overlaps, the one with the fewest comparisons.
+    The chance is an upper bound, three deviations above what was seen.
     """
-    gap = math.sqrt(max(0.0, 2 - 2 * threshold))
-    options = []
-    for z in np.arange(1.0, 4.01, 0.05):
-        whole = math.erf(z / math.sqrt(2)) ** depth  # the chance that one tree keeps the pair together, at least
-        trees = max(1, math.ceil(math.log(1 - recall) / math.log(1 - whole))) if whole < 1 else 1
-        shared = math.erf(z * gap / 2 / math.sqrt(2))
-        options.append((trees * (1 + shared) ** (2 * depth), trees, float(z * gap / 2)))
-    return min(options)[1:]
-
-
-def grow(sample: np.ndarray, depth: int, seed: int, overlap: float) -> Tree:
-    """A tree over unit vectors; those within ``overlap`` / sqrt(width) of a cut go to both children."""
-    rng = np.random.default_rng(seed)
-    width = sample.shape[1]
-    tree = Tree(rng.standard_normal((depth, width)) / math.sqrt(width), np.zeros(2**depth), overlap / math.sqrt(width))
-    nodes = {1: np.arange(len(sample))}
-    for level in range(depth):
-        place = sample @ tree.directions[level]
-        below = {}
-        for node, rows in nodes.items():
-            own = place[rows] if len(rows) >= 8 else place  # too few to tell: the whole sample stands in
-            cut = float(np.median(own)) if len(own) else 0.0
-            if len(own) and (np.abs(own - cut) <= tree.overlap).mean() > SHARED:
-                tree.thresholds[node] = np.inf  # a group that no cut parts: all go to the first child
-                below[2 * node] = rows
-                continue
-            tree.thresholds[node] = cut
-            below[2 * node], below[2 * node + 1] = rows[place[rows] < cut + tree.overlap], rows[place[rows] >= cut - tree.overlap]
-        nodes = below
-    return tree
-
-
-def leaves(tree: Tree, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, leaf) of each vector in each leaf it belongs to."""
-    row, node = np.arange(len(unit)), np.ones(len(unit), np.int64)
-    for level in range(len(tree.directions)):
-        beyond = (unit @ tree.directions[level])[row] - tree.thresholds[node]
-        low, high = beyond < tree.overlap, beyond >= -tree.overlap
-        row, node = np.concatenate([row[low], row[high]]), np.concatenate([2 * node[low], 2 * node[high] + 1])
-    return row, node
+    rng = np.random.default_rng([7919, children])
+    kept, apart = [], []
+    for _ in range(TRIALS // 500):
+        a, other = rng.standard_normal((2, 500, children), np.float32)
+        b = threshold * a + math.sqrt(max(0.0, 1 - threshold * threshold)) * other
+        below_a, below_b = a.max(axis=1, keepdims=True) - a, b.max(axis=1, keepdims=True) - b
+        apart.append(np.maximum(below_a, below_b).min(axis=1))
+        kept.append(below_a)
+    needed, below = np.concatenate(apart), np.concatenate(kept)
+    out = []
+    for margin in np.arange(0.0, 3.01, 0.05):
+        lost = float((needed > margin).mean())
+        lost = min(1.0, lost + 3 * math.sqrt(lost * (1 - lost) / len(needed)) + 3 / len(needed))
+        out.append((float(margin), lost, float((below <= margin).sum(axis=1).mean())))
+    return out
 
 
-def further_levels(inside: DataFrame, levels: int, overlap: float, leaf: int, keep: Scratch) -> DataFrame:
-    """(key, id) of rows (key, id, places) in the leaves that ``levels`` more splits make of leaves beyond twice ``leaf``.
+@lru_cache(maxsize=256)
+def plan(threshold: float, rows: int, recall: float, leaf: int) -> tuple[int, int, int, float]:
+    """Trees, levels, children of a node and margin for a label of ``rows`` vectors and a ``recall`` at the threshold.
 
-    places: the vector's place along the direction of each further level of the leaf's tree. A leaf is cut at the median
-    of all its rows; what is within ``overlap`` of the cut goes to both sides; a leaf that is mostly there stays.
+    Of the forests with that recall, the one with the least to do: projections, leaf rows to move (each as dear as eight
+    times ``leaf`` comparisons, and moved once for each block of its leaf) and comparisons.
     """
-    level, done = inside, []
-    for k in range(levels):
-        place = F.col("places")[k].cast("double")
-        quarters = F.percentile_approx(place, [0.25, 0.5, 0.75], 500)
-        sizes = level.groupBy("key").agg(F.count(F.lit(1)).alias("size"), quarters.alias("q"))
-        wide = (F.col("q")[2] - F.col("q")[1] > overlap) | (F.col("q")[1] - F.col("q")[0] > overlap)
-        cut = sizes.select(apart(F.col("key")).alias("key"), F.when((F.col("size") > 2 * leaf) & wide, F.col("q")[1]).alias("cut"))
-        step = keep.stored(level.join(cut, "key"), "split-leaves")
-        done.append(step.where("cut is null").select("key", "id"))
-        low, high = F.when(place < F.col("cut") + overlap, 0), F.when(place >= F.col("cut") - overlap, 1)
-        sides = step.where("cut is not null").select("key", "id", "places", F.explode(F.array_compact(F.array(low, high))).alias("side"))
-        level = sides.select(F.xxhash64("key", "side").alias("key"), "id", "places")
-    out = level.select("key", "id")
-    for part in done:
-        out = out.unionByName(part)
-    return out
-
-
-def unit_rows(flat: pa.ListArray, width: int) -> np.ndarray:
-    values = np.asarray(flat.flatten(), np.float64).reshape(-1, width)
+    if rows <= 2 * leaf:
+        return 1, 0, 1, 0.0
+    best = (math.inf, 1, 0, 1, 0.0)
+    for children in CHILDREN:
+        for margin, lost, into in _splits(threshold, children):
+            for levels in range(1, LEVELS + 1):
+                miss = 1 - (1 - lost) ** levels
+                if children**levels > 16 * rows or miss >= 1:
+                    continue
+                trees = max(1, math.ceil(math.log(1 - recall) / math.log(miss)))
+                inside, each = rows * (into / children) ** levels, into**levels
+                cost = trees * (children * each / into + each * (8 * leaf * max(1.0, inside / BLOCK) + inside))
+                best = min(best, (cost, trees, levels, children, margin))
+    return best[1:]
+
+
+@lru_cache(maxsize=64)
+def _directions(width: int, children: int, tree: int, level: int) -> np.ndarray:
+    return np.random.default_rng([width, children, tree, level]).standard_normal((children, width), np.float32)
+
+
+def leaves(unit: np.ndarray, trees: int, levels: int, children: int, margin: float, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf) of each vector in each leaf it belongs to, by row, then by tree and leaf."""
+    rows, found = [], []
+    for start in range(0, len(unit), chunk):
+        part = unit[start : start + chunk].astype(np.float32)
+        for tree in range(trees):
+            row, node = np.arange(len(part)), np.zeros(len(part), np.int64)
+            for level in range(levels):
+                place = part @ _directions(part.shape[1], children, tree, level).T
+                at, child = np.divmod(np.flatnonzero(place >= place.max(axis=1, keepdims=True) - np.float32(margin)), children)
+                first = np.searchsorted(at, np.arange(len(part) + 1))
+                many = (first[1:] - first[:-1])[row]
+                within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                child = child[np.repeat(first[row], many) + within]
+                row, node = np.repeat(row, many), np.repeat(node, many) * children + child
+            rows.append(row + start)
+            found.append(node + tree * children**levels)
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    row, leaf = np.concatenate(rows), np.concatenate(found)
+    order = np.lexsort((leaf, row))
+    return row[order], leaf[order]
+
+
+def unit_rows(values: np.ndarray) -> np.ndarray:
+    values = values.astype(np.float64)
     return values / np.sqrt((values * values).sum(axis=1, keepdims=True))
 
 
-def met_before(lists: pa.ListArray, own: int, width: int = 2048) -> np.ndarray:
-    """Which two rows share a key smaller than ``own``."""
-    row, key = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths())), np.asarray(lists.flatten())
-    row, (values, place) = row[key < own], np.unique(key[key < own], return_inverse=True)
-    met = np.zeros((len(lists), len(lists)), bool)
-    for k in range(0, len(values), width):
-        here = (place >= k) & (place < k + width)
-        dense = np.zeros((len(lists), min(width, len(values) - k)), np.float32)
-        dense[row[here], place[here] - k] = 1
-        met |= dense @ dense.T > 0
+def as_bytes(values: np.ndarray) -> pa.BinaryArray:
+    """Each row's numbers as one value: Spark moves that at once, an array number by number."""
+    ends = np.arange(len(values) + 1, dtype=np.int32) * np.int32(values.itemsize * values.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def from_bytes(column: pa.BinaryArray, kind: np.dtype) -> np.ndarray:
+    """The rows of :func:`as_bytes`; all are of one length."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(column.buffers()[2], kind, (int(ends[-1]) - int(ends[0])) // size, int(ends[0])).reshape(len(column), -1)
+
+
+def met_before(lists: pa.ListArray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs of rows share a value of their lists."""
+    sizes, values = np.asarray(lists.value_lengths()), np.asarray(lists.flatten())
+    width = int(sizes.max()) if len(sizes) else 0
+    met = np.zeros(len(left), bool)
+    if not width:
+        return met
+    full = np.full((len(lists), width), -1, np.int64)
+    row = np.repeat(np.arange(len(lists)), sizes)
+    full[row, np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
+    chunk = max(1, 4_000_000 // (width * width))
+    for k in range(0, len(left), chunk):
+        a, b = full[left[k : k + chunk], :, None], full[right[k : k + chunk], None, :]
+        met[k : k + chunk] = ((a == b) & (a >= 0)).any(axis=(1, 2))
     return met
 
 
+def near_pairs(unit: np.ndarray, side: np.ndarray, threshold: float, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with a cosine of ``threshold`` or more: between the sides 0 and 1, or among those of side 2."""
+    flat = unit.astype(np.float32)
+    whole = side[0] == 2
+    mine, other = (np.arange(len(side)),) * 2 if whole else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(0, len(mine), chunk):
+        a, b = mine[k : k + chunk], other[k:] if whole else other
+        left, right = np.divmod(np.flatnonzero(flat[a] @ flat[b].T >= threshold - ROUNDING), max(1, len(b)))  # few; settled below in doubles
+        if whole:
+            left, right = left[left < right], right[left < right]
+        left, right = a[left], b[right]
+        for j in range(0, len(left), 50_000):
+            l, r = left[j : j + 50_000], right[j : j + 50_000]
+            close = (unit[l] * unit[r]).sum(axis=1) >= threshold
+            lefts.append(l[close])
+            rights.append(r[close])
+    return np.concatenate(lefts), np.concatenate(rights)
+
+
 def _comparable() -> Column:
     """Whether a row may link: with id and label, and a finite vector that isn't zero."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -151,91 +188,84 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.
     non-finite part, link with nothing, nor do rows with a null id, whose component is null and which aren't kept. Rows
     that share an id are vectors of their own. A pair at the threshold is found with a probability of ``recall`` or more,
     closer ones with more, at every size of a label; no pair below it is linked. An empty table gives no rows; further
-    columns are ignored. The trees are fitted on at most ``sample`` vectors, the first by a hash; every vector is led down
-    all of them.
+    columns are ignored. Labels of up to twice ``leaf`` vectors are one leaf. ``sample`` bounded the fit of former trees;
+    nothing is fitted now, and it has no effect.
     """
-    spark, keep = vectors.sparkSession, Scratch(vectors.sparkSession)
+    with shuffles_deleted(vectors.sparkSession):
+        return _near_vectors(vectors, threshold, recall, leaf)
+
+
+def _near_vectors(vectors: DataFrame, threshold: float, recall: float, leaf: int) -> DataFrame:
+    keep = Scratch(vectors.sparkSession)
     part = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"  # compared as doubles, moved as they are
+    number = np.dtype(np.float32 if part == "float" else np.float64)
     columns = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast(f"array<{part}>"))
     marks = [F.xxhash64(F.lit(k), "label", "embedding").alias(f"h{k}") for k in (1, 2)]
     rows = columns.where(_comparable()).select("*", *marks)
-    first = F.first(F.struct("label", "embedding")).alias("v")
-    grouped = rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"), first)
-    distinct = keep.stored(grouped.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "vec_id", "copies", "v.*", F.size("v.embedding").alias("width")), "vectors")
-    most = distinct.groupBy("label", "width").count().agg(F.max("count")).first()[0] or 0
-    depth = max(0, math.ceil(math.log2(max(most, 1) / leaf)))
-    fitted = min(depth, max(0, int(math.log2(max(sample, 1) / FITTED))))
-    further = depth - fitted
-    trees, overlap = plan(threshold, depth, recall)
-    picked = distinct.orderBy("h1", "h2").limit(sample).select("width", "embedding").toPandas()
-    forests: dict[int, list[Tree]] = {}
-    for width, group in picked.groupby("width"):
-        x = np.array(group.embedding.tolist(), float)
-        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-        forests[int(width)] = [grow(x, fitted, seed, overlap) for seed in range(trees)]
-    shared = spark.sparkContext.broadcast(forests)
+    kinds = rows.groupBy(F.xxhash64("label").alias("label"), F.size("embedding").alias("width")).agg(F.approx_count_distinct("h1").alias("n"))
+    largest = kinds.orderBy(F.desc("n"), "label", "width").limit(SIZED + 1).collect()
+    size = {(r.label, r.width): 1 << max(0, r.n - 1).bit_length() for r in largest}
+    rest = min(size.values(), default=1)
+    plans = {n: plan(threshold, n, recall, leaf) for n in set(size.values())}
+    kind = "int" if max((trees * children**levels for trees, levels, children, _ in plans.values()), default=0) < 1 << 31 else "long"
+    names = ["id", "h1", "h2", "vec_id", "copies", "label", "width", "vector", "cells"]
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels = batch[2].to_numpy(zero_copy_only=False).astype(np.int64)
-            for width in np.unique(widths := batch[4].to_numpy()):
-                own = np.flatnonzero(widths == width)
-                chosen = batch.take(pa.array(own))
-                unit = unit_rows(chosen[3], int(width))
-                forest = shared.value.get(int(width)) or [grow(unit[:0], 0, 0, overlap)]
-                row, key, tree = [], [], []
-                with np.errstate(over="ignore"):
-                    for k, t in enumerate(forest):
-                        r, node = leaves(t, unit)
-                        row.append(r)
-                        tree.append(np.full(len(r), k, np.int32))
-                        key.append(mix64(mix64(labels[own][r].astype(np.uint64) + np.uint64(k)) ^ (node.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(width))).astype(np.int64))
-                row, key, tree = np.concatenate(row), np.concatenate(key), np.concatenate(tree)
-                order = np.lexsort((key, row))
-                row, key, tree = row[order], key[order], tree[order]
-                ends = pa.array(np.searchsorted(row, np.arange(len(own) + 1)), pa.int32())
-                # directions of the further levels come from numbers alone, so they need no fit; one tree's stand together
-                more = np.random.default_rng([7919, int(width)]).standard_normal((trees * further, int(width)))
-                places = (unit @ more.T).astype(np.float32)
-                lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (key, tree)]
-                along = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * trees * further, pa.int32()), pa.array(places.ravel()))
-                yield pa.RecordBatch.from_arrays([chosen[0], chosen[1], chosen[3], *lists, along], ["id", "copies", "embedding", "keys", "trees", "places"])
-
-    led = distinct.select("id", "copies", F.xxhash64("label").alias("label"), "embedding", "width").mapInArrow(lead, f"id long, copies long, embedding array<{part}>, keys array<long>, trees array<int>, places array<float>")
-    placed = keep.stored(led, "leaves")
-    if further:
-        each = placed.select("id", F.explode(F.arrays_zip("keys", "trees")).alias("at"), "places")
-        one = F.slice("places", F.col("at.trees") * further + 1, F.lit(further))
-        inside = further_levels(each.select(F.col("at.keys").alias("key"), "id", one.alias("places")), further, overlap, leaf, keep)
-        keys = inside.groupBy("id").agg(F.collect_list("key").alias("keys"))  # as many as a vector has leaves
-        placed = keep.stored(placed.select("id", "copies", "embedding").join(keys, "id"), "further-leaves")
-    inside = placed.select(F.explode("keys").alias("key"), "id")
-    size = inside.groupBy("key").count().where("count > 1").select(apart(F.col("key")).alias("key"), F.ceil(F.col("count") / BLOCK).alias("blocks"))
-    units = in_blocks(inside.join(size, "key"), "blocks").join(placed, "id")
+            labels, widths = batch[5].to_numpy(), batch[6].to_numpy()
+            wanted = np.array([size.get((a, b), rest) for a, b in zip(labels.tolist(), widths.tolist())], np.int64)
+            for width, n in sorted(set(zip(widths.tolist(), wanted.tolist()))):
+                chosen = batch.take(pa.array(np.flatnonzero((widths == width) & (wanted == n))))
+                values = np.asarray(chosen[7].flatten(), number).reshape(-1, width)
+                row, cell = leaves(unit_rows(values), *plans[n])
+                ends = pa.array(np.searchsorted(row, np.arange(len(chosen) + 1)), pa.int32())
+                cells = pa.ListArray.from_arrays(ends, pa.array(cell, pa.int32() if kind == "int" else pa.int64()))
+                yield pa.RecordBatch.from_arrays([*chosen.columns[:7], as_bytes(values), cells], names)
+
+    first = F.first(F.struct("label", "embedding")).alias("v")
+    grouped = rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"), first)
+    distinct = grouped.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "vec_id", "copies", F.xxhash64("v.label").alias("label"), F.size("v.embedding").alias("width"), "v.embedding")
+    schema = f"id long, h1 long, h2 long, vec_id long, copies long, label long, width int, vector binary, cells array<{kind}>"
+    placed = keep.stored(distinct.mapInArrow(lead, schema), "leaves")
+
+    key = F.xxhash64("label", "width", "cell").alias("key")
+    blocks = F.ceil(F.col("count") / BLOCK)
+    counts = placed.select("label", "width", F.explode("cells").alias("cell")).select(key).groupBy("key").count()
+    shared = keep.stored(counts.where("count > 1").select("key", "count", blocks.alias("blocks")), "leaf-sizes")
+    moved, large = shared.agg(F.sum(F.col("count") * F.col("blocks")), F.count_if(F.col("blocks") > 1)).first()
+    passes = max(1, math.ceil((moved or 0) / max(PASS, placed.count())))
+    below = F.slice("cells", F.lit(1), F.col("pos")).alias("below")  # the leaves before this one
+    each = placed.select("id", "copies", "vector", "cells", "label", "width", F.posexplode("cells").alias("pos", "cell"))
+    each = each.select("id", "copies", "vector", below, key)
+    more = shared.where("blocks > 1").select("key", "blocks")
+
+    def dealt(k: int) -> DataFrame:
+        """Leaf rows of pass ``k``: unit, side, id, copies, vector, below."""
+        own = lambda c: F.pmod(F.xxhash64(F.lit(5), c), F.lit(passes)) == k
+        if not large:
+            return each.withColumnRenamed("key", "unit").where(own("unit")).withColumn("side", F.lit(2))
+        if large <= BLOCKED:
+            known = each.join(F.broadcast(more), "key", "left")
+        else:
+            known = each.where(own("key")).join(more, "key", "left")
+        units = in_blocks(known.withColumn("blocks", F.coalesce("blocks", F.lit(1))), "blocks")
+        return units.where(own("unit")) if large <= BLOCKED else units
 
     def compare(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch | None:
-        ids, side, copies, own_key = (rows.column(c).to_numpy() for c in ("id", "side", "copies", "key"))
+        ids, side, copies = (rows.column(c).to_numpy() for c in ("id", "side", "copies"))
         out = []
         for a, b in zip(starts, np.append(starts[1:], len(ids))):
             if b - a < 2:
                 continue
             group = rows.slice(a, b - a).combine_chunks()
-            vectors = group.column("embedding").chunk(0)
-            unit = unit_rows(vectors, len(vectors[0]))
-            s = side[a:b]
-            flat = unit.astype(np.float32)
-            left, right = np.divmod(np.flatnonzero(flat @ flat.T >= threshold - ROUNDING), b - a)  # few; settled below in doubles
-            may = (left < right) & ((s[left] != s[right]) | (s[left] == 2))
-            left, right = left[may], right[may]
-            close = np.concatenate([np.zeros(0, bool), *((unit[left[k : k + 50_000]] * unit[right[k : k + 50_000]]).sum(axis=1) >= threshold for k in range(0, len(left), 50_000))])
-            left, right = left[close], right[close]
+            left, right = near_pairs(unit_rows(from_bytes(group.column("vector").chunk(0), number)), side[a:b], threshold)
+            new = ~met_before(group.column("below").chunk(0), left, right)
+            left, right = left[new], right[new]
             if not len(left):
                 continue
-            earlier = met_before(group.column("keys").chunk(0), own_key[a])
-            first = ~earlier[left, right]
             links = np.zeros(b - a, np.int64)
-            np.add.at(links, left[first], copies[a:b][right[first]])
-            np.add.at(links, right[first], copies[a:b][left[first]])
+            np.add.at(links, left, copies[a:b][right])
+            np.add.at(links, right, copies[a:b][left])
             root = local_roots(b - a, left, right)
             has = np.unique(np.concatenate([left, right]))
             out.append(np.stack([ids[a:b][has], ids[a:b][root[has]], links[has]]))
@@ -243,16 +273,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.
             return None
         return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], ["id", "root", "links"])
 
-    found = keep.stored(runs_of_groups(units.select("unit", "key", "side", "id", "copies", "embedding", "keys"), "unit", 1_000, compare, "id long, root long, links long"), "vector-links")
+    path = keep.path("vector-links")
+    for k in range(passes):
+        rows_of = dealt(k).select("unit", "side", "id", "copies", "vector", "below")
+        runs_of_groups(rows_of, "unit", 1_000, compare, "id long, root long, links long").write.mode("append").parquet(path)
+    found = vectors.sparkSession.read.schema("id long, root long, links long").parquet(path)
     classes = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), keep)
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
-    known = distinct.select("id", "h1", "h2", "vec_id", "copies").join(classes, "id", "left").join(counted, "id", "left")
+    known = placed.select("id", "h1", "h2", "vec_id", "copies").join(classes, "id", "left").join(counted, "id", "left")
     known = known.select("h1", "h2", "vec_id", "copies", "links", F.coalesce("component", "id").alias("component"))
     smallest = known.groupBy("component").agg(F.min("vec_id").alias("component_id")).select(apart(F.col("component")).alias("component"), "component_id")
     named = known.join(smallest, "component").drop("vec_id")
     able = rows.select("vec_id", "h1", "h2").join(named, ["h1", "h2"]).select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     alone = columns.where(~_comparable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     both = able.unionByName(alone)
-    out = keep.result(both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))), "near-vectors")
-    shared.destroy()
-    return out
+    return keep.result(both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))), "near-vectors")

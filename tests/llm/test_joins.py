@@ -1,16 +1,20 @@
 """Near duplicates of texts and vectors against brute force, with nulls, ties and copies."""
 
+import contextlib
 import itertools
 import math
+import os
 import random
+import threading
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
 from quillspark.llm import chosen_path, projection_forest
-from quillspark.llm.common import Scratch, Sieve, shingles, words_of
+from quillspark.llm.common import Scratch, Sieve, shared_dir, shingles, words_of
 from quillspark.llm.components import components
 
 
@@ -263,6 +267,65 @@ def test_vectors_beyond_the_fitted_levels(spark):
     assert all(found[i].component_id == c for i, c in want.items())
 
 
+def test_vectors_need_little_disk(spark, monkeypatch, tmp_path):
+    """What stands on disk at once is a small multiple of the vectors, though each is in many leaves."""
+    monkeypatch.setattr(projection_forest, "PASS", 1, raising=False)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((20_000, 64)).astype(np.float32)
+    x[10_000:12_000] = x[:2000] + 0.2 * rng.standard_normal((2000, 64)).astype(np.float32)
+    rows = [(k, 1, v) for k, v in enumerate(x.tolist())]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/in")
+    links, count = vector_links(rows), defaultdict(int)
+    for a, b in links:
+        count[a] += 1
+        count[b] += 1
+    folders = [f.getPath() for f in spark._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    folders.append(shared_dir(spark).removeprefix("file:"))
+
+    def used():
+        total = 0
+        for folder in folders:
+            for at, _, names in os.walk(folder):
+                for name in names:
+                    with contextlib.suppress(OSError):  # a file may go meanwhile
+                        total += os.path.getsize(f"{at}/{name}")
+        return total
+
+    before, peak, over = used(), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            peak[0] = max(peak[0], used() - before)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        found = {r.vec_id: r.n_links for r in projection_forest.near_vectors(spark.read.parquet(f"{tmp_path}/in"), leaf=16).collect()}
+    finally:
+        over.set()
+        watcher.join()
+    assert len(links) >= 1500 and found == {r[0]: count[r[0]] for r in rows}
+    assert 0 < peak[0] <= 4 * x.nbytes
+
+
+@pytest.mark.parametrize("blocked", [50_000, 0])
+def test_vectors_in_passes_and_blocks(spark, monkeypatch, blocked):
+    """Each pair counts once, in whatever pass and pair of blocks of its leaves it is met."""
+    monkeypatch.setattr(projection_forest, "PASS", 1)
+    monkeypatch.setattr(projection_forest, "BLOCK", 20)
+    monkeypatch.setattr(projection_forest, "BLOCKED", blocked)
+    rows = vectors(n=1990, seed=6)
+    links, count = vector_links(rows), defaultdict(int)
+    for a, b in links:
+        count[a] += 1
+        count[b] += 1
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    found = {r.vec_id: r for r in projection_forest.near_vectors(df, leaf=64).collect()}
+    assert {i: r.n_links for i, r in found.items()} == {r[0]: count[r[0]] for r in rows}
+    want = roots([r[0] for r in rows if r[0] is not None], links)
+    assert all(found[i].component_id == c for i, c in want.items())
+
+
 def test_vectors_edges(spark):
     schema = "vec_id long, label int, embedding array<float>"
     assert projection_forest.near_vectors(spark.createDataFrame([], schema)).count() == 0
