@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat_format, chosen_path, decontamination, line_dedup, packing, projection_forest, quality, token_counts, toxicity, warc
+from quillspark.llm import chat_format, chosen_path, decontamination, line_dedup, lloyd, packing, projection_forest, quality, token_counts, toxicity, warc
 from quillspark.llm.common import fold_crc, table
 
 
@@ -71,7 +71,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.lloyd(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_decontamination, op3_revisits, op4_ngram_join, op5_near_vectors, op6_toxicity, op7_line_dedup, op8_packing, op9_chat_format, op10_token_counts)
+    for f in (op1_quality, op2_decontamination, op3_revisits, op4_ngram_join, op5_near_vectors, op6_toxicity, op7_line_dedup, op8_packing, op9_chat_format, op10_token_counts, op11_lloyd)
 }
