@@ -102,22 +102,22 @@ FROM judged
 
 def _lloyd(rounds: int = 10, k: int = 8) -> str:
     """Plain Lloyd in one long list of materialised steps; sums are of 128 bits and divided downwards."""
-    nearest = """(SELECT i, at, d FROM (SELECT x.i, c.at, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN {c} c USING (k) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, at) = 1)"""
+    nearest = """(SELECT i, g, d FROM (SELECT x.i, c.g, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN {c} c USING (k) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, g) = 1)"""
     steps = [
         """e AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0)""",
         "x AS MATERIALIZED (SELECT i, unnest(range(1, 65)) AS k, unnest(v) AS v FROM e)",
-        f"c0 AS MATERIALIZED (SELECT at, unnest(range(1, 65)) AS k, unnest(v) AS v FROM (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS at, v FROM e QUALIFY at < {k}))",
+        f"c0 AS MATERIALIZED (SELECT g, unnest(range(1, 65)) AS k, unnest(v) AS v FROM (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS g, v FROM e QUALIFY g < {k}))",
     ]
     for r in range(rounds):
         steps.append(f"a{r} AS MATERIALIZED {nearest.format(c=f'c{r}')}")
-        steps.append(f"m{r} AS MATERIALIZED (SELECT at, k, sum(x.v) AS s, count(*) AS n FROM a{r} JOIN x USING (i) GROUP BY ALL)")
-        steps.append(f"c{r + 1} AS MATERIALIZED (SELECT at, k, CAST(CASE WHEN n IS NULL THEN v ELSE (s - ((s % n) + n) % n) // n END AS BIGINT) AS v FROM c{r} LEFT JOIN m{r} USING (at, k))")
+        steps.append(f"m{r} AS MATERIALIZED (SELECT g, k, sum(x.v) AS s, count(*) AS n FROM a{r} JOIN x USING (i) GROUP BY ALL)")
+        steps.append(f"c{r + 1} AS MATERIALIZED (SELECT g, k, CAST(CASE WHEN n IS NULL THEN v ELSE (s - ((s % n) + n) % n) // n END AS BIGINT) AS v FROM c{r} LEFT JOIN m{r} USING (g, k))")
     steps.append(f"last AS MATERIALIZED {nearest.format(c=f'c{rounds}')}")
-    steps.append(f"named AS (SELECT at, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY k)) AS centroid_sha256 FROM c{rounds} GROUP BY at)")
+    steps.append(f"named AS (SELECT g, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY k)) AS centroid_sha256 FROM c{rounds} GROUP BY g)")
     return "WITH " + ",\n".join(steps) + """
-SELECT vec_id, CAST(at AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY at) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
-FROM last JOIN e USING (i) JOIN named USING (at)"""
+SELECT vec_id, CAST(g AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY g) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM last JOIN e USING (i) JOIN named USING (g)"""
 
 
 TOP_SCORES = """
