@@ -124,11 +124,12 @@ TOP_SCORES = """
 WITH e AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
 scored AS (SELECT q.i, q.vec_id AS query_id, e.vec_id, CAST(list_inner_product(q.v, e.v) AS BIGINT) AS score FROM e q JOIN e ON q.i <> e.i WHERE q.vec_id % 100 = 0)
-SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scored QUALIFY row_number() OVER w <= 10 WINDOW w AS (PARTITION BY i ORDER BY score DESC, vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scored WINDOW w AS (PARTITION BY i ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
 """
 
 ORACLES = {
     "op11_lloyd": _lloyd(),
+    "op13_top_scores": TOP_SCORES,
     "op2_decontamination": DECONTAMINATION,
     "op3_revisits": REVISITS,
     "op7_line_dedup": LINE_DEDUP,

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from conftest import DATA
 
-from quillspark.llm import lloyd
+from quillspark.llm import lloyd, threshold_search
 from quillspark.llm.queries import QUERIES
 
 SCHEMA = "vec_id long, label int, embedding array<double>"
@@ -75,3 +75,59 @@ def test_lloyd_query(spark):
     table = spark.read.parquet(f"{DATA}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in table.collect()]
     assert shown(QUERIES["op11_lloyd"](spark, DATA)) == plain_lloyd(rows, 64)
+
+
+def plain_top(rows, k=10, every=100):
+    """(query's place, rank, id, score) of each query, from all scores; vectors of different widths filled with noughts."""
+    kept = [(n, i, v) for n, (i, x) in enumerate(rows) if i is not None and (v := integers(x, None)) is not None]
+    out = []
+    for n, i, q in kept:
+        if i % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for m, j, v in kept if m != n)[:k]
+            out += [(i, rank, j, -s) for rank, (s, j) in enumerate(scored, 1)]
+    return sorted(out)
+
+
+def tops(df):
+    return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in df.collect())
+
+
+def search(spark, rows, **options):
+    schema = "vec_id long, score int, embedding array<double>"
+    return tops(threshold_search.top_scores(spark.createDataFrame([(i, 0, x) for i, x in rows], schema).repartition(5), **options))
+
+
+def spread(n, width, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((4, width))
+    return (centres[rng.integers(0, 4, n)] + rng.standard_normal((n, width))).round(3).tolist()
+
+
+@pytest.mark.parametrize("slices", [1, 2, 3])
+def test_top_scores_against_all_scores(spark, slices):
+    rows = list(enumerate(spread(400, 6, 1)))
+    rows += [(1000 + k, x) for k, x in enumerate(BAD)] + [(None, [1.0] * 6), (100, [9.0] * 6), (100, [0.5] * 6), (-200, [-3.0] * 6)]
+    rows += [(2000 + k, [0.5, -0.5, 0.25, -0.25, 1.0, 2.0]) for k in range(250)]  # copies, three of them queries
+    rows += [(3000, [0.0] * 6), (3100, [9000.0, 1.0, 0.0, 0.0, 0.0, -9000.0]), (3101, [900_000.0] + [0.0] * 5), (3200, [1.0] * 9), (3300, [])]
+    assert search(spark, rows, slices=slices) == plain_top(rows)
+
+
+def test_top_scores_in_blocks_with_ties(spark, monkeypatch):
+    """Few distinct scores, many queries, several blocks; every phase has work."""
+    monkeypatch.setattr(threshold_search, "BLOCK", 7)
+    monkeypatch.setattr(threshold_search, "CELLS", 50)
+    rng = np.random.default_rng(2)
+    rows = [(int(i), [float(c) for c in x]) for i, x in zip(rng.permutation(300), rng.integers(-1, 2, (300, 4)))]
+    assert search(spark, rows, every=3, k=4) == plain_top(rows, 4, 3)
+    far = [(k, [1.0 if c == k % 40 else 0.0 for c in range(40)]) for k in range(200)]  # nearly all scores are nought
+    assert search(spark, far, every=10) == plain_top(far, every=10)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, [1.0])], [(0, [1.0, 2.0])], [(0, [1.0]), (0, [1.0]), (7, None)], [(0, [1.0]), (5, [-2.0]), (6, [3.0])]])
+def test_top_scores_of_few(spark, rows):
+    assert search(spark, rows) == plain_top(rows)
+
+
+def test_top_scores_query(spark):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()]
+    assert tops(QUERIES["op13_top_scores"](spark, DATA)) == plain_top(rows)
