@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat_format, chosen_path, decontamination, line_dedup, lloyd, packing, projection_forest, quality, threshold_search, token_counts, toxicity, warc
+from quillspark.llm import chat_format, chosen_path, decontamination, line_dedup, lloyd, packing, periodic_runs, projection_forest, quality, threshold_search, token_counts, toxicity, warc
 from quillspark.llm.common import fold_crc, table
 
 
@@ -75,11 +75,17 @@ def op11_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd.lloyd(table(spark, sf_dir, "embeddings")).drop("centroid")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.withColumn("text", periodic_runs.planted(F.col("doc_id"), F.col("text")))
+    return periodic_runs.digests(periodic_runs.find_runs(docs))
+
+
 def op13_top_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_search.top_scores(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_decontamination, op3_revisits, op4_ngram_join, op5_near_vectors, op6_toxicity, op7_line_dedup, op8_packing, op9_chat_format, op10_token_counts, op11_lloyd, op13_top_scores)
+    for f in (op1_quality, op2_decontamination, op3_revisits, op4_ngram_join, op5_near_vectors, op6_toxicity, op7_line_dedup, op8_packing, op9_chat_format, op10_token_counts, op11_lloyd, op12_periodic_runs, op13_top_scores)
 }
