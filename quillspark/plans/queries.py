@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import agreement, bundles, dedup, manifest, render
+from quillspark.operators import agreement, bundles, dedup, manifest, outcomes, render
 from quillspark.plans import formats
+from quillspark.plans.folders import Kept, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -319,6 +320,82 @@ def dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources(spark, sf_dir).groupBy("division").agg(F.count(F.lit(1)).alias("sources"), F.countDistinct("source_hash").alias("contents"))
 
 
+_PLACED = f"""placed AS (SELECT doc_id, CASE doc_id % 50 WHEN 0 THEN 'd/' || CAST(doc_id // 50 AS VARCHAR) WHEN 1 THEN 'd/' || CAST(doc_id // 50 AS VARCHAR) || '.txt/x'
+  WHEN 2 THEN 'd/' || CAST(doc_id // 50 AS VARCHAR) || '.txt/x.segments.jsonl/y' ELSE 'e/' || source || '/' || doc_id END AS source_path, sha256(text) AS source_hash, {_ROUTED} AS converter, strlen(text) AS size FROM documents)"""
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as sources, some where the artifact of another is a file or a folder; some contents convert to nothing, some are only recovered."""
+    g = F.floor(F.col("doc_id") / 50).cast("string")
+    at = F.element_at(F.array(F.concat(F.lit("d/"), g), F.concat(F.lit("d/"), g, F.lit(".txt/x")), F.concat(F.lit("d/"), g, F.lit(".txt/x.segments.jsonl/y"))), F.least(F.col("doc_id") % 50, F.lit(2)).cast("int") + 1)
+    path = F.when(F.col("doc_id") % 50 > 2, F.concat(F.lit("e/"), "source", F.lit("/"), F.col("doc_id").cast("string"))).otherwise(at)
+    rows = table(spark, sf_dir, "documents").select("doc_id", path.alias("source_path"), F.sha2("text", 256).alias("source_hash"), F.expr(_ROUTED).alias("converter"), F.octet_length("text").alias("size"))
+    recorded = F.when(F.col("size") % 13 != 0, F.when((F.col("size") % 7 == 0) & (F.col("converter") == "b"), "b-recovered").otherwise(F.col("converter")))
+    return rows.withColumn("recorded", recorded).withColumn("ord", F.split("source_path", "/"))
+
+
+@query(f"""WITH {_PLACED}, ok AS (SELECT *, size % 13 <> 0 AS fine, doc_id // 50 AS g, doc_id % 50 AS r, CASE WHEN size % 7 = 0 AND converter = 'b' THEN 'b-recovered' ELSE converter END AS recorded FROM placed),
+chain AS (SELECT g, coalesce(bool_or(r = 0 AND fine), false) AS w0, coalesce(bool_or(r = 1 AND fine), false) AND NOT coalesce(bool_or(r = 0 AND fine), false) AS w1 FROM ok WHERE r < 3 GROUP BY g),
+judged AS (SELECT ok.*, coalesce(CASE r WHEN 1 THEN w0 WHEN 2 THEN w0 OR w1 END, false) AS taken FROM ok LEFT JOIN chain USING (g)),
+seeds AS (SELECT source_hash, min('old/' || doc_id) AS source_path FROM placed WHERE doc_id % 7 = 3 AND doc_id % 2 = 0 GROUP BY source_hash),
+lined AS (SELECT source_path, source_hash, converter, recorded, 1 AS late FROM judged WHERE fine AND NOT taken UNION ALL SELECT source_path, source_hash, 'a', 'a', 0 FROM seeds),
+marked AS (SELECT *, late = 1 AND coalesce(lag(converter) OVER w = converter, false) AS borrows FROM lined WINDOW w AS (PARTITION BY source_hash ORDER BY late, string_split(source_path, '/'))),
+numbered AS (SELECT *, sum(CASE WHEN borrows THEN 0 ELSE 1 END) OVER (PARTITION BY source_hash ORDER BY late, string_split(source_path, '/')) AS island FROM marked),
+named AS (SELECT *, first_value(source_path) OVER (PARTITION BY source_hash, island ORDER BY late, string_split(source_path, '/')) AS owner FROM numbered),
+own AS (SELECT source_path, CASE WHEN borrows AND recorded = converter THEN 'dedup' ELSE 'converted' END AS status, CASE WHEN borrows AND recorded = converter THEN owner END AS dedup_of, CAST(NULL AS VARCHAR) AS error FROM named WHERE late = 1
+  UNION ALL SELECT source_path, 'failed', NULL, CASE WHEN fine THEN 'mirror_write_error' ELSE 'empty_output' END FROM judged WHERE NOT fine OR taken)
+SELECT source_path, status, dedup_of, error FROM own
+UNION ALL SELECT source_path || '.d/#image-metadata', 'converted', NULL, NULL FROM judged WHERE size % 5 = 0""")
+def borrowed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who is written, who borrows and who fails among documents as sources, with failed conversions, taken places, seeds of which half are damaged, and children."""
+    rows = _placed(spark, sf_dir)
+    kept = Kept(spark, shared_folder(spark, "borrowed"))
+    lost = outcomes.blocked(rows.where("recorded is not null").select("source_path", "ord"), kept.store).withColumn("taken", F.lit("Not a directory"))
+    prior = table(spark, sf_dir, "documents").where("doc_id % 7 = 3").select(F.sha2("text", 256).alias("source_hash"), F.concat(F.lit("old/"), F.col("doc_id").cast("string")).alias("source_path"), F.lit("a").alias("converter"), (F.col("doc_id") % 2 == 0).alias("intact"))
+    done = outcomes.assigned(rows.join(lost, "source_path", "left"), prior.where("intact").drop("intact"))
+    error = F.when(F.col("status") == "failed", F.when(F.col("recorded").isNull(), "empty_output").otherwise("mirror_write_error"))
+    beside = rows.where("size % 5 = 0").select("source_hash", F.lit("png").alias("key"), F.lit(".d/#image-metadata").alias("suffix")).distinct()
+    child = outcomes.children(rows.withColumn("key", F.lit("png")).withColumn("parent_source", F.lit(None).cast("string")), beside)
+    none = F.lit(None).cast("string")
+    return done.select("source_path", "status", "dedup_of", error.alias("error")).unionByName(child.select("source_path", F.lit("converted").alias("status"), none.alias("dedup_of"), none.alias("error")))
+
+
+@query(f"""WITH m AS (SELECT source || '.zip' AS root, doc_id AS nth, source || '.zip.d/' || doc_id || '.txt' AS source_path, sha256(text) AS source_hash FROM documents),
+loose AS (SELECT 'loose/' || doc_id || '.txt' AS root, 0 AS nth, 'loose/' || doc_id || '.txt' AS source_path, sha256(text) AS source_hash FROM documents WHERE lang = 'fr'),
+u AS (SELECT * FROM m UNION ALL SELECT * FROM loose)
+SELECT source_path, CASE WHEN k = 1 THEN 'converted' ELSE 'dedup' END AS status, CASE WHEN k > 1 THEN owner END AS dedup_of
+FROM (SELECT source_path, row_number() OVER w AS k, first_value(source_path) OVER w AS owner FROM u WINDOW w AS (PARTITION BY source_hash ORDER BY string_split(root, '/'), nth))""")
+def members_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as members of ten archives, and some as sources beside them: a content is converted once, for the first in walk order wherever it stands."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.sha2("text", 256).alias("source_hash"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"))
+    inside = d.select("source_hash", F.concat("source", F.lit(".zip")).alias("root"), F.col("doc_id").cast("int").alias("nth"), F.concat("source", F.lit(".zip.d/"), "name").alias("source_path"))
+    loose = d.where("lang = 'fr'").select("source_hash", F.concat(F.lit("loose/"), "name").alias("root"), F.lit(0).alias("nth"), F.concat(F.lit("loose/"), "name").alias("source_path"))
+    units = inside.unionByName(loose).withColumn("ord", outcomes.order_of(F.split("root", "/"), F.col("nth"))).withColumns({"converter": F.lit("text-passthrough"), "recorded": F.lit("text-passthrough"), "taken": F.lit(None).cast("string")})
+    return outcomes.assigned(units, units.select("source_hash", "source_path", "converter").limit(0)).select("source_path", "status", "dedup_of")
+
+
+@query("""SELECT lang || '/' || source || '/' || doc_id AS source_path, 'converted' AS status, sha256(text) AS text_hash, CAST(strlen(text) AS BIGINT) AS text_bytes, sha256('{}' || chr(10)) AS sidecar_hash FROM documents""")
+def mirror_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written through the committing sink, with their manifest lines, and read back from mirror and manifest."""
+    from quillspark.plans.run import lines_of
+    from quillspark.sources import mirror, shard
+
+    base = shared_folder(spark, "mirror")
+    path = F.concat("lang", F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"))
+    d = table(spark, sf_dir, "documents").select(path.alias("source_path"), "text")
+    fields = {"source_hash": F.sha2("text", 256), "source_size": F.octet_length("text").cast("long"), "detected_format": F.lit("text"), "format_mismatch": F.lit(False), "status": F.lit("converted"), "text_hash": F.sha2("text", 256)}
+    fields |= {"text_path": F.concat(F.lit("d/"), "source_path", F.lit(".txt")), "converter_id": F.lit("text-passthrough"), "rules_version": F.lit(formats.RULES_VERSION), "warnings": F.expr("cast(array() as array<string>)")}
+    records = d.select(F.split("source_path", "/").alias("ord"), "source_path", *(fields.get(f, F.lit(None).cast(k)).alias(f) for f, k in shard.RECORD.items() if f != "source_path"))
+    change = mirror.Transaction(spark, base, f"{base}/d.jsonl", "d")
+    change.stage(d.select(F.concat(F.lit("d/"), "source_path").alias("target"), F.col("text").cast("binary").alias("text"), F.lit(b"{}\n").alias("sidecar")), lines_of(records))
+    change.publish()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{base}/d").select(F.substring_index("path", f"{base}/", -1).alias("path"), F.sha2("content", 256).alias("hash"), "length")
+    found = shard.read(spark, f"{base}/d.jsonl", "d")[0].select("source_path", "status", "text_path", "text_hash")
+    texts = files.select(F.col("path").alias("text_path"), F.col("hash").alias("text_hash"), F.col("length").alias("text_bytes"))
+    sides = files.where(F.endswith("path", F.lit(".segments.jsonl"))).select(F.regexp_replace("path", r"\.segments\.jsonl$", ".txt").alias("text_path"), F.col("hash").alias("sidecar_hash"))
+    return found.join(texts, ["text_path", "text_hash"]).join(sides, "text_path").select("source_path", "status", "text_hash", "text_bytes", "sidecar_hash")
+
+
 # --- manifest ------------------------------------------------------------------------------------------------------
 
 

@@ -6,10 +6,12 @@ once to hash and detect, and once more to convert what neither the manifest nor
 
 from __future__ import annotations
 
+import errno
+import functools
 import os
 import re
 import shutil
-import tempfile
+import stat
 import time
 from collections.abc import Iterator
 
@@ -21,10 +23,13 @@ from quillspark.converters import archive, hooks, images, registry, vector
 from quillspark.converters.base import ConvertError, Outcome, gate, sidecar, sidecar_problem
 from quillspark.functions.hashing import blake3
 from quillspark.functions.text import DIVISION
-from quillspark.operators import dedup, manifest
+from quillspark.operators import manifest, outcomes
 from quillspark.plans import formats
+from quillspark.plans.folders import Kept
 from quillspark.sources import shard, walk
-from quillspark.sources.shard import RECORD_FIELDS
+from quillspark.sources.mirror import SCHEMA as SINK_ROWS
+from quillspark.sources.mirror import Transaction
+from quillspark.sources.shard import RECORD, RECORD_FIELDS
 
 
 class Refused(ValueError):
@@ -78,15 +83,6 @@ def front(found: DataFrame, root: str) -> DataFrame:
     return found.where("kind <> 'other'").mapInPandas(run, _FRONT)
 
 
-def write_file(path: str, data: bytes) -> None:
-    """Whole or not at all, however often a task is run."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    temporary = f"{path}.{os.getpid()}.{time.monotonic_ns()}.tmp"
-    with open(temporary, "wb") as file:
-        file.write(data)
-    os.replace(temporary, path)
-
-
 def envelope_intact(mirror: str, text_path: str | None, text_hash: str | None) -> bool:
     """Whether an artifact still has its recorded hash and its sidecar parses and fits it."""
     try:
@@ -100,94 +96,6 @@ def envelope_intact(mirror: str, text_path: str | None, text_hash: str | None) -
         return False
 
 
-class Writer:
-    """Puts one unit's artifact into the mirror and makes its record."""
-
-    def __init__(self, mirror: str, division: str):
-        self.mirror, self.division, self.began = mirror, division, time.monotonic()
-
-    def record(self, path: str, meta: dict, outcome: Outcome | None, error: str | None, status: str | None = None) -> dict:
-        target = os.path.join(self.mirror, self.division, path)
-        base = meta | {"source_path": path, "rules_version": formats.RULES_VERSION, "warnings": [*(meta.get("warnings") or []), *(outcome.warnings if outcome else [])]}
-        base["duration_ms"] = int((time.monotonic() - self.began) * 1000)
-        self.began = time.monotonic()
-        if outcome is None:
-            for stale in (f"{target}.txt", f"{target}.segments.jsonl"):
-                try:
-                    os.unlink(stale)
-                except (FileNotFoundError, NotADirectoryError):
-                    pass
-                except OSError as e:
-                    base["warnings"].append(f"stale_artifact_not_removed: {e.strerror}")
-            return base | {"status": status or "failed", "error": error}
-        text = outcome.text.encode()
-        try:
-            write_file(f"{target}.txt", text)
-            write_file(f"{target}.segments.jsonl", sidecar(outcome.segments))
-        except OSError as e:
-            return base | {"status": "failed", "error": f"mirror_write_error: {e.strerror}"}
-        return base | {
-            "status": "converted", "text_path": f"{self.division}/{path}.txt", "text_hash": blake3(text), "artifact_kind": outcome.artifact_kind, "media": outcome.media,
-            "converter_id": outcome.converter_id, "converter_version": formats.VERSIONS.get(outcome.converter_id), "tool_version": outcome.tool_version,
-        }
-
-    def unchanged(self, path: str, meta: dict, prior: dict | None) -> dict | None:
-        """The record of a member that an earlier run converted and that is intact, if so."""
-        if prior is None or prior["status"] not in manifest.TEXT_BEARING:
-            return None
-        now = (meta["source_hash"], formats.VERSIONS.get(registry.route(meta["detected_format"])[0] or ""), formats.RULES_VERSION)
-        if (prior["source_hash"], prior["converter_version"], prior["rules_version"]) != now or not envelope_intact(self.mirror, prior["text_path"], prior["text_hash"]):
-            return None
-        took = int((time.monotonic() - self.began) * 1000)
-        self.began = time.monotonic()
-        return prior | {"status": "skipped_unchanged", "error": None, "duration_ms": took}
-
-    def leaf(self, path: str, meta: dict, data: bytes) -> Iterator[dict]:
-        fmt = meta["detected_format"]
-        converter, reason = registry.route(fmt)
-        if converter is None:
-            yield self.record(path, meta, None, reason, "unsupported")
-        else:
-            yield self.record(path, meta, *registry.convert(data, fmt))
-        if fmt == "svg" and hooks.engine("vector"):
-            child = {k: meta[k] for k in ("source_hash", "source_size")} | {"declared_format": None, "detected_format": fmt, "format_mismatch": False, "parent_source": path}
-            try:
-                yield self.record(f"{path}.d/#image-ocr", child, gate(vector.rasterized(data)), None)
-            except ConvertError as e:
-                yield self.record(f"{path}.d/#image-ocr", child, None, str(e))
-        if fmt in formats.METADATA_FORMATS:
-            child = {k: meta[k] for k in ("source_hash", "source_size")} | {"declared_format": None, "detected_format": fmt, "format_mismatch": False, "parent_source": path}
-            try:
-                found = images.metadata(data, fmt)
-                if found is not None:
-                    yield self.record(f"{path}.d/#image-metadata", child, gate(found), None)
-            except ConvertError as e:
-                yield self.record(f"{path}.d/#image-metadata", child, None, str(e))
-
-    def container(self, path: str, meta: dict, data: bytes, root: str, known: dict[str, dict]) -> Iterator[dict]:
-        """Members first, the container last, so that an intact parent proves a finished expansion.
-
-        known: the records that an earlier run left of the members; one that has not changed is not converted again.
-        """
-        for unit in archive.Expansion(lambda p: os.path.isdir(os.path.join(root, p)), blake3).run(path, data):
-            own = meta
-            if unit.path != path:
-                body = unit.data or b""
-                declared, detected, mismatch, warning = formats.TABLE.resolve(unit.path, formats.magic(body))
-                own = {"source_hash": blake3(body) if unit.data is not None else "", "source_size": len(body), "declared_format": declared, "detected_format": detected, "format_mismatch": mismatch, "parent_source": unit.parent, "warnings": [warning] if warning else []}
-            if unit.error:
-                yield self.record(unit.path, own, None, unit.error)
-            elif own["detected_format"] in formats.CONTAINERS:
-                yield self.record(unit.path, own, *registry.convert(unit.data, own["detected_format"]))
-            elif own["detected_format"] not in formats.METADATA_FORMATS and (same := self.unchanged(unit.path, own, known.get(unit.path))):
-                yield same
-            else:
-                yield from self.leaf(unit.path, own, unit.data)
-
-
-_RECORDS = f"ord array<string>, nth int, {shard.COLUMNS}"
-
-
 def prior_records(spark: SparkSession, manifest_dir: str, division: str) -> tuple[DataFrame, list[str]]:
     """The records of a division's shard, and the reader's warnings."""
     path = os.path.join(manifest_dir, f"{division}.jsonl")
@@ -196,13 +104,183 @@ def prior_records(spark: SparkSession, manifest_dir: str, division: str) -> tupl
     return shard.read(spark, path, division)
 
 
-def append_records(records: DataFrame, path: str) -> dict[str, int]:
-    """Append records in the order (ord, nth) to a shard, and count them by status.
+#: A unit: a source, a member of a container, or what is found beside one; its record's fields as far as they are known before conversion.
+_UNIT = {"root": "array<string>", "nth": "int", "source_path": "string", "kind": "string"} | {
+    f: RECORD[f] for f in ("source_hash", "source_size", "declared_format", "detected_format", "format_mismatch", "parent_source", "warnings", "error")
+}
+#: A unit of a container, with its bytes or its listing.
+_INSIDE = _UNIT | {"data": "binary", "text": "binary", "sidecar": "binary", "text_hash": "string", "duration_ms": "long"}
+#: What conversion made of a content: ``suffix`` tells a child's outcome from the content's own.
+_OUTCOME = {
+    "source_hash": "string", "key": "string", "suffix": "string", "text": "binary", "sidecar": "binary", "text_hash": "string", "artifact_kind": "string", "recorded": "string",
+    "tool_version": "string", "media": RECORD["media"], "o_warnings": "array<string>", "o_error": "string", "duration_ms": "long",
+}
+#: Bytes of members in one batch on their way from an expansion, about.
+BATCH_BYTES = 8 << 20
+#: Errors that are the one source's and not the content's.
+OWN_ERRORS = ("source_changed_during_run", "source_io_error")
+
 
-    Executors write the lines, one file for each range of the order; the driver only copies bytes, and does so when all
-    lines are there.
+def _ddl(fields: dict[str, str]) -> str:
+    return ", ".join(f"{n} {t}" for n, t in fields.items())
+
+
+def expanded(containers: DataFrame, root: str) -> DataFrame:
+    """The units of each container, members first and the container last, with the bytes of members that a task meets first.
+
+    A container's own text, its listing, is made here, since its bytes are at hand.
     """
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        given_out: set[tuple[str, str]] = set()
+        rows, size = [], 0
+
+        def flush() -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=list(_INSIDE), dtype=object)
+
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                began, nth = time.monotonic(), 0
+                try:
+                    data = read_source(root, r.source_path, r.source_hash)
+                except ConvertError as e:
+                    rows.append([r.root, 0, r.source_path, "container", r.source_hash, r.source_size, r.declared_format, r.detected_format, r.format_mismatch, None, list(r.warnings), str(e), None, None, None, None, 0])
+                    continue
+                for unit in archive.Expansion(lambda p: os.path.isdir(os.path.join(root, p)), blake3).run(r.source_path, data):
+                    top = unit.path == r.source_path
+                    own = [r.source_hash, r.source_size, r.declared_format, r.detected_format, r.format_mismatch, None, list(r.warnings)] if top else member(unit)
+                    kind = "container" if own[3] in formats.CONTAINERS else "member"
+                    text = side = body = None
+                    error = unit.error
+                    if error is None and kind == "container":
+                        outcome, error = registry.convert(unit.data, own[3])
+                        if outcome is not None:
+                            text, side = outcome.text.encode(), sidecar(outcome.segments)
+                            own[6] = [*own[6], *outcome.warnings]
+                    elif error is None and (own[0], own[3]) not in given_out:
+                        given_out.add((own[0], own[3]))
+                        body = unit.data
+                        size += len(body)
+                    now = time.monotonic()
+                    rows.append([r.root, nth, unit.path, kind, *own, error, body, text, side, None if text is None else blake3(text), int((now - began) * 1000)])
+                    began, nth = now, nth + 1
+                    size += len(text or b"")
+                    if size >= BATCH_BYTES:
+                        yield flush()
+                        rows, size = [], 0
+        yield flush()
+
+    return containers.mapInPandas(run, _ddl(_INSIDE))
+
+
+def member(unit: archive.Unit) -> list:
+    """A member's record fields, from its bytes."""
+    body = unit.data or b""
+    declared, detected, mismatch, warning = formats.TABLE.resolve(unit.path, formats.magic(body))
+    return [blake3(body) if unit.data is not None else "", len(body), declared, detected, mismatch, unit.parent, [warning] if warning else []]
+
+
+def read_source(root: str, path: str, expected: str) -> bytes:
+    """A source's bytes if they still are what was hashed."""
+    try:
+        with open(os.path.join(root, path), "rb") as file:
+            data = file.read()
+    except OSError as e:
+        raise ConvertError("source_io_error", e.strerror or "") from None
+    if blake3(data) != expected:
+        raise ConvertError("source_changed_during_run")
+    return data
+
+
+def outcomes_of(data: bytes, fmt: str) -> Iterator[tuple[str, Outcome | None, str | None]]:
+    """(suffix, outcome, error) of a content: its own text if its format has a converter, and those of its children."""
+    if registry.route(fmt)[0] is not None:
+        yield "", *registry.convert(data, fmt)
+    for suffix, make in ((".d/#image-ocr", lambda: vector.rasterized(data) if fmt == "svg" and hooks.engine("vector") else None), (".d/#image-metadata", lambda: images.metadata(data, fmt) if fmt in formats.METADATA_FORMATS else None)):
+        try:
+            found = make()
+            if found is not None:
+                yield suffix, gate(found), None
+        except ConvertError as e:
+            yield suffix, None, str(e)
+
+
+def converted(work: DataFrame, root: str, engines: dict[str, str] | None) -> DataFrame:
+    """The outcomes (``_OUTCOME``) of contents; work: source_hash, key, source_path, detected_format, data (null: to be read from the tree)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hooks.install(engines)
+        for batch in batches:
+            rows, size = [], 0
+            for r in batch.itertuples(index=False):
+                began = time.monotonic()
+                try:
+                    data = bytes(r.data) if r.data is not None else read_source(root, r.source_path, r.source_hash)
+                    made = outcomes_of(data, r.detected_format)
+                except ConvertError as e:
+                    made = [("", None, str(e))]
+                for suffix, outcome, error in made:
+                    now = time.monotonic()
+                    took, began = int((now - began) * 1000), now
+                    if outcome is None:
+                        rows.append([r.source_hash, r.key, suffix, *[None] * 7, [], error, took])
+                        continue
+                    text = outcome.text.encode()
+                    rows.append([r.source_hash, r.key, suffix, text, sidecar(outcome.segments), blake3(text), outcome.artifact_kind, outcome.converter_id, outcome.tool_version, outcome.media, outcome.warnings, None, took])
+                    size += len(text)
+                    if size >= BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=list(_OUTCOME), dtype=object)
+                        rows, size = [], 0
+            yield pd.DataFrame(rows, columns=list(_OUTCOME), dtype=object)
+
+    return work.select("source_hash", "key", "source_path", "detected_format", "data").mapInPandas(run, _ddl(_OUTCOME))
+
+
+def readable(units: DataFrame, root: str) -> DataFrame:
+    """source_path and the error of each source whose bytes are not what was hashed any more."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for path, expected in zip(batch.source_path, batch.source_hash):
+                try:
+                    read_source(root, path, expected)
+                    found.append(None)
+                except ConvertError as e:
+                    found.append(str(e))
+            yield pd.DataFrame({"source_path": batch.source_path, "own_error": found}, dtype=object)
+
+    return units.select("source_path", "source_hash").mapInPandas(run, "source_path string, own_error string")
+
+
+def place_problem(folder: str, path: str) -> str | None:
+    """What stands on disk where an artifact, or a folder above it, must be."""
+    target = os.path.join(folder, path)
+    try:
+        above = os.stat(os.path.dirname(target))
+    except FileNotFoundError:
+        above = None
+    except OSError as e:
+        return e.strerror
+    if above is not None and not stat.S_ISDIR(above.st_mode):
+        return os.strerror(errno.ENOTDIR)
+    return os.strerror(errno.EISDIR) if any(os.path.isdir(target + end) for end in outcomes.ENDINGS) else None
+
+
+def placed(units: DataFrame, mirror: str, division: str) -> DataFrame:
+    """source_path and what on disk keeps it from being written, where something does."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [place_problem(os.path.join(mirror, division), p) for p in batch.source_path]
+            yield pd.DataFrame({"source_path": batch.source_path, "on_disk": found}, dtype=object).dropna()
+
+    return units.select("source_path").mapInPandas(run, "source_path string, on_disk string")
+
+
+def lines_of(records: DataFrame) -> DataFrame:
+    """The manifest's lines (value) in the order (ord), by partition."""
+
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -216,129 +294,189 @@ def append_records(records: DataFrame, path: str) -> dict[str, int]:
                 out.append(shard.encode(own).rstrip("\n"))
             yield pd.DataFrame({"value": out})
 
-    folder = tempfile.mkdtemp(prefix=".lines-", dir=os.path.dirname(path))
-    try:
-        staged = os.path.join(folder, "lines")
-        records.orderBy("ord", "nth").select(*RECORD_FIELDS).mapInPandas(lines, "value string").write.text(staged, lineSep="\n")
-        found = records.groupBy("status").count().collect()
-        shard.repair(path)
-        with open(path, "ab") as out:
-            for name in sorted(n for n in os.listdir(staged) if n.startswith("part-")):
-                with open(os.path.join(staged, name), "rb") as part:
-                    shutil.copyfileobj(part, out)
-    finally:
-        shutil.rmtree(folder, ignore_errors=True)
-    return {s: 0 for s in manifest.STATUSES} | {r["status"]: r["count"] for r in found}
+    return records.orderBy("ord").select(*RECORD_FIELDS).mapInPandas(lines, "value string")
 
 
 def run(spark: SparkSession, root: str, mirror: str, manifest_dir: str, division: str, engines: dict[str, str] | None = None) -> dict:
     """Convert what is new or changed, append one record per source and member, and count them.
 
+    Containers are opened first; sources and members are then one set of units. Each content among them is converted once, and
+    what each unit gets is settled by its place in the walk. Artifacts and lines are staged, committed and published together:
+    a run that fails leaves mirror and manifest as they were, and one that dies after its commit is carried forward by the next.
+
     engines: for "speech", "recognition" and "vector" the ``module:function`` that workers import (see converters.hooks).
     """
     check_names(root, mirror, manifest_dir, division)
     os.makedirs(mirror, exist_ok=True)
     os.makedirs(manifest_dir, exist_ok=True)
-    found = front(entries(spark, root), root).withColumnRenamed("path", "source_path").persist()
-    versions = F.create_map(*(F.lit(x) for pair in formats.VERSIONS.items() for x in pair))
-    routes = formats.route_rules(spark).select(F.col("format").alias("detected_format"), F.col("converter_id").alias("routed"))
-    current = found.join(F.broadcast(routes), "detected_format", "left").withColumn("converter_version", versions[F.col("routed")]).withColumn("rules_version", F.lit(formats.RULES_VERSION))
-    prior, notes = prior_records(spark, manifest_dir, division)
-    last = manifest.terminal(prior).persist()
-    checked = manifest.checkpoint(current, last.select("source_path", "status", "source_hash", "converter_version", "rules_version"))
+    shard_path = os.path.join(manifest_dir, f"{division}.jsonl")
+    change = Transaction(spark, mirror, shard_path, division)
+    change.recover()
+    tables = Kept(spark, os.path.abspath(os.path.join(manifest_dir, f".run-{division}")))  # so that a lost executor costs no conversion
+    shutil.rmtree(tables.folder, ignore_errors=True)  # what a run that died has left
+    try:
+        prior, notes = prior_records(spark, manifest_dir, division)
+        artifacts, records = _planned(spark, tables.store, prior, root, mirror, division, engines)
+        counts = {s: 0 for s in manifest.STATUSES} | {r["status"]: r["count"] for r in records.groupBy("status").count().collect()}
+        change.stage(artifacts, lines_of(records))
+        change.publish()
+    finally:
+        shutil.rmtree(tables.folder, ignore_errors=True)
+    special = entries(spark, root).where("kind = 'other'").count()
+    return {"division": division, "special": special, "records": sum(counts.values()), "counts": counts, "warnings": notes}
+
+
+def _planned(spark: SparkSession, store: outcomes.Store, prior: DataFrame, root: str, mirror: str, division: str, engines: dict[str, str] | None) -> tuple[DataFrame, DataFrame]:
+    """(artifacts, records) of a run; nothing is written but tables."""
+    none = lambda kind: F.lit(None).cast(kind)
+    last = store(manifest.terminal(prior), "last")
 
     def intact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch.assign(intact=[envelope_intact(mirror, p, h) for p, h in zip(batch.text_path, batch.text_hash)])[["source_path", "intact"]]
 
-    bearing = last.where(manifest.has_text(F.col("status"))).select("source_path", "text_path", "text_hash").mapInPandas(intact, "source_path string, intact boolean")
-    # what has children is skipped only if all that stands below it is intact too; other sources answer for themselves
-    parents = F.col("detected_format").isin(*formats.CONTAINERS, *formats.METADATA_FORMATS)
-    marked = bearing.persist()
+    bearing = last.where(manifest.has_text(F.col("status")))
+    marked = store(bearing.select("source_path", "text_path", "text_hash").mapInPandas(intact, "source_path string, intact boolean"), "intact")
     whole = manifest.whole(marked).withColumnRenamed("intact", "all_intact").join(marked, "source_path", "left")
-    judged = checked.join(whole, "source_path", "left").withColumn("skip", F.col("skip") & F.coalesce(F.when(parents, F.col("all_intact")).otherwise(F.col("intact")), F.lit(False))).drop("intact", "all_intact").persist()
-    convertible = F.col("routed").isNotNull() & ~F.col("detected_format").isin(*formats.CONTAINERS) & F.col("error").isNull()
-    fresh = judged.where(~F.col("skip"))
-    seeds = judged.where("skip").where(convertible).select("source_hash", "source_path", F.col("routed").alias("converter"))
-    leaves = dedup.seeded(fresh.where(convertible).withColumnRenamed("routed", "converter"), seeds).withColumnRenamed("converter", "routed")
-    work = leaves.where("status = 'converted'").drop("status", "dedup_of").unionByName(fresh.where(~convertible | convertible.isNull()))
-    writer = Writer(mirror, division)
-
-    expanded = work.where(F.col("detected_format").isin(*formats.CONTAINERS) & F.col("error").isNull()).select("source_path")
-    below = manifest.descendants(last.where("parent_source is not null"), expanded)
-    known = below.groupBy(F.col("root").alias("source_path")).agg(F.collect_list(F.struct(*RECORD_FIELDS)).alias("known"))  # bounded by the limits of an expansion
-
-    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hooks.install(engines)
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                meta = {k: getattr(r, k) for k in ("source_hash", "source_size", "declared_format", "detected_format", "format_mismatch")} | {"warnings": list(r.warnings)}
-                writer.began = time.monotonic()
-                if r.error:
-                    made = [writer.record(r.source_path, meta, None, r.error)]
-                elif r.kind == "symlink" or r.routed is None and r.detected_format not in formats.METADATA_FORMATS:
-                    made = [writer.record(r.source_path, meta, None, registry.route(r.detected_format)[1], "unsupported")]
-                else:
-                    with open(os.path.join(root, r.source_path), "rb") as file:
-                        data = file.read()
-                    if blake3(data) != r.source_hash:
-                        made = [writer.record(r.source_path, meta, None, "source_changed_during_run")]
-                    elif r.detected_format in formats.CONTAINERS:
-                        members = {m["source_path"]: as_record(m) for m in (r.known if r.known is not None else [])}
-                        made = list(writer.container(r.source_path, meta, data, root, members))
-                    else:
-                        made = list(writer.leaf(r.source_path, meta, data))
-                rows += [[r.ord, k, *(m.get(f) for f in RECORD_FIELDS)] for k, m in enumerate(made)]
-            yield pd.DataFrame(rows, columns=["ord", "nth", *RECORD_FIELDS], dtype=object)
-
-    columns = ["source_path", "ord", "kind", "source_hash", "source_size", "declared_format", "detected_format", "format_mismatch", "warnings", "error", "routed"]
-    made = work.select(*columns).join(known, "source_path", "left").mapInPandas(convert, _RECORDS).persist()
-    canon = made.where("nth = 0").select(F.col("source_path").alias("dedup_of"), *(F.col(c).alias(f"c_{c}") for c in ("status", "text_hash", "text_path", "artifact_kind", "media", "converter_id", "converter_version", "error", "warnings")))
-    older = judged.where("skip").join(last.select("source_path", "text_hash", "text_path", "artifact_kind", "media", "converter_id"), "source_path")
-    canon = canon.unionByName(older.select(F.col("source_path").alias("dedup_of"), F.lit("converted").alias("c_status"), *(F.col(c).alias(f"c_{c}") for c in ("text_hash", "text_path", "artifact_kind", "media", "converter_id", "converter_version")), F.lit(None).cast("string").alias("c_error"), F.col("warnings").alias("c_warnings")))
-
-    def borrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, source, status in zip(batch.source_path, batch.c_text_path, batch.status):
-                if status != "failed":
-                    for end in (".txt", ".segments.jsonl"):
-                        with open(os.path.join(mirror, source.removesuffix(".txt") + end), "rb") as file:
-                            write_file(os.path.join(mirror, division, path + end), file.read())
-            yield batch[["ord", "nth", *RECORD_FIELDS]]
-
-    copies = leaves.where("status = 'dedup'").drop("status", "error", "converter_version", "rules_version").join(canon, "dedup_of", "left")
-    good = F.col("c_status") == "converted"
-    own = F.col("c_converter_id") == F.col("routed")  # a text that was only recovered is no canonical one: each source counts as converted
-    shown = copies.withColumns(
-        {
-            "nth": F.lit(0), "status": F.when(good & own, "dedup").when(good, "converted").otherwise("failed"), "error": F.when(~good, F.col("c_error")), "dedup_of": F.when(good & own, F.col("dedup_of")),
-            "text_hash": F.col("c_text_hash"), "text_path": F.when(good, F.concat(F.lit(f"{division}/"), "source_path", F.lit(".txt"))), "artifact_kind": F.col("c_artifact_kind"), "media": F.col("c_media"), "tool_version": F.lit(None).cast("string"), "duration_ms": F.lit(0).cast("long"),
-            "converter_id": F.col("c_converter_id"), "converter_version": F.col("c_converter_version"), "rules_version": F.lit(formats.RULES_VERSION),
-            "parent_source": F.lit(None).cast("string"), "warnings": F.array_union("warnings", F.coalesce("c_warnings", F.expr("cast(array() as array<string>)"))),
-        }
+    versions = F.create_map(*(F.lit(x) for pair in formats.VERSIONS.items() for x in pair))
+    routes = formats.route_rules(spark).select(F.col("format").alias("detected_format"), F.col("converter_id").alias("routed"), F.coalesce("reason", F.lit("no-converter")).alias("reason"))
+
+    def judged(units: DataFrame) -> DataFrame:
+        """Units with their converter and whether they stand unchanged: same key as the last record, and intact; with all below, if they may have children."""
+        known = units.join(F.broadcast(routes), "detected_format", "left").withColumn("converter_version", versions[F.col("routed")]).withColumn("rules_version", F.lit(formats.RULES_VERSION))
+        checked = manifest.checkpoint(known, last.select("source_path", "status", "source_hash", "converter_version", "rules_version")).join(whole, "source_path", "left")
+        parents = F.col("detected_format").isin(*formats.CONTAINERS, *formats.METADATA_FORMATS)
+        stands = F.coalesce(F.when(parents, F.col("all_intact")).otherwise(F.col("intact")), F.lit(False))
+        return checked.withColumn("skip", F.col("skip") & stands).drop("intact", "all_intact")
+
+    # what is there: sources, and the units of containers that are new or changed
+    found = front(entries(spark, root), root).select(F.col("ord").alias("root"), F.lit(0).alias("nth"), F.col("path").alias("source_path"), "kind", "source_hash", "source_size", "declared_format", "detected_format", "format_mismatch", none("string").alias("parent_source"), "warnings", "error")
+    sources = store(judged(found), "sources")
+    opened = ~F.col("skip") & F.col("detected_format").isin(*formats.CONTAINERS) & F.col("error").isNull() & (F.col("kind") == "file")
+    inside = store(expanded(sources.where(opened).select(*_UNIT), root), "members")
+    members = judged(inside.select(*_UNIT))
+    members = members.withColumn("skip", F.col("skip") & (F.col("kind") == "member") & F.col("error").isNull() & ~F.col("detected_format").isin(*formats.METADATA_FORMATS))
+    units = store(sources.where(~F.coalesce(opened, F.lit(False))).unionByName(members).withColumn("ord", outcomes.order_of(F.col("root"), F.col("nth"))), "units")
+    fresh = units.where("not skip")
+
+    # each content once: contents with an intact artifact of the same converter are read from it
+    plain = F.col("error").isNull() & F.col("kind").isin("file", "member")
+    leaves = fresh.where(plain & (F.col("routed").isNotNull() | F.col("detected_format").isin(*formats.METADATA_FORMATS)))
+    leaves = leaves.withColumn("key", F.when(F.col("detected_format").isin(*formats.METADATA_FORMATS, "svg"), F.col("detected_format")).otherwise(F.col("routed")))
+    sound = bearing.join(marked.where("intact"), "source_path", "left_semi").where((F.col("status") == "converted") | (F.col("status") == "skipped_unchanged") & F.col("dedup_of").isNull())
+    sound = sound.where((F.col("rules_version") == formats.RULES_VERSION) & (F.col("converter_version") == versions[F.col("converter_id")]))
+    # not those that this run writes anew or retires: their artifacts will be others
+    below = manifest.descendants(sound.where("parent_source is not null"), sources.where(opened)).select("source_path")
+    replaced = fresh.select("source_path").unionByName(below).join(units.where("skip").select("source_path"), "source_path", "left_anti").distinct()
+    sound = sound.join(replaced, "source_path", "left_anti")
+    sound = sound.join(F.broadcast(routes.select("detected_format", F.col("routed").alias("converter_id"))), ["detected_format", "converter_id"], "left_semi")
+    seeds = store(sound.select("source_hash", "source_path", F.col("converter_id").alias("converter"), *(f"text_{x}" for x in ("path", "hash")), "artifact_kind", "media", "tool_version", "warnings"), "seeds")
+    held = outcomes.carriers(seeds.withColumn("ord", F.col("source_path")), "source_hash")
+    kept = held.select("source_hash", F.col("converter").alias("key"), F.lit("").alias("suffix"), none("binary").alias("text"), none("binary").alias("sidecar"), "text_hash", "artifact_kind", F.col("converter").alias("recorded"), "tool_version", "media", F.col("warnings").alias("o_warnings"), none("string").alias("o_error"), F.lit(0).cast("long").alias("duration_ms"), "text_path")
+    bytes_of = inside.where("data is not null").select("source_path", "data")
+    todo = leaves.join(held.select("source_hash", F.col("converter").alias("key")), ["source_hash", "key"], "left_anti").select("source_hash", "key", "source_path", "ord", "kind", "detected_format")
+    first = outcomes.carriers(todo, "source_hash", "key")
+    mine = first.where("kind = 'file'").withColumn("data", none("binary"))
+    # of a member's content, any member whose bytes an expansion has given out will do: they are the same
+    given_out = outcomes.carriers(todo.where("kind = 'member'").join(bytes_of.select("source_path"), "source_path", "left_semi"), "source_hash", "key")
+    taken_out = first.where("kind = 'member'").select("source_hash", "key").join(given_out, ["source_hash", "key"]).join(bytes_of, "source_path")
+    work = mine.select("source_hash", "key", "source_path", "detected_format", "data").unionByName(taken_out.select("source_hash", "key", "source_path", "detected_format", "data"))
+    made = store(converted(work, root, engines), "outcomes")
+    own_error = F.coalesce(F.substring_index("o_error", ":", 1).isin(*OWN_ERRORS), F.lit(False))
+    failing = store(made.where(own_error).select("source_hash", "key"), "unread-contents")
+    unread = spark.createDataFrame([], "source_path string, own_error string")
+    if not failing.isEmpty():  # a content whose first source can't be read any more is read from another that can
+        again = todo.join(failing, ["source_hash", "key"], "left_semi")
+        seen = store(readable(again.where("kind = 'file'"), root), "read-again")
+        unread = seen.where("own_error is not null")
+        able = again.join(unread, "source_path", "left_anti")
+        other = outcomes.carriers(able.join(bytes_of, "source_path", "left").where("kind = 'file' or data is not null"), "source_hash", "key")
+        more = store(converted(other.select("source_hash", "key", "source_path", "detected_format", "data"), root, engines), "outcomes-again")
+        made = made.where(~own_error).unionByName(more)
+    every = made.withColumn("text_path", none("string")).unionByName(kept)
+
+    # what each unit gets
+    facts = every.drop("text", "sidecar", "text_path")
+    leaf = leaves.join(unread, "source_path", "left").join(facts.where("suffix = ''").drop("suffix"), ["source_hash", "key"], "left")
+    leaf = leaf.withColumn("o_error", F.coalesce("own_error", "o_error")).withColumn("recorded", F.when(F.col("own_error").isNull(), F.col("recorded"))).drop("own_error")
+    child = outcomes.children(leaves.where(F.col("key") == F.col("detected_format")), facts.where("suffix <> ''"))
+    place_of = F.when(F.col("suffix") == ".d/#image-ocr", 1).otherwise(2)  # behind the parent
+    child = child.withColumns({"nth": F.col("nth") * 3 + place_of, "kind": F.lit("child"), "declared_format": none("string"), "format_mismatch": F.lit(False), "warnings": F.expr("cast(array() as array<string>)"), "error": none("string")})
+    boxes = fresh.where("kind = 'container'").select(*_UNIT).join(inside.where("kind = 'container'").select("source_path", F.col("text").isNotNull().alias("listed"), "duration_ms", "text_hash"), "source_path")
+    boxes = boxes.select(*_UNIT, F.lit("box").alias("suffix"), none("string").alias("key"), "text_hash", F.lit("text").alias("artifact_kind"), F.when(F.col("listed"), F.when(F.col("detected_format") == "eml", "eml-mime").otherwise("container-zip")).alias("recorded"), none("string").alias("tool_version"), none(RECORD["media"]).alias("media"), F.expr("cast(array() as array<string>)").alias("o_warnings"), F.col("error").alias("o_error"), "duration_ms")
+    rest = ["suffix", "key", "text_hash", "artifact_kind", "recorded", "tool_version", "media", "o_warnings", "o_error", "duration_ms"]
+    leaf = leaf.withColumn("suffix", F.lit("")).select(*_UNIT, *rest)
+    # a unit's place is tripled to make room for its children
+    wide = leaf.unionByName(boxes).withColumn("nth", F.col("nth") * 3).unionByName(child.select(*_UNIT, *rest))
+    bodies = store(wide.withColumn("ord", outcomes.order_of(F.col("root"), F.col("nth"))), "bodies")
+    writable = bodies.where("recorded is not null").select("source_path", "ord")
+    standing = units.where("skip").select("source_path", outcomes.order_of(F.expr("cast(array() as array<string>)"), F.lit(0)).alias("ord"))
+    lost = outcomes.blocked(writable.unionByName(standing), store).withColumn("blocked", F.lit(os.strerror(errno.ENOTDIR)))
+    barred = placed(writable, mirror, division)
+    judged_bodies = bodies.join(lost, "source_path", "left").join(barred, "source_path", "left").withColumn("taken", F.coalesce("blocked", "on_disk")).drop("blocked", "on_disk")
+    judged_bodies = store(judged_bodies, "places")
+    shared = F.col("suffix") == ""
+    settled = judged_bodies.where(shared).join(F.broadcast(routes.select("detected_format", F.col("routed").alias("converter"))), "detected_format", "left")
+    seeded = seeds.select("source_hash", "source_path", "converter")
+    dealt = outcomes.assigned(settled.where("converter is not null"), seeded)
+    alone = judged_bodies.where(~shared).withColumn("converter", none("string")).withColumn("dedup_of", none("string")).withColumn("status", F.when(F.col("recorded").isNotNull() & F.col("taken").isNull(), "converted").otherwise("failed"))
+    unrouted = settled.where("converter is null").withColumn("dedup_of", none("string")).withColumn("status", F.lit("unsupported"))
+    by = F.coalesce("recorded", "converter")  # of a failure too
+    text_bearing = F.col("status").isin("converted", "dedup")
+    extra = F.array_union("warnings", F.coalesce("o_warnings", F.expr("cast(array() as array<string>)")))
+    reasons = F.create_map(*(F.lit(x) for i, _, c, r in formats.all_formats() if c is None for x in (i, r or "no-converter")))
+    error = F.when(text_bearing, none("string")).when(F.col("status") == "unsupported", F.coalesce(reasons[F.col("detected_format")], F.lit("no-converter")))
+    error = error.when(F.col("recorded").isNull(), F.col("o_error")).otherwise(F.concat(F.lit("mirror_write_error: "), F.col("taken")))
+    shown = dealt.unionByName(alone).unionByName(unrouted).select(
+        "ord", "key", "suffix", "source_path", "source_hash", "source_size", "declared_format", "detected_format", "format_mismatch", "status",
+        F.when(text_bearing, F.concat(F.lit(f"{division}/"), "source_path", F.lit(".txt"))).alias("text_path"), F.when(text_bearing, F.col("text_hash")).alias("text_hash"), F.when(text_bearing, F.col("artifact_kind")).alias("artifact_kind"),
+        by.alias("converter_id"), versions[by].alias("converter_version"), F.when(F.col("status") == "converted", F.col("tool_version")).alias("tool_version"),
+        F.lit(formats.RULES_VERSION).alias("rules_version"), F.when(text_bearing, F.col("media")).alias("media"), "parent_source", "dedup_of", F.when(text_bearing, extra).otherwise(F.col("warnings")).alias("warnings"), error.alias("error"),
+        F.when(F.col("dedup_of").isNotNull(), F.lit(0).cast("long")).otherwise(F.coalesce("duration_ms", F.lit(0).cast("long"))).alias("duration_ms"),
     )
-    borrowed = shown.select("ord", "nth", *RECORD_FIELDS, "c_text_path").mapInPandas(borrow, _RECORDS)
-    skipped = judged.where("skip").select("source_path", "ord").join(last, "source_path").withColumns({"status": F.lit("skipped_unchanged"), "nth": F.lit(0), "duration_ms": F.lit(0).cast("long")}).select("ord", "nth", *RECORD_FIELDS)
-    emitted = made.unionByName(borrowed).unionByName(skipped)
-    gone = manifest.removed_members(last, expanded, emitted)
 
-    def retire(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # units without a content of their own to convert: refused, unread, unsupported
+    refused = fresh.where(~plain & (F.col("kind") != "container") | plain & F.col("routed").isNull() & ~F.col("detected_format").isin(*formats.METADATA_FORMATS))
+    reason = F.coalesce("error", F.when(F.col("kind") == "symlink", F.lit("no-converter")).otherwise(F.coalesce("reason", F.lit("no-converter"))))
+    bare = {f: none(k) for f, k in RECORD.items()}
+    bare |= {f: F.col(f) for f in ("source_path", "source_hash", "source_size", "declared_format", "detected_format", "format_mismatch", "parent_source", "warnings", "rules_version")}
+    bare |= {"status": F.when(F.col("error").isNotNull(), "failed").otherwise("unsupported"), "error": reason, "duration_ms": F.lit(0).cast("long")}
+    place = outcomes.order_of(F.col("root"), F.col("nth") * 3)
+    refused = refused.select(place.alias("ord"), none("string").alias("key"), none("string").alias("suffix"), *(c.alias(f) for f, c in bare.items()))
+    skipped = units.where("skip").select("source_path", "root", "nth").join(last.drop("division", "line_no"), "source_path").withColumns({"status": F.lit("skipped_unchanged"), "duration_ms": F.lit(0).cast("long")})
+    skipped = skipped.select(place.alias("ord"), none("string").alias("key"), none("string").alias("suffix"), *RECORD_FIELDS)
+    emitted = shown.unionByName(refused).unionByName(skipped)
+    emitted = store(emitted.select("ord", "key", "suffix", *RECORD_FIELDS), "emitted")
+    gone = manifest.removed_members(last, sources.where(opened).select("source_path"), emitted)
+    bare |= {"source_hash": F.lit(""), "source_size": F.lit(0).cast("long"), "detected_format": F.lit("unknown"), "format_mismatch": F.lit(False), "warnings": F.expr("cast(array() as array<string>)"), "rules_version": F.lit(formats.RULES_VERSION), "status": F.col("status"), "error": F.col("error")}
+    retired = gone.select(outcomes.order_of(F.split("source_path", "/"), F.lit(0)).alias("ord"), none("string").alias("key"), none("string").alias("suffix"), *(c.alias(f) for f, c in bare.items()))
+    records = store(emitted.unionByName(retired), "records")
+
+    # the artifacts: each written source's text, met by content; what bears none any more goes
+    written = records.where(F.col("status").isin("converted", "dedup")).select(F.concat(F.lit(f"{division}/"), "source_path").alias("target"), "source_path", "source_hash", F.col("key").alias("k"), F.col("suffix").alias("s"))
+    texts = made.where("text is not null").select(F.col("source_hash").alias("h"), F.col("key"), "suffix", "text", "sidecar")
+    same = (F.col("source_hash") == F.col("h")) & (F.col("k") == F.col("key")) & (F.col("s") == F.col("suffix"))
+    parts = [written.where("s <> 'box'").join(texts, same).select("target", "text", "sidecar")]
+    parts.append(written.where("s = 'box'").join(inside.where("text is not null").select("source_path", "text", "sidecar"), "source_path").select("target", "text", "sidecar"))
+    old = written.where("s = ''").join(kept.select(F.col("source_hash").alias("h"), F.col("key"), "suffix", "text_path"), same).select("target", "text_path")
+    parts.append(borrowed_texts(old, mirror))
+    parts.append(records.where(~manifest.has_text(F.col("status"))).select(F.concat(F.lit(f"{division}/"), "source_path").alias("target"), none("binary").alias("text"), none("binary").alias("sidecar")))
+    return functools.reduce(DataFrame.unionByName, parts), records
+
+
+def borrowed_texts(old: DataFrame, mirror: str) -> DataFrame:
+    """(target, text, sidecar) of sources whose content an earlier run's artifact holds; old: target, text_path."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                writer.began = time.monotonic()
-                meta = {"source_hash": "", "source_size": 0, "declared_format": r.declared_format, "detected_format": "unknown", "format_mismatch": False, "parent_source": r.parent_source}
-                record = writer.record(r.source_path, meta, None, r.error)
-                rows.append([r.source_path.split("/"), 0, *(record.get(f) for f in RECORD_FIELDS)])
-            yield pd.DataFrame(rows, columns=["ord", "nth", *RECORD_FIELDS], dtype=object)
-
-    everything = emitted.unionByName(gone.mapInPandas(retire, _RECORDS)).persist()
-    counts = append_records(everything, os.path.join(manifest_dir, f"{division}.jsonl"))
-    for frame in (found, last, marked, judged, made, everything):
-        frame.unpersist()
-    special = entries(spark, root).where("kind = 'other'").count()
-    return {"division": division, "special": special, "records": sum(counts.values()), "counts": counts, "warnings": notes}
+            for target, source in zip(batch.target, batch.text_path):
+                files = []
+                for end in outcomes.ENDINGS:
+                    with open(os.path.join(mirror, source.removesuffix(".txt") + end), "rb") as file:
+                        files.append(file.read())
+                yield pd.DataFrame([[target, *files]], columns=["target", "text", "sidecar"])
+
+    return old.mapInPandas(run, SINK_ROWS)
 
 
 def given(value: object) -> bool:
@@ -346,14 +484,6 @@ def given(value: object) -> bool:
     return value is not None and not (isinstance(value, float) and value != value)
 
 
-def as_record(row: object) -> dict:
-    """A record as a worker gets it, with plain values."""
-    out = {f: row[f] if given(row[f]) else None for f in RECORD_FIELDS}
-    out["warnings"] = list(out["warnings"]) if out["warnings"] is not None else []
-    out["media"] = {f: out["media"][f] for f in shard.MEDIA_FIELDS} if out["media"] is not None else None
-    return out
-
-
 def scan(spark: SparkSession, root: str) -> dict:
     """Inventory by detected format, totals and size outliers; writes nothing."""
     found = front(entries(spark, root), root).withColumnRenamed("path", "source_path").persist()
