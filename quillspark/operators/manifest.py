@@ -5,10 +5,11 @@ A shard is a frame with at least (division, source_path, line_no, status); its o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import bundle_collision_key, run_collision_key
+from quillspark.operators.scan import Scan, Store
 
 TEXT_BEARING = ("converted", "skipped_unchanged", "dedup")
 STATUSES = ("converted", "failed", "unsupported", "skipped_unchanged", "dedup")
@@ -139,19 +140,21 @@ def outliers(sources: DataFrame, least: int = 1 << 20, factor: float = 10.0) ->
     return big.drop("mean").orderBy(F.desc("source_size"), "source_path")
 
 
-def claims(members: DataFrame) -> DataFrame:
+def claims(members: DataFrame, store: Store) -> DataFrame:
     """Archive members in order; the first with a collision key keeps its path, later ones get a number instead.
 
-    members: root, ord, path. Adds claimed and, for the n-th refused member of a root, a synthetic path.
+    members: root, ord (unique in its root), path. Adds claimed and, for the n-th refused member of a root, a synthetic path. One root may hold all members.
     """
-    first = F.row_number().over(Window.partitionBy("root", "fold").orderBy("ord")) == 1
-    nth = F.sum(F.when(F.col("claimed"), 0).otherwise(1)).over(Window.partitionBy("root").orderBy("ord"))
-    keyed = members.withColumn("fold", run_collision_key(F.col("path"))).withColumn("claimed", first)
-    shown = F.when(F.col("claimed"), F.concat("root", F.lit(".d/"), "path")).otherwise(F.concat("root", F.lit(".d/#collision-"), nth))
-    return keyed.withColumn("child_path", shown).drop("fold")
-
-
-def expansion_budget(members: DataFrame, limit: int) -> DataFrame:
-    """Running total of inflated bytes in each root, and whether a member still fits."""
-    total = F.sum("size").over(Window.partitionBy("root").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-    return members.withColumn("total", total).withColumn("fits", F.col("total") <= limit)
+    keyed = members.withColumn("fold", run_collision_key(F.col("path")))
+    first = keyed.groupBy("root", "fold").agg(F.min("ord").alias("_first"))
+    # written anew, the key gives the join exchanges of its own, which can be split
+    met = keyed.join(first.withColumn("root", F.concat("root", F.lit(""))), ["root", "fold"]).withColumn("claimed", F.col("ord") == F.col("_first")).drop("_first", "fold")
+    nth = Scan(met, ["root"], ["ord"], store, "claims").sum("_nth", F.when(F.col("claimed"), 0).otherwise(1).cast("long")).rows
+    shown = F.when(F.col("claimed"), F.concat("root", F.lit(".d/"), "path")).otherwise(F.concat("root", F.lit(".d/#collision-"), "_nth"))
+    return nth.withColumn("child_path", shown).drop("_nth")
+
+
+def expansion_budget(members: DataFrame, limit: int, store: Store) -> DataFrame:
+    """Running total of inflated bytes in each root, and whether a member still fits. One root may hold all members."""
+    total = Scan(members, ["root"], ["ord"], store, "budget").sum("total", F.col("size")).rows
+    return total.withColumn("fits", F.col("total") <= limit)

@@ -6,19 +6,16 @@ is taken is not written, and only a text that was written is one that others bor
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators import dedup
 from quillspark.operators.manifest import ancestor_prefixes
+from quillspark.operators.scan import Store
 
 #: What an artifact's files add to the name of their source.
 ENDINGS = (".txt", ".segments.jsonl")
 
-Store = Callable[[DataFrame, str], DataFrame]
-
 
 def place_conflicts(rows: DataFrame) -> DataFrame:
     """(early, late): sources of which one's artifact is a file where the other's needs a folder, by their order.
@@ -54,7 +51,7 @@ def blocked(rows: DataFrame, store: Store) -> DataFrame:
     return out if out is not None else rows.select("source_path").limit(0)
 
 
-def assigned(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+def assigned(rows: DataFrame, seeds: DataFrame, store: Store) -> DataFrame:
     """Adds status and dedup_of to fresh convertible rows; what failed or wasn't written fills no slot.
 
     rows: source_hash, source_path, ord, converter (that the source goes to), recorded (that made the content's text; null if there is none),
@@ -62,7 +59,7 @@ def assigned(rows: DataFrame, seeds: DataFrame) -> DataFrame:
     A text that another converter than the routed one made, as when it was only recovered, is no one's to borrow.
     """
     bears = F.col("recorded").isNotNull() & F.col("taken").isNull()
-    settled = dedup.seeded(rows.where(bears), seeds)
+    settled = dedup.seeded(rows.where(bears), seeds, store)
     own = F.col("recorded") == F.col("converter")
     shown = settled.withColumn("status", F.when(own, F.col("status")).otherwise("converted")).withColumn("dedup_of", F.when(own, F.col("dedup_of")))
     lost = rows.where(~bears).withColumn("dedup_of", F.lit(None).cast("string")).withColumn("status", F.lit("failed"))

@@ -6,21 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.scan import Scan, Store
 from quillspark.plans import formats
 
 
-def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Adds the place of each row in a total order, from 1, without sorting all rows in one task.
-
-    Rows are range-partitioned by the order; a row's place is its place in its part and the size of the parts before.
-    """
-    keys = [f"_o{k}" for k in range(len(order))]
-    parts = rows.withColumns(dict(zip(keys, order))).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    placed = parts.withColumn("_local", local).join(F.broadcast(sizes), "_part")  # one row per partition
-    return placed.withColumn(name, F.col("_local") + F.col("_before")).select(*rows.columns, name)
+def numbered(rows: DataFrame, order: list[Column], name: str, store: Store) -> DataFrame:
+    """Adds the place of each row in a total order, from 1, without sorting all rows in one task."""
+    keys = {f"_o{k}": c for k, c in enumerate(order)}
+    return Scan(rows.withColumns(keys), [], list(keys), store, f"numbered-{name}").sum(name, F.lit(1).cast("long")).rows.select(*rows.columns, name)
 
 
 def declared(rows: DataFrame, path: str = "path") -> DataFrame:
@@ -66,10 +59,10 @@ def counts_compared(recorded: DataFrame, found: DataFrame) -> DataFrame:
     return joined.withColumn("differs", F.coalesce(F.col("recorded") != F.col("found"), F.lit(True)))
 
 
-def strictly_increasing(rows: DataFrame, column: str) -> DataFrame:
-    """Whether each value of a descriptor array is above the one before; such arrays are small."""
-    before = F.lag(column).over(Window.orderBy(column))
-    return rows.select(column, (before.isNull() | (F.col(column) > before)).alias("increasing"))
+def order_breaks(rows: DataFrame, place: str, column: str, store: Store) -> DataFrame:
+    """Adds ``rising`` to a list as it is given, by its ``place``: whether each value is above the one before; the first is."""
+    seen = Scan(rows, [], [place], store, "listed").lag("_before", F.struct(F.col(column).alias("v"))).rows
+    return seen.withColumn("rising", F.col("_before").isNull() | F.coalesce(F.col(column) > F.col("_before.v"), F.lit(False))).drop("_before")
 
 
 def collapsed_states(rows: DataFrame, group: list[str], order: list[str], text: str) -> DataFrame:
@@ -85,11 +78,11 @@ def transcript(rows: DataFrame, key: str) -> DataFrame:
     return gathered.select(key, F.array_join(F.transform("lines", lambda s: s["line"]), "").alias("transcript"))
 
 
-def spans(rows: DataFrame, group: list[str], order: list[str], text: str) -> DataFrame:
-    """UTF-8 byte spans [start, end) of texts that stand one to a line."""
+def spans(rows: DataFrame, group: list[str], order: list[str], text: str, store: Store) -> DataFrame:
+    """UTF-8 byte spans [start, end) of texts that stand one to a line, in groups of any size."""
     size = F.octet_length(text).cast("long")
-    start = F.coalesce(F.sum(size + 1).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("start", start).withColumn("end", F.col("start") + size)
+    done = Scan(rows, group, order, store, "spans").sum("end", size + 1).rows
+    return done.withColumn("start", F.col("end") - size - 1).withColumn("end", F.col("end") - 1)
 
 
 def in_ranges(value: Column, ranges: Column) -> Column:

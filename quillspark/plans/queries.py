@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import agreement, bundles, dedup, manifest, outcomes, render
+from quillspark.operators import agreement, bundles, dedup, intervals, manifest, outcomes, render
 from quillspark.plans import formats
 from quillspark.plans.folders import Kept, shared_folder
 
@@ -42,6 +42,11 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", path.alias("source_path"), F.col("lang").alias("division"), "source", "text", F.sha2("text", 256).alias("source_hash"), F.octet_length("text").cast("long").alias("source_size"))
 
 
+def kept(spark: SparkSession, name: str) -> Kept:
+    """Frames that a query stores while it is planned, in a folder of its own."""
+    return Kept(spark, shared_folder(spark, name))
+
+
 SOURCES = """sources AS (SELECT doc_id, 'documents/' || lang || '/' || source || '/' || doc_id || '.txt' AS source_path, lang AS division, source, text,
   sha256(text) AS source_hash, CAST(strlen(text) AS BIGINT) AS source_size FROM documents)"""
 
@@ -123,7 +128,7 @@ def source_hash_blake3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {SOURCES} SELECT source_path, row_number() OVER (ORDER BY string_split(source_path, '/')) AS ord FROM sources""")
 def walk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.numbered(sources(spark, sf_dir).select("source_path"), [F.split("source_path", "/")], "ord")
+    return render.numbered(sources(spark, sf_dir).select("source_path"), [F.split("source_path", "/")], "ord", kept(spark, "walk").store)
 
 
 _FILE = "CASE CAST(page_id AS BIGINT) % 7 WHEN 0 THEN '.DS_Store' WHEN 1 THEN 'base.db-wal' WHEN 2 THEN page_id || '-shm' WHEN 3 THEN page_id || '.tmp' WHEN 4 THEN '.DS_Store.txt' WHEN 5 THEN 'wal' ELSE page_id || '.html' END"
@@ -287,7 +292,7 @@ def route_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT source_path, row_number() OVER w AS nth, first_value(source_path) OVER w AS owner FROM sources WINDOW w AS (PARTITION BY source_hash ORDER BY string_split(source_path, '/')))""")
 def dedup_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sources(spark, sf_dir).select("source_hash", "source_path", F.split("source_path", "/").alias("ord"), F.lit("text-passthrough").alias("converter"))
-    return dedup.dedup_islands(rows).select("source_path", "status", "dedup_of")
+    return dedup.one_converter(rows).select("source_path", "status", "dedup_of")
 
 
 _ROUTED = "CASE WHEN source IN ('src0', 'src2', 'src4', 'src6', 'src8') THEN 'a' ELSE 'b' END"
@@ -299,7 +304,7 @@ numbered AS (SELECT *, sum(CASE WHEN borrows THEN 0 ELSE 1 END) OVER (PARTITION
 SELECT source_path, CASE WHEN borrows THEN 'dedup' ELSE 'converted' END AS status, CASE WHEN borrows THEN first_value(source_path) OVER (PARTITION BY source_hash, island ORDER BY ord) END AS dedup_of FROM numbered""")
 def dedup_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sources(spark, sf_dir).select("source_hash", "source_path", F.col("doc_id").alias("ord"), F.expr(_ROUTED).alias("converter"))
-    return dedup.dedup_islands(rows).select("source_path", "status", "dedup_of")
+    return dedup.dedup_islands(rows, kept(spark, "islands").store).select("source_path", "status", "dedup_of")
 
 
 @query(f"""WITH {SOURCES}, rows AS (SELECT source_hash, source_path, doc_id AS ord, {_ROUTED} AS converter FROM sources),
@@ -312,7 +317,7 @@ named AS (SELECT *, first_value(source_path) OVER (PARTITION BY source_hash, isl
 SELECT source_path, CASE WHEN borrows THEN 'dedup' ELSE 'converted' END AS status, CASE WHEN borrows THEN owner END AS dedup_of FROM named WHERE NOT seed""")
 def dedup_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sources(spark, sf_dir).select("source_hash", "source_path", F.col("doc_id").alias("ord"), F.expr(_ROUTED).alias("converter"))
-    return dedup.seeded(rows, rows.where("converter = 'b'")).select("source_path", "status", "dedup_of")
+    return dedup.seeded(rows, rows.where("converter = 'b'"), kept(spark, "seeded").store).select("source_path", "status", "dedup_of")
 
 
 @query(f"""WITH {SOURCES} SELECT division, count(*) AS sources, count(DISTINCT source_hash) AS contents FROM sources GROUP BY division""")
@@ -349,10 +354,10 @@ UNION ALL SELECT source_path || '.d/#image-metadata', 'converted', NULL, NULL FR
 def borrowed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who is written, who borrows and who fails among documents as sources, with failed conversions, taken places, seeds of which half are damaged, and children."""
     rows = _placed(spark, sf_dir)
-    kept = Kept(spark, shared_folder(spark, "borrowed"))
-    lost = outcomes.blocked(rows.where("recorded is not null").select("source_path", "ord"), kept.store).withColumn("taken", F.lit("Not a directory"))
+    store = kept(spark, "borrowed").store
+    lost = outcomes.blocked(rows.where("recorded is not null").select("source_path", "ord"), store).withColumn("taken", F.lit("Not a directory"))
     prior = table(spark, sf_dir, "documents").where("doc_id % 7 = 3").select(F.sha2("text", 256).alias("source_hash"), F.concat(F.lit("old/"), F.col("doc_id").cast("string")).alias("source_path"), F.lit("a").alias("converter"), (F.col("doc_id") % 2 == 0).alias("intact"))
-    done = outcomes.assigned(rows.join(lost, "source_path", "left"), prior.where("intact").drop("intact"))
+    done = outcomes.assigned(rows.join(lost, "source_path", "left"), prior.where("intact").drop("intact"), store)
     error = F.when(F.col("status") == "failed", F.when(F.col("recorded").isNull(), "empty_output").otherwise("mirror_write_error"))
     beside = rows.where("size % 5 = 0").select("source_hash", F.lit("png").alias("key"), F.lit(".d/#image-metadata").alias("suffix")).distinct()
     child = outcomes.children(rows.withColumn("key", F.lit("png")).withColumn("parent_source", F.lit(None).cast("string")), beside)
@@ -371,7 +376,7 @@ def members_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = d.select("source_hash", F.concat("source", F.lit(".zip")).alias("root"), F.col("doc_id").cast("int").alias("nth"), F.concat("source", F.lit(".zip.d/"), "name").alias("source_path"))
     loose = d.where("lang = 'fr'").select("source_hash", F.concat(F.lit("loose/"), "name").alias("root"), F.lit(0).alias("nth"), F.concat(F.lit("loose/"), "name").alias("source_path"))
     units = inside.unionByName(loose).withColumn("ord", outcomes.order_of(F.split("root", "/"), F.col("nth"))).withColumns({"converter": F.lit("text-passthrough"), "recorded": F.lit("text-passthrough"), "taken": F.lit(None).cast("string")})
-    return outcomes.assigned(units, units.select("source_hash", "source_path", "converter").limit(0)).select("source_path", "status", "dedup_of")
+    return outcomes.assigned(units, units.select("source_hash", "source_path", "converter").limit(0), kept(spark, "members").store).select("source_path", "status", "dedup_of")
 
 
 @query("""SELECT lang || '/' || source || '/' || doc_id AS source_path, 'converted' AS status, sha256(text) AS text_hash, CAST(strlen(text) AS BIGINT) AS text_bytes, sha256('{}' || chr(10)) AS sidecar_hash FROM documents""")
@@ -528,13 +533,13 @@ SELECT root, ord, path, claimed, CASE WHEN claimed THEN root || '.d/' || path EL
 def member_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     stem = F.when(F.col("n_chars") > 1500, "A").otherwise("a")
     path = F.concat("lang", F.lit("/"), stem, F.floor(F.col("n_chars") / 100).cast("string"))
-    return manifest.claims(table(spark, sf_dir, "documents").select(F.col("source").alias("root"), F.col("doc_id").alias("ord"), path.alias("path")))
+    return manifest.claims(table(spark, sf_dir, "documents").select(F.col("source").alias("root"), F.col("doc_id").alias("ord"), path.alias("path")), kept(spark, "claims").store)
 
 
 @query("""SELECT root, ord, CAST(total AS BIGINT) AS total, total <= 50000 AS fits FROM (SELECT source AS root, doc_id AS ord, sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id) AS total FROM documents)""")
 def expansion_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("root"), F.col("doc_id").alias("ord"), F.octet_length("text").cast("long").alias("size"))
-    return manifest.expansion_budget(d, 50_000).select("root", "ord", "total", "fits")
+    return manifest.expansion_budget(d, 50_000, kept(spark, "budget").store).select("root", "ord", "total", "fits")
 
 
 # --- bundles -------------------------------------------------------------------------------------------------------
@@ -600,21 +605,27 @@ def counts_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.counts_compared(manifest.status_counts(log.where("run = 1"), "division"), manifest.status_counts(log.where("run = 2"), "division"))
 
 
-@query("""SELECT path, lag(path) OVER (ORDER BY path) IS NULL OR path > lag(path) OVER (ORDER BY path) AS increasing FROM (SELECT o_orderpriority || '/' || o_orderstatus AS path, count(*) AS n FROM orders GROUP BY 1)""")
+_LISTED = """listed AS (SELECT CAST(o_orderkey AS BIGINT) AS place, 'o/' || lpad(CAST(CASE WHEN o_orderkey % 97 = 0 THEN o_orderkey - 3 WHEN o_orderkey % 101 = 0 THEN greatest(o_orderkey - 1, 1) ELSE o_orderkey END AS VARCHAR), 12, '0') AS path FROM orders)"""
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A checksum list as it is given: places and paths, with inversions and repeated paths planted."""
+    k = F.col("o_orderkey")
+    shown = F.when(k % 97 == 0, k - 3).when(k % 101 == 0, F.greatest(k - 1, F.lit(1))).otherwise(k)
+    return table(spark, sf_dir, "orders").select(k.cast("long").alias("place"), F.concat(F.lit("o/"), F.lpad(shown.cast("string"), 12, "0")).alias("path"))
+
+
+@query(f"WITH {_LISTED} SELECT place, path, coalesce(path > lag(path) OVER (ORDER BY place), true) AS rising FROM listed")
 def checksum_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = table(spark, sf_dir, "orders").select(F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("path")).distinct()
-    return render.strictly_increasing(paths, "path")
+    return render.order_breaks(_listed(spark, sf_dir), "place", "path", kept(spark, "order").store)
 
 
-@query(f"""WITH {SOURCES}, p AS (SELECT source_path AS path, CASE WHEN source_size % 9 = 0 THEN '' ELSE source_path END AS shown FROM sources), q AS (SELECT path, row_number() OVER (ORDER BY path) AS n FROM p)
-SELECT bool_and(n = m) AS rising, count(*) AS n FROM (SELECT n, row_number() OVER (ORDER BY n) AS m FROM q)""")
+@query(f"""WITH {_LISTED}, judged AS (SELECT place, coalesce(path > lag(path) OVER (ORDER BY place), true) AS rising FROM listed)
+SELECT CAST(place // 1000 AS BIGINT) AS part, count(*) AS n, count(*) FILTER (NOT rising) AS breaks, min(place) FILTER (NOT rising) AS first_break FROM judged GROUP BY ALL""")
 def checksum_list_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order of a list that is dealt out over partitions, judged from each partition's ends."""
-    paths = sources(spark, sf_dir).select("source_path").orderBy("source_path")
-    parts = bundles.disorder(paths, "source_path")
-    before = F.lag("last").over(Window.orderBy("part"))  # one row for each partition
-    good = parts.select((F.col("good") & (before.isNull() | (before < F.col("first")))).alias("good"))
-    return good.agg(F.bool_and("good").alias("rising")).crossJoin(paths.agg(F.count(F.lit(1)).alias("n")))
+    """Breaks of a list's order in each thousand of its places, the first of each named."""
+    seen = render.order_breaks(_listed(spark, sf_dir), "place", "path", kept(spark, "list-order").store)
+    return seen.groupBy(F.expr("place div 1000").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("rising")).alias("breaks"), F.min(F.when(~F.col("rising"), F.col("place"))).alias("first_break"))
 
 
 @query("""SELECT hash, path FROM (SELECT md5(text) AS hash, lang || '/' || source AS path FROM documents WHERE lang IN ('en', 'fr') UNION SELECT md5(text), lang || '/' || source FROM documents WHERE lang IN ('fr', 'de') UNION SELECT md5(text), lang || '/' || source FROM documents WHERE n_chars > 3000)""")
@@ -676,7 +687,7 @@ def transcript_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT conv_id, turn, CAST(coalesce(sum(strlen(text) + 1) OVER w, 0) AS BIGINT) AS start, CAST(coalesce(sum(strlen(text) + 1) OVER w, 0) + strlen(text) AS BIGINT) AS "end" FROM conversations
 WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def segment_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.spans(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "text").select("conv_id", "turn", "start", "end")
+    return render.spans(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "text", kept(spark, "spans").store).select("conv_id", "turn", "start", "end")
 
 
 @query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_linenumber BETWEEN 2 AND 3 OR l_linenumber BETWEEN 6 AND 6)""")
@@ -686,6 +697,15 @@ def hidden_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.where(render.in_ranges(F.col("l_linenumber"), ranges)).select("l_orderkey", "l_linenumber")
 
 
+@query("""WITH r AS (SELECT l_suppkey, l_orderkey AS first, l_orderkey + CAST(l_partkey % 900 AS BIGINT) - 40 AS last FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 45)
+SELECT l_suppkey, l_orderkey, l_linenumber, count(*) AS ranges FROM lineitem l JOIN r USING (l_suppkey) WHERE l_orderkey BETWEEN first AND last GROUP BY ALL""")
+def hidden_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of sheets (suppliers) that lie in hidden ranges of their own sheet, and in how many; ranges overlap, some are empty."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    ranges = lines.where("l_linenumber = 1 and l_quantity > 45").select("l_suppkey", F.col("l_orderkey").alias("first"), (F.col("l_orderkey") + F.col("l_partkey") % 900 - 40).alias("last"))
+    return intervals.containing(lines.select("l_suppkey", "l_orderkey", "l_linenumber"), ranges, ["l_suppkey"], "l_orderkey").groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("ranges"))
+
+
 @query("""SELECT l.l_orderkey, l.l_linenumber, o.o_orderpriority AS formula FROM lineitem l LEFT JOIN (SELECT o_orderkey, o_orderpriority, 1 AS line FROM orders WHERE o_orderstatus = 'O') o ON l.l_orderkey = o.o_orderkey AND l.l_linenumber = o.line""")
 def formula_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     formulas = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.col("o_orderpriority").alias("formula"))

@@ -418,7 +418,7 @@ def _planned(spark: SparkSession, store: outcomes.Store, prior: DataFrame, root:
     shared = F.col("suffix") == ""
     settled = judged_bodies.where(shared).join(F.broadcast(routes.select("detected_format", F.col("routed").alias("converter"))), "detected_format", "left")
     seeded = seeds.select("source_hash", "source_path", "converter")
-    dealt = outcomes.assigned(settled.where("converter is not null"), seeded)
+    dealt = outcomes.assigned(settled.where("converter is not null"), seeded, store)
     alone = judged_bodies.where(~shared).withColumn("converter", none("string")).withColumn("dedup_of", none("string")).withColumn("status", F.when(F.col("recorded").isNotNull() & F.col("taken").isNull(), "converted").otherwise("failed"))
     unrouted = settled.where("converter is null").withColumn("dedup_of", none("string")).withColumn("status", F.lit("unsupported"))
     by = F.coalesce("recorded", "converter")  # of a failure too

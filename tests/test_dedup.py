@@ -19,11 +19,11 @@ def simulate(rows, seeds=()):
     return out
 
 
-def test_islands(spark):
+def test_islands(spark, tmp_path):
     random.seed(5)
     rows = [(f"h{random.randint(0, 20)}", k, f"p{k:03}", random.choice("ab")) for k in range(300)]
     df = spark.createDataFrame(rows, "source_hash string, ord long, source_path string, converter string")
-    assert {r.source_path: r.dedup_of for r in dedup_islands(df).collect()} == simulate(rows)
+    assert {r.source_path: r.dedup_of for r in dedup_islands(df, Kept(spark, str(tmp_path)).store).collect()} == simulate(rows)
     seeds = [(f"h{k}", f"z{k}", "a") for k in range(0, 20, 2)] + [("h1", "p001", "b"), ("h2", "z99", "b")]
     prior = spark.createDataFrame(seeds, "source_hash string, source_path string, converter string")
     assert {r.source_path: r.dedup_of for r in seeded(df, prior).collect()} == simulate(rows, seeds)

@@ -50,8 +50,9 @@ def test_assigned_against_a_walk_one_by_one(spark, tmp_path):
             rows.append((p, digest, converter, None if digest == "u" else "r" if (digest, converter) == ("v", "a") else converter))
         random.shuffle(rows)  # members of archives stand in any order
         df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "source_path string, source_hash string, converter string, recorded string, ord int")
-        lost = outcomes.blocked(df.where("recorded is not null").select("source_path", "ord"), Kept(spark, str(tmp_path / f"t{turn}")).store).withColumn("taken", F.lit("x"))
-        done = outcomes.assigned(df.join(lost, "source_path", "left"), df.select("source_hash", "source_path", "converter").limit(0))
+        store = Kept(spark, str(tmp_path / f"t{turn}")).store
+        lost = outcomes.blocked(df.where("recorded is not null").select("source_path", "ord"), store).withColumn("taken", F.lit("x"))
+        done = outcomes.assigned(df.join(lost, "source_path", "left"), df.select("source_hash", "source_path", "converter").limit(0), store)
         assert {r.source_path: (r.status, r.dedup_of) for r in done.collect()} == plain_walk(rows)
 
 
