@@ -2,8 +2,8 @@
 
 import random
 
-from quillspark.plans.folders import Kept
 from quillspark.operators.dedup import dedup_islands, seeded
+from quillspark.plans.folders import Kept
 
 
 def simulate(rows, seeds=()):
@@ -27,4 +27,4 @@ def test_islands(spark, tmp_path):
     assert {r.source_path: r.dedup_of for r in dedup_islands(df, Kept(spark, str(tmp_path)).store).collect()} == simulate(rows)
     seeds = [(f"h{k}", f"z{k}", "a") for k in range(0, 20, 2)] + [("h1", "p001", "b"), ("h2", "z99", "b")]
     prior = spark.createDataFrame(seeds, "source_hash string, source_path string, converter string")
-    assert {r.source_path: r.dedup_of for r in seeded(df, prior).collect()} == simulate(rows, seeds)
+    assert {r.source_path: r.dedup_of for r in seeded(df, prior, Kept(spark, str(tmp_path / "s")).store).collect()} == simulate(rows, seeds)
