@@ -1,13 +1,14 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
-A node has many children, each with a random direction; a vector goes to the child along whose direction it reaches
-farthest, and to those along which it reaches nearly as far. The places of two unit vectors along independent directions
-are normal variables that depend on their cosine alone, so how near, and how many trees, follows from the number of
-children, the levels and the recall asked for, whatever the vectors are (see ``plan``). The directions come from numbers
-alone: nothing is fitted or broadcast, and every vector finds its leaves by itself. Inside a leaf all pairs are compared
-in double precision, large leaves in blocks; a pair that meets in several leaves counts in the first alone. Leaves are
-compared in passes that move about as many rows as there are vectors, however many leaves a vector has; what a pass
-shuffled is deleted before the next. Vectors that are equal are one from the start.
+Each tree splits all vectors of a label, then what came into each child, and so on until leaves are small. A node has a few
+children and directions of its own, one for each; a vector goes to the child along whose direction it reaches farthest, and
+spills into those along which it reaches nearly as far. The places of two unit vectors along independent directions are
+normal variables that depend on their cosine alone, so how far to spill, and how many trees, follows from the number of
+children, the levels and the recall asked for, whatever the vectors are (see ``plan``). A node's directions come from the
+numbers of its tree and node alone: nothing is fitted or broadcast, and every vector finds its leaves by itself. Inside a leaf
+all pairs are compared in double precision, large leaves in blocks; a pair that meets in several leaves counts in the first
+alone. Leaves are compared in passes that move about as many rows as there are vectors, however many leaves a vector has;
+what a pass shuffled is deleted before the next. Vectors that are equal are one from the start.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.chosen_path import in_blocks
-from quillspark.llm.common import Scratch, apart, shuffles_deleted
+from quillspark.llm.common import Scratch, apart, mix64, shuffles_deleted
 from quillspark.llm.components import components, local_roots
 from quillspark.llm.grouped import runs_of_groups
 
@@ -34,8 +35,8 @@ PASS = 500_000
 SIZED = 10_000
 #: Blocked leaves whose numbers of blocks are broadcast, at most.
 BLOCKED = 50_000
-#: Children a node may have, and levels a tree may have.
-CHILDREN, LEVELS = (16, 64, 256, 1024, 4096), 4
+#: Children a node may have; levels that a tree has at least and at most; trees of a forest, at least.
+CHILDREN, LEVELS, TREES = (2, 4, 8, 16), (2, 24), 8
 #: Pairs that a plan is reckoned from.
 TRIALS = 4000
 #: More than the error of a cosine in single precision.
@@ -69,52 +70,62 @@ def _splits(threshold: float, children: int) -> list[tuple[float, float, float]]
 def plan(threshold: float, rows: int, recall: float, leaf: int) -> tuple[int, int, int, float]:
     """Trees, levels, children of a node and margin for a label of ``rows`` vectors and a ``recall`` at the threshold.
 
-    Of the forests with that recall, the one with the least to do: projections, leaf rows to move (each as dear as eight
-    times ``leaf`` comparisons, and moved once for each block of its leaf) and comparisons.
+    Of the forests of ``TREES`` trees or more with that recall, the one with the least to do: projections, leaf rows to move
+    (each as dear as eight times ``leaf`` comparisons, and moved once for each block of its leaf) and comparisons.
     """
-    if rows <= 2 * leaf:
-        return 1, 0, 1, 0.0
-    best = (math.inf, 1, 0, 1, 0.0)
+    best = (math.inf, TREES, LEVELS[0], CHILDREN[0], 3.0)
     for children in CHILDREN:
         for margin, lost, into in _splits(threshold, children):
-            for levels in range(1, LEVELS + 1):
+            for levels in range(LEVELS[0], LEVELS[1] + 1):
                 miss = 1 - (1 - lost) ** levels
-                if children**levels > 16 * rows or miss >= 1:
+                if children**levels > 16 * max(rows, children) or miss >= 1:
                     continue
-                trees = max(1, math.ceil(math.log(1 - recall) / math.log(miss)))
+                trees = max(TREES, math.ceil(math.log(1 - recall) / math.log(miss)) if miss > 0 else 1)
                 inside, each = rows * (into / children) ** levels, into**levels
-                cost = trees * (children * each / into + each * (8 * leaf * max(1.0, inside / BLOCK) + inside))
+                projections = children * sum(into**level for level in range(levels))
+                cost = trees * (projections + each * (8 * leaf * max(1.0, inside / BLOCK) + inside))
                 best = min(best, (cost, trees, levels, children, margin))
     return best[1:]
 
 
-@lru_cache(maxsize=64)
+def leaf_rows(threshold: float, children: int, levels: int, trees: int, margin: float) -> float:
+    """Leaves that a vector is in by the plan, on average."""
+    return trees * next(into for m, _, into in _splits(threshold, children) if m == margin) ** levels
+
+
+@lru_cache(maxsize=1024)
 def _directions(width: int, children: int, tree: int, level: int) -> np.ndarray:
     return np.random.default_rng([width, children, tree, level]).standard_normal((children, width), np.float32)
 
 
+def node_signs(tree: int, level: int, node: np.ndarray, width: int) -> np.ndarray:
+    """A row of signs for each node, from its numbers alone.
+
+    A level's directions with the signs of a node are that node's own: for any vector they are normal variables as before, and
+    the directions of two nodes are as good as independent, since half of the signs differ.
+    """
+    with np.errstate(over="ignore"):
+        key = mix64(node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((tree << 8) + level + 1))
+        words = [mix64(key + np.uint64(w) * np.uint64(0xD6E8FEB86659FD93)) for w in range(-(-width // 64))]
+    bits = np.unpackbits(np.stack(words, axis=1).view(np.uint8), axis=1)[:, :width]
+    return np.float32(1) - np.float32(2) * bits
+
+
 def leaves(unit: np.ndarray, trees: int, levels: int, children: int, margin: float, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """(row, leaf) of each vector in each leaf it belongs to, by row, then by tree and leaf."""
-    rows, found = [], []
+    """(row, leaf) of each vector in each leaf it belongs to; leaves of different trees differ."""
+    rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for start in range(0, len(unit), chunk):
         part = unit[start : start + chunk].astype(np.float32)
         for tree in range(trees):
             row, node = np.arange(len(part)), np.zeros(len(part), np.int64)
             for level in range(levels):
-                place = part @ _directions(part.shape[1], children, tree, level).T
+                turned = part[row] * node_signs(tree, level, node, part.shape[1])
+                place = turned @ _directions(part.shape[1], children, tree, level).T
                 at, child = np.divmod(np.flatnonzero(place >= place.max(axis=1, keepdims=True) - np.float32(margin)), children)
-                first = np.searchsorted(at, np.arange(len(part) + 1))
-                many = (first[1:] - first[:-1])[row]
-                within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                child = child[np.repeat(first[row], many) + within]
-                row, node = np.repeat(row, many), np.repeat(node, many) * children + child
+                row, node = row[at], node[at] * children + child
             rows.append(row + start)
             found.append(node + tree * children**levels)
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    row, leaf = np.concatenate(rows), np.concatenate(found)
-    order = np.lexsort((leaf, row))
-    return row[order], leaf[order]
+    return np.concatenate(rows), np.concatenate(found)
 
 
 def unit_rows(values: np.ndarray) -> np.ndarray:
@@ -179,7 +190,7 @@ def _comparable() -> Column:
     return F.coalesce(may, F.lit(False))
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.9999, sample: int = 20_000, leaf: int = LEAF) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.9999, leaf: int = LEAF) -> DataFrame:
     """For each row: vec_id, n_links, component_id, kept.
 
     Two rows are linked if they have the same label, the same length and a cosine of ``threshold`` or more in double
@@ -188,8 +199,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.
     non-finite part, link with nothing, nor do rows with a null id, whose component is null and which aren't kept. Rows
     that share an id are vectors of their own. A pair at the threshold is found with a probability of ``recall`` or more,
     closer ones with more, at every size of a label; no pair below it is linked. An empty table gives no rows; further
-    columns are ignored. Labels of up to twice ``leaf`` vectors are one leaf. ``sample`` bounded the fit of former trees;
-    nothing is fitted now, and it has no effect.
+    columns are ignored. Every label, small or large, gets trees of two levels or more.
     """
     with shuffles_deleted(vectors.sparkSession):
         return _near_vectors(vectors, threshold, recall, leaf)
@@ -206,50 +216,61 @@ def _near_vectors(vectors: DataFrame, threshold: float, recall: float, leaf: int
     largest = kinds.orderBy(F.desc("n"), "label", "width").limit(SIZED + 1).collect()
     size = {(r.label, r.width): 1 << max(0, r.n - 1).bit_length() for r in largest}
     rest = min(size.values(), default=1)
-    plans = {n: plan(threshold, n, recall, leaf) for n in set(size.values())}
-    kind = "int" if max((trees * children**levels for trees, levels, children, _ in plans.values()), default=0) < 1 << 31 else "long"
-    names = ["id", "h1", "h2", "vec_id", "copies", "label", "width", "vector", "cells"]
+    plans = {n: plan(threshold, n, recall, leaf) for n in set(size.values()) | {rest}}
+    kind = "int" if max(trees * children**levels for trees, levels, children, _ in plans.values()) < 1 << 31 else "long"
+    names = ["id", "h1", "h2", "vec_id", "copies", "label", "width", "vector", "cells", "ends"]
+    per_row = {n: leaf_rows(threshold, children, levels, trees, margin) for n, (trees, levels, children, margin) in plans.items()}
+    vectors_in_all = kinds.agg(F.sum("n")).first()[0] or 0
+    to_move = sum(r.n * per_row[size[r.label, r.width]] for r in largest) + max(0, vectors_in_all - sum(r.n for r in largest)) * per_row[rest]
+    passes = max(1, math.ceil(to_move / max(PASS, vectors_in_all)))
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels, widths = batch[5].to_numpy(), batch[6].to_numpy()
             wanted = np.array([size.get((a, b), rest) for a, b in zip(labels.tolist(), widths.tolist())], np.int64)
             for width, n in sorted(set(zip(widths.tolist(), wanted.tolist()))):
-                chosen = batch.take(pa.array(np.flatnonzero((widths == width) & (wanted == n))))
+                at = np.flatnonzero((widths == width) & (wanted == n))
+                chosen = batch.take(pa.array(at))
                 values = np.asarray(chosen[7].flatten(), number).reshape(-1, width)
                 row, cell = leaves(unit_rows(values), *plans[n])
-                ends = pa.array(np.searchsorted(row, np.arange(len(chosen) + 1)), pa.int32())
-                cells = pa.ListArray.from_arrays(ends, pa.array(cell, pa.int32() if kind == "int" else pa.int64()))
-                yield pa.RecordBatch.from_arrays([*chosen.columns[:7], as_bytes(values), cells], names)
+                with np.errstate(over="ignore"):
+                    turn = mix64(labels[at][row].astype(np.uint64) + cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(passes)
+                order = np.lexsort((cell, turn, row))  # leaves by pass, then by number: the same order for all vectors of a label
+                row, cell, turn = row[order], cell[order], turn[order].astype(np.int64)
+                stops = np.searchsorted(row * passes + turn, np.arange(len(chosen) * passes), side="right").reshape(len(chosen), passes)
+                begin = pa.array(np.searchsorted(row, np.arange(len(chosen) + 1)), pa.int32())
+                cells = pa.ListArray.from_arrays(begin, pa.array(cell, pa.int32() if kind == "int" else pa.int64()))
+                own = stops - np.asarray(begin)[:-1, None]
+                ends = pa.ListArray.from_arrays(pa.array(np.arange(len(chosen) + 1, dtype=np.int32) * np.int32(passes)), pa.array(own.ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*chosen.columns[:7], as_bytes(values), cells, ends], names)
 
     first = F.first(F.struct("label", "embedding")).alias("v")
     grouped = rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"), first)
     distinct = grouped.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "vec_id", "copies", F.xxhash64("v.label").alias("label"), F.size("v.embedding").alias("width"), "v.embedding")
-    schema = f"id long, h1 long, h2 long, vec_id long, copies long, label long, width int, vector binary, cells array<{kind}>"
+    schema = f"id long, h1 long, h2 long, vec_id long, copies long, label long, width int, vector binary, cells array<{kind}>, ends array<int>"
     placed = keep.stored(distinct.mapInArrow(lead, schema), "leaves")
 
     key = F.xxhash64("label", "width", "cell").alias("key")
     blocks = F.ceil(F.col("count") / BLOCK)
     counts = placed.select("label", "width", F.explode("cells").alias("cell")).select(key).groupBy("key").count()
-    shared = keep.stored(counts.where("count > 1").select("key", "count", blocks.alias("blocks")), "leaf-sizes")
-    moved, large = shared.agg(F.sum(F.col("count") * F.col("blocks")), F.count_if(F.col("blocks") > 1)).first()
-    passes = max(1, math.ceil((moved or 0) / max(PASS, placed.count())))
-    below = F.slice("cells", F.lit(1), F.col("pos")).alias("below")  # the leaves before this one
-    each = placed.select("id", "copies", "vector", "cells", "label", "width", F.posexplode("cells").alias("pos", "cell"))
-    each = each.select("id", "copies", "vector", below, key)
-    more = shared.where("blocks > 1").select("key", "blocks")
+    more = keep.stored(counts.where(F.col("count") > BLOCK).select("key", "count", blocks.alias("blocks")), "large-leaves")
+    moved, large = more.agg(F.sum(F.col("count") * F.col("blocks")), F.count(F.lit(1))).first()
+    turns = math.ceil((moved or 0) / max(PASS, vectors_in_all))  # further passes over the large leaves, by pairs of their blocks
+    few = F.broadcast(more.select("key", "blocks")) if large <= BLOCKED else more.select("key", "blocks")
+
+    def each(cells: Column, before: Column) -> DataFrame:
+        """A row for each of some leaves of each vector, with the leaves before it; ``before``: how many stand before these."""
+        told = placed.select("id", "copies", "vector", "cells", "label", "width", before.alias("before"), F.posexplode(cells).alias("pos", "cell"))
+        return told.select("id", "copies", "vector", F.slice("cells", F.lit(1), F.col("before") + F.col("pos")).alias("below"), key)
 
     def dealt(k: int) -> DataFrame:
-        """Leaf rows of pass ``k``: unit, side, id, copies, vector, below."""
-        own = lambda c: F.pmod(F.xxhash64(F.lit(5), c), F.lit(passes)) == k
-        if not large:
-            return each.withColumnRenamed("key", "unit").where(own("unit")).withColumn("side", F.lit(2))
-        if large <= BLOCKED:
-            known = each.join(F.broadcast(more), "key", "left")
-        else:
-            known = each.where(own("key")).join(more, "key", "left")
-        units = in_blocks(known.withColumn("blocks", F.coalesce("blocks", F.lit(1))), "blocks")
-        return units.where(own("unit")) if large <= BLOCKED else units
+        """Leaf rows of pass ``k``: unit, side, id, copies, vector, below. The leaves in blocks come after all others."""
+        if k >= passes:
+            units = in_blocks(each(F.col("cells"), F.lit(0)).join(few, "key"), "blocks")
+            return units.where(F.pmod(F.xxhash64(F.lit(5), "unit"), F.lit(turns)) == k - passes)
+        before = F.lit(0) if k == 0 else F.element_at("ends", k)
+        mine = each(F.slice("cells", before + 1, F.element_at("ends", k + 1) - before), before)
+        return (mine.join(few, "key", "left_anti") if large else mine).withColumnRenamed("key", "unit").withColumn("side", F.lit(2))
 
     def compare(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch | None:
         ids, side, copies = (rows.column(c).to_numpy() for c in ("id", "side", "copies"))
@@ -274,7 +295,7 @@ def _near_vectors(vectors: DataFrame, threshold: float, recall: float, leaf: int
         return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], ["id", "root", "links"])
 
     path = keep.path("vector-links")
-    for k in range(passes):
+    for k in range(passes + turns):
         rows_of = dealt(k).select("unit", "side", "id", "copies", "vector", "below")
         runs_of_groups(rows_of, "unit", 1_000, compare, "id long, root long, links long").write.mode("append").parquet(path)
     found = vectors.sparkSession.read.schema("id long, root long, links long").parquet(path)
