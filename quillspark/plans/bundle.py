@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.functions.hashing import blake3, blake3_file
-from quillspark.operators import bundles, manifest, render
+from quillspark.operators import bundles, manifest, tree_hash, render
 from quillspark.plans import formats
 from quillspark.sources import shard, walk
 
@@ -42,21 +41,17 @@ def rules_text() -> str:
 
 
 def tree_hashes(spark: SparkSession, root: str) -> DataFrame:
-    """(path, kind, hash) of everything under a folder."""
+    """(path, kind, hash) of everything under a folder; large files are hashed by many tasks."""
     walk.register(spark)
+    found = spark.read.format("tree").option("root", root).option("noise", "true").load().select("path", "kind", "size")
+    hashed = tree_hash.file_hashes(found.where("kind = 'file'").select("path", "size"), root)
+    return found.select("path", "kind").join(hashed, "path", "left")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            hashes = []
-            for path, kind in zip(batch.path, batch.kind):
-                if kind == "file":
-                    with open(os.path.join(root, path), "rb") as file:
-                        hashes.append(blake3(file.read()))
-                else:
-                    hashes.append(None)
-            yield pd.DataFrame({"path": batch.path, "kind": batch.kind, "hash": hashes})
 
-    return spark.read.format("tree").option("root", root).option("noise", "true").load().select("path", "kind").mapInPandas(run, "path string, kind string, hash string")
+def file_hash(spark: SparkSession, path: str) -> str:
+    """The hash of one file, however large."""
+    folder, name = os.path.split(path)
+    return tree_hash.file_hashes(spark.createDataFrame([(name, os.path.getsize(path))], "path string, size long"), folder).first().hash
 
 
 def frame(spark: SparkSession, root: str, divisions: list[str]) -> DataFrame:
@@ -102,7 +97,7 @@ def _write_sums(spark: SparkSession, root: str) -> str:
     with open(os.path.join(root, SUMS_FILE), "w", encoding="utf-8", newline="\n") as file:
         for r in rows.toLocalIterator():
             file.write(f"{r['hash']}  {r['path']}\n")
-    return blake3_file(os.path.join(root, SUMS_FILE))
+    return file_hash(spark, os.path.join(root, SUMS_FILE))
 
 
 def _describe(spark: SparkSession, root: str, run_ids: list[str], divisions: list[str], counts: dict, coverage: dict) -> dict:
@@ -144,7 +139,7 @@ def bundle(spark: SparkSession, mirror: str, manifest_dir: str, division: str, o
         copy_tree(spark, own, os.path.join(out, "mirror", division))
     with open(os.path.join(out, RULES_FILE), "w", encoding="utf-8") as file:
         file.write(rules_text())
-    described = _describe(spark, out, [blake3_file(source)], [division], *counts_of(records))
+    described = _describe(spark, out, [file_hash(spark, source)], [division], *counts_of(records))
     verify(spark, out)
     return described
 
@@ -174,7 +169,7 @@ def verify(spark: SparkSession, root: str) -> dict:
     problems += [f"no regular file: {p}" for p in _listed(found.where("kind <> 'file'"))]
     _refuse(problems)
     # 3: checksums
-    problems = [f"{SUMS_FILE} has another hash"] * (blake3_file(os.path.join(root, SUMS_FILE)) != d["checksums_hash"])
+    problems = [f"{SUMS_FILE} has another hash"] * (file_hash(spark, os.path.join(root, SUMS_FILE)) != d["checksums_hash"])
     lines = spark.read.text(os.path.join(root, SUMS_FILE), lineSep="\n").withColumn("n", F.monotonically_increasing_id())
     bad = lines.where(~F.col("value").rlike("^[0-9a-f]{64}  [^\r]+$"))
     problems += [f"checksum line {r!r}" for r in _listed(bad, "value")]
@@ -228,7 +223,7 @@ def merge(spark: SparkSession, inputs: list[str], out: str) -> dict:
     divisions = [v for d in described for v in d["divisions"]]
     names = spark.createDataFrame([(v,) for v in divisions], "name string")
     problems = [f"divisions fall together: {' '.join(r.names)}" for r in bundles.folded_collisions(names).collect()]
-    rules = spark.createDataFrame([(blake3_file(os.path.join(i, RULES_FILE)),) for i in inputs], "hash string")
+    rules = spark.createDataFrame([(file_hash(spark, os.path.join(i, RULES_FILE)),) for i in inputs], "hash string")
     problems += ["the inputs' rules differ"] * (not bundles.rules_agreement(rules).first()["agree"])
     if problems:
         raise Refused("merge", problems)

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import agreement, bundles, dedup, intervals, manifest, outcomes, render
+from quillspark.operators import agreement, bundles, dedup, intervals, manifest, outcomes, render, tree_hash
+from quillspark.operators import lineage as lineages
 from quillspark.plans import formats
 from quillspark.plans.folders import Kept, shared_folder
 
@@ -131,6 +132,12 @@ def walk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.numbered(sources(spark, sf_dir).select("source_path"), [F.split("source_path", "/")], "ord", kept(spark, "walk").store)
 
 
+@query()
+def stream_hash_blake3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents of a language as one stream, hashed by pieces in many tasks."""
+    return tree_hash.stream_hashes(table(spark, sf_dir, "documents"), ["lang"], ["doc_id"], "text", kept(spark, "stream").store)
+
+
 _FILE = "CASE CAST(page_id AS BIGINT) % 7 WHEN 0 THEN '.DS_Store' WHEN 1 THEN 'base.db-wal' WHEN 2 THEN page_id || '-shm' WHEN 3 THEN page_id || '.tmp' WHEN 4 THEN '.DS_Store.txt' WHEN 5 THEN 'wal' ELSE page_id || '.html' END"
 
 
@@ -524,6 +531,26 @@ def record_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("doc_id", "run", manifest.invariant_broken(log).alias("broken"))
 
 
+_STEMS = """stems AS (SELECT 'p/' || doc_id AS source_path, CASE WHEN doc_id % 97 = 1 THEN 'p/' || (doc_id + 1) WHEN doc_id % 97 = 2 THEN 'p/' || (doc_id - 1) WHEN doc_id % 41 = 0 THEN 'gone/' || doc_id WHEN doc_id % 7 = 0 OR doc_id < 3 THEN NULL
+  WHEN doc_id % 5 = 0 THEN 'p/' || (doc_id - 1) ELSE 'p/' || (doc_id // 3) END AS parent_source, CASE WHEN doc_id % 11 = 0 THEN 'same' ELSE sha256(text) END AS source_hash FROM documents)"""
+
+
+@query(f"""WITH RECURSIVE {_STEMS},
+up AS (SELECT source_path, source_path AS here, parent_source AS nxt, CAST([] AS VARCHAR[]) AS chain, [source_path] AS way, false AS circle FROM stems
+  UNION ALL SELECT up.source_path, s.source_path, s.parent_source, list_append(chain, s.source_hash), list_append(way, s.source_path), list_contains(way, s.source_path) FROM up JOIN stems s ON s.source_path = up.nxt WHERE NOT circle),
+ends AS (SELECT up.*, s.source_path IS NULL AS over FROM up LEFT JOIN stems s ON s.source_path = up.nxt)
+SELECT e.source_path, CASE WHEN NOT circle THEN here END AS root, CASE WHEN NOT circle THEN CAST(len(chain) AS BIGINT) END AS depth, CASE WHEN NOT circle THEN sha256(array_to_string(chain, ',')) END AS ancestors,
+  CASE WHEN circle THEN 'cycle' WHEN list_contains(chain, source_hash) THEN 'recursive' WHEN nxt IS NOT NULL THEN 'orphan' ELSE 'ok' END AS state FROM ends e JOIN stems USING (source_path) WHERE circle OR over""")
+def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records with parents: deep chains, missing parents, records that hold themselves, circles."""
+    k = F.col("doc_id")
+    path = lambda c: F.concat(F.lit("p/"), c.cast("string"))
+    parent = F.when(k % 97 == 1, path(k + 1)).when(k % 97 == 2, path(k - 1)).when(k % 41 == 0, F.concat(F.lit("gone/"), k.cast("string"))).when((k % 7 == 0) | (k < 3), F.lit(None).cast("string")).when(k % 5 == 0, path(k - 1)).otherwise(path(F.floor(k / 3)))
+    rows = table(spark, sf_dir, "documents").select(path(k).alias("source_path"), parent.alias("parent_source"), F.when(k % 11 == 0, "same").otherwise(F.sha2("text", 256)).alias("source_hash"))
+    found = lineages.lineage(rows, kept(spark, "lineage").store)
+    return found.select("source_path", "root", "depth", F.sha2(F.array_join("ancestors", ","), 256).alias("ancestors"), "state")
+
+
 # --- containers ----------------------------------------------------------------------------------------------------
 
 

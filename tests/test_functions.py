@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from quillspark.converters.archive import listed_name, member_path
 from quillspark.functions import hashing
 from quillspark.functions import text as T
+from quillspark.operators import tree_hash
+from quillspark.plans.folders import Kept
 
 
 def rows(spark, values, column):
@@ -24,11 +26,25 @@ def test_blake3_known_answers():
     assert hashing.blake3_many(many) == [hashing.blake3(m) for m in many]
 
 
-def test_blake3_of_files_in_pieces(tmp_path):
-    for n in (0, 1, 1024, 2048, 2049, 4096, 7 * 1024, 8 * 1024, 33_333):
-        (tmp_path / "f").write_bytes(bytes(i % 251 for i in range(n)))
-        whole = hashing.blake3((tmp_path / "f").read_bytes())
-        assert all(hashing.blake3_file(str(tmp_path / "f"), piece) == whole for piece in (1024, 2048, 8192))
+def test_blake3_of_files_in_pieces(spark, tmp_path):
+    """Files around the edges of chunks, pieces and groups, hashed by pieces in many tasks."""
+    sizes = (0, 1, 1024, 2048, 2049, 4096, 7 * 1024, 8 * 1024, 8 * 1024 + 1, 33_333, 64 * 1024, 64 * 1024 + 5)
+    for n in sizes:
+        (tmp_path / f"f{n}").write_bytes(bytes(i % 251 for i in range(n)))
+    files = spark.createDataFrame([(f"f{n}", n) for n in sizes], "path string, size long")
+    want = {f"f{n}": hashing.blake3((tmp_path / f"f{n}").read_bytes()) for n in sizes}
+    for piece, group in ((1024, 2), (1024, 8), (2048, 4), (8192, 1024)):
+        assert {r.path: r.hash for r in tree_hash.file_hashes(files, str(tmp_path), piece, group).collect()} == want
+
+
+def test_blake3_of_streams(spark, tmp_path):
+    """Rows of a key one behind the other: empty and null ones, rows longer than a piece, pieces of many rows, a null key."""
+    sizes = [0, 1, 5000, 3, 0, 1024, 1020, 4, 9000, 700, 2]
+    held = [(key, k, None if n == 3 else bytearray((k * 7 + i) % 253 for i in range(n))) for key in ("a", None) for k, n in enumerate(sizes)] + [("none", 0, None), ("one", 0, bytearray(b"x" * 1024))]
+    df = spark.createDataFrame(held, "key string, at int, body binary").repartition(3)
+    found = tree_hash.stream_hashes(df, ["key"], ["at"], "body", Kept(spark, str(tmp_path)).store, 1024, 4)
+    want = {key: b"".join(bytes(b) for k, _, b in sorted((h for h in held if h[0] == key), key=lambda h: h[1]) if b is not None) for key in ("a", None, "none", "one")}
+    assert {r.key: (r.bytes, r.hash) for r in found.collect()} == {k: (len(v), hashing.blake3(v)) for k, v in want.items()}
 
 
 def test_normalize_text(spark):
