@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.piece_memo import PieceMemo, split_words
 
-#: Words remembered in a worker; tokens and documents after which a block is packed.
-MEMO, BLOCK_TOKENS, BLOCK_DOCS = 300_000, 6_000_000, 50_000
+#: Bytes of words remembered in a worker; tokens and documents after which a block is packed.
+MEMO, BLOCK_TOKENS, BLOCK_DOCS = 16 << 20, 6_000_000, 50_000
 #: Unicode white space (fixed values), as the pre-tokenizer's \s has it.
 WHITE = r"\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: The pre-tokenizer of the byte-level vocabulary (fixed values).

@@ -9,12 +9,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+#: Bytes of the longest word that is remembered.
+LONGEST = 64
+
+
 class PieceMemo:
     """Tokens of words, computed by ``encode`` when first met and kept while they fit.
 
     ``encode`` takes a list of words and returns the ids of all of them in a row and the number of ids of each.
-    The memo holds at most ``most`` words (the words of the present batch always fit, whatever their number); when
-    it is full it starts again from ``base``, so results never depend on what it holds.
+    The memo holds about ``most`` bytes at most, and no words of more than ``LONGEST`` bytes: texts without spaces are one word
+    each, and seldom come again. What the present batch needs is held beside it until the next call, whatever its size. When the memo is full
+    it starts again from ``base``, so results never depend on what it holds.
     """
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], base: list[str], most: int):
@@ -25,21 +30,33 @@ class PieceMemo:
 
     def _reset(self) -> None:
         self.words, self.ids, self.lens = self.base, self.base_ids, self.base_lens
+        self.kept = len(self.lens), len(self.ids)
+
+    @property
+    def nbytes(self) -> int:
+        """Bytes that stay from batch to batch."""
+        return self.words.nbytes + 8 * self.kept[0] + self.ids.itemsize * self.kept[1]
 
     def slots(self, words: pa.Array) -> np.ndarray:
         """For each of some distinct words, its place in the memo; holds until the next call."""
-        if len(self.words) > self.most:
+        self.lens, self.ids = self.lens[: self.kept[0]], self.ids[: self.kept[1]]  # without what only the last batch needed
+        if self.nbytes > self.most:
             self._reset()
         place = pc.index_in(words, value_set=self.words)
-        if place.null_count:
-            new = words.filter(pc.is_null(place))
-            ids, lens = self.encode(new.to_pylist())
-            place = np.array(pc.fill_null(place, -1))
-            place[place < 0] = np.arange(len(new)) + len(self.words)
-            self.words = pa.concat_arrays([self.words, new])
-            self.ids, self.lens = np.concatenate([self.ids, ids]), np.concatenate([self.lens, lens])
-            return place
-        return np.asarray(place)
+        if not place.null_count:
+            return np.asarray(place)
+        missing = np.flatnonzero(np.asarray(pc.is_null(place)))
+        long = np.asarray(pc.greater(pc.binary_length(words.take(pa.array(missing))), LONGEST))
+        missing = np.concatenate([missing[~long], missing[long]])  # those to be remembered first
+        new = words.take(pa.array(missing))
+        ids, lens = self.encode(new.to_pylist())
+        place = np.array(pc.fill_null(place, -1))
+        place[missing] = np.arange(len(new)) + len(self.lens)
+        stay = int((~long).sum())
+        self.words = pa.concat_arrays([self.words, new.slice(0, stay)])
+        self.kept = self.kept[0] + stay, self.kept[1] + (int(lens[:stay].sum()) if len(ids) else 0)
+        self.ids, self.lens = np.concatenate([self.ids, ids]), np.concatenate([self.lens, lens])
+        return place
 
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words in a row, and how many each has."""

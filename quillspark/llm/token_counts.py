@@ -22,8 +22,8 @@ from quillspark.llm.piece_memo import PieceMemo, split_words
 
 #: The character the library writes for a space.
 SPACE = "▁"
-#: Words remembered in a worker.
-MEMO = 600_000
+#: Bytes of words remembered in a worker.
+MEMO = 24 << 20
 #: Characters after which a word is looked up again without its last one.
 TAILS = ",.;:!?\n"
 
@@ -38,13 +38,14 @@ class PieceCounter:
 
     def __init__(self, path: str):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        spec = sentencepiece_model_pb2.ModelProto.FromString(self.model.serialized_model_proto()).normalizer_spec
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        probe = "x ①ﬁ é  y\tz\n q "
-        self.cuttable = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces) and self.model.decode(
-            self.model.encode(probe)
-        ) == probe
+        #: Without a table of rules the normaliser changes no character, alone or beside others.
+        identity = not spec.precompiled_charsmap and not spec.normalization_rule_tsv and spec.add_dummy_prefix and spec.escape_whitespaces and not spec.remove_extra_whitespaces
+        self.cuttable = identity and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
         self.joined = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         words = [p[1:] for p in pieces if p.startswith(SPACE) and SPACE not in p[1:] and len(p) > 1]
         self.whole = {w for w, ids in zip(words, self.model.encode(words, num_threads=1)) if len(ids) == 1}

@@ -37,6 +37,32 @@ def test_token_counts_match_the_library(spark):
     assert out[4].over_limit and out[4].n_tokens == len(counter.model.encode(rows[4][1]))
 
 
+def test_memo_is_bounded_by_bytes():
+    """Texts without spaces are words of their own: what stays in a worker is small, and ids and counts are the libraries'."""
+    rng = np.random.default_rng(7)
+    counter, tokens = token_counts.PieceCounter(tokenizer_path("piece_bpe_32k.model")), packing.ByteTokenizer(tokenizer_path("byte_bpe_50k.json"))
+    assert counter.cuttable
+    most = 0
+    for batch in range(100):
+        letters = rng.integers(97, 123, (1000, 300)).astype(np.uint8)
+        texts = [row.tobytes().decode() for row in letters]  # one word of 300 bytes each
+        texts[:50] = [" ".join(t[k : k + 6] for k in range(0, 300, 6)) for t in texts[:50]]  # and some of fifty short ones, none met before
+        column = pa.array(texts)
+        counts = counter.count_all(column)
+        most = max(most, counter.memo.nbytes)
+        if batch % 25 == 0:
+            assert list(counts) == [len(x) for x in counter.model.encode(texts)]
+        if batch < 20:
+            ids, lens = tokens.ids(column)
+            most = max(most, tokens.memo.nbytes)
+            if batch % 10 == 0:
+                want = [tokens.library.encode(t, add_special_tokens=False).ids for t in texts]
+                assert lens.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+    assert most < 40 << 20
+    counter.memo.most = 1  # full at once: results stay the same
+    assert list(counter.count_all(column)) == list(counts) and list(counter.count_all(column)) == list(counts)
+
+
 def test_ids_match_the_library():
     own = packing.tokenizer(tokenizer_path("byte_bpe_50k.json"))
     texts = odd_texts()
