@@ -176,3 +176,15 @@ def nul_at(text: Column) -> Column:
     """The byte offset of the first NUL, or null."""
     at = F.instr(text, F.chr(F.lit(0)))
     return F.when(at > 0, F.octet_length(F.substring(text, F.lit(1), at - 1)))
+
+
+def output_gate(text: Column, size: Column, most: int) -> Column:
+    """Why a text made from a source of ``size`` bytes isn't fit to be written, cheapest first, or null."""
+    return (
+        F.when(F.octet_length(text) > most, "resource_limit").when(nul_at(text).isNotNull(), "nul_bytes").when((size > 0) & (text == ""), "empty_output").when(~has_meaning(text), "no_text")
+    )
+
+
+def collapse_blank_lines(text: Column) -> Column:
+    """Runs of empty lines become one, and none leads."""
+    return F.regexp_replace(F.regexp_replace(text, "\n\n+", "\n\n"), r"\A\n+", "")

@@ -60,3 +60,8 @@ def _in_order(rows: DataFrame, store: Store) -> DataFrame:
     canonical = F.coalesce("_start", "seed.source_path")
     done = named.withColumn("dedup_of", F.when(borrows, canonical)).withColumn("status", F.when(borrows, "dedup").otherwise("converted"))
     return done.drop("seed", "_before", "_start")
+
+
+def content_counts(rows: DataFrame, *by: str) -> DataFrame:
+    """Sources and distinct contents of each group."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("sources"), F.countDistinct("source_hash").alias("contents"))

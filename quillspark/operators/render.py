@@ -85,12 +85,12 @@ def spans(rows: DataFrame, group: list[str], order: list[str], text: str, store:
     return done.withColumn("start", F.col("end") - size - 1).withColumn("end", F.col("end") - 1)
 
 
-def in_ranges(value: Column, ranges: Column) -> Column:
-    """Whether a value lies in any [first, last] of an array of ranges."""
-    return F.exists(ranges, lambda r: (r["first"] <= value) & (value <= r["last"]))
-
-
 def tsv_rows(rows: DataFrame, key: str) -> DataFrame:
     """Each row as one line of escaped cells between tabs; null is empty."""
     cells = [T.escape_cell(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in rows.columns]
     return rows.select(key, F.concat_ws("\t", *cells).alias("line"))
+
+
+def looked_up(cells: DataFrame, known: DataFrame, at: list[str]) -> DataFrame:
+    """Cells with what is known of their place, one row for each cell; known: at most one row for a place."""
+    return cells.join(known, at, "left")

@@ -125,26 +125,6 @@ def rtf_of(paragraphs: list[str]) -> bytes:
     return ("{\\rtf1\\ansi{\\fonttbl{\\f0 Times;}}" + "".join(p.replace("\\", "\\\\").replace("{", "\\{").replace("}", "\\}") + "\\par\n" for p in paragraphs) + "}").encode("ascii", "replace")
 
 
-def in_files(lines: DataFrame, tail: str, read: Callable[[str], DataFrame]) -> DataFrame:
-    """Lines (value) in one file with an unended last one, handed to ``read``; the frame it makes, gathered.
-
-    For checks of file readers over tables; the file stands in the folder that all machines share, and is gone at the end.
-    """
-    spark = lines.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    folder = tempfile.mkdtemp(prefix="quillspark-lines-", dir=shared.removeprefix("file:") if shared else None)
-    try:
-        path = os.path.join(folder, "lines.jsonl")
-        with open(path, "w", encoding="utf-8", newline="\n") as file:
-            for row in lines.toLocalIterator():
-                file.write(row.value + "\n")
-            file.write(tail)
-        found = read(path)
-        return spark.createDataFrame(found.toArrow(), found.schema)
-    finally:
-        shutil.rmtree(folder, ignore_errors=True)
-
-
 def wave_of(values: list[int], rate: int = 8000) -> bytes:
     """One channel of 16 bit samples."""
     out = io.BytesIO()

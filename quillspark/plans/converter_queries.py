@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from quillspark.converters import archive, html, images, registry, vector
 from quillspark.converters.base import Outcome
+from quillspark.functions import text as T
+from quillspark.functions.decode import decoded
 from quillspark.plans import builders
 from quillspark.plans.queries import query, table
 
@@ -49,18 +51,19 @@ def text_of(data: bytes, fmt: str) -> str:
   CASE doc_id % 7 WHEN 1 THEN 'stripped leading byte order mark' WHEN 2 THEN 'transcoded from utf-16le' WHEN 3 THEN 'transcoded from utf-16be' ELSE '' END AS warnings,
   CASE doc_id % 7 WHEN 4 THEN 'invalid_utf8: invalid UTF-8 at byte ' || strlen(text) WHEN 5 THEN 'invalid_utf16: unpaired surrogate at byte 2' WHEN 6 THEN 'unsupported-encoding: UTF-32' END AS error FROM documents""")
 def text_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources by their byte order marks, whole and broken."""
-
-    def one(doc_id: int, text: str) -> list:
-        body = text.encode()
-        kinds = (
-            body, b"\xef\xbb\xbf" + body, b"\xff\xfe" + text.encode("utf-16le"), b"\xfe\xff" + text.encode("utf-16be"), body + b"\xff",
-            b"\xff\xfe\x00\xdc" + text.encode("utf-16le"), b"\xff\xfe\x00\x00" + text.encode("utf-32le"),
-        )
-        found, error = registry.convert(kinds[doc_id % 7], "text")
-        return [doc_id, sha(found.text) if found else None, "; ".join(found.warnings) if found else "", error]
-
-    return per_row(table(spark, sf_dir, "documents").select("doc_id", "text"), one, "doc_id long, text_hash string, warnings string, error string")
+    """Sources by their byte order marks, whole and broken, decoded on the JVM."""
+    t = F.col("text")
+    joined = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, bytes) else p for p in parts))
+    body = t.cast("binary")
+    kinds = [
+        body, joined(b"\xef\xbb\xbf", body), joined(b"\xff\xfe", F.encode(t, "UTF-16LE")), joined(b"\xfe\xff", F.encode(t, "UTF-16BE")), joined(body, b"\xff"),
+        joined(b"\xff\xfe\x00\xdc", F.encode(t, "UTF-16LE")), joined(b"\xff\xfe\x00\x00", body),
+    ]
+    data = F.lit(None).cast("binary")
+    for k, kind in enumerate(kinds):
+        data = F.when(F.col("doc_id") % 7 == k, kind).otherwise(data)
+    found = table(spark, sf_dir, "documents").select("doc_id", data.alias("data")).select("doc_id", decoded(F.col("data")).alias("d"))
+    return found.select("doc_id", F.sha2(T.normalize_text(F.col("d.text")), 256).alias("text_hash"), F.coalesce("d.warning", F.lit("")).alias("warnings"), "d.error")
 
 
 @query()

@@ -6,6 +6,7 @@ manifest operators something to work on: in the second run, the texts of some so
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators import agreement, bundles, dedup, intervals, manifest, outcomes, render, tree_hash
 from quillspark.operators import lineage as lineages
+from quillspark.operators.scan import Scan
 from quillspark.plans import formats
 from quillspark.plans.folders import Kept, shared_folder
 
@@ -244,8 +246,7 @@ def formula_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def output_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, NUL, emptiness and meaning, cheapest first; the ceiling is lowered to where these tables have rows."""
     t, size = F.col("text"), F.octet_length("text").cast("long")
-    gate = F.when(size > 16384, "resource_limit").when(T.nul_at(t).isNotNull(), "nul_bytes").when((size > 0) & (t == ""), "empty_output").when(~T.has_meaning(t), "no_text").otherwise("ok")
-    return table(spark, sf_dir, "documents").select("doc_id", gate.alias("gate"), size.alias("size"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(T.output_gate(t, size, 16384), F.lit("ok")).alias("gate"), size.alias("size"))
 
 
 @query("""SELECT DISTINCT user_id, event_type, regexp_full_match(event_type || '-' || user_id, '[A-Za-z0-9_-]+') AS division_ok,
@@ -329,7 +330,7 @@ def dedup_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {SOURCES} SELECT division, count(*) AS sources, count(DISTINCT source_hash) AS contents FROM sources GROUP BY division""")
 def dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources(spark, sf_dir).groupBy("division").agg(F.count(F.lit(1)).alias("sources"), F.countDistinct("source_hash").alias("contents"))
+    return dedup.content_counts(sources(spark, sf_dir), "division")
 
 
 _PLACED = f"""placed AS (SELECT doc_id, CASE doc_id % 50 WHEN 0 THEN 'd/' || CAST(doc_id // 50 AS VARCHAR) WHEN 1 THEN 'd/' || CAST(doc_id // 50 AS VARCHAR) || '.txt/x'
@@ -488,7 +489,6 @@ def intact_below(spark: SparkSession, sf_dir: str) -> DataFrame:
   row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS line_no, CASE WHEN n_chars < 500 THEN 'failed' ELSE 'converted' END AS status, CASE WHEN n_chars < 500 THEN 'empty_output' END AS error FROM documents)""")
 def shard_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' records written as shards, one for each language, each with a torn last line, and read back."""
-    from quillspark.plans.builders import in_files
     from quillspark.sources import shard
 
     failed = F.col("n_chars") < 500
@@ -500,12 +500,18 @@ def shard_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     d = table(spark, sf_dir, "documents")
     lines = d.select("lang", "doc_id", F.to_json(F.struct(*(c.alias(n) for n, c in fields.items()))).alias("value"))
+    # each language's lines in a folder of files, written and ended by executors; the order of the files is that of the lines
+    base = shared_folder(spark, "shards")
+    ranged = lines.repartitionByRange("lang", "doc_id").sortWithinPartitions("lang", "doc_id").select("lang", "value")
+    ranged.write.partitionBy("lang").text(f"{base}/whole", lineSep="\n")
     out = None
-    for lang in sorted(r.lang for r in d.select("lang").distinct().collect()):
-        frame = in_files(lines.where(F.col("lang") == lang).orderBy("doc_id").select("value"), '{"schema":"torn', lambda p, lang=lang: shard.read(spark, p, lang)[0])
+    for lang in sorted(n.removeprefix("lang=") for n in os.listdir(f"{base}/whole") if n.startswith("lang=")):
+        path = f"{base}/{lang}.jsonl"
+        shard.joined(f"{base}/whole/lang={lang}", path, b'{"schema":"torn')
+        frame = shard.read(spark, path, lang)[0]
         out = frame if out is None else out.unionByName(frame)
-    place = F.col("line_no") - F.min("line_no").over(Window.partitionBy("division"))
-    return out.select("division", "source_path", place.alias("line_no"), "status", "error")
+    place = Scan(out.select("division", "source_path", "line_no", "status", "error"), ["division"], ["line_no"], kept(spark, "shard-read").store).sum("place", F.lit(1).cast("long")).rows
+    return place.select("division", "source_path", (F.col("place") - 1).alias("line_no"), "status", "error")
 
 
 @query("""SELECT DISTINCT source || '.zip' AS source_path FROM documents WHERE source IN (SELECT source FROM documents WHERE lang = 'de')""")
@@ -719,9 +725,9 @@ def segment_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_linenumber BETWEEN 2 AND 3 OR l_linenumber BETWEEN 6 AND 6)""")
 def hidden_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranges = F.array(*(F.struct(F.lit(a).alias("first"), F.lit(b).alias("last")) for a, b in ((2, 3), (6, 6))))
-    lines = table(spark, sf_dir, "lineitem")
-    return lines.where(render.in_ranges(F.col("l_linenumber"), ranges)).select("l_orderkey", "l_linenumber")
+    ranges = spark.createDataFrame([(2, 3), (6, 6)], "first int, last int")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    return intervals.containing(lines, ranges, [], "l_linenumber").select("l_orderkey", "l_linenumber")
 
 
 @query("""WITH r AS (SELECT l_suppkey, l_orderkey AS first, l_orderkey + CAST(l_partkey % 900 AS BIGINT) - 40 AS last FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 45)
@@ -737,13 +743,12 @@ def hidden_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def formula_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     formulas = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.col("o_orderpriority").alias("formula"))
     cells = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"))
-    return cells.join(formulas, ["l_orderkey", "l_linenumber"], "left")
+    return render.looked_up(cells, formulas, ["l_orderkey", "l_linenumber"])
 
 
 @query("""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '\\n\\n+', chr(10) || chr(10), 'g'), '^\\n+', '')) AS collapsed FROM documents""")
 def line_blank_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.regexp_replace(F.regexp_replace("text", "\n\n+", "\n\n"), r"\A\n+", "")
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(t, 256).alias("collapsed"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.collapse_blank_lines(F.col("text")), 256).alias("collapsed"))
 
 
 @query("""SELECT n_nationkey, CAST(n_nationkey AS VARCHAR) || chr(9) || n_name || chr(9) || CAST(n_regionkey AS VARCHAR) AS line FROM nation""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 from collections.abc import Iterator
 
 import pandas as pd
@@ -139,6 +140,15 @@ def repair(path: str) -> None:
                     file.truncate(os.path.getsize(path) - len(tail))
 
 
+def joined(folder: str, path: str, tail: bytes = b"") -> None:
+    """Files of lines that executors wrote, in the order of their names, as one shard; bytes are copied, not parsed."""
+    with open(path, "wb") as out:
+        for name in sorted(n for n in os.listdir(folder) if n.startswith("part-")):
+            with open(os.path.join(folder, name), "rb") as part:
+                shutil.copyfileobj(part, out)
+        out.write(tail)
+
+
 def read(spark: SparkSession, path: str, division: str, strict: bool = False, accepted: tuple[str, ...] = (SCHEMA,)) -> tuple[DataFrame, list[str]]:
     """The frame of a shard and warnings, as :func:`decode` has them; lines are parsed by executors.
 
