@@ -297,7 +297,9 @@ def lines_of(records: DataFrame) -> DataFrame:
     return records.orderBy("ord").select(*RECORD_FIELDS).mapInPandas(lines, "value string")
 
 
-def run(spark: SparkSession, root: str, mirror: str, manifest_dir: str, division: str, engines: dict[str, str] | None = None) -> dict:
+def run(
+    spark: SparkSession, root: str, mirror: str, manifest_dir: str, division: str, engines: dict[str, str] | None = None, arrived: DataFrame | None = None, token: str | None = None
+) -> dict:
     """Convert what is new or changed, append one record per source and member, and count them.
 
     Containers are opened first; sources and members are then one set of units. Each content among them is converted once, and
@@ -305,6 +307,9 @@ def run(spark: SparkSession, root: str, mirror: str, manifest_dir: str, division
     a run that fails leaves mirror and manifest as they were, and one that dies after its commit is carried forward by the next.
 
     engines: for "speech", "recognition" and "vector" the ``module:function`` that workers import (see converters.hooks).
+    arrived: the entries (see sources.walk) that the run is about, whole top-level entries of the tree; without it, all. What
+    else the manifest knows is neither walked nor hashed, but for those artifacts whose content has arrived again.
+    token: names the work; a run whose token was the last to be published has been done before and writes nothing.
     """
     check_names(root, mirror, manifest_dir, division)
     os.makedirs(mirror, exist_ok=True)
@@ -312,24 +317,42 @@ def run(spark: SparkSession, root: str, mirror: str, manifest_dir: str, division
     shard_path = os.path.join(manifest_dir, f"{division}.jsonl")
     change = Transaction(spark, mirror, shard_path, division)
     change.recover()
+    none_yet = {s: 0 for s in manifest.STATUSES}
+    if token is not None and change.published() == token:
+        return {"division": division, "special": 0, "records": 0, "counts": none_yet, "warnings": []}
     tables = Kept(spark, os.path.abspath(os.path.join(manifest_dir, f".run-{division}")))  # so that a lost executor costs no conversion
     shutil.rmtree(tables.folder, ignore_errors=True)  # what a run that died has left
     try:
+        walked = tables.store(entries(spark, root) if arrived is None else arrived, "walked")
         prior, notes = prior_records(spark, manifest_dir, division)
-        artifacts, records = _planned(spark, tables.store, prior, root, mirror, division, engines)
-        counts = {s: 0 for s in manifest.STATUSES} | {r["status"]: r["count"] for r in records.groupBy("status").count().collect()}
-        change.stage(artifacts, lines_of(records))
+        artifacts, records = _planned(spark, tables.store, prior, walked, arrived is not None, root, mirror, division, engines)
+        counts = none_yet | {r["status"]: r["count"] for r in records.groupBy("status").count().collect()}
+        change.stage(artifacts, lines_of(records), token)
         change.publish()
+        special = walked.where("kind = 'other'").count()
     finally:
         shutil.rmtree(tables.folder, ignore_errors=True)
-    special = entries(spark, root).where("kind = 'other'").count()
     return {"division": division, "special": special, "records": sum(counts.values()), "counts": counts, "warnings": notes}
 
 
-def _planned(spark: SparkSession, store: outcomes.Store, prior: DataFrame, root: str, mirror: str, division: str, engines: dict[str, str] | None) -> tuple[DataFrame, DataFrame]:
-    """(artifacts, records) of a run; nothing is written but tables."""
+def within(records: DataFrame, walked: DataFrame) -> DataFrame:
+    """The records of top-level entries that were walked, and of the members of those that are containers.
+
+    A folder of the name a container's members have may add its records; nothing is decided by them.
+    """
+    top = walked.select(F.col("ord")[0].alias("_top")).distinct().select(F.explode(F.array("_top", F.concat("_top", F.lit(".d")))).alias("_top")).distinct()
+    return records.withColumn("_top", F.substring_index("source_path", "/", 1)).join(top, "_top", "left_semi").drop("_top")
+
+
+def _planned(
+    spark: SparkSession, store: outcomes.Store, prior: DataFrame, walked: DataFrame, partial: bool, root: str, mirror: str, division: str, engines: dict[str, str] | None
+) -> tuple[DataFrame, DataFrame]:
+    """(artifacts, records) of a run over the walked entries, which are a part of the tree or all; nothing is written but tables."""
     none = lambda kind: F.lit(None).cast(kind)
-    last = store(manifest.terminal(prior), "last")
+    every_last = manifest.terminal(prior)
+    if partial:
+        every_last = store(every_last, "every-last")
+    last = store(within(every_last, walked) if partial else every_last, "last")
 
     def intact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -350,7 +373,7 @@ def _planned(spark: SparkSession, store: outcomes.Store, prior: DataFrame, root:
         return checked.withColumn("skip", F.col("skip") & stands).drop("intact", "all_intact")
 
     # what is there: sources, and the units of containers that are new or changed
-    found = front(entries(spark, root), root).select(F.col("ord").alias("root"), F.lit(0).alias("nth"), F.col("path").alias("source_path"), "kind", "source_hash", "source_size", "declared_format", "detected_format", "format_mismatch", none("string").alias("parent_source"), "warnings", "error")
+    found = front(walked, root).select(F.col("ord").alias("root"), F.lit(0).alias("nth"), F.col("path").alias("source_path"), "kind", "source_hash", "source_size", "declared_format", "detected_format", "format_mismatch", none("string").alias("parent_source"), "warnings", "error")
     sources = store(judged(found), "sources")
     opened = ~F.col("skip") & F.col("detected_format").isin(*formats.CONTAINERS) & F.col("error").isNull() & (F.col("kind") == "file")
     inside = store(expanded(sources.where(opened).select(*_UNIT), root), "members")
@@ -363,6 +386,11 @@ def _planned(spark: SparkSession, store: outcomes.Store, prior: DataFrame, root:
     plain = F.col("error").isNull() & F.col("kind").isin("file", "member")
     leaves = fresh.where(plain & (F.col("routed").isNotNull() | F.col("detected_format").isin(*formats.METADATA_FORMATS)))
     leaves = leaves.withColumn("key", F.when(F.col("detected_format").isin(*formats.METADATA_FORMATS, "svg"), F.col("detected_format")).otherwise(F.col("routed")))
+    if partial:  # of all other artifacts, those are looked at that hold a content which has arrived
+        rest = every_last.where(manifest.has_text(F.col("status"))).join(last, "source_path", "left_anti")
+        rest = store(rest.join(leaves.select("source_hash").distinct(), "source_hash", "left_semi").select(*bearing.columns), "elsewhere")
+        also = store(rest.select("source_path", "text_path", "text_hash").mapInPandas(intact, "source_path string, intact boolean"), "intact-elsewhere")
+        bearing, marked = bearing.unionByName(rest), marked.unionByName(also)
     sound = bearing.join(marked.where("intact"), "source_path", "left_semi").where((F.col("status") == "converted") | (F.col("status") == "skipped_unchanged") & F.col("dedup_of").isNull())
     sound = sound.where((F.col("rules_version") == formats.RULES_VERSION) & (F.col("converter_version") == versions[F.col("converter_id")]))
     # not those that this run writes anew or retires: their artifacts will be others

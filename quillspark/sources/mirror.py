@@ -25,7 +25,7 @@ SCHEMA = "target string, text binary, sidecar binary"
 #: Rows of a publication: a staged artifact's stem, or null, and where it belongs.
 MOVES = "staged string, target string"
 ENDINGS = (".txt", ".segments.jsonl")
-COMMITTED, APPENDING, LINES, TASKS = "COMMITTED", "APPENDING", "lines", "tasks"
+COMMITTED, APPENDING, TOKEN, LINES, TASKS = "COMMITTED", "APPENDING", "TOKEN", "lines", "tasks"
 
 
 def write_whole(path: str, data: bytes) -> None:
@@ -117,6 +117,7 @@ class Transaction:
     def __init__(self, spark: SparkSession, mirror: str, shard_path: str, division: str):
         self.spark, self.mirror, self.shard_path = spark, os.path.abspath(mirror), shard_path
         self.folder = os.path.join(self.mirror, f".staged-{division}")  # a division's name has no dot
+        self.token_path = f"{shard_path}.token"
         spark.dataSource.register(Mirror)
 
     def recover(self) -> bool:
@@ -127,9 +128,19 @@ class Transaction:
         shutil.rmtree(self.folder, ignore_errors=True)
         return committed
 
-    def stage(self, artifacts: DataFrame, lines: DataFrame) -> None:
-        """Stage lines (value, in order by partition) and artifacts (``SCHEMA``), then commit."""
+    def published(self) -> str | None:
+        """The token of the last transaction with one whose changes are all in place."""
+        try:
+            with open(self.token_path, "rb") as file:
+                return file.read().decode()
+        except FileNotFoundError:
+            return None
+
+    def stage(self, artifacts: DataFrame, lines: DataFrame, token: str | None = None) -> None:
+        """Stage lines (value, in order by partition) and artifacts (``SCHEMA``), then commit; the token is published with them."""
         os.makedirs(self.folder)
+        if token is not None:
+            write_whole(os.path.join(self.folder, TOKEN), token.encode())
         lines.write.text(os.path.join(self.folder, LINES), lineSep="\n")
         artifacts.write.format("mirror").option("stage", self.folder).mode("append").save()
 
@@ -142,6 +153,10 @@ class Transaction:
             moves = self.spark.read.schema(MOVES).json(staged)
             moves.write.format("mirror").option("publish", self.mirror).mode("append").save()
         self._append()
+        token = os.path.join(self.folder, TOKEN)
+        if os.path.exists(token):
+            with open(token, "rb") as file:
+                write_whole(self.token_path, file.read())
         shutil.rmtree(self.folder)
 
     def _append(self) -> None:
