@@ -1,22 +1,21 @@
 """Resolution of not-modified revisits: an as-of join by canonical URL to the latest earlier full response.
 
-The join is cut by time, so that a URL with a large share of all captures is worked on in many places: inside a block
-of time a window finds the latest response, and what earlier blocks hold for a URL, one row each, is carried forward.
-Blocks are equal spans of time, so a capture's block is computed from its time alone.
+Captures are dealt in ranges of (URL, time, record) of about equal numbers of rows, so that a URL with a large share of all
+captures is worked on in many places, however its times lie: inside a range a window finds the latest response, and what
+earlier ranges hold for the URL that goes on, one row for each range, is carried forward (operators.scan).
 Bodies stay where they are; a resolved revisit names the response that holds its body.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import Scratch
+from quillspark.operators.scan import Scan
 
 #: Header fields that a 304 response may renew (RFC 9110, 15.4.5; fixed values).
 RENEWED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
-#: Captures in a block of time, on the average.
-BLOCK_ROWS = 100_000
 
 
 def canonical_url(url: Column) -> Column:
@@ -51,7 +50,7 @@ def merged_headers(stored: Column, sent: Column) -> Column:
     return F.map_concat(kept, renewed)
 
 
-def resolve_revisits(records: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def resolve_revisits(records: DataFrame) -> DataFrame:
     """One row per revisit: record_id, url_key, ts, status, response_id, digest, headers.
 
     records: record_id, url, ts, kind ("response" or "revisit"), etag, last_modified, digest and headers (a map).
@@ -66,25 +65,11 @@ def resolve_revisits(records: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFr
         "record_id", canonical_url(F.col("url")).alias("url_key"), "ts", "kind", "etag", "last_modified", "digest", F.coalesce(lowered(F.col("headers")), empty).alias("headers")
     )
     keep = Scratch(records.sparkSession)
-    rows = keep.stored(rows, "captures")
-    span = rows.agg(F.count(F.lit(1)).alias("n"), F.min("ts").cast("double").alias("low"), F.max("ts").cast("double").alias("high")).first()
-    count = max(1, -(-span.n // block_rows))
-    width = ((span.high or 0.0) - (span.low or 0.0)) / count
-    block = F.coalesce(F.floor((F.col("ts").cast("double") - F.lit(span.low or 0.0)) / width), F.lit(0)) if count > 1 and width > 0 else F.lit(0)
-    responses = rows.where((F.col("kind") == "response") & F.col("url_key").isNotNull() & F.col("ts").isNotNull())
     what = F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers")
-
-    last = responses.groupBy("url_key", block.alias("block")).agg(F.max_by(what, F.struct("ts", "record_id")).alias("last"))
-    revisits = rows.where(F.col("kind") == "revisit").withColumn("block", block)
-    asked = revisits.where(F.col("url_key").isNotNull()).select("url_key", "block").distinct()
-    by_block = Window.partitionBy("url_key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = asked.join(last, ["url_key", "block"], "full_outer").withColumn("carried", F.last("last", ignorenulls=True).over(by_block)).select("url_key", "block", "carried")
-
-    kind_last = F.when(F.col("kind") == "response", 1).otherwise(0)  # at one ts, revisits stand before responses
-    in_block = Window.partitionBy("url_key", "block").orderBy("ts", kind_last, "record_id").rowsBetween(Window.unboundedPreceding, 0)
-    both = revisits.unionByName(responses.withColumn("block", block))
-    near = both.withColumn("near", F.last(F.when(F.col("kind") == "response", what), ignorenulls=True).over(in_block)).where(F.col("kind") == "revisit")
-    found = near.join(carried, ["url_key", "block"], "left").withColumn("found", F.when(F.col("ts").isNotNull(), F.coalesce("near", "carried")))
+    full = (F.col("kind") == "response") & F.col("url_key").isNotNull() & F.col("ts").isNotNull()
+    rows = rows.withColumn("_late", F.when(F.col("kind") == "response", 1).otherwise(0))  # at one ts, revisits stand before responses
+    scan = Scan(rows, ["url_key"], ["ts", "_late", "record_id"], keep.stored, "captures").last("found", F.when(full, what))
+    found = scan.rows.where(F.col("kind") == "revisit").withColumn("found", F.when(F.col("url_key").isNotNull() & F.col("ts").isNotNull(), F.col("found")))
 
     tags = F.col("etag").isNotNull() & F.col("found.etag").isNotNull()
     dates = F.col("last_modified").isNotNull() & F.col("found.last_modified").isNotNull()

@@ -284,14 +284,47 @@ def test_revisits_against_brute_force(spark):
     url = lambda u: u and pick(["http://", "HTTPS://user@"]) + u.replace("h/", "H/") + pick(["", "#f", "?utm_source=x", "/"])
     df = spark.createDataFrame([(r["id"], url(r["u"]), r["ts"], r["kind"], r["etag"], r["lm"], "d", {"Content-Type": "t", "Date": str(r["id"])}) for r in rows], "record_id long, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>")
     responses = [r for r in rows if r["kind"] == "response"]
-    for size in (1_000_000, 30):
-        found = {r.record_id: (r.status, r.response_id, r.headers) for r in warc.resolve_revisits(df, size).collect()}
+    for ranges in ("1", "30"):
+        with_ranges(spark, ranges)
+        found = {r.record_id: (r.status, r.response_id, r.headers) for r in warc.resolve_revisits(df).collect()}
         want = {v["id"]: brute_revisit(v, responses) for v in rows if v["kind"] == "revisit"}
         assert {k: v[:2] for k, v in found.items()} == want
         assert all(h == {"content-type": "t", "date": str(k)} for k, (s, _, h) in found.items() if s == "resolved")
+    with_ranges(spark, "4")
     assert warc.resolve_revisits(df.limit(0)).count() == 0
 
 
+def with_ranges(spark, count):
+    """Ranges of a scan: adaptive execution would join small ones."""
+    spark.conf.set("spark.sql.shuffle.partitions", count)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(count == "4").lower())
+
+
+@pytest.mark.parametrize("when", ["one early", "one instant"])
+def test_a_hot_url_is_cut_by_rows(spark, monkeypatch, when):
+    """One URL with all captures: neither a single early time nor a single time for all puts them into one range."""
+    rows = 4000
+    time_of = (lambda k: 0 if k == 0 else 10**9 + k) if when == "one early" else (lambda k: 7)
+    df = spark.createDataFrame(
+        [(k, "h/a", time_of(k), "response" if k % 3 == 0 else "revisit", '"x"', None, str(k), {}) for k in range(rows)],
+        "record_id long, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>",
+    )
+    kept = warc.Scratch.stored
+    sizes = {}
+
+    def watched(self, frame, name):
+        out = kept(self, frame, name)
+        sizes[name] = [r["count"] for r in out.groupBy("_part").count().collect()]
+        return out
+
+    monkeypatch.setattr(warc.Scratch, "stored", watched)
+    with_ranges(spark, "8")
+    found = {r.record_id: r.response_id for r in warc.resolve_revisits(df).collect()}
+    with_ranges(spark, "4")
+    assert max(sizes["captures"]) < rows / 3
+    assert found == {k: k - k % 3 if when == "one early" else None for k in range(rows) if k % 3}
+
+
 def test_canonical_urls(spark):
     urls = ["HTTP://Ex.org:80/a/?b=2&a=1&utm_x=3#f", "https://ex.org/a?a=1&b=2", "ex.org/a", None, ""]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(warc.canonical_url(F.col("u"))).collect()]
