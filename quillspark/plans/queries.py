@@ -527,6 +527,24 @@ def explain_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.history(run_log(spark, sf_dir), path).select("division", "line_no", "status", "source_hash")
 
 
+@query(f"""WITH {RUN_LOG}, ends AS (SELECT division, min(source_path) AS low, max(source_path) AS high FROM sources GROUP BY division)
+SELECT division, source_path, run, status, source_hash, text_path FROM run_log JOIN ends USING (division) WHERE source_path IN (low, high)""")
+def indexed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run log indexed in two generations, and the records of each division's first and last source looked up in the index."""
+    from quillspark.sources import index, shard
+
+    base = shared_folder(spark, "index")
+    log = kept(spark, "log").store(run_log(spark, sf_dir).withColumn("span", F.col("run").cast("long")), "log")
+    own = {f: F.col(f) if f in log.columns else F.lit(None).cast(k) for f, k in shard.RECORD.items()}
+    for n in (1, 2):
+        for division in [r[0] for r in log.select("division").distinct().orderBy("division").collect()]:  # a handful
+            one = log.where((F.col("run") == n) & (F.col("division") == division)).select(*(c.alias(f) for f, c in own.items()), "line_no", "span")
+            index.written(one, f"{base}/division={division}/generation={n}")
+    ends = [v for r in sources(spark, sf_dir).groupBy("division").agg(F.min("source_path"), F.max("source_path")).collect() for v in r[1:]]
+    found = spark.read.schema(index.FRAME).parquet(base).where(F.col("source_path").isin(*ends))
+    return found.select("division", "source_path", F.col("span").cast("int").alias("run"), "status", "source_hash", "text_path")
+
+
 @query(f"""WITH {RUN_LOG}, damaged AS (SELECT doc_id, run, CASE WHEN source_size < 400 THEN 'failed' ELSE status END AS status, CASE WHEN source_size > 9000 THEN NULL ELSE text_path END AS text_path, text_hash, dedup_of, error FROM run_log)
 SELECT doc_id, run, CASE WHEN status IN ('converted', 'dedup', 'skipped_unchanged') AND (text_path IS NULL OR text_hash IS NULL) THEN 'text missing'
   WHEN status IN ('converted', 'dedup', 'skipped_unchanged') AND error IS NOT NULL THEN 'error beside text'

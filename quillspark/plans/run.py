@@ -27,6 +27,7 @@ from quillspark.operators import manifest, outcomes
 from quillspark.plans import formats
 from quillspark.plans.folders import Kept
 from quillspark.sources import shard, walk
+from quillspark.sources.index import Index
 from quillspark.sources.mirror import SCHEMA as SINK_ROWS
 from quillspark.sources.mirror import Transaction
 from quillspark.sources.shard import RECORD, RECORD_FIELDS
@@ -542,5 +543,12 @@ def status(spark: SparkSession, manifest_dir: str) -> list[dict]:
 
 
 def explain(spark: SparkSession, manifest_dir: str, source_path: str) -> list[dict]:
-    """Every record of one source, oldest first."""
-    return [r.asDict(recursive=True) for r in manifest.history(_shards(spark, manifest_dir), source_path).collect()]
+    """Every record of one source, oldest first; from the manifest's index, which is brought up to date first."""
+    found = Index(spark, manifest_dir).history(F.col("source_path") == source_path).drop("span", "generation")
+    rows = [r.asDict(recursive=True) for r in found.collect()]
+    for name in sorted(n for n in os.listdir(manifest_dir) if n.endswith(".jsonl")):
+        tail = shard.unended(os.path.join(manifest_dir, name))  # a last line without its end counts if it is whole
+        record = shard.parsed(tail)[0] if tail else None
+        if record is not None and record["source_path"] == source_path:
+            rows.append({f: record.get(f) for f in RECORD_FIELDS} | {"line_no": None, "division": name.removesuffix(".jsonl")})
+    return sorted(rows, key=lambda r: r["division"])
