@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import cells
 from quillspark.functions import text as T
 from quillspark.operators import agreement, bundles, dedup, intervals, manifest, outcomes, render, tree_hash
 from quillspark.operators import lineage as lineages
@@ -772,3 +773,31 @@ def line_blank_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT n_nationkey, CAST(n_nationkey AS VARCHAR) || chr(9) || n_name || chr(9) || CAST(n_regionkey AS VARCHAR) AS line FROM nation""")
 def tsv_render_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.tsv_rows(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), "n_nationkey")
+
+
+def _plain_sql(x: str) -> str:
+    """A number of DuckDB without exponent and needless fraction; the tables' numbers lie under 1e15."""
+    text = f"CAST({x} AS VARCHAR)"
+    digits, exponent = f"replace(replace(split_part({text}, 'e', 1), '-', ''), '.', '')", f"CAST(split_part({text}, 'e-', 2) AS INTEGER)"
+    small = f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END) || '0.' || repeat('0', {exponent} - 1) || rtrim({digits}, '0')"
+    return f"CASE WHEN contains({text}, 'e-') THEN {small} WHEN {text} LIKE '%.0' THEN replace({text}, '.0', '') ELSE {text} END"
+
+
+@query(f"""WITH e AS (SELECT vec_id, CASE WHEN embedding IS NULL THEN '' ELSE '[' || array_to_string(list_transform(embedding, lambda x: COALESCE({_plain_sql("x")}, '')), ', ') || ']' END AS shown FROM embeddings)
+SELECT vec_id, sha256(shown) AS cell, CAST(length(shown) AS BIGINT) AS chars FROM e""")
+def vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as the cell of a record."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    shown = dict(zip(e.columns, cells.cells(e.schema)))["embedding"]
+    return e.select("vec_id", shown.alias("shown")).select("vec_id", F.sha2("shown", 256).alias("cell"), F.length("shown").cast("long").alias("chars"))
+
+
+@query(f"""SELECT event_id, '{{by: {{type: ' || COALESCE(event_type, '') || ', user: ' || COALESCE(CAST(user_id AS VARCHAR), '') || ', at: ' || COALESCE(CAST(epoch_us(ts) AS VARCHAR), '') || '}}, of: {{even: [], raw: ['
+  || lower(hex(encode(COALESCE(event_type, '')))) || ', ]}}, value: [' || COALESCE({_plain_sql("value")}, '') || ']}}' AS cell FROM events""")
+def nested_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as one nested record: structs, a map whose entries come unsorted, lists, bytes, times, numbers and nulls inside."""
+    e = table(spark, sf_dir, "events")
+    by = F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("user"), F.col("ts").alias("at"))
+    of = F.create_map(F.lit("raw"), F.array(F.coalesce("event_type", F.lit("")).cast("binary"), F.lit(None).cast("binary")), F.lit("even"), F.array().cast("array<binary>"))
+    record = e.select("event_id", F.struct(by.alias("by"), of.alias("of"), F.array("value").alias("value")).alias("record"))
+    return record.select("event_id", cells.cell(F.col("record"), record.schema["record"].dataType).alias("cell"))
