@@ -32,7 +32,9 @@ def written(records: DataFrame, folder: str) -> None:
     ordered = records.repartitionByRange("source_path", "span", "line_no").sortWithinPartitions("source_path", "span", "line_no")
     writer = ordered.write.mode("overwrite").option("parquet.block.size", str(ROW_GROUP))
     for column in ("source_path", "source_hash"):
-        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{column}", "true")
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    # of filters of 1 MB, 512 KB and so on down to 2 KB, a row group keeps the smallest that holds its values
+    writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.candidates.number", "10")
     writer.parquet(folder)
 
 
