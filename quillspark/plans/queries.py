@@ -786,9 +786,9 @@ def _plain_sql(x: str) -> str:
 @query(f"""WITH e AS (SELECT vec_id, CASE WHEN embedding IS NULL THEN '' ELSE '[' || array_to_string(list_transform(embedding, lambda x: COALESCE({_plain_sql("x")}, '')), ', ') || ']' END AS shown FROM embeddings)
 SELECT vec_id, sha256(shown) AS cell, CAST(length(shown) AS BIGINT) AS chars FROM e""")
 def vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector as the cell of a record."""
+    """Every vector as the cell of a record; floats whose fewest digits leave a choice as in the SQL."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    shown = dict(zip(e.columns, cells.cells(e.schema)))["embedding"]
+    shown = dict(zip(e.columns, cells.cells(e.schema, settled=True)))["embedding"]
     return e.select("vec_id", shown.alias("shown")).select("vec_id", F.sha2("shown", 256).alias("cell"), F.length("shown").cast("long").alias("chars"))
 
 

@@ -3,6 +3,7 @@
 import datetime
 import struct
 
+import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from quillspark.converters.records import number
 from quillspark.functions.cells import cell, cells
+from quillspark.plans.queries import _plain_sql
 
 NUMBERS = [0.0, -0.0, 1.0, -1.5, 0.1, 2e-3, 1e-7, 123456789.125, 1e15, 1e22, 5e-324, 2.0**-44, 6.102007803125512e18, 6.387333013218292e17, 99.5, 1e300, float("inf"), float("-inf"), float("nan"), None]
 
@@ -34,6 +36,23 @@ def test_numbers_read_back(spark, doubles, floats):
     assert [s for s in shown(spark, [x for x in doubles if abs(x) < 1e15], T.DoubleType())] == [number(x) for x in doubles if abs(x) < 1e15]
 
 
+def test_settled_floats(spark):
+    """Floats midway between two shortest texts, and those whose shortest text is midway between two floats, as DuckDB shows them."""
+    single = lambda x: struct.unpack("f", struct.pack("f", x))[0]
+    floats = [0.0185546875, -0.0185546875, 0.1, 33571368.0, 16777216.0, 0.0, 5e-7, 1.1754944e-38]
+    floats += [float(m) / 2**j for j in range(15) for m in range(1, 1 << 24, 397_211)] + [float(single(x)) for x in range(2**24, 2**33, 40_000_003)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE f (k INT, x FLOAT)")
+    con.executemany("INSERT INTO f VALUES (?, ?)", list(enumerate(floats)))
+    df = spark.createDataFrame(list(enumerate(floats)), "k int, v float").repartition(2)
+    got = [r[0] for r in df.orderBy("k").select(cell(F.col("v"), T.FloatType(), settled=True)).collect()]
+    assert got == [r[0] for r in con.execute(f"SELECT {_plain_sql('x')} FROM f ORDER BY k").fetchall()]
+    assert got[:4] == ["0.0185546875", "-0.0185546875", "0.1", "33571368"]
+    assert shown(spark, [0.0185546875], T.FloatType()) == ["0.018554688"]
+    vector = spark.createDataFrame([([0.0185546875, None],)], "e array<float>")
+    assert vector.select(*cells(vector.schema, settled=True)).first()[0] == "[0.0185546875, ]"
+
+
 def test_nested(spark):
     inner = T.StructType([T.StructField("a b", T.ArrayType(T.IntegerType())), T.StructField("m", T.MapType(T.StringType(), T.BinaryType()))])
     rows = [([1, None, 3], {"z": b"\x00\xff", "a": None, "Z": b""}), ([], {}), (None, None), None]
