@@ -47,16 +47,26 @@ def stream_hashes(rows: DataFrame, keys: list[str], order: list[str], content: s
     first = F.greatest(F.col("at") * piece, F.col("_begin"))
     part = F.substring("_body", (first - F.col("_begin") + 1).cast("int"), (F.least((F.col("at") + 1) * piece, F.col("_end")) - first).cast("int"))
     pieces = full.select(*keys, "at", F.struct(first.alias("first"), part.alias("part")).alias("piece")).groupBy(*keys, "at").agg(F.array_sort(F.collect_list("piece")).alias("parts"))  # ``piece`` bytes at most
-    key = lambda df: df.withColumn("_key", F.struct(*keys)).drop(*keys)  # noqa: E731  (null keys are equal in a struct)
-    met = key(total).join(key(pieces), "_key", "left").select("_key", F.coalesce("at", F.lit(0).cast("long")).alias("at"), F.greatest(F.ceil(F.col("bytes") / piece), F.lit(1)).alias("pieces"), "parts")
 
-    @F.pandas_udf("binary")
-    def hashed(parts: pd.Series, at: pd.Series, count: pd.Series) -> pd.Series:
-        out = [piece_chain(b"".join(bytes(p["part"]) for p in (x if x is not None else [])), int(a), piece, n == 1) for x, a, n in zip(parts, at, count)]
-        return pd.Series(out, dtype=object)
+    @F.pandas_udf("chain binary, alone binary")
+    def hashed(parts: pd.Series, at: pd.Series) -> pd.DataFrame:
+        """A piece's value, and its hash if it may be the only one: a first piece that isn't full surely is, a full one may be."""
+        out = []
+        for x, a in zip(parts, at):
+            data = b"".join(bytes(p["part"]) for p in x)
+            first = int(a) == 0
+            out.append([None if first and len(data) < piece else piece_chain(data, int(a), piece, False), piece_chain(data, 0, piece, True) if first else None])
+        return pd.DataFrame(out, columns=["chain", "alone"])
 
-    chains = store(met.select("_key", "at", "pieces", hashed("parts", "at", "pieces").alias("chain")), "stream-pieces")
-    return merged(chains, ["_key"], chains.agg(F.max("pieces")).first()[0] or 1, group).join(key(total), "_key").select("_key.*", "bytes", "hash")
+    key = lambda df: df.withColumn("_key", F.struct(*keys)).drop(*keys)  # noqa: E731  (null keys are equal in a struct)
+    # pieces are hashed where they were put together; only their values, 64 bytes at most, meet the sizes by stream
+    values = store(key(pieces.select(*keys, "at", hashed("parts", "at").alias("value")).select(*keys, "at", "value.*")), "stream-pieces")
+    empty = F.lit(piece_chain(b"", 0, piece, True))
+    count = F.greatest(F.ceil(F.col("bytes") / piece), F.lit(1)).alias("pieces")
+    met = key(total).join(values, "_key", "left").select("_key", F.coalesce("at", F.lit(0).cast("long")).alias("at"), count, "chain", "alone")
+    chains = met.withColumn("chain", F.when(F.col("pieces") > 1, F.col("chain")).otherwise(F.coalesce("alone", empty))).drop("alone")
+    most = -(-(total.agg(F.max("bytes")).first()[0] or 1) // piece) or 1
+    return merged(chains, ["_key"], most, group).join(key(total), "_key").select("_key.*", "bytes", "hash")
 
 
 def file_hashes(files: DataFrame, root: str, piece: int = 8 * PIECE, group: int = GROUP) -> DataFrame:

@@ -47,6 +47,23 @@ def test_blake3_of_streams(spark, tmp_path):
     assert {r.key: (r.bytes, r.hash) for r in found.collect()} == {k: (len(v), hashing.blake3(v)) for k, v in want.items()}
 
 
+def test_streams_move_no_pieces_by_key(spark, tmp_path):
+    """What meets the sizes of a stream is its pieces' values, not their bytes, which would bring a whole stream into one task."""
+    kept, plans = Kept(spark, str(tmp_path)), {}
+
+    def store(frame, name):
+        plans[name] = frame._jdf.queryExecution().optimizedPlan().toString()
+        return kept.store(frame, name)
+
+    bodies = [("whole", 0, b"a" * 1024), ("two", 0, b"b" * 1024), ("two", 1, b"c" * 1024), ("short", 0, b"d"), ("none", 0, None), ("five", 0, b"e" * 4097), (None, 0, b"f" * 1025)]
+    df = spark.createDataFrame(bodies, "key string, at int, body binary")
+    found = {r.key: r.hash for r in tree_hash.stream_hashes(df, ["key"], ["at"], "body", store, 1024, 2).collect()}
+    assert found == {k: hashing.blake3(b"".join(b or b"" for key, _, b in bodies if key == k)) for k in {key for key, _, _ in bodies}}
+    assert "hashed(" in plans["stream-pieces"] and "collect_list" in plans["stream-pieces"]
+    assert "bytes#" not in plans["stream-pieces"]
+
+
+
 def test_normalize_text(spark):
     assert rows(spark, ["a\r\nb\rc", "é", "ﬁ", None], T.normalize_text) == ["a\nb\nc", "é", "ﬁ", None]
 
