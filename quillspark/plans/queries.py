@@ -403,11 +403,8 @@ def mirror_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     change = mirror.Transaction(spark, base, f"{base}/d.jsonl", "d")
     change.stage(d.select(F.concat(F.lit("d/"), "source_path").alias("target"), F.col("text").cast("binary").alias("text"), F.lit(b"{}\n").alias("sidecar")), lines_of(records))
     change.publish()
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{base}/d").select(F.substring_index("path", f"{base}/", -1).alias("path"), F.sha2("content", 256).alias("hash"), "length")
     found = shard.read(spark, f"{base}/d.jsonl", "d")[0].select("source_path", "status", "text_path", "text_hash")
-    texts = files.select(F.col("path").alias("text_path"), F.col("hash").alias("text_hash"), F.col("length").alias("text_bytes"))
-    sides = files.where(F.endswith("path", F.lit(".segments.jsonl"))).select(F.regexp_replace("path", r"\.segments\.jsonl$", ".txt").alias("text_path"), F.col("hash").alias("sidecar_hash"))
-    return found.join(texts, ["text_path", "text_hash"]).join(sides, "text_path").select("source_path", "status", "text_hash", "text_bytes", "sidecar_hash")
+    return mirror.read_back(found, base).select("source_path", "status", "text_hash", "text_bytes", "sidecar_hash")
 
 
 # --- manifest ------------------------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ and dropped. A run that ended between commit and publication is carried forward
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import shutil
@@ -81,11 +82,13 @@ class _Publisher(DataSourceArrowWriter):
         self.mirror = mirror
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        made = None
         for batch in iterator:
             for staged, target in zip(batch.column("staged").to_pylist(), batch.column("target").to_pylist()):
                 place = os.path.join(self.mirror, target)
-                if staged is not None:
-                    os.makedirs(os.path.dirname(place), exist_ok=True)
+                if staged is not None and os.path.dirname(place) != made:
+                    made = os.path.dirname(place)
+                    os.makedirs(made, exist_ok=True)
                 for end in ENDINGS:
                     try:
                         if staged is None:
@@ -111,6 +114,38 @@ class Mirror(DataSource):
         return _Stager(self.options["stage"]) if "stage" in self.options else _Publisher(self.options["publish"])
 
 
+def read_back(records: DataFrame, mirror: str) -> DataFrame:
+    """The records that have their whole artifact in the mirror, with its text's size and its sidecar's hash.
+
+    records: text_path, text_hash and more columns. Tasks open the files the records name; nothing is listed, and a file is
+    read once. A record whose files are missing, or whose text is another, is left out.
+    """
+    out = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in records.schema.fields)}, text_bytes long, sidecar_hash string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, sizes, sides = [], [], []
+            for path, wanted in zip(batch.column("text_path").to_pylist(), batch.column("text_hash").to_pylist()):
+                right = False
+                if path is not None:
+                    stem, found = os.path.join(mirror, path.removesuffix(ENDINGS[0])), []
+                    try:
+                        for end in ENDINGS:
+                            with open(stem + end, "rb") as file:
+                                found.append((hashlib.file_digest(file, "sha256").hexdigest(), file.tell()))
+                    except (FileNotFoundError, NotADirectoryError):
+                        pass
+                    right = len(found) == 2 and found[0][0] == wanted
+                keep.append(right)
+                if right:
+                    sizes.append(found[0][1])
+                    sides.append(found[1][0])
+            columns = batch.filter(pa.array(keep, pa.bool_())).columns
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(sides, pa.string())], [*batch.schema.names, "text_bytes", "sidecar_hash"])
+
+    return records.mapInArrow(run, out)
+
+
 class Transaction:
     """One run's changes to a division: artifacts and manifest lines, staged together and published together."""
 

@@ -1,9 +1,11 @@
 """Runs, bundles and the command line over a small tree."""
 
+import hashlib
 import json
 import os
 
 import pytest
+from conftest import DATA
 
 from quillspark import cli
 from quillspark.converters import media
@@ -220,3 +222,24 @@ def test_watch(spark, tree):
     query = watch(spark, str(tree / "src"), str(tree / "mirror"), str(tree / "man"), "d1", str(tree / "ckpt"))
     query.awaitTermination(120)
     assert run.status(spark, str(tree / "man"))[0]["sources"] == 12
+
+
+def test_mirror_is_read_by_its_records(spark, tmp_path):
+    """Tasks open what records name, once: a text that is missing, another one, or without its sidecar is left out."""
+    from quillspark.plans.queries import QUERIES
+    from quillspark.sources import mirror
+
+    def put(stem, text, side=True):
+        (tmp_path / "d").mkdir(exist_ok=True)
+        (tmp_path / "d" / f"{stem}.txt").write_bytes(text)
+        if side:
+            (tmp_path / "d" / f"{stem}.segments.jsonl").write_bytes(b"{}\n")
+
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    put("a", "é".encode()), put("b", b"other"), put("c", b"bare", side=False), put("e", b""), put("x.txt", b"dotted")
+    rows = [("a", sha("é".encode())), ("b", sha(b"b")), ("c", sha(b"bare")), ("gone", sha(b"")), ("e", sha(b"")), ("x.txt", sha(b"dotted"))]
+    records = spark.createDataFrame([(f"d/{n}.txt", h) for n, h in rows] + [(None, None)], "text_path string, text_hash string")
+    found = {r.text_path: (r.text_bytes, r.sidecar_hash) for r in mirror.read_back(records, str(tmp_path)).collect()}
+    assert found == {f"d/{n}.txt": (size, sha(b"{}\n")) for n, size in (("a", 2), ("e", 0), ("x.txt", 6))}
+    plan = QUERIES["mirror_roundtrip"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "binaryFile" not in plan and "Join" not in plan
