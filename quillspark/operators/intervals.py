@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Numbers that ranges may hold: 0 to 2**LEVELS - 1; what of a range lies outside is cut off.
 LEVELS = 62
+#: Cells of all ranges that are broadcast, at most: so few may hold any share of the points each, which then aren't shuffled by them.
+FEW = 10_000
 
 
 def cells(first: Column, last: Column) -> Column:
@@ -42,7 +44,8 @@ def containing(points: DataFrame, ranges: DataFrame, keys: list[str], point: str
     Points below 0, and null points or ends, meet nothing. Only levels that some range has are looked up.
     """
     cut = ranges.where("first <= last and last >= 0").withColumn("_cell", F.explode(cells(F.col("first"), F.col("last")))).select("*", F.col("_cell.level").alias("_level"), F.col("_cell.at").alias("_at")).drop("_cell")
-    used = sorted(r["_level"] for r in cut.select("_level").distinct().collect())  # at most LEVELS + 1
+    found = {r["_level"]: r["count"] for r in cut.groupBy("_level").count().collect()}  # at most LEVELS + 1
+    used, few = sorted(found), sum(found.values()) <= FEW
     level = F.explode(F.lit(used).cast("array<int>"))
     placed = points.where(F.col(point) >= 0).withColumn("_level", level).withColumn("_at", F.expr(f"shiftright(cast(`{point}` as bigint), _level)"))
-    return placed.join(cut, [*keys, "_level", "_at"]).drop("_level", "_at")
+    return placed.join(F.broadcast(cut) if few else cut, [*keys, "_level", "_at"]).drop("_level", "_at")

@@ -113,3 +113,13 @@ def test_containing_against_all_pairs(spark):
     want = {(p[2], r[3]) for p in points for r in ranges if p[0] is not None and p[0] == r[0] and None not in (p[1], r[1], r[2]) and p[1] >= 0 and r[1] <= p[1] <= r[2]}
     assert len(want) > 100 and sorted((r.id, r.r) for r in found.collect()) == sorted(want)
     assert intervals.containing(spark.createDataFrame(points, "key string, point long, id int"), spark.createDataFrame([], "key string, first long, last long, r int"), ["key"], "point").count() == 0
+
+
+def test_few_ranges_shuffle_no_points(spark):
+    """A handful of cells is broadcast: else all points of a common cell would be sorted in one task."""
+    points = spark.range(2000).select((F.col("id") % 7).alias("n"), "id")
+    ranges = spark.createDataFrame([(2, 3), (6, 6), (3, 2)], "first int, last int")
+    met = intervals.containing(points, ranges, [], "n")
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    assert sorted(r.id for r in met.collect()) == [k for k in range(2000) if k % 7 in (2, 3, 6)]
