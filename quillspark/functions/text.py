@@ -22,8 +22,9 @@ def _nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def nfc(text: Column) -> Column:
-    """Unicode normal form C."""
-    return F.pandas_udf(_nfc, "string")(text)
+    """Unicode normal form C. Only texts with a character from U+0300 on, below which all are in that form, go to Python."""
+    own = F.rlike(text, F.lit("[^\\x{0}-\\x{2FF}]"))
+    return F.when(own, F.pandas_udf(_nfc, "string")(F.when(own, text))).otherwise(text)
 
 
 def normalize_text(text: Column) -> Column:

@@ -1,7 +1,9 @@
 """Scalar functions against plain models and known answers."""
 
 import unicodedata
+from collections.abc import Iterator
 
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -68,6 +70,21 @@ def test_normalize_text(spark):
     assert rows(spark, ["a\r\nb\rc", "é", "ﬁ", None], T.normalize_text) == ["a\nb\nc", "é", "ﬁ", None]
 
 
+def test_nfc_of_plain_texts_stays_on_the_jvm(spark, monkeypatch):
+    """Texts without a character from U+0300 on are in the form already; no others reach Python."""
+    assert all(unicodedata.is_normalized("NFC", chr(c)) for c in range(0x300))
+    texts = ["plain", "é ÿ ˿", "e\u0301", "\u0300", "\u212b", "", None, "a\nb\u00e9", "\U0001d15e"]
+    assert rows(spark, texts, T.nfc) == [t if t is None else unicodedata.normalize("NFC", t) for t in texts]
+
+    def refuse(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for values in parts:
+            assert values.isna().all()
+            yield values
+
+    monkeypatch.setattr(T, "_nfc", refuse)
+    assert rows(spark, ["plain", "é ÿ ˿", None, ""], T.nfc) == ["plain", "é ÿ ˿", None, ""]
+
+
 def test_member_paths(spark):
     names = ["a/b", "a\\b", "/a", "\\a", "C:x", "a//b", "./a", "a/../b", "", "a\nb", "ü/x"]
     assert rows(spark, names, T.safe_member) == [member_path(n) for n in names] == ["a/b", "a/b", None, None, None, None, None, None, None, None, "ü/x"]
